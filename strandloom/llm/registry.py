@@ -6,9 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from strandloom.llm.mixing import op9_entropy_balance
+from strandloom.llm.secrets import op6_linked_credentials
 from strandloom.llm.sharding import op5_hash_tree
+from strandloom.llm.urls import OP7_SQL, op7_bloom_cascade
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_hash_tree": op5_hash_tree,
+    "op6_linked_credentials": op6_linked_credentials,
+    "op7_bloom_cascade": op7_bloom_cascade,
+    "op9_entropy_balance": op9_entropy_balance,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op7_bloom_cascade": OP7_SQL}
