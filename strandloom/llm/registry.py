@@ -6,12 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from strandloom.llm.bpe import op4_streaming_bpe
+from strandloom.llm.language import op3_subword_softmax
 from strandloom.llm.mixing import op9_entropy_balance
 from strandloom.llm.secrets import op6_linked_credentials
 from strandloom.llm.sharding import op5_hash_tree
+from strandloom.llm.simhash import op2_simhash
 from strandloom.llm.urls import OP7_SQL, op7_bloom_cascade
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_simhash": op2_simhash,
+    "op3_subword_softmax": op3_subword_softmax,
+    "op4_streaming_bpe": op4_streaming_bpe,
     "op5_hash_tree": op5_hash_tree,
     "op6_linked_credentials": op6_linked_credentials,
     "op7_bloom_cascade": op7_bloom_cascade,
