@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from strandloom.llm.bpe import op4_streaming_bpe
 from strandloom.llm.language import op3_subword_softmax
 from strandloom.llm.mixing import op9_entropy_balance
+from strandloom.llm.quality import op10_kneser_ney
 from strandloom.llm.secrets import op6_linked_credentials
 from strandloom.llm.sharding import op5_hash_tree
 from strandloom.llm.simhash import op2_simhash
+from strandloom.llm.substrings import op8_suffix_trees
 from strandloom.llm.urls import OP7_SQL, op7_bloom_cascade
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -21,6 +23,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_hash_tree": op5_hash_tree,
     "op6_linked_credentials": op6_linked_credentials,
     "op7_bloom_cascade": op7_bloom_cascade,
+    "op8_suffix_trees": op8_suffix_trees,
     "op9_entropy_balance": op9_entropy_balance,
+    "op10_kneser_ney": op10_kneser_ney,
 }
 ORACLES: dict[str, str] = {"op7_bloom_cascade": OP7_SQL}
