@@ -25,6 +25,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 MEMO, MEMO_CHARS = 300_000, 40
 #: Characters of a text that are cut into pieces at a time.
 CHUNK = 1 << 20
+#: Documents whose results a task holds before it hands them on.
+ROWS = 500
 
 
 def byte_letters() -> dict[str, int]:
@@ -253,7 +255,7 @@ def encoded(docs: DataFrame, path: str | None = None, text: str = "text", with_i
 
     def run(batches):
         coder = codec(spec.value)
-        for batch in batches:
+        for batch in (whole.slice(i, ROWS) for whole in batches for i in range(0, whole.num_rows, ROWS)):
             counts, ids_digest, text_digest, lists = [], [], [], []
             for value in batch.column(batch.schema.get_field_index(text)):
                 blocks = coder.encoded(value.as_py() or "")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from strandloom.llm.bpe import op4_streaming_bpe
 from strandloom.llm.language import op3_subword_softmax
 from strandloom.llm.mixing import op9_entropy_balance
+from strandloom.llm.neardup import op1_chosen_path
 from strandloom.llm.quality import op10_kneser_ney
 from strandloom.llm.secrets import op6_linked_credentials
 from strandloom.llm.sharding import op5_hash_tree
@@ -17,6 +18,7 @@ from strandloom.llm.substrings import op8_suffix_trees
 from strandloom.llm.urls import OP7_SQL, op7_bloom_cascade
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chosen_path": op1_chosen_path,
     "op2_simhash": op2_simhash,
     "op3_subword_softmax": op3_subword_softmax,
     "op4_streaming_bpe": op4_streaming_bpe,
