@@ -1,10 +1,360 @@
-"""Every query of the sequence-mapping operators, with the SQL that must give the same rows."""
+"""Every query of the sequence-mapping operators, with the SQL that must give the same rows.
+
+Documents stand in for contigs and benchmark texts for reads, by a fixed projection of letters to bases. Operators on
+lists of hits run over `hits`, a deterministic view of lineitem: an order is a read, a line one of its hits.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strandloom.functions import alignment, dna, scores
+from strandloom.operators import hits as H
+from strandloom.operators import intervals, pairs, seeding, stats
+from strandloom.plans.config import AlignConfig
+from strandloom.sources import writers
+from strandloom.streaming import reads as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+CFG = AlignConfig()
+
+
+def query(sql: str | None = None):
+    """Registers a function of (spark, sf_dir) under its name, with the SQL for the same rows if there is one."""
+
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def _table(spark, sf_dir, name):
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def contigs(spark, sf_dir) -> DataFrame:
+    return _table(spark, sf_dir, "documents").where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").alias("contig_id"), dna.from_text(F.col("text")).alias("seq"))
+
+
+def reads(spark, sf_dir) -> DataFrame:
+    return _table(spark, sf_dir, "benchmark").where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").alias("read_id"), dna.from_text(F.col("text")).alias("seq"))
+
+
+def hits(spark, sf_dir) -> DataFrame:
+    """read_id, pair_id, mate, contig_id, pos, strand, ed, length, kind, penalty, score."""
+    df = _table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").cast("long").alias("read_id"), F.expr("l_orderkey div 2").alias("pair_id"), F.expr("cast(l_orderkey % 2 as int)").alias("mate"), F.expr("l_suppkey % 7").alias("contig_id"), F.expr("l_partkey % 1500").alias("pos"),
+        F.when(F.col("l_linenumber") % 2 == 1, "+").otherwise("-").alias("strand"), F.expr("cast(l_quantity as bigint) % 8").alias("ed"), F.expr("cast(100 + l_linenumber as bigint)").alias("length"),
+        F.element_at(F.array(*[F.lit(k) for k in ("lev", "indel1", "indel2", "mismatch_clip", "indel_clip", "clip_clip")]), F.expr("cast(l_suppkey % 6 + 1 as int)")).alias("kind"),
+    )
+    df = df.withColumn("penalty", scores.candidate_penalty(F.col("kind"), F.col("ed")))
+    return df.withColumn("score", scores.hit_score(F.col("length"), F.lit(0), F.col("ed")))
+
+
+_DNA = "translate(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'ACGTACGTACGTACGTACGTACGTAC')"
+_REF = f"ref AS (SELECT doc_id AS contig_id, {_DNA} AS seq FROM documents)"
+_READS = f"fwd AS (SELECT item_id AS read_id, {_DNA} AS seq FROM benchmark)"
+_STRANDED = _READS + ", reads AS (SELECT read_id, '+' AS strand, seq FROM fwd UNION ALL SELECT read_id, '-', translate(reverse(seq), 'ACGT', 'TGCA') FROM fwd)"
+_HITS = """hits AS (SELECT *, (length - ed) * 1.0::DOUBLE + ed * -5.0::DOUBLE AS score, ed + CASE WHEN kind IN ('indel1', 'mismatch_clip') THEN 1 WHEN kind = 'lev' THEN 0 ELSE 2 END AS penalty FROM (
+  SELECT l_orderkey::BIGINT AS read_id, (l_orderkey // 2)::BIGINT AS pair_id, (l_orderkey % 2)::INT AS mate, (l_suppkey % 7)::BIGINT AS contig_id, (l_partkey % 1500)::BIGINT AS pos,
+         CASE WHEN l_linenumber % 2 = 1 THEN '+' ELSE '-' END AS strand, l_quantity::BIGINT % 8 AS ed, (100 + l_linenumber)::BIGINT AS length,
+         (['lev', 'indel1', 'indel2', 'mismatch_clip', 'indel_clip', 'clip_clip'])[l_suppkey % 6 + 1] AS kind FROM lineitem))"""
+
+
+@query(f"SELECT doc_id, length(s)::BIGINT AS size, md5(s) AS digest, md5(translate(reverse(s), 'ACGT', 'TGCA')) AS reverse_digest FROM (SELECT doc_id, {_DNA} AS s FROM documents)")
+def reverse_complement(spark, sf_dir):
+    """Projection and reverse complement of every document."""
+    seq = F.col("seq")
+    return contigs(spark, sf_dir).select(F.col("contig_id").alias("doc_id"), F.length(seq).cast("long").alias("size"), F.md5(seq).alias("digest"), F.md5(dna.reverse_complement(seq)).alias("reverse_digest"))
+
+
+@query("SELECT page_id, regexp_extract('@' || url || ' x', '^@?([^ ]*)', 1) AS name FROM pages")
+def trimmed_names(spark, sf_dir):
+    """Title lines cut at the first blank."""
+    return _table(spark, sf_dir, "pages").select("page_id", dna.read_name(F.concat(F.lit("@"), "url", F.lit(" x"))).alias("name"))
+
+
+@query(f"SELECT item_id AS read_id, md5(regexp_replace(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), '[A-DBDEFHIJKLMNOPQRSUVWXYZ]', 'N', 'g')) AS digest FROM benchmark")
+def quality_masking(spark, sf_dir):
+    """Bases below a quality become N; the letters themselves serve as qualities (those before E are masked)."""
+    letters = F.upper(F.regexp_replace("text", "[^A-Za-z]", ""))
+    rows = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("read_id"), letters.alias("q"))
+    return rows.select("read_id", F.md5(dna.masked(dna.encoded(F.col("q")), F.col("q"), ord("E"))).alias("digest"))
+
+
+@query(f"""WITH {_REF} SELECT contig_id, count(*) AS n, min(p)::BIGINT AS first, max(p)::BIGINT AS last FROM (SELECT contig_id, seq, unnest(range(length(seq) - 5)) AS p FROM ref WHERE length(seq) > 5) WHERE substr(seq, p + 1, 6) = 'ACGTAC' GROUP BY contig_id""")
+def pattern_occurrences(spark, sf_dir):
+    """Every place of a short pattern in every contig."""
+    found = seeding.occurrences(contigs(spark, sf_dir), "ACGTAC")
+    return found.groupBy("contig_id").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"), F.max("pos").alias("last"))
+
+
+_SEEDS = "seeds AS (SELECT substr(seq, p + 1, 18) AS seed, contig_id, p AS pos FROM (SELECT contig_id, seq, unnest(range(length(seq) - 17)) AS p FROM ref WHERE length(seq) >= 18))"
+
+
+@query(f"WITH {_REF}, {_SEEDS} SELECT substr(seed, 1, 4) AS prefix, count(*) AS n FROM seeds GROUP BY 1")
+def index_prefix_counts(spark, sf_dir):
+    """The seed index of all contigs, counted by its first bases."""
+    return stats.prefix_counts(seeding.seed_index(seeding.chunks(contigs(spark, sf_dir)), CFG.seed), 4)
+
+
+@query(f"WITH {_REF}, {_SEEDS} SELECT '' AS prefix, count(*) AS n FROM seeds UNION ALL SELECT substr(seed, 1, 1), count(*) FROM seeds GROUP BY 1 UNION ALL SELECT substr(seed, 1, 2), count(*) FROM seeds GROUP BY 1 UNION ALL SELECT substr(seed, 1, 3), count(*) FROM seeds GROUP BY 1")
+def index_prefix_rollup(spark, sf_dir):
+    """The same for all prefixes up to three bases at once."""
+    return stats.prefix_rollup(seeding.seed_index(seeding.chunks(contigs(spark, sf_dir)), CFG.seed), 3)
+
+
+@query("WITH " + _REF + ", d AS (SELECT contig_id, substr(seq, p + 1, 2) AS d FROM (SELECT contig_id, seq, unnest(range(length(seq) - 1)) AS p FROM ref WHERE length(seq) > 1)) SELECT r.contig_id, " + ", ".join(f"count(*) FILTER (d.d = '{a}{b}') AS {(a + b).lower()}" for a in "ACGT" for b in "ACGT") + " FROM ref r LEFT JOIN d USING (contig_id) GROUP BY r.contig_id")
+def dinucleotide_histogram(spark, sf_dir):
+    return stats.dinucleotides(contigs(spark, sf_dir))
+
+
+_MAP = f"""WITH {_REF}, {_STRANDED},
+pieces AS (SELECT read_id, strand, j, (length(seq) * j) // 4 AS at, substr(seq, (length(seq) * j) // 4 + 1, 18) AS seed FROM reads, range(4) t(j) WHERE length(seq) >= 72),
+places AS (SELECT contig_id, seq, unnest(range(length(seq) - 17)) AS p FROM ref WHERE length(seq) >= 18),
+cand AS (SELECT DISTINCT q.read_id, q.strand, i.contig_id, i.p - q.at AS start FROM places i JOIN pieces q ON substr(i.seq, i.p + 1, 18) = q.seed),
+placed AS (SELECT c.*, q.seq, substr(r.seq, c.start + 1, length(q.seq)) AS win FROM cand c JOIN reads q USING (read_id, strand) JOIN ref r USING (contig_id) WHERE c.start >= 0 AND c.start + length(q.seq) <= length(r.seq)),
+found AS (SELECT *, levenshtein(win, seq) AS ed FROM placed)"""
+
+
+@query(_MAP + " SELECT read_id, strand, contig_id, start::BIGINT AS start, ed::BIGINT AS ed FROM (SELECT *, row_number() OVER (PARTITION BY read_id, contig_id ORDER BY ed, start, strand) AS nth FROM found WHERE ed <= 3) WHERE nth = 1")
+def map_reads_substitutions(spark, sf_dir):
+    """Where each read lies in each contig with three errors at most: the best place a contig."""
+    return seeding.best_in_contig(seeding.map_reads(reads(spark, sf_dir), contigs(spark, sf_dir), 3)).select("read_id", "strand", "contig_id", "start", "ed")
+
+
+@query(_MAP + " SELECT read_id, strand, contig_id, start::BIGINT AS start FROM found WHERE ed = 0")
+def map_reads_exact(spark, sf_dir):
+    """Whole reads that stand in a contig without an error."""
+    return seeding.map_reads(reads(spark, sf_dir), contigs(spark, sf_dir), 3).where("ed = 0").select("read_id", "strand", "contig_id", "start")
+
+
+@query(_MAP + " SELECT f.read_id, min(ed)::BIGINT AS best_ed, count(ed) AS n_hits FROM fwd f LEFT JOIN (SELECT * FROM found WHERE ed <= 3) USING (read_id) GROUP BY 1")
+def best_error_by_read(spark, sf_dir):
+    """Least error and number of places of every read, also of those without any."""
+    found = H.best_error(seeding.map_reads(reads(spark, sf_dir), contigs(spark, sf_dir), 3))
+    return H.with_unmapped(reads(spark, sf_dir).select("read_id"), found).select("read_id", "best_ed", F.coalesce("n_hits", F.lit(0)).cast("long").alias("n_hits"))
+
+
+@query(_MAP + " SELECT read_id FROM fwd WHERE read_id NOT IN (SELECT read_id FROM found WHERE ed <= 1)")
+def reads_for_next_stage(spark, sf_dir):
+    """Reads that a stage of one error leaves unsolved."""
+    source = reads(spark, sf_dir)
+    return H.unsolved(source, seeding.map_reads(source, contigs(spark, sf_dir), 3), 1).select("read_id")
+
+
+@query(f"""WITH {_REF}, {_STRANDED}, grams AS (SELECT read_id, strand, length(seq) // 12 AS n, unnest(range(length(seq) // 12)) AS j, seq FROM reads), g AS (SELECT read_id, strand, n, j, substr(seq, j * 12 + 1, 12) AS seed FROM grams),
+idx AS (SELECT DISTINCT contig_id, substr(seq, p + 1, 12) AS seed FROM (SELECT contig_id, seq, unnest(range(length(seq) - 11)) AS p FROM ref WHERE length(seq) >= 12))
+SELECT read_id, strand, contig_id, n, count(DISTINCT j) AS shared FROM g JOIN idx USING (seed) GROUP BY 1, 2, 3, 4 HAVING count(DISTINCT j) >= n - 3""")
+def shared_qgrams(spark, sf_dir):
+    """Contigs that hold so many of a read's q-grams that three errors could explain the rest."""
+    index = seeding.seed_index(seeding.chunks(contigs(spark, sf_dir)), 12)
+    return seeding.shared_qgrams(seeding.both_strands(reads(spark, sf_dir)), index, 3, 12)
+
+
+@query(_MAP + """, best AS (SELECT *, row_number() OVER (PARTITION BY read_id ORDER BY ed, contig_id, start, strand) AS nth FROM found WHERE ed = 0)
+SELECT f.read_id::VARCHAR AS qname, CASE WHEN b.read_id IS NULL THEN 4 WHEN b.strand = '-' THEN 16 ELSE 0 END::BIGINT AS flag, coalesce(b.contig_id::VARCHAR, '*') AS rname, coalesce(b.start + 1, 0)::BIGINT AS pos, coalesce(length(f.seq)::VARCHAR, '') || CASE WHEN b.read_id IS NULL THEN '*' ELSE 'M' END AS cigar_of
+FROM fwd f LEFT JOIN (SELECT * FROM best WHERE nth = 1) b USING (read_id)""")
+def sam_rows_exact(spark, sf_dir):
+    """One SAM row a read from its best exact place; unmapped reads have flag 4 and stars."""
+    source = reads(spark, sf_dir)
+    best = H.ranked(seeding.map_reads(source, contigs(spark, sf_dir), 3).where("ed = 0"), ["read_id"], ["ed", "contig_id", "start", "strand"], 1).drop("seq", "window")
+    rows = H.with_unmapped(source, best).select(
+        F.col("read_id").cast("string").alias("qname"), "strand", F.col("contig_id").cast("string").alias("rname"), (F.col("start") + 1).alias("pos"), F.lit(60).alias("mapq"), F.concat(F.length("seq").cast("string"), F.lit("M")).alias("cigar"), F.length("seq").cast("string").alias("md"), "ed", F.length("seq").cast("double").alias("score"), "seq", F.lit(None).cast("string").alias("qual"), F.lit("perfect").alias("method"))
+    told = writers.single_rows(rows.withColumn("cigar", F.when(F.col("rname").isNotNull(), F.col("cigar"))))
+    return told.select("qname", "flag", "rname", "pos", F.when(F.col("cigar") == "*", F.concat(F.length("seq").cast("string"), F.lit("*"))).otherwise(F.col("cigar")).alias("cigar_of"))
+
+
+@query()
+def aligned_reads(spark, sf_dir):
+    """The best place of each read in each contig, aligned with free ends in a window three bases wider on both sides:
+    edit distance, CIGAR, MD, affine score. (A traceback is not SQL; tests replay every alignment.)"""
+    source, refs = reads(spark, sf_dir), contigs(spark, sf_dir)
+    best = seeding.best_in_contig(seeding.map_reads(source, refs, 3)).drop("window")
+    pieces = seeding.chunks(refs).withColumnRenamed("seq", "piece")
+    low = F.greatest(F.col("start") - 3, F.lit(0))
+    joined = best.withColumn("low", low).withColumn("chunk", F.floor(F.col("low") / seeding.CHUNK)).join(pieces, ["contig_id", "chunk"])
+    window = F.substring("piece", (F.col("low") - F.col("chunk") * seeding.CHUNK).cast("int") + 1, F.length("seq") + 6)
+    told = joined.select("read_id", "strand", "contig_id", "low", "seq", window.alias("window")).withColumn("x", alignment.infix_aligned("seq", "window"))
+    told = told.withColumn("y", alignment.described("x.ext"))
+    return told.select("read_id", "strand", "contig_id", (F.col("low") + F.col("x.first") + 1).alias("pos"), F.col("x.ed").cast("long").alias("ed"), "x.ext", "y.cigar", "y.md", "y.score", "y.events")
+
+
+_H = "WITH " + _HITS
+
+
+@query(_H + " SELECT read_id, contig_id, pos, strand, penalty, nth FROM (SELECT *, row_number() OVER (PARTITION BY read_id ORDER BY penalty, pos, contig_id, strand) AS nth FROM hits) WHERE nth <= 3")
+def top_candidates(spark, sf_dir):
+    """The three candidates of least penalty of each read."""
+    return H.top_candidates(hits(spark, sf_dir), 3).select("read_id", "contig_id", "pos", "strand", "penalty", F.col("nth").cast("long").alias("nth"))
+
+
+@query(_H + " SELECT read_id, contig_id, pos, min(ed) AS ed FROM hits GROUP BY 1, 2, 3")
+def distinct_hits(spark, sf_dir):
+    return H.distinct_hits(hits(spark, sf_dir)).select("read_id", "contig_id", "pos", "ed")
+
+
+@query(_H + """, a AS (SELECT *, CASE WHEN pos - lag(pos) OVER w <= 12 THEN 0 ELSE 1 END AS fresh FROM hits WINDOW w AS (PARTITION BY read_id, contig_id ORDER BY pos, ed, strand)),
+b AS (SELECT *, sum(fresh) OVER (PARTITION BY read_id, contig_id ORDER BY pos, ed, strand ROWS UNBOUNDED PRECEDING) AS c FROM a)
+SELECT read_id, contig_id, pos, ed, strand FROM (SELECT *, row_number() OVER (PARTITION BY read_id, contig_id, c ORDER BY ed, pos, strand) AS nth FROM b) WHERE nth = 1""")
+def clusters_from_previous(spark, sf_dir):
+    """Hits merged while each is near the one before."""
+    return H.clusters_from_previous(hits(spark, sf_dir), CFG.merge_distance).select("read_id", "contig_id", "pos", "ed", "strand")
+
+
+@query()
+def clusters_from_first(spark, sf_dir):
+    """Hits merged while each is near the cluster's first one: a fold, held against brute force in the tests."""
+    return H.clusters_from_first(hits(spark, sf_dir), CFG.merge_distance)
+
+
+@query(_H + """, l AS (SELECT DISTINCT read_id, contig_id, pos, score, lvl FROM (SELECT *, dense_rank() OVER (PARTITION BY read_id ORDER BY score DESC) AS lvl FROM hits) WHERE lvl <= 2),
+t AS (SELECT read_id, max(score) FILTER (lvl = 1) AS best, count(*) FILTER (lvl = 1) AS n_best, max(score) FILTER (lvl = 2) AS second, count(*) FILTER (lvl = 2) AS n_second FROM l GROUP BY 1)
+SELECT *, CASE WHEN n_best > 1 THEN CASE n_best WHEN 2 THEN 3 WHEN 3 THEN 2 ELSE CASE WHEN n_best < 10 THEN 1 ELSE 0 END END WHEN n_second = 0 THEN 60 ELSE greatest(0, 60 - floor(90 * log2(1 + n_second) / greatest(best - second, 0.5)))::BIGINT END::BIGINT AS mapq FROM t""")
+def mapping_qualities(spark, sf_dir):
+    """Best and second score of each read, places that share them, and the quality that follows."""
+    return H.qualities(hits(spark, sf_dir))
+
+
+@query(_H + """ SELECT read_id, contig_id, pos, strand, score > first_value(score) OVER w - 0.5 AS tied, coalesce(lag(contig_id) OVER w = contig_id AND lag(pos) OVER w = pos, false) AS same_place FROM (SELECT DISTINCT read_id, contig_id, pos, strand, score FROM hits) WINDOW w AS (PARTITION BY read_id ORDER BY score DESC, contig_id, pos, strand)""")
+def ties_with_leader(spark, sf_dir):
+    rows = hits(spark, sf_dir).select("read_id", "contig_id", "pos", "strand", "score").distinct()
+    return H.tied_with_leader(rows).select("read_id", "contig_id", "pos", "strand", "tied", "same_place")
+
+
+@query(_H + " SELECT read_id, contig_id, pos, strand, score FROM (SELECT *, row_number() OVER (PARTITION BY read_id ORDER BY score DESC, md5(concat_ws('|', read_id, contig_id, pos, strand))) AS nth FROM hits) WHERE nth = 1")
+def choice_by_hash(spark, sf_dir):
+    """One best hit a read, chosen by digest."""
+    return H.choice_by_hash(hits(spark, sf_dir)).select("read_id", "contig_id", "pos", "strand", "score")
+
+
+_MATES = _HITS + """, m AS (SELECT a.pair_id, a.contig_id, a.strand AS strand1, a.pos AS pos1, a.ed AS ed1, a.score AS score1, a.length AS length1, b.strand AS strand2, b.pos AS pos2, b.ed AS ed2, b.score AS score2, b.length AS length2,
+  CASE WHEN a.pos < b.pos OR (a.pos = b.pos AND a.strand = '+') THEN CASE WHEN a.strand = '+' THEN b.pos - a.pos + b.length END ELSE CASE WHEN b.strand = '+' THEN a.pos - b.pos + a.length END END AS insert_size
+  FROM hits a JOIN hits b ON a.pair_id = b.pair_id AND a.contig_id = b.contig_id AND a.strand <> b.strand AND a.mate = 0 AND b.mate = 1)"""
+_PAIR = ["pair_id", "contig_id", "strand1", "pos1", "ed1", "strand2", "pos2", "ed2", "insert_size"]
+
+
+@query(f"WITH {_MATES} SELECT {', '.join(_PAIR)} FROM m WHERE abs(insert_size - 500) <= 4 * 125")
+def close_mates(spark, sf_dir):
+    """Mates within four deviations of the mean distance."""
+    return pairs.close_pairs(hits(spark, sf_dir), 500, 125).select(*_PAIR)
+
+
+@query(f"WITH {_MATES} SELECT {', '.join(_PAIR)} FROM m WHERE abs(insert_size - 500) > 4 * 125 AND abs(insert_size - 500) <= 7 * 125")
+def distant_mates(spark, sf_dir):
+    """Mates beyond four and within seven deviations."""
+    return pairs.distant_pairs(hits(spark, sf_dir), 500, 125).select(*_PAIR)
+
+
+@query(f"WITH {_MATES} SELECT {', '.join(_PAIR)}, score1 + score2 AS plain FROM (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY score1 + score2 DESC, contig_id, pos1, pos2, strand1) AS nth FROM m) WHERE nth <= 2")
+def best_pairs(spark, sf_dir):
+    """The two best-scored pairs of each read pair."""
+    found = pairs.mates(hits(spark, sf_dir)).withColumn("plain", F.col("score1") + F.col("score2"))
+    return pairs.best_pairs(found, "plain", 2).select(*_PAIR, "plain")
+
+
+@query(f"WITH {_MATES} SELECT {', '.join(_PAIR)} FROM m WHERE ed1 <= length1 * 0.09::DOUBLE AND ed2 <= length2 * 0.09::DOUBLE AND contig_id = 3")
+def mates_on_contig(spark, sf_dir):
+    """Pairs within the mate error limit that touch one contig."""
+    return pairs.touching(pairs.within_mate_errors(pairs.mates(hits(spark, sf_dir))), 3).select(*_PAIR)
+
+
+@query(f"""WITH {_MATES}, t AS (SELECT pair_id, contig_id, pos1, pos2, 0 AS tier FROM m WHERE abs(insert_size - 500) <= 500 UNION ALL SELECT pair_id, contig_id, pos1, pos2, 1 FROM m WHERE abs(insert_size - 500) > 500 AND abs(insert_size - 500) <= 875 UNION ALL SELECT pair_id, contig_id, pos, NULL, 2 FROM hits WHERE mate = 0)
+SELECT pair_id, contig_id, pos1, pos2, tier FROM (SELECT *, min(tier) OVER (PARTITION BY pair_id) AS least FROM t) WHERE tier = least""")
+def pair_fallback(spark, sf_dir):
+    """Close pairs, else distant ones, else single hits of the first mate."""
+    source, keep = hits(spark, sf_dir), ["pair_id", "contig_id", "pos1", "pos2"]
+    single = source.where("mate = 0").select("pair_id", "contig_id", F.col("pos").alias("pos1"), F.lit(None).cast("long").alias("pos2"))
+    return pairs.first_tier([pairs.close_pairs(source, 500, 125).select(*keep), pairs.distant_pairs(source, 500, 125).select(*keep), single], "pair_id").select(*keep, "tier")
+
+
+@query()
+def pair_scores(spark, sf_dir):
+    """Pair scores with the insert size's penalty (a normal tail, which SQL lacks; tests hold known values)."""
+    return pairs.scored(pairs.close_pairs(hits(spark, sf_dir), 500, 125), 500, 125).select(*_PAIR, "pair_score")
+
+
+@query(f"WITH {_MATES} SELECT contig_id, coalesce(avg(insert_size) FILTER (insert_size BETWEEN 0 AND 1000), 500.0)::DOUBLE AS mean, coalesce(stddev_pop(insert_size) FILTER (insert_size BETWEEN 0 AND 1000), 125.0)::DOUBLE AS dev, count(insert_size) FILTER (insert_size BETWEEN 0 AND 1000) AS n FROM m GROUP BY 1")
+def insert_model(spark, sf_dir):
+    """Mean and deviation of insert sizes by contig."""
+    told = stats.insert_model(pairs.mates(hits(spark, sf_dir)), ["contig_id"], CFG.max_mate_distance)
+    return told.select("contig_id", "mean", "dev", "n")
+
+
+@query(f"SELECT length(s)::BIGINT AS length, count(*) AS n FROM (SELECT {_DNA} AS s FROM benchmark) GROUP BY 1")
+def length_histogram(spark, sf_dir):
+    return stats.length_histogram(reads(spark, sf_dir))
+
+
+@query(f"SELECT max(length(s))::BIGINT AS max_length, greatest(min(length(s)), floor(max(length(s)) * 0.9::DOUBLE))::BIGINT AS min_length FROM (SELECT {_DNA} AS s FROM benchmark)")
+def length_limits(spark, sf_dir):
+    return stats.length_limits(stats.length_histogram(reads(spark, sf_dir)))
+
+
+@query("SELECT event_type, sum(event_id)::BIGINT AS total, count(event_id) AS n, min(event_id) AS least, max(event_id) AS most, percentile_disc(0.5) WITHIN GROUP (ORDER BY event_id DESC) AS median, floor(sum(event_id) / count(event_id))::BIGINT AS average FROM events GROUP BY 1")
+def run_statistics(spark, sf_dir):
+    """Totals, averages and medians of a counter by name."""
+    return stats.run_statistics(_table(spark, sf_dir, "events"), "event_type", "event_id")
+
+
+@query(_H + " SELECT least(ed, 5)::BIGINT AS errors, count(*) AS n FROM hits GROUP BY 1")
+def error_histogram(spark, sf_dir):
+    return stats.error_histogram(hits(spark, sf_dir), 5)
+
+
+@query(f"SELECT contig_id, size, (10240 + coalesce(sum(size + 1536) OVER (ORDER BY contig_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS begin FROM (SELECT doc_id AS contig_id, length({_DNA})::BIGINT AS size FROM documents)")
+def contig_offsets(spark, sf_dir):
+    """Where each contig begins on the concatenated reference."""
+    return intervals.offsets(contigs(spark, sf_dir).select("contig_id", F.length("seq").cast("long").alias("size")))
+
+
+@query(f"""WITH o AS (SELECT contig_id, size, (10240 + coalesce(sum(size + 1536) OVER (ORDER BY contig_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS begin FROM (SELECT doc_id AS contig_id, length({_DNA})::BIGINT AS size FROM documents))
+SELECT event_id, e.event_id * 211 AS raw, contig_id, e.event_id * 211 - begin + 1 AS pos FROM events e JOIN o ON e.event_id * 211 BETWEEN begin - 768 AND begin + size + 767""")
+def located_positions(spark, sf_dir):
+    """Raw positions (multiples of event ids) to contig and position."""
+    begins = intervals.offsets(contigs(spark, sf_dir).select("contig_id", F.length("seq").cast("long").alias("size")))
+    places = _table(spark, sf_dir, "events").select("event_id", (F.col("event_id") * 211).alias("raw"))
+    return intervals.located(places, begins).select("event_id", "raw", "contig_id", "pos")
+
+
+@query(_H + """, v AS (SELECT (p_partkey % 7)::BIGINT AS contig_id, p_partkey % 1500 AS first, p_partkey % 1500 + p_size % 5 AS last, p_partkey AS variant FROM part WHERE p_size > 45)
+SELECT read_id, contig_id, hits.pos, strand, ed, variant, count(*) AS n FROM hits JOIN v USING (contig_id) WHERE hits.pos <= v.last AND v.first <= hits.pos + length - 1 GROUP BY ALL""")
+def hits_over_variants(spark, sf_dir):
+    """Hits whose bases overlap a variant: an interval join in buckets."""
+    found = hits(spark, sf_dir).withColumn("first", F.col("pos")).withColumn("last", F.col("pos") + F.col("length") - 1)
+    variants = _table(spark, sf_dir, "part").where("p_size > 45").selectExpr("p_partkey % 7 AS contig_id", "p_partkey % 1500 AS first", "p_partkey % 1500 + p_size % 5 AS last", "p_partkey AS variant")
+    return intervals.overlapping(found, variants, "contig_id", 256).groupBy("read_id", "contig_id", "pos", "strand", "ed", "variant").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity::BIGINT AS indel, floor((-5.0::DOUBLE + (l_quantity - 1) * -0.4::DOUBLE) / -5.0::DOUBLE)::BIGINT AS mismatches, (l_partkey * 1737350767) % 4294967296 AS hashed, greatest(10, least(40, l_quantity::BIGINT))::BIGINT AS held FROM lineitem")
+def scalar_scores(spark, sf_dir):
+    """Indel equivalents, position hashes and clamped values."""
+    size = F.col("l_quantity").cast("long")
+    return _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", size.alias("indel"), scores.indel_mismatches(size).alias("mismatches"), scores.position_hash(F.col("l_partkey")).alias("hashed"), scores.normalised(size, 10, 40).cast("long").alias("held"))
+
+
+@query(_H + """ SELECT read_id, contig_id, pos, strand, CASE WHEN true THEN 1 ELSE 0 END + CASE WHEN ed < 2 THEN 2 ELSE 0 END + CASE WHEN ed = 7 THEN 4 ELSE 0 END + CASE WHEN ed = 6 THEN 8 ELSE 0 END + CASE WHEN strand = '-' THEN 16 ELSE 0 END + CASE WHEN strand = '+' THEN 32 ELSE 0 END + CASE WHEN mate = 0 THEN 64 ELSE 128 END + CASE WHEN penalty > 7 THEN 256 ELSE 0 END::BIGINT AS flag FROM hits""")
+def sam_flags(spark, sf_dir):
+    c = F.col
+    flag = scores.sam_flag(F.lit(True), c("ed") < 2, c("ed") == 7, c("ed") == 6, c("strand") == "-", c("strand") == "+", c("mate") == 0, c("penalty") > 7)
+    return hits(spark, sf_dir).select("read_id", "contig_id", "pos", "strand", flag.alias("flag"))
+
+
+@query()
+def trimmed_variants(spark, sf_dir):
+    """Alleles without their common ends (part names stand in for alleles; tests hold known values)."""
+    part = _table(spark, sf_dir, "part").select("p_partkey", F.upper("p_name").alias("ref"), F.upper("p_type").alias("alt"))
+    return part.withColumn("x", dna.common_affixes_trimmed(F.col("ref"), F.col("alt"))).select("p_partkey", "x.ref", "x.alt", "x.start")
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY 1, 2")
+def windowed_counts(spark, sf_dir):
+    """Hourly counts by kind: the batch form of the streaming aggregate."""
+    return streams.windowed_counts(_table(spark, sf_dir, "events"), "1 hour", "1 hour")
