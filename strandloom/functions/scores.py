@@ -69,7 +69,7 @@ def insert_penalty(size: pd.Series, mean: pd.Series, dev: pd.Series, saturation:
     """-match * log4 of the tail that an insert size leaves under the model; null sizes and far ones saturate."""
 
     def one(x, mu, sd, sigmas, m):
-        far = sigmas * sd
+        far = max(0.0, math.floor(mu + sigmas * sd) - mu)  # the last whole insert size within bounds
         d = far if x is None or x != x else min(abs(x - mu), far)
         p = 0.5 * math.erfc(d / sd / math.sqrt(2)) if sd > 0 else (0.5 if d == 0 else 0.0)
         return -m * math.log(max(p, 2.2250738585072014e-308), 4)
