@@ -49,6 +49,17 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def packed(df: DataFrame, names: list[str]) -> DataFrame:
+    """The named columns, and all others in one struct `_rest`: whatever they are called, they clash with nothing."""
+    rest = [F.col(f"`{c}`") for c in df.columns if c not in names]
+    return df.select(*names, (F.struct(*rest) if rest else F.lit(0)).alias("_rest"))
+
+
+def unpacked(df: DataFrame, columns: list[str], names: list[str]) -> DataFrame:
+    """The columns as they were before packed(), in their order."""
+    return df.select(*[F.col(c) if c in names else F.col("_rest").getField(c).alias(c) for c in columns])
+
+
 class HashMemo(dict):
     """Word (bytes) -> 64-bit hash; emptied when full, so that a worker's memory stays bounded."""
 

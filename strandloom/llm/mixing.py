@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strandloom.llm.common import staged, table, words
+from strandloom.llm.common import packed, staged, table, unpacked, words
 
 #: Weights of the sources in order, the share of all words that the mix has, copies of a document at most.
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
@@ -118,10 +118,11 @@ def op9_entropy_balance(spark, sf_dir: str) -> DataFrame:
 
 def resampled(docs: DataFrame) -> DataFrame:
     """The documents themselves, each as often as the mix takes it (columns unchanged)."""
-    keyed = docs.withColumn("_h", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+    names = ["doc_id", "source", "text"]
+    keyed = packed(docs, names).withColumn("_h", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
     slim = keyed.select("doc_id", "source", F.col("_h"), F.size(words(F.col("text"))).cast("long").alias("size"))
     taken = staged(mix(slim), "mix").groupBy("doc_id", "_h").agg(F.sum("copies").alias("_copies")).where("_copies > 0")
     taken = taken.select(F.col("doc_id").alias("_doc"), F.col("_h").alias("_k"), "_copies")
     first = keyed.withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id", "_h").orderBy(F.lit(0)))).where("_nth = 1")
     joined = first.join(taken, first["doc_id"].eqNullSafe(F.col("_doc")) & (F.col("_h") == F.col("_k")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    return unpacked(joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))), docs.columns, names)

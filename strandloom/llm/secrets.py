@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from strandloom.llm.common import packed, staged, table, unpacked
+
 
 @dataclass(frozen=True)
 class Kind:
@@ -86,8 +88,6 @@ def linked(found: DataFrame, key: list[str], kinds: tuple[Kind, ...] = BASE + WE
 
 def spans(docs: DataFrame, text: str = "text", kinds: tuple[Kind, ...] = BASE + WEAK, scope: int = SCOPE) -> DataFrame:
     """doc_id, text_key and `spans`, sorted (start, kind, end), of every document that has any."""
-    from strandloom.llm.common import staged
-
     key = ["doc_id", "text_key"]
     keyed = docs.select("doc_id", F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_key"), F.col(text).alias("_text"))
     found = linked(staged(parts(keyed, key, "_text", kinds), "parts"), key, kinds, scope)
@@ -96,6 +96,7 @@ def spans(docs: DataFrame, text: str = "text", kinds: tuple[Kind, ...] = BASE +
 
 def redacted(docs: DataFrame, found: DataFrame, mark: str = "[secret]") -> DataFrame:
     """The documents with every reported span replaced by `mark` (overlapping spans by one); n_chars follows."""
+    names = ["doc_id", "text", *(["n_chars"] if "n_chars" in docs.columns else [])]
     found = found.select(
         F.col("doc_id").alias("_doc"),
         F.col("text_key").alias("_key"),
@@ -105,15 +106,16 @@ def redacted(docs: DataFrame, found: DataFrame, mark: str = "[secret]") -> DataF
             lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["e"] > x["start"]), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["s"].alias("s"), F.greatest(F.element_at(acc, -1)["e"], x["end"]).alias("e"))))).otherwise(F.concat(acc, F.array(F.struct(x["start"].alias("s"), x["end"].alias("e"))))),
         ).alias("_cut"),
     )
-    keyed = docs.withColumn("_text_key", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+    keyed = packed(docs, names).withColumn("_text_key", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
     joined = keyed.join(found, keyed["doc_id"].eqNullSafe(F.col("_doc")) & (F.col("_text_key") == F.col("_key")), "left")
     starts = F.concat(F.array(F.lit(0).cast("long")), F.transform("_cut", lambda c: c["e"]))
     ends = F.concat(F.transform("_cut", lambda c: c["s"]), F.array(F.char_length("text").cast("long")))
     pieces = F.zip_with(starts, ends, lambda a, b: F.col("text").substr((a + 1).cast("int"), (b - a).cast("int")))
     text = F.when(F.col("_cut").isNotNull(), F.array_join(pieces, mark)).otherwise(F.col("text"))
-    joined = joined.withColumn("_new", text)
-    kept = [F.col("_new").alias(c) if c == "text" else F.when(F.col("_cut").isNotNull(), F.char_length("_new").cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return joined.select(*kept)
+    joined = joined.withColumn("text", text)
+    if "n_chars" in names:
+        joined = joined.withColumn("n_chars", F.when(F.col("_cut").isNotNull(), F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
+    return unpacked(joined, docs.columns, names)
 
 
 def op6_linked_credentials(spark, sf_dir: str) -> DataFrame:
@@ -122,8 +124,6 @@ def op6_linked_credentials(spark, sf_dir: str) -> DataFrame:
     Null text counts as empty. Documents without spans have zero counts, the digest of no bytes and an empty `spans`.
     Rows that repeat a doc_id are told apart by their text; equal rows get equal answers. An empty table gives no rows.
     """
-    from strandloom.llm.common import table
-
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = spans(docs).withColumnsRenamed({"doc_id": "_doc", "text_key": "_key"})
     ids = docs.select("doc_id", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("_text_key"))
