@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strandloom.llm.common import HashMemo, chained, components, mix64, staged, table
+from strandloom.llm.common import HashMemo, chained, components, mix64, packed, staged, table, unpacked
 
 #: Token positions chosen at the roots of all trees together (4 trees of 2), and at each inner node.
 ROOTS, BRANCHES = 8, 3
@@ -53,6 +53,10 @@ def _tokens(found: np.ndarray) -> tuple[np.ndarray, bytes]:
     return mixed[:ROOTS].view(np.int64), (mixed[ROOTS:] & np.uint64(255)).astype(np.uint8).tobytes()
 
 
+def _digest(sorted_set: bytes) -> bytes:
+    return hashlib.blake2b(sorted_set, digest_size=16).digest()
+
+
 def _column(batch, name):
     return batch.column(batch.schema.get_field_index(name))
 
@@ -71,7 +75,7 @@ def signed(docs: DataFrame, shingle: int) -> DataFrame:
                 found = shingle_hashes(text.as_py(), shingle, memo)
                 sizes.append(len(found))
                 if len(found):
-                    keys.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
+                    keys.append(_digest(found.tobytes()))
                     root, sketch = _tokens(found)
                     roots.append(root)
                     sketches.append(sketch)
@@ -184,16 +188,18 @@ def _branch(batches):
             yield pa.record_batch([pa.array(child), *batch.columns[1:]], ["key", "rep", "n", "sketch", "comp"])
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Candidate pairs a, b of representatives (row numbers) -> those whose full sets are alike."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("_row")).distinct()
+def _confirm(pairs: DataFrame, docs: DataFrame, reps: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Candidate pairs a, b of representatives -> those whose full sets are alike. reps: set_key, rep."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct().join(reps, "rep")
 
     def sets(batches):
         memo = HashMemo()
         for batch in batches:
-            yield pa.record_batch([_column(batch, "row"), pa.array([shingle_hashes(t.as_py(), shingle, memo).tobytes() for t in _column(batch, "text")], pa.binary())], ["row", "s"])
+            found = [shingle_hashes(t.as_py(), shingle, memo).tobytes() for t in _column(batch, "text")]
+            own = pa.array([_digest(s) == k.as_py() for s, k in zip(found, _column(batch, "set_key"), strict=True)], pa.bool_())
+            yield pa.record_batch([_column(batch, "row").filter(own), pa.array(found, pa.binary()).filter(own)], ["row", "s"])
 
-    full = staged(docs.join(wanted, F.col("row") == F.col("_row"), "left_semi").select("row", "text").mapInArrow(sets, "row long, s binary"), "sets")
+    full = staged(docs.join(wanted, F.col("row") == F.col("rep")).select("row", "text", "set_key").mapInArrow(sets, "row long, s binary"), "sets")
     percent = round(100 * similarity)
 
     def alike(batches):
@@ -227,7 +233,7 @@ def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> tuple
     """
     told = staged(signed(docs, shingle), "signed")
     sets = staged(told.where("set_key IS NOT NULL").groupBy("set_key").agg(F.min("row").alias("rep")), "sets")
-    reps = told.join(sets.select(F.col("rep").alias("row")), "row")
+    reps = told.join(sets.withColumnRenamed("rep", "row"), ["row", "set_key"])
     at = F.posexplode("roots").alias("i", "v")
     level = reps.select("row", "n", "sketch", at).select(F.xxhash64("i", "v").alias("key"), F.col("row").alias("rep"), "n", "sketch")
 
@@ -242,7 +248,7 @@ def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> tuple
     if some:  # in large nodes, each document with the least one
         stars = first.join(large, "key").where("rep != pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
         pairs = pairs.unionByName(stars)
-    links = _confirm(staged(pairs.distinct(), "candidates"), docs, shingle, similarity)
+    links = _confirm(staged(pairs.distinct(), "candidates"), docs, sets, shingle, similarity)
     dense = staged(got.where("dense IS NOT NULL").select(F.col("dense").alias("_k")).distinct(), "dense")
     if some or dense.limit(1).count():
         comps = components(links)
@@ -265,7 +271,7 @@ def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> tuple
             every = every.unionByName(x)
         every = staged(every.distinct(), "candidates")
         if every.limit(1).count():
-            links = links.unionByName(_confirm(every, docs, shingle, similarity))
+            links = links.unionByName(_confirm(every, docs, sets, shingle, similarity))
     comps = components(links)
     roots = told.join(sets, "set_key", "left").join(comps.withColumnRenamed("v", "rep"), "rep", "left")
     return roots.select("row", F.col("n").cast("long").alias("n"), F.coalesce("root", "rep", "row").alias("root")), links
@@ -275,8 +281,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
     """docs (doc_id, text) -> doc_id, n_shingles, component_id, kept.
 
     Null and wordless texts have no shingles and are linked with nothing. A row with a null doc_id is not compared; its
-    component is null and it is kept. Rows that repeat a doc_id are one document each, told apart by their text; the
-    component is that of the doc_id if any of them is linked. Equal rows get equal answers.
+    component is null and it is kept. Rows that repeat a doc_id are told apart by their
+    sets; equal rows get equal answers.
     """
     known = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
     rows = known.select(F.col("doc_id").alias("row"), "text")
@@ -292,13 +298,14 @@ def deduplicated(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) ->
 
     Rows that repeat doc_id and text leave one row; rows with a null doc_id all stay.
     """
+    names = ["doc_id", "text"]
     kept = near_duplicates(docs, shingle, similarity).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_kept")).distinct()
-    h = F.xxhash64(F.coalesce("text", F.lit("")))
-    known = docs.where("doc_id IS NOT NULL").withColumn("_h", h)
+    rows = packed(docs, names)
+    known = rows.where("doc_id IS NOT NULL").withColumn("_h", F.xxhash64(F.coalesce("text", F.lit(""))))
     known = known.withColumn("_again", F.lag("_h").over(Window.partitionBy("doc_id").orderBy("_h")))
     known = known.where(F.col("_again").isNull() | (F.col("_again") != F.col("_h")))
-    known = known.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi").select(*docs.columns)
-    return known.unionByName(docs.where("doc_id IS NULL"))
+    known = known.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi").select(*rows.columns)
+    return unpacked(known.unionByName(rows.where("doc_id IS NULL")), docs.columns, names)
 
 
 def op1_chosen_path(spark, sf_dir: str) -> DataFrame:
