@@ -10,14 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.llm import bpe, language, mixing, neardup, secrets
-from strandloom.llm.common import staged, table
+from strandloom.llm.common import packed, staged, table, unpacked
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the model rejects go (texts without a letter among them); a null lang becomes the predicted one."""
     model = language.train(docs.select("doc_id", "text", "lang").where(language.may_learn()))
-    told = language.predicted(docs, model).where("NOT rejected")
-    return told.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    names = ["text", "lang"]
+    told = language.predicted(packed(docs, names), model).where("NOT rejected")
+    return unpacked(told.withColumn("lang", F.coalesce("lang", "lang_pred")), docs.columns, names)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
