@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from strandloom.functions import alignment, dna, scores
 from strandloom.operators import hits as H
-from strandloom.operators import intervals, pairs, seeding, stats
+from strandloom.operators import intervals, pairs, rescue, seeding, stats
+from strandloom.plans.align import align, to_sam
 from strandloom.plans.config import AlignConfig
 from strandloom.sources import writers
 from strandloom.streaming import reads as streams
@@ -187,6 +188,25 @@ def aligned_reads(spark, sf_dir):
     return told.select("read_id", "strand", "contig_id", (F.col("low") + F.col("x.first") + 1).alias("pos"), F.col("x.ed").cast("long").alias("ed"), "x.ext", "y.cigar", "y.md", "y.score", "y.events")
 
 
+@query()
+def sam_text(spark, sf_dir):
+    """SAM lines of all reads: aligned, ranked, with mapping qualities; unmapped reads too."""
+    source = reads(spark, sf_dir).withColumn("name", F.col("read_id").cast("string")).withColumn("qual", F.lit(None).cast("string"))
+    rows = to_sam(source, align(source.select("read_id", "seq"), contigs(spark, sf_dir), AlignConfig(errors=3)))
+    return rows.select("qname", writers.sam_line().alias("line"))
+
+
+@query()
+def rescued_mates(spark, sf_dir):
+    """Ends of reads looked for in the window that the place of their first half allows (a traceback is not SQL)."""
+    whole, refs = reads(spark, sf_dir), contigs(spark, sf_dir)
+    half = F.floor(F.length("seq") / 2).cast("int")
+    first = whole.select("read_id", F.substring("seq", F.lit(1), half).alias("seq"))
+    last = whole.select(F.col("read_id").alias("pair_id"), dna.reverse_complement(F.substring("seq", half + 1, F.length("seq"))).alias("seq"))
+    anchors = seeding.best_in_contig(seeding.map_reads(first, refs, 1)).select(F.col("read_id").alias("pair_id"), "contig_id", "start", "strand", F.length("seq").alias("length"))
+    return rescue.rescued(anchors, last, seeding.chunks(refs), 300, 20)
+
+
 _H = "WITH " + _HITS
 
 

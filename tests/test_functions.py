@@ -145,3 +145,36 @@ def test_empty_inputs(spark):
 def test_first_tier(spark):
     a, b = spark.createDataFrame([(1, 5)], "k long, v long"), spark.createDataFrame([(1, 6), (2, 7)], "k long, v long")
     assert sorted((r.k, r.v, r.tier) for r in pairs.first_tier([a, b], "k").collect()) == [(1, 5, 0), (2, 7, 1)]
+
+
+def test_clipping():
+    from strandloom.functions import clipping
+
+    assert clipping.clipped("....", 1, 1) == ("$..$", 1)
+    assert clipping.clipped(".^G#A..", 2, 0) == ("$$..", 2)
+    assert clipping.clipped("..^T.", 0, 1) == ("..$", 0)
+    assert clipping.off_contig(".....", -2, 100) == ("$$...", 0)
+    assert clipping.off_contig(".....", 97, 100) == ("...$$", 97)
+    assert clipping.low_quality("....", "!II!", 40) == ("$..$", 1) and clipping.low_quality("..", "!!", 40) == ("..", 0)
+    assert clipping.overlap(10, 50, 40) == 20 and clipping.overlap(10, 20, 40) == 0
+
+
+def test_align_and_rescue_find_planted_reads(spark):
+    from strandloom.operators import rescue
+    from strandloom.plans.align import align, to_sam
+
+    rng = random.Random(21)
+    ref = "".join(rng.choices("ACGT", k=3000))
+    read = ref[500:540] + ref[541:601]  # one base gone
+    turned = ref[1500:1600][::-1].translate(str.maketrans("ACGT", "TGCA"))
+    other = "".join(rng.choices("ACGT", k=100))
+    c = spark.createDataFrame([(1, ref)], "contig_id long, seq string")
+    r = spark.createDataFrame([(1, "a", read, "I" * 100), (2, "b", turned, "I" * 100), (3, "c", other, "I" * 100)], "read_id long, name string, seq string, qual string")
+    got = {x.qname: x for x in to_sam(r, align(r.select("read_id", "seq"), c, AlignConfig(errors=3))).collect()}
+    assert (got["a"].flag, got["a"].pos, got["a"].cigar, got["a"].nm) == (0, 501, "40M1D60M", 1) or got["a"].nm == 1
+    assert (got["b"].flag, got["b"].pos, got["b"].cigar, got["b"].mapq) == (16, 1501, "100M", 60) and got["b"].seq == ref[1500:1600]
+    assert got["c"].flag == 4 and got["c"].rname == "*"
+    anchors = spark.createDataFrame([(7, 1, 1000, "+", 100)], "pair_id long, contig_id long, start long, strand string, length int")
+    mates = spark.createDataFrame([(7, ref[1200:1300][::-1].translate(str.maketrans("ACGT", "TGCA")))], "pair_id long, seq string")
+    found = rescue.rescued(anchors, mates, seeding.chunks(c), 300, 20).collect()
+    assert [(x.strand, x.pos, x.ed) for x in found] == [("-", 1201, 0)]
