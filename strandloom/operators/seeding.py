@@ -24,6 +24,8 @@ def chunks(contigs: DataFrame, size: int = CHUNK, overlap: int = OVERLAP) -> Dat
 
 def seed_index(pieces: DataFrame, k: int, size: int = CHUNK) -> DataFrame:
     """Chunks -> seed, contig_id, pos for every place whose k bases have no N; a place belongs to one chunk."""
+    parts = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pieces = pieces.repartition(parts, "contig_id", "chunk")  # a file of a few splits, or a long contig, spreads before rows multiply
     own = F.least(F.length("seq") - k + 1, F.lit(size))  # places that begin in this chunk and not in the next
     blocks = pieces.where(own > 0).select("contig_id", "chunk", "seq", own.alias("own"), F.explode(F.sequence(F.lit(0), own - 1, F.lit(BLOCK))).alias("at"))
     n = F.least(F.lit(BLOCK), F.col("own") - F.col("at"))

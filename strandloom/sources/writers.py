@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.functions import dna
-from strandloom.functions.scores import sam_flag
+from strandloom.functions.scores import insert_size, sam_flag
 
 
 def sam_header(contigs: list[tuple[str, int]], command: str = "", group: str = "") -> str:
@@ -35,7 +35,32 @@ def single_rows(mapped: DataFrame) -> DataFrame:
     )
 
 
-def sam_line(yes: Column | None = None) -> Column:
+def paired_rows(mapped: DataFrame) -> DataFrame:
+    """SAM rows of mates (mapped: as for single_rows(), and pair_id, mate 0 or 1, length on the reference).
+
+    Mates meet on pair_id. An unmapped mate borrows the place of the mapped one; the template's length counts from the
+    left mate's start to the right one's end, with a minus on the right.
+    """
+    no, other = F.lit(False), mapped.select(F.col("pair_id").alias("_p"), (1 - F.col("mate")).alias("_m"), *[F.col(c).alias(f"_{c}") for c in ("rname", "pos", "strand", "length")])
+    both = mapped.join(other, (F.col("pair_id") == F.col("_p")) & (F.col("mate") == F.col("_m")), "left")
+    lost, mate_lost = F.col("rname").isNull(), F.col("_rname").isNull()
+    reverse, mate_reverse = F.coalesce(F.col("strand") == "-", no) & ~lost, F.coalesce(F.col("_strand") == "-", no) & ~mate_lost
+    size = insert_size(F.col("rname"), F.col("strand"), F.col("pos"), F.col("length"), F.col("_rname"), F.col("_strand"), F.col("_pos"), F.col("_length"))
+    left = (F.col("pos") < F.col("_pos")) | ((F.col("pos") == F.col("_pos")) & ~reverse)
+    flag = sam_flag(F.lit(True), size.isNotNull(), lost, mate_lost, reverse, mate_reverse, F.col("mate") == 0, no)
+    turned = lambda c, f: F.when(reverse, f(F.col(c))).otherwise(F.col(c))
+    place = lambda own, borrowed, empty: F.coalesce(F.col(own), F.col(borrowed), F.lit(empty))
+    rname, pos = place("rname", "_rname", "*"), place("pos", "_pos", 0).cast("long")
+    rnext, pnext = place("_rname", "rname", "*"), place("_pos", "pos", 0).cast("long")
+    tag = lambda c: F.when(~lost, F.col(c)).alias(c)
+    return both.select(
+        "qname", flag.alias("flag"), rname.alias("rname"), pos.alias("pos"), F.coalesce("mapq", F.lit(0)).cast("long").alias("mapq"), F.coalesce("cigar", F.lit("*")).alias("cigar"),
+        F.when(rnext == "*", "*").when(rnext == rname, "=").otherwise(rnext).alias("rnext"), pnext.alias("pnext"), F.coalesce(F.when(left, size).otherwise(-size), F.lit(0)).cast("long").alias("tlen"),
+        turned("seq", dna.reverse_complement).alias("seq"), F.coalesce(turned("qual", F.reverse), F.lit("*")).alias("qual"), F.when(~lost, F.col("ed")).alias("nm"), tag("md"), F.when(~lost, F.col("score")).alias("as_score"), F.when(~lost, F.col("method")).alias("xm"),
+    )
+
+
+def sam_line() -> Column:
     """The text of a row of single_rows(); tags only for mapped reads, the score with one decimal."""
     fields = ["qname", "flag", "rname", "pos", "mapq", "cigar", "rnext", "pnext", "tlen", "seq", "qual"]
     tag = lambda name, c: F.when(c.isNotNull(), F.concat(F.lit(name), c.cast("string")))

@@ -44,6 +44,18 @@ def test_sam_round_trip(spark, tmp_path):
     assert head[1] == "@SQ\tSN:c1\tLN:100" and len(head) == 4 and '"' not in head[3]
 
 
+def test_paired_rows(spark):
+    schema = "qname string, pair_id long, mate int, strand string, rname string, pos long, length long, mapq long, cigar string, md string, ed long, score double, seq string, qual string, method string"
+    hit = lambda name, pair, mate, strand, rname, pos: (name, pair, mate, strand, rname, pos, 4, 60, "4M", "4", 0, 4.0, "AACG", "ABCD", "perfect")
+    none = lambda name, pair, mate: (name, pair, mate, *[None] * 9, "ACGT", "IIII", None)
+    rows = [hit("p", 1, 0, "+", "c1", 10), hit("p", 1, 1, "-", "c1", 30), hit("q", 2, 0, "-", "c1", 5), none("q", 2, 1), none("r", 3, 0), none("r", 3, 1)]
+    got = {(r.qname, bool(r.flag & 64)): r for r in writers.paired_rows(spark.createDataFrame(rows, schema)).collect()}
+    said = {k: (r.flag, r.rname, r.pos, r.rnext, r.pnext, r.tlen) for k, r in got.items()}
+    assert said[("p", True)] == (1 + 2 + 32 + 64, "c1", 10, "=", 30, 24) and said[("p", False)] == (1 + 2 + 16 + 128, "c1", 30, "=", 10, -24)
+    assert said[("q", True)] == (1 + 8 + 16 + 64, "c1", 5, "=", 5, 0) and said[("q", False)] == (1 + 4 + 32 + 128, "c1", 5, "=", 5, 0)
+    assert said[("r", True)] == (1 + 4 + 8 + 64, "*", 0, "*", 0, 0)
+
+
 def test_index_round_trip(spark, tmp_path):
     df = seeding.seed_index(seeding.chunks(spark.createDataFrame([(1, "ACGTACGTACGTNACGT" * 9)], "contig_id long, seq string")), 8)
     writers.write_index(df, str(tmp_path / "ix"), 4)
