@@ -1,9 +1,11 @@
 """Substring dedup: repeated runs of words across documents, found in suffix trees that are partitioned by prefix.
 
-The tree of all suffixes is never built whole. Suffixes are split by prefixes of a few words; only prefixes that occur
-in two documents can lie above a repeat, and only their suffixes are followed. Each group is then sorted, which puts the
-leaves of its subtree side by side: a run of neighbours that share WINDOW words is an internal node of that depth, and
-the windows of a document that lie under such nodes join up to its maximal repeats.
+The tree of all suffixes is never built whole. A window of WINDOW words is filed under one prefix of PREFIX words, the
+least inside it by hash, which is the same wherever the same words stand; only prefixes that occur in two documents can
+lie above a repeat, and only their windows are followed. A prefix with few documents is one group; one with many is
+extended to the whole window, so that every group fits a task. Sorting a group puts the leaves of its subtree side by
+side: neighbours that share all WINDOW words lie under one internal node of that depth, and the windows of a document
+under such nodes join up to its maximal repeats.
 """
 
 from __future__ import annotations
@@ -18,8 +20,8 @@ from pyspark.sql import functions as F
 from strandloom.llm.common import HashMemo, chained, mix64, staged, table
 
 WINDOW, PREFIX = 13, 5
-#: Suffixes under one short prefix that a task sorts together; larger groups are split by the next words.
-GROUP = 100_000
+#: Documents under one short prefix that a task sorts together; larger groups are split by the next words.
+GROUP = 500
 
 
 def _least_prefix(prefixes: np.ndarray) -> np.ndarray:
@@ -49,84 +51,118 @@ def _column(batch, name):
 
 
 def _anchors(batches):
+    """Per document: windows, a digest of the text, and the distinct prefixes that its windows are filed under."""
     hashes = _Hashes()
     for batch in batches:
-        found = [np.unique(hashes.of(t.as_py())[2]).view(np.int64) for t in _column(batch, "text")]
-        yield pa.record_batch([_column(batch, "rid"), pa.array(found, pa.list_(pa.int64()))], ["rid", "anchors"])
-
+        found = [hashes.of(t.as_py())[2] for t in _column(batch, "text")]
+        digests = [hashlib.blake2b((t.as_py() or "").encode(), digest_size=16).digest() for t in _column(batch, "text")]
+        prefixes = [np.unique(x).view(np.int64) for x in found]
+        yield pa.record_batch([_column(batch, "doc_id"), _column(batch, "rid"), pa.array(list(map(len, found)), pa.int32()), pa.array(digests, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))], ["doc_id", "rid", "n", "digest", "anchors"])
+
+
+_LEAVES = "group long, doc_id long, rid long, start int, n int, nodes array<long>"
+
+
+def _runs(doc: np.ndarray, rid: np.ndarray, start: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where consecutive windows of one document (and equal `more`) begin, and how many each run has."""
+    head = np.ones(len(start), bool)
+    head[1:] = (start[1:] != start[:-1] + 1) | (rid[1:] != rid[:-1]) | (doc[1:] != doc[:-1])
+    for x in more:
+        head[1:] |= x[1:] != x[:-1]
+    at = np.flatnonzero(head)
+    return at, np.diff(np.append(at, len(start))).astype(np.int32)
+
+
+def _again(group: np.ndarray, node: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Which windows lie under a node (group, node) that a smaller document shares."""
+    order = np.lexsort((doc, node, group))
+    new = np.ones(len(order), bool)
+    g, x = group[order], node[order]
+    new[1:] = (g[1:] != g[:-1]) | (x[1:] != x[:-1])
+    least = doc[order[np.flatnonzero(new)[np.cumsum(new) - 1]]]
+    out = np.empty(len(order), bool)
+    out[order] = doc[order] != least
+    return out
 
-_SUFFIX = "prefix long, rest long, doc_id long, rid long, start int, n int"
 
+def _leaves(batches):
+    """Windows under shared prefixes, consecutive ones of a group in one row.
 
-def _suffixes(batches):
-    """Windows under a shared prefix. Within a batch only the least document of equal windows goes on (n = 1, to be
-    compared with other batches); the others are settled (prefix and rest null, n windows from start on).
+    Of equal windows in a batch only those of the least document go on to meet other batches, so a passage that many
+    documents share sends a row a batch; the others are settled (group and nodes null).
     """
-    hashes, names = _Hashes(), ["prefix", "rest", "doc_id", "rid", "start", "n"]
+    hashes, names = _Hashes(), ["group", "doc_id", "rid", "start", "n", "nodes"]
     for batch in batches:
         parts = []
-        for doc, rid, text, shared in zip(*(_column(batch, c) for c in ("doc_id", "rid", "text", "shared")), strict=True):
+        for doc, rid, text, few, many in zip(*(_column(batch, c) for c in ("doc_id", "rid", "text", "few", "many")), strict=True):
             w, g, least = hashes.of(text.as_py())
-            at = np.flatnonzero(np.isin(least, np.array(shared.as_py(), np.int64).view(np.uint64)))
+            few, many = (np.array(x.as_py() or [], np.int64).view(np.uint64) for x in (few, many))
+            split = np.isin(least, many)
+            at = np.flatnonzero(split | np.isin(least, few))
             if len(at):
-                rest = chained(w, WINDOW - PREFIX)[at + PREFIX]
-                parts.append((g[at].view(np.int64), rest.view(np.int64), np.full(len(at), doc.as_py()), np.full(len(at), rid.as_py()), at.astype(np.int32)))
+                node = mix64(g[at] * np.uint64(0x9E3779B97F4A7C15) + chained(w, WINDOW - PREFIX)[at + PREFIX])
+                group = np.where(split[at], mix64(node ^ least[at]), least[at])
+                parts.append((group.view(np.int64), np.full(len(at), doc.as_py()), np.full(len(at), rid.as_py()), at.astype(np.int32), node.view(np.int64)))
         if not parts:
             continue
-        prefix, rest, doc, rid, start = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.lexsort((start, rid, doc, rest, prefix))
-        new = np.ones(len(order), bool)
-        p, r = prefix[order], rest[order]
-        new[1:] = (p[1:] != p[:-1]) | (r[1:] != r[:-1])
-        first = np.flatnonzero(new)[np.cumsum(new) - 1]  # where each one's node begins; its least document is there
-        settled = doc[order] != doc[order[first]]
-        go = order[~settled]
-        ones = pa.array(np.ones(len(go), np.int32))
-        yield pa.record_batch([pa.array(x[go]) for x in (prefix, rest, doc, rid, start)] + [ones], names)
-        done = np.sort(order[settled])
+        group, doc, rid, start, node = (np.concatenate(x) for x in zip(*parts, strict=True))
+        settled = _again(group, node, doc)
+        go = np.flatnonzero(~settled)
+        at, size = _runs(doc[go], rid[go], start[go], group[go])
+        lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(go)).astype(np.int32)), pa.array(node[go]))
+        yield pa.record_batch([*(pa.array(x[go[at]]) for x in (group, doc, rid, start)), pa.array(size), lists], names)
+        done = np.flatnonzero(settled)
         if len(done):
-            head = np.ones(len(done), bool)
-            head[1:] = (start[done][1:] != start[done][:-1] + 1) | (rid[done][1:] != rid[done][:-1]) | (doc[done][1:] != doc[done][:-1])
-            at = np.flatnonzero(head)
-            size = np.diff(np.append(at, len(done))).astype(np.int32)
-            none = pa.nulls(len(at), pa.int64())
-            yield pa.record_batch([none, none, *(pa.array(x[done][at]) for x in (doc, rid, start)), pa.array(size)], names)
+            at, size = _runs(doc[done], rid[done], start[done])
+            yield pa.record_batch([pa.nulls(len(at), pa.int64()), *(pa.array(x[done[at]]) for x in (doc, rid, start)), pa.array(size), pa.nulls(len(at), pa.list_(pa.int64()))], names)
 
 
 def _repeats(batches):
-    """Sorted leaves -> those under a node of depth WINDOW that a smaller document shares."""
-    node, least = None, 0
+    """Rows in order of their group -> windows (doc_id, rid, start, n) under a node that a smaller document shares."""
+    held: list[pa.RecordBatch] = []
+
+    def done(rows: pa.Table):
+        size = rows.column("n").to_numpy()
+        row = np.repeat(np.arange(len(size)), size)
+        group, doc, rid = (rows.column(c).to_numpy()[row] for c in ("group", "doc_id", "rid"))
+        start = rows.column("start").to_numpy()[row] + (np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)).astype(np.int32)
+        node = rows.column("nodes").combine_chunks().flatten().to_numpy()
+        hit = np.flatnonzero(_again(group, node, doc))
+        at, n = _runs(doc[hit], rid[hit], start[hit], row[hit])
+        return pa.record_batch([pa.array(x[hit[at]]) for x in (doc, rid, start)] + [pa.array(n)], ["doc_id", "rid", "start", "n"])
+
     for batch in batches:
         if not batch.num_rows:
             continue
-        prefix, rest, doc = (_column(batch, c).to_numpy() for c in ("prefix", "rest", "doc_id"))
-        new = np.ones(len(doc), bool)
-        new[1:] = (prefix[1:] != prefix[:-1]) | (rest[1:] != rest[:-1])
-        if node == (prefix[0], rest[0]):
-            new[0] = False
-        at = np.cumsum(new)  # 0: the node goes on from the batch before
-        firsts = np.concatenate(([least], doc[new]))
-        again = doc != firsts[at]
-        node, least = (prefix[-1], rest[-1]), firsts[at[-1]]
-        yield pa.record_batch([_column(batch, c).filter(pa.array(again)) for c in ("doc_id", "rid", "start", "n")], ["doc_id", "rid", "start", "n"])
+        group = _column(batch, "group").to_numpy()
+        cut = int(np.searchsorted(group, group[-1]))  # the last group may go on in the next batch
+        if cut or held and _column(held[0], "group")[0].as_py() != group[0]:
+            yield done(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+            held = []
+        held.append(batch.slice(cut))
+    if held:
+        yield done(pa.Table.from_batches(held))
 
 
 def repeated(docs: DataFrame) -> DataFrame:
     """docs: doc_id (not null), rid (tells texts of one doc_id apart), text -> doc_id, rid, runs (start, n): windows
     whose words also stand as a window in a document with a smaller doc_id.
+
+    Of exact copies only the least document is followed; all windows of the others are repeats.
     """
-    anchors = staged(docs.select("rid", "text").mapInArrow(_anchors, "rid long, anchors array<long>"), "anchors")
-    each = anchors.select("rid", F.explode("anchors").alias("anchor"))
-    shared = each.groupBy("anchor").agg(F.min("rid").alias("a"), F.max("rid").alias("b"), F.count(F.lit(1)).alias("n")).where("a < b").select("anchor", "n")
-    shared = staged(shared, "shared")
-    wanted = staged(each.join(shared, "anchor").groupBy("rid").agg(F.collect_set("anchor").alias("shared")), "wanted")
-    leaves = staged(docs.select("doc_id", "rid", "text").join(wanted, "rid").select("doc_id", "rid", "text", "shared").mapInArrow(_suffixes, _SUFFIX), "leaves")
-    open_ = leaves.where("prefix IS NOT NULL")
-    large = open_.groupBy("prefix").count().where(F.col("count") > GROUP).select("prefix", F.lit(True).alias("large"))
-    split = open_.join(large, "prefix", "left").withColumn("group", F.when(F.col("large"), F.xxhash64("prefix", "rest")).otherwise(F.col("prefix")))
-    sorted_ = split.repartition("group").sortWithinPartitions("prefix", "rest", "doc_id").select("prefix", "rest", "doc_id", "rid", "start", "n")
-    found = sorted_.mapInArrow(_repeats, "doc_id long, rid long, start int, n int")
-    every = found.unionByName(leaves.where("prefix IS NULL").select("doc_id", "rid", "start", "n"))
+    found = staged(docs.select("doc_id", "rid", "text").mapInArrow(_anchors, "doc_id long, rid long, n int, digest binary, anchors array<long>"), "anchors").where("n > 0")
+    groups = found.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    copies = found.select("doc_id", "rid", "n", "digest").join(groups, "digest").where(F.col("doc_id") > F.col("least"))
+    copies = staged(copies.select("doc_id", "rid", F.lit(0).alias("start"), "n"), "copies")
+    each = found.join(copies.select("rid"), "rid", "left_anti").select("rid", F.explode("anchors").alias("anchor"))
+    shared = each.groupBy("anchor").agg(F.min("rid").alias("a"), F.max("rid").alias("b"), F.count(F.lit(1)).alias("k")).where("a < b")
+    shared = staged(shared.select("anchor", (F.col("k") > GROUP).alias("many")), "shared")
+    lists = [F.collect_set(F.when(F.col("many") == many, F.col("anchor"))).alias(name) for many, name in ((False, "few"), (True, "many"))]
+    wanted = staged(each.join(shared, "anchor").groupBy("rid").agg(*lists), "wanted")
+    leaves = staged(docs.select("doc_id", "rid", "text").join(wanted, "rid").select("doc_id", "rid", "text", "few", "many").mapInArrow(_leaves, _LEAVES), "leaves")
+    sorted_ = leaves.where("group IS NOT NULL").repartition("group").sortWithinPartitions("group")
+    every = sorted_.mapInArrow(_repeats, "doc_id long, rid long, start int, n int")
+    every = every.unionByName(leaves.where("group IS NULL").select("doc_id", "rid", "start", "n")).unionByName(copies)
     return staged(every.groupBy("doc_id", "rid").agg(F.collect_list(F.struct("start", "n")).alias("runs")), "runs")
 
 
