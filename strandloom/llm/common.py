@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 #: Separators of words: space and the ASCII control characters from tab to carriage return.
 SPACES = r"[\x20\x09-\x0D]+"
+_LOCAL: dict[str, str] = {}
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -30,8 +31,10 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; only a session without one gets a local folder."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="strandloom-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        app = spark.sparkContext.applicationId
+        if app not in _LOCAL:
+            _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="strandloom-")
+        path = _LOCAL[app]
     return path.rstrip("/")
 
 
