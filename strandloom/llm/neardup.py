@@ -2,8 +2,8 @@
 
 A document is the set of its word shingles, seen through minwise tokens. Trees branch on them: at each node a few token
 positions are chosen, by the node's path alone, and a document goes down once for each with its token there. Documents
-that share a node are likely alike; small nodes are compared exhaustively, large ones branch again. Several independent
-trees bring the recall to target. Every link is confirmed on full sets.
+that share a node are likely alike; small nodes are compared exhaustively, large ones in blocks, or they branch again. Several
+independent trees bring the recall to target. Every link is confirmed on full sets.
 """
 
 from __future__ import annotations
@@ -22,8 +22,11 @@ from strandloom.llm.common import HashMemo, chained, components, mix64, packed,
 ROOTS, BRANCHES = 8, 3
 #: Minwise tokens of 8 bits in a sketch: nodes compare documents by them.
 SKETCH = 128
-#: Documents in a node that are compared exhaustively; larger nodes branch, this many levels at most.
-NODE, LEVELS = 1000, 6
+#: Documents in a node that are compared exhaustively; larger nodes are cut into blocks that share PIVOTS documents.
+NODE, PIVOTS = 1000, 32
+#: Shingles that a task compares at a time, and those of documents outside a node's main component that are compared
+#: with the whole node; with more of them the node branches, this many levels at most.
+BLOCK_SHINGLES, OUTSIDE, LEVELS = 1_000_000, 3_000_000, 6
 #: Standard deviations that a sketch's estimate may fall short of the least similarity.
 SLACK = 4.5
 
@@ -87,7 +90,6 @@ def signed(docs: DataFrame, shingle: int) -> DataFrame:
 
 
 _NODE = "key long, rep long, n int, sketch binary, comp long"
-_PAIR = "a long, b long, dense long"
 
 
 def _least_equal(similarity: float) -> int:
@@ -95,83 +97,110 @@ def _least_equal(similarity: float) -> int:
     return int(SKETCH * similarity - SLACK * (SKETCH * similarity * (1 - similarity)) ** 0.5)
 
 
-def _compare(similarity: float, all_pairs: bool):
-    """Compares the documents of each node by their sketches.
+def _grouped(batches, work):
+    """Rows in order of their first column, the node's key -> work(key, table of the node's rows)."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(0).to_numpy()
+        cut = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+        for i, j in zip(cut, cut[1:]):
+            if held and held[0].column(0)[0].as_py() != keys[i]:
+                if len(held) > 1 or held[0].num_rows > 1:
+                    yield from work(held[0].column(0)[0].as_py(), pa.Table.from_batches(held))
+                held = []
+            held.append(batch.slice(i, j - i))
+    if held and (len(held) > 1 or held[0].num_rows > 1):
+        yield from work(held[0].column(0)[0].as_py(), pa.Table.from_batches(held))
+
 
-    First pass: the links of a maximal spanning forest; if not many more are likely, those too, else the node is noted
-    as dense. Second pass (all_pairs): all likely links between documents of different components.
+def _sketches(rows) -> np.ndarray:
+    return np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
+
+
+def _forest_of(similarity: float):
+    """First pass over a node: the links of a maximal spanning forest of the likely ones; all likely ones if they are
+    not many more, else the node is noted as dense.
     """
     need = _least_equal(similarity)
 
-    def pairs_of(rep, n, sketch, comp):
-        m = len(rep)
-        order = np.argsort(rep)
-        rep, n, sketch, comp = rep[order], n[order], sketch[order], comp[order]
-        if all_pairs:
-            out_a, out_b = [], []
-            for i in range(m - 1):
-                same = (sketch[i + 1 :] == sketch[i]).sum(1)
-                ok = (same >= need) & (comp[i + 1 :] != comp[i]) & (np.minimum(n[i + 1 :], n[i]) >= similarity * np.maximum(n[i + 1 :], n[i]))
-                hit = np.flatnonzero(ok) + i + 1
-                out_a.append(np.full(len(hit), rep[i]))
-                out_b.append(rep[hit])
-            return np.concatenate(out_a), np.concatenate(out_b), False
+    def work(key, rows):
+        rep, first = np.unique(rows.column("rep").to_numpy(), return_index=True)
+        n, sketch, m = rows.column("n").to_numpy()[first], _sketches(rows)[first], len(rep)
         best, link, todo = np.full(m, -1), np.full(m, -1), np.ones(m, bool)
-        likely, cur = 0, 0
         todo[0] = False
-        out, extra = [], []
+        tree, every, likely, cur = [], [], 0, 0
         while True:
             rest = np.flatnonzero(todo)
+            if not len(rest):
+                break
             same = (sketch[rest] == sketch[cur]).sum(1)
             ok = (same >= need) & (np.minimum(n[rest], n[cur]) >= similarity * np.maximum(n[rest], n[cur]))
             likely += int(ok.sum())
             if likely <= 4 * m:
-                extra += [(cur, j) for j in rest[ok].tolist()]
+                every += [(cur, j) for j in rest[ok].tolist()]
             better = ok & (same > best[rest])
             best[rest[better]], link[rest[better]] = same[better], cur
-            if not len(rest):
-                break
             cur = int(rest[np.argmax(best[rest])])
             if best[cur] >= 0:
-                out.append((int(link[cur]), cur))
+                tree.append((int(link[cur]), cur))
             todo[cur] = False
         dense = likely > 4 * m
-        picked = out if dense else extra
-        a = np.array([rep[min(x)] for x in picked], np.int64)
-        b = np.array([rep[max(x)] for x in picked], np.int64)
-        return a, b, dense
-
-    def nodes(batches):
-        key, held = None, []
-
-        def done():
-            rep, n, sketch, comp = (np.concatenate(x) for x in zip(*held, strict=True))
-            rep, first = np.unique(rep, return_index=True)
-            n, sketch, comp = n[first], sketch[first], comp[first]
-            if len(rep) > 1 and not (all_pairs and (comp == comp[0]).all()):
-                a, b, dense = pairs_of(rep, n, sketch, comp)
-                if len(a) or dense:
-                    marks = np.concatenate((a, [0])) if dense else a
-                    yield pa.record_batch([pa.array(marks), pa.array(np.concatenate((b, [0])) if dense else b), pa.array([None] * len(a) + [key] * dense, pa.int64())], ["a", "b", "dense"])
+        picked = tree if dense else every
+        if picked or dense:
+            a, b = ([int(rep[f(x)]) for x in picked] + [None] * dense for f in (min, max))
+            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([None] * len(picked) + [key] * dense, pa.int64())], ["a", "b", "dense"])
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = batch.column(0).to_numpy()
-            rep, n = batch.column(1).to_numpy(), batch.column(2).to_numpy()
-            sketch = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(-1, SKETCH)
-            comp = batch.column(4).to_numpy()
-            cut = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
-            for i, j in zip(cut, cut[1:]):
-                if keys[i] != key:
-                    if held and (len(held) > 1 or len(held[0][0]) > 1):
-                        yield from done()
-                    key, held = int(keys[i]), []
-                held.append((rep[i:j], n[i:j], sketch[i:j], comp[i:j]))
-        if held:
-            yield from done()
-
-    return nodes
+    return lambda batches: _grouped(batches, work)
+
+
+def _outside(similarity: float):
+    """Second pass over a block: documents outside the main component (query) and those of other components that are
+    likely linked with them. As many rows at most as come in.
+    """
+    need = _least_equal(similarity)
+
+    def work(key, rows):
+        n, sketch, comp = rows.column("n").to_numpy(), _sketches(rows), rows.column("comp").to_numpy()
+        query = np.flatnonzero(rows.column("query").to_numpy())
+        found = np.zeros(len(n), bool)
+        for i in query:
+            same = (sketch == sketch[i]).sum(1)
+            ok = (same >= need) & (comp != comp[i]) & (np.minimum(n, n[i]) >= similarity * np.maximum(n, n[i]))
+            found |= ok
+            found[i] |= ok.any()
+        if found.any():
+            yield from rows.select(["key", "rep", "comp", "query"]).filter(pa.array(found)).combine_chunks().to_batches()
+
+    return lambda batches: _grouped(batches, work)
+
+
+def _exact(similarity: float):
+    """Third pass: full sets of a block, each query against all; one link between two components is enough."""
+    percent = round(100 * similarity)
+
+    def work(key, rows):
+        rep, comp = rows.column("rep").to_numpy(), rows.column("comp").to_numpy()
+        query = np.flatnonzero(rows.column("query").to_numpy())
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("s")]
+        sizes = np.array(list(map(len, sets)))
+        ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        doc, ends = np.repeat(np.arange(len(sets)), sizes), np.cumsum(sizes)
+        now, out = comp.copy(), []
+        for i in query:
+            mark = np.zeros(int(ids.max()) + 1, bool)
+            mark[ids[ends[i] - sizes[i] : ends[i]]] = True
+            shared = np.bincount(doc[mark[ids]], minlength=len(sets))
+            ok = np.flatnonzero((100 * shared >= percent * (sizes + sizes[i] - shared)) & (now != now[i]))
+            for j in ok:
+                if now[j] != now[i]:
+                    out.append((min(rep[i], rep[j]), max(rep[i], rep[j])))
+                    now[now == now[j]] = now[i]
+        if out:
+            yield pa.record_batch([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
+
+    return lambda batches: _grouped(batches, work)
 
 
 def _branch(batches):
@@ -188,19 +217,24 @@ def _branch(batches):
             yield pa.record_batch([pa.array(child), *batch.columns[1:]], ["key", "rep", "n", "sketch", "comp"])
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, reps: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Candidate pairs a, b of representatives -> those whose full sets are alike. reps: set_key, rep."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct().join(reps, "rep")
+def _full_sets(wanted: DataFrame, docs: DataFrame, reps: DataFrame, shingle: int) -> DataFrame:
+    """rep -> rep, s: the whole set of each representative wanted (reps: set_key, rep)."""
+    wanted = wanted.join(reps, "rep")
 
     def sets(batches):
         memo = HashMemo()
         for batch in batches:
             found = [shingle_hashes(t.as_py(), shingle, memo).tobytes() for t in _column(batch, "text")]
             own = pa.array([_digest(s) == k.as_py() for s, k in zip(found, _column(batch, "set_key"), strict=True)], pa.bool_())
-            yield pa.record_batch([_column(batch, "row").filter(own), pa.array(found, pa.binary()).filter(own)], ["row", "s"])
+            yield pa.record_batch([_column(batch, "rep").filter(own), pa.array(found, pa.binary()).filter(own)], ["rep", "s"])
 
-    full = staged(docs.join(wanted, F.col("row") == F.col("rep")).select("row", "text", "set_key").mapInArrow(sets, "row long, s binary"), "sets")
-    percent = round(100 * similarity)
+    made = docs.join(wanted, F.col("row") == F.col("rep")).select("rep", "text", "set_key").mapInArrow(sets, "rep long, s binary")
+    return staged(made, "sets")  # a row that repeats another gives the same set again, which does no harm
+
+
+def _confirm(pairs: DataFrame, docs: DataFrame, reps: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Candidate pairs a, b of representatives -> those whose full sets are alike."""
+    full, percent = _full_sets(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), docs, reps, shingle), round(100 * similarity)
 
     def alike(batches):
         for batch in batches:
@@ -212,66 +246,69 @@ def _confirm(pairs: DataFrame, docs: DataFrame, reps: DataFrame, shingle: int, s
             keep = pa.array(keep, pa.bool_())
             yield pa.record_batch([_column(batch, "a").filter(keep), _column(batch, "b").filter(keep)], ["a", "b"])
 
-    left = pairs.join(full.select(F.col("row").alias("a"), F.col("s").alias("x")), "a")
-    both = left.join(full.select(F.col("row").alias("b"), F.col("s").alias("y")), "b").select("a", "b", "x", "y")
+    left = pairs.join(full.select(F.col("rep").alias("a"), F.col("s").alias("x")), "a")
+    both = left.join(full.select(F.col("rep").alias("b"), F.col("s").alias("y")), "b").select("a", "b", "x", "y")
     return staged(both.mapInArrow(alike, "a long, b long"), "links")
 
 
-def _nodes(rows: DataFrame, large: DataFrame | None) -> DataFrame:
-    """Rows of small nodes, each node in one piece and in order of its key."""
-    rows = rows.join(large.select(F.col("key").alias("_k")), F.col("key") == F.col("_k"), "left_anti") if large is not None else rows
+def _in_blocks(rows: DataFrame, blocks, everywhere) -> DataFrame:
+    """Rows of a node dealt to its blocks by a hash of the document; those that are to be everywhere go to each."""
+    own = F.array(F.pmod(F.xxhash64("rep"), blocks))
+    block = F.explode(F.when(everywhere, F.sequence(F.lit(0).cast("long"), blocks - 1)).otherwise(own))
+    rows = rows.withColumn("_block", block)
+    return rows.withColumn("key", F.when(F.col("_block") == 0, F.col("key")).otherwise(F.xxhash64("key", "_block"))).drop("_block")
+
+
+def _in_order(rows: DataFrame) -> DataFrame:
+    """Each node in one piece and in order of its key."""
     return rows.repartition("key").sortWithinPartitions("key")
 
 
 def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """docs: row (unique), text -> (row, n, root), (a, b): sizes and component (least row) of all, and confirmed links.
 
-    Documents with equal sets stand as one from the start. Links come in two passes: after the first one, components
-    are known, and dense or large nodes only need links between different ones, so a group of near copies costs about as
-    many pairs as it has members. A pair at the least similarity is missed with a chance of about (1 - similarity) to
-    the power ROOTS (under 1 in 300,000), plus as much again for its sketch.
+    Documents with equal sets stand as one from the start. A first pass links each node by a spanning forest. Then
+    components are known, and nodes that were dense or large only need links between different ones: documents outside
+    a node's main component against all of it, on full sets. So a group of near copies costs about as many rows as it
+    has members, not pairs. A pair at the least similarity is missed with a chance of about (1 - similarity) to the
+    power ROOTS (under 1 in 300,000), plus as much again for its sketch.
     """
     told = staged(signed(docs, shingle), "signed")
     sets = staged(told.where("set_key IS NOT NULL").groupBy("set_key").agg(F.min("row").alias("rep")), "sets")
     reps = told.join(sets.withColumnRenamed("rep", "row"), ["row", "set_key"])
     at = F.posexplode("roots").alias("i", "v")
-    level = reps.select("row", "n", "sketch", at).select(F.xxhash64("i", "v").alias("key"), F.col("row").alias("rep"), "n", "sketch")
-
-    def large_of(rows: DataFrame) -> DataFrame:
-        return staged(rows.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("rep").alias("pivot")).where(F.col("m") > NODE), "large")
-
-    first = level.withColumn("comp", F.col("rep")).select("key", "rep", "n", "sketch", "comp")
-    large = large_of(first)
-    some = large.limit(1).count() > 0
-    got = staged(_nodes(first, large if some else None).mapInArrow(_compare(similarity, False), _PAIR), "pairs")
-    pairs = got.where("dense IS NULL").select("a", "b")
-    if some:  # in large nodes, each document with the least one
-        stars = first.join(large, "key").where("rep != pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
-        pairs = pairs.unionByName(stars)
-    links = _confirm(staged(pairs.distinct(), "candidates"), docs, sets, shingle, similarity)
-    dense = staged(got.where("dense IS NOT NULL").select(F.col("dense").alias("_k")).distinct(), "dense")
-    if some or dense.limit(1).count():
-        comps = components(links)
-        labelled = first.drop("comp").join(comps.select(F.col("v").alias("rep"), F.col("root").alias("comp")), "rep", "left")
-        labelled = labelled.withColumn("comp", F.coalesce("comp", "rep")).select("key", "rep", "n", "sketch", "comp")
-        found = _nodes(labelled.join(dense, F.col("key") == F.col("_k"), "left_semi"), None).mapInArrow(_compare(similarity, True), _PAIR).select("a", "b")
-        found = [staged(found, "pairs")]
-        rows = labelled.join(large.select(F.col("key").alias("_k")), F.col("key") == F.col("_k"), "left_semi") if some else None
-        for depth in range(LEVELS if some else 0):  # only nodes that hold different components branch
-            split = rows.groupBy("key").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b")).where("_a != _b").select(F.col("key").alias("_k"))
-            rows = staged(rows.join(split, F.col("key") == F.col("_k"), "left_semi").mapInArrow(_branch, _NODE), "level")
-            large = large_of(rows)
-            more = depth + 1 < LEVELS and large.limit(1).count() > 0
-            found.append(staged(_nodes(rows, large if more else None).mapInArrow(_compare(similarity, True), _PAIR).select("a", "b"), "pairs"))
-            if not more:
+    first = reps.select("row", "n", "sketch", at).select(F.xxhash64("i", "v").alias("key"), F.col("row").alias("rep"), "n", "sketch")
+    of_key = lambda keys: F.col("key") == keys["_k"]
+    large = staged(first.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > NODE).select(F.col("key").alias("_k"), "m"), "large")
+    nodes = first
+    if large.limit(1).count():
+        shared = F.pmod(F.xxhash64("key", "rep"), F.col("m")) < PIVOTS
+        cut = _in_blocks(first.join(large, of_key(large)), F.ceil(F.col("m") / NODE), shared).select(first.columns)
+        nodes = first.join(large, of_key(large), "left_anti").unionByName(cut)
+    got = staged(_in_order(nodes).mapInArrow(_forest_of(similarity), "a long, b long, dense long"), "pairs")
+    links = _confirm(staged(got.where("dense IS NULL").select("a", "b").distinct(), "candidates"), docs, sets, shingle, similarity)
+    again = staged(got.where("dense IS NOT NULL").select(F.col("dense").alias("_k")).union(large.select("_k")).distinct(), "again")
+    if again.limit(1).count():
+        comps = components(links).select(F.col("v").alias("rep"), F.col("root").alias("comp"))
+        rows = first.join(again, of_key(again), "left_semi").join(comps, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+        rows, found = rows.select("key", "rep", "n", "sketch", "comp"), None
+        for depth in range(LEVELS + 1):
+            parts = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("n"))
+            about = parts.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.max_by("n", F.struct("c", "comp")).alias("inside"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("k"))
+            about = staged(about.where("k > 1").select(F.col("key").alias("_k"), "main", "all", (F.col("all") - F.col("inside")).alias("outside")), "about")
+            deep = about.where(F.col("outside") > OUTSIDE).select("_k") if depth < LEVELS else about.where("false").select("_k")
+            flat = about.where(F.col("outside") <= OUTSIDE) if depth < LEVELS else about
+            query = F.col("comp") != F.col("main")
+            cut = _in_blocks(rows.join(flat, of_key(flat)).withColumn("query", query), F.ceil(F.col("all") / BLOCK_SHINGLES), query)
+            held = staged(_in_order(cut.select("key", "rep", "n", "sketch", "comp", "query")).mapInArrow(_outside(similarity), "key long, rep long, comp long, query boolean"), "outside")
+            found = held if found is None else found.unionByName(held)
+            if not deep.limit(1).count():
                 break
-            rows = rows.join(large.select(F.col("key").alias("_k")), F.col("key") == F.col("_k"), "left_semi")
-        every = found[0]
-        for x in found[1:]:
-            every = every.unionByName(x)
-        every = staged(every.distinct(), "candidates")
-        if every.limit(1).count():
-            links = links.unionByName(_confirm(every, docs, sets, shingle, similarity))
+            rows = staged(rows.join(deep, of_key(deep), "left_semi").mapInArrow(_branch, _NODE), "level")
+        if found.limit(1).count():
+            full = _full_sets(found.select("rep").distinct(), docs, sets, shingle)
+            exact = _in_order(found.join(full, "rep").select("key", "rep", "comp", "query", "s")).mapInArrow(_exact(similarity), "a long, b long")
+            links = links.unionByName(staged(exact, "links"))
     comps = components(links)
     roots = told.join(sets, "set_key", "left").join(comps.withColumnRenamed("v", "rep"), "rep", "left")
     return roots.select("row", F.col("n").cast("long").alias("n"), F.coalesce("root", "rep", "row").alias("root")), links
