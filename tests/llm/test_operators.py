@@ -69,13 +69,15 @@ def test_op1(spark, hard_dir, docs):
 
 
 def test_op1_large_nodes(spark, hard_dir, monkeypatch):
-    """The branching of large nodes finds what exhaustive comparison finds."""
+    """Large nodes in blocks, and their branching, find what exhaustive comparison finds."""
     from strandloom.llm import neardup
 
     want = run(spark, "op1_chosen_path", hard_dir)
-    monkeypatch.setattr(neardup, "NODE", 4)
-    got = run(spark, "op1_chosen_path", hard_dir)
-    assert rows(got, list(got.columns)) == rows(want, list(got.columns))
+    for values in ({"NODE": 4, "PIVOTS": 2, "BLOCK_SHINGLES": 300}, {"NODE": 2, "PIVOTS": 1, "OUTSIDE": 200}):
+        for k, v in values.items():
+            monkeypatch.setattr(neardup, k, v)
+        got = run(spark, "op1_chosen_path", hard_dir)
+        assert rows(got, list(got.columns)) == rows(want, list(got.columns))
 
 
 def test_op2(spark, hard_dir, docs):
