@@ -97,6 +97,7 @@ def mix(docs: DataFrame) -> DataFrame:
     sizes = staged(docs.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "histogram")
     solved = tilts(sizes, wanted)
     about = wanted.withColumnRenamed("source", "_s").join(solved.withColumnRenamed("source", "_t"), F.col("_s").eqNullSafe(F.col("_t"))).drop("_t")
+    about = staged(about, "about")  # a row a source; of known size, so Spark can choose to broadcast it
     rated = docs.join(about, F.col("source").eqNullSafe(F.col("_s")))
     rate = F.when(F.col("full"), F.lit(float(MOST))).otherwise(F.least(F.lit(float(MOST)), F.exp(F.least(F.col("tilt") * F.col("size") / F.col("scale"), F.lit(50.0)))))
     order = F.xxhash64(*docs.columns)
