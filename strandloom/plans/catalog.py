@@ -301,11 +301,11 @@ def pair_scores(spark, sf_dir):
     return pairs.scored(pairs.close_pairs(hits(spark, sf_dir), 500, 125), 500, 125).select(*_PAIR, "pair_score")
 
 
-@query(f"WITH {_MATES} SELECT contig_id, coalesce(avg(insert_size) FILTER (insert_size BETWEEN 0 AND 1000), 500.0)::DOUBLE AS mean, coalesce(stddev_pop(insert_size) FILTER (insert_size BETWEEN 0 AND 1000), 125.0)::DOUBLE AS dev, count(insert_size) FILTER (insert_size BETWEEN 0 AND 1000) AS n FROM m GROUP BY 1")
+@query(f"WITH {_MATES} SELECT contig_id, round(mean, 6) AS mean, round(dev, 6) AS dev, n FROM (SELECT contig_id, coalesce(avg(insert_size) FILTER (insert_size BETWEEN 0 AND 1000), 500.0)::DOUBLE AS mean, coalesce(stddev_pop(insert_size) FILTER (insert_size BETWEEN 0 AND 1000), 125.0)::DOUBLE AS dev, count(insert_size) FILTER (insert_size BETWEEN 0 AND 1000) AS n FROM m GROUP BY 1)")
 def insert_model(spark, sf_dir):
     """Mean and deviation of insert sizes by contig."""
     told = stats.insert_model(pairs.mates(hits(spark, sf_dir)), ["contig_id"], CFG.max_mate_distance)
-    return told.select("contig_id", "mean", "dev", "n")
+    return told.select("contig_id", F.round("mean", 6).alias("mean"), F.round("dev", 6).alias("dev"), "n")
 
 
 @query(f"SELECT length(s)::BIGINT AS length, count(*) AS n FROM (SELECT {_DNA} AS s FROM benchmark) GROUP BY 1")
@@ -374,7 +374,7 @@ def trimmed_variants(spark, sf_dir):
     return part.withColumn("x", dna.common_affixes_trimmed(F.col("ref"), F.col("alt"))).select("p_partkey", "x.ref", "x.alt", "x.start")
 
 
-@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY 1, 2")
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 3) AS total FROM events GROUP BY 1, 2")
 def windowed_counts(spark, sf_dir):
     """Hourly counts by kind: the batch form of the streaming aggregate."""
-    return streams.windowed_counts(_table(spark, sf_dir, "events"), "1 hour", "1 hour")
+    return streams.windowed_counts(_table(spark, sf_dir, "events"), "1 hour", "1 hour").withColumn("total", F.round("total", 3))
