@@ -1,8 +1,9 @@
 """Quality rules: simple counts, and the perplexity of each text under a modified Kneser-Ney model of its language.
 
-The model predicts the bytes of words (with their beginning and end) from up to ORDER - 1 bytes before. Spark counts
-words over all documents, then n-grams over the distinct words, and smooths them by joins between the orders. What the
-executors get for scoring are sorted arrays of n-gram hashes whose size is bounded by SLOTS.
+The model predicts the bytes of the running text (words with one space between them, beginning and end) from up to
+ORDER - 1 bytes before, across the limits of words. Spark counts n-grams over all documents and smooths them by joins
+between the orders; nothing is dropped and nothing of the model is gathered. Each piece of the table (chunk) asks for
+the n-grams that its own texts hold; their probabilities are joined in Spark and meet the chunk's texts in one task.
 """
 
 from __future__ import annotations
@@ -14,58 +15,107 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import HashMemo, chained, mix64, staged, table, words
+from strandloom.llm.common import HashMemo, chained, staged, table
 
 ORDER = 5
 BEGIN, END, SYMBOLS = 2, 3, 257
-#: No more n-grams of an order are kept for scoring: of those that share a slot the most frequent stays, others back off.
-SLOTS = 1 << 21
 #: A language's band: its median log perplexity, and so many times the distance from it to the 5th and 95th percentile.
 BAND, TAIL = 8.0, 0.05
 MARKS = "#*$%&|<>"
-_DOCS = 400  # documents of a batch that are scored together
+_DOCS = 400  # documents that are packed and scored together
+_PIECE = 1 << 18  # bytes of text that are turned into n-grams at once
+_HELD = 1 << 22  # n-grams that a task counts before it hands them on
+_CHUNK = 32 << 20  # bytes of a table that share a chunk, about
 
 
-def _symbols(found: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Symbols of words in a row, place in the word, where words begin, and for each order the n-gram that ends there."""
-    sizes = np.fromiter(map(len, found), np.int64, len(found)) + 2
+def _pieces(found: list[bytes]):
+    """Texts -> their numbers and bytes with beginning and end, in lots of about _PIECE bytes.
+
+    A longer text is cut; a later piece repeats the ORDER - 1 bytes before it and is not `fresh`.
+    """
+    lot, size = [], 0
+    for i, text in enumerate(found):
+        whole = b"\x02" + text + b"\x03"
+        for a in range(0, len(whole), _PIECE):
+            piece = whole[max(0, a - ORDER + 1) : a + _PIECE]
+            if lot and size + len(piece) > 2 * _PIECE:
+                yield lot
+                lot, size = [], 0
+            lot.append((i, a == 0, piece))
+            size += len(piece)
+    if lot:
+        yield lot
+
+
+def _symbols(lot: list[tuple[int, bool, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Place in the piece, whether a symbol is predicted here, where pieces begin, and for each order the n-gram that ends there."""
+    sizes = np.fromiter((len(x[2]) for x in lot), np.int64, len(lot))
     starts = np.cumsum(sizes) - sizes
-    x = np.frombuffer(b"".join(b"\x02" + w + b"\x03" for w in found), np.uint8).astype(np.int64)
+    x = np.frombuffer(b"".join(x[2] for x in lot), np.uint8).astype(np.int64)
     place = np.arange(len(x)) - np.repeat(starts, sizes)
+    fresh = np.repeat(np.fromiter((x[1] for x in lot), bool, len(lot)), sizes)
     grams, g = [], np.zeros(len(x), np.int64)
     for n in range(ORDER):
         g = g.copy()
         if n < len(x):
             g[n:] |= x[: len(x) - n] << (8 * n)
         grams.append(g)
-    return x, place, starts, grams
+    return place, (place > 0) & (fresh | (place >= ORDER - 1)), starts, grams
 
 
-def _counted(batches):
-    """Distinct words with counts -> full n-grams (shorter ones where a word begins), summed over the batch."""
-    for batch in batches:
-        tags, inverse = np.unique(batch.column(0).to_numpy(zero_copy_only=False), return_inverse=True)
-        every = np.array(batch.column(1).to_pylist(), object)
-        count = batch.column(2).to_numpy()
-        for i, tag in enumerate(tags):
-            at = np.flatnonzero(inverse == i)
-            for a in range(0, len(at), 20_000):
-                part = at[a : a + 20_000]
-                found = [w.encode() for w in every[part]]
-                _, place, _, grams = _symbols(found)
-                weight = np.repeat(count[part], [len(w) + 2 for w in found])
-                for n in range(2, ORDER + 1):
-                    here = place >= ORDER - 1 if n == ORDER else place == n - 1
-                    key, group = np.unique(grams[n - 1][here], return_inverse=True)
-                    if len(key):
-                        total = np.bincount(group, weight[here]).astype(np.int64)
-                        yield pa.record_batch([pa.array(np.full(len(key), tag)), pa.array(np.full(len(key), n, np.int32)), pa.array(key), pa.array(total)], ["tag", "n", "gram", "c"])
-
-
-def ngrams(docs: DataFrame) -> DataFrame:
-    """docs (text, tag) -> tag, n, gram, c: raw counts of full n-grams, continuation counts of the shorter ones."""
-    counted = staged(docs.select("tag", F.explode(words(F.col("text"))).alias("word")).groupBy("tag", "word").agg(F.count(F.lit(1)).alias("c")), "words")
-    full = staged(counted.mapInArrow(_counted, "tag long, n int, gram long, c long").groupBy("tag", "n", "gram").agg(F.sum("c").alias("c")), "grams")
+def _split(text: str | None, running: bool) -> list[bytes]:
+    """What the model takes for a unit: the running text, or (not running) each word alone."""
+    found = (text or "").encode().split()
+    return [b" ".join(found)] if running and found else found
+
+
+def _counter(running: bool):
+    def run(batches):
+        """chunk, doc_id, tag, text -> chunk, tag, n, gram, c: full n-grams, and shorter ones where a text begins."""
+        held: dict[tuple[int, int], list] = {}
+
+        def merged(parts):
+            key, group = np.unique(np.concatenate([x[0] for x in parts]), return_inverse=True)
+            return key, np.bincount(group, np.concatenate([x[1] for x in parts])).astype(np.int64)
+
+        def flushed():
+            for (chunk, tag), parts in held.items():
+                key, c = merged(parts) if parts else ((), ())  # texts without a word
+                for a in range(0, len(key), 100_000):
+                    k = key[a : a + 100_000]
+                    yield pa.record_batch([pa.array(np.full(len(k), chunk)), pa.array(np.full(len(k), tag)), pa.array((k >> 40).astype(np.int32)), pa.array(k & ((1 << 40) - 1)), pa.array(c[a : a + 100_000])], ["chunk", "tag", "n", "gram", "c"])
+            held.clear()
+
+        for batch in batches:
+            where: dict[tuple[int, int], list[int]] = {}
+            for i, at in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                where.setdefault(at, []).append(i)
+            for at, rows in where.items():
+                parts = held.setdefault(at, [])
+                found = (u for i in rows for u in _split(batch.column(3)[i].as_py(), running))
+                for lot in _pieces(found):
+                    place, todo, _, grams = _symbols(lot)
+                    order = np.minimum(place + 1, ORDER)
+                    key = np.choose(order - 1, grams) | (order << 40)
+                    key, c = np.unique(key[todo], return_counts=True)
+                    parts.append((key, c))
+                    if sum(len(x[0]) for x in parts[1:]) > max(1 << 20, len(parts[0][0])):
+                        parts[:] = [merged(parts)]
+            if sum(len(x[0]) for parts in held.values() for x in parts) > _HELD:
+                yield from flushed()
+        yield from flushed()
+
+    return run
+
+
+def asked(docs: DataFrame, running: bool = True) -> DataFrame:
+    """docs (chunk, doc_id, tag, text) -> chunk, tag, n, gram, c: what each chunk holds, with counts; staged."""
+    return staged(docs.select("chunk", "doc_id", "tag", "text").mapInArrow(_counter(running), "chunk long, tag long, n int, gram long, c long"), "asked")
+
+
+def ngrams(found: DataFrame) -> DataFrame:
+    """asked() -> tag, n, gram, c: raw counts of full n-grams, continuation counts of the shorter ones."""
+    full = staged(found.groupBy("tag", "n", "gram").agg(F.sum("c").alias("c")), "grams")
     level, levels = full.where(F.col("n") == ORDER), []
     levels.append(level)
     for n in range(ORDER - 1, 0, -1):
@@ -105,76 +155,61 @@ def smoothed(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return out, contexts.select("tag", "n", "context", "gamma")
 
 
-def _hash(tag, n, gram) -> np.ndarray:
-    return mix64(mix64(gram.astype(np.uint64) * np.uint64(8) + np.uint64(n)) ^ np.asarray(tag).astype(np.int64).view(np.uint64))
-
-
 class Model:
-    """For each order sorted hash arrays: n-gram -> log p, context -> log gamma."""
+    """For each language and order sorted arrays: n-gram -> log p, context -> log gamma (without a text's own n-grams only)."""
 
-    def __init__(self, grams: list[tuple[np.ndarray, np.ndarray]], contexts: list[tuple[np.ndarray, np.ndarray]]):
+    def __init__(self, grams: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]], contexts: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] | None = None):
         self.grams, self.contexts = grams, contexts
 
     @staticmethod
     def _look(arrays, key) -> tuple[np.ndarray, np.ndarray]:
-        keys, values = arrays
-        if not len(keys):
+        if arrays is None or not len(arrays[0]):
             return np.zeros(len(key), bool), np.zeros(len(key))
+        keys, values = arrays
         at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
         found = keys[at] == key
         return found, np.where(found, values[at], 0.0)
 
     def score(self, tag: int, found: list[bytes]) -> np.ndarray:
-        """Natural log probability of each word, its end included."""
-        _, place, starts, grams = _symbols(found)
-        out, back, todo, tag = np.zeros(len(place)), np.zeros(len(place)), place > 0, np.int64(tag)
-        for n in range(ORDER, 0, -1):
-            at = np.flatnonzero(todo & (place >= n - 1))
-            gram = grams[n - 1][at]
-            hit, value = self._look(self.grams[n - 1], _hash(tag, n, gram))
-            out[at[hit]] = back[at[hit]] + value[hit]
-            todo[at[hit]] = False
-            at, gram = at[~hit], gram[~hit]
-            back[at] += self._look(self.contexts[n - 1], _hash(tag, n, gram >> 8))[1]
-        out[todo] = back[todo] - math.log(SYMBOLS)
-        return np.add.reduceat(out, starts) if len(found) else np.zeros(0)
-
-
-def fit(docs: DataFrame) -> Model:
-    """docs: text, tag (a hash of the language). The arrays come from tables of at most SLOTS rows an order."""
-    grams, contexts = smoothed(ngrams(docs))
-
-    def arrays(df: DataFrame, key: str, value: str, rank: str) -> list[tuple[np.ndarray, np.ndarray]]:
-        slot = F.pmod(F.xxhash64("tag", "n", key), F.lit(SLOTS))
-        kept = df.groupBy("n", slot.alias("slot")).agg(F.max_by(F.struct("tag", key, F.log(value).alias("v")), F.struct(rank, "tag", key)).alias("x")).select("n", "x.*")
-        kept, out = staged(kept, "model"), []
-        for n in range(1, ORDER + 1):
-            t = kept.where(F.col("n") == n).select("tag", key, "v").toArrow()
-            h = _hash(t.column(0).to_numpy(), n, t.column(1).to_numpy())
-            order = np.argsort(h)
-            out.append((h[order], t.column(2).to_numpy()[order].astype(np.float32)))
-        return out
-
-    return Model(arrays(grams, "gram", "p", "c"), arrays(contexts, "context", "gamma", "gamma"))
-
-
-class _Scores:
-    """Word -> log probability, language by language; a bounded memory, filled for many words at a time."""
-
-    def __init__(self, model: Model, limit: int = 250_000):
-        self.model, self.limit, self.known, self.size = model, limit, {}, 0
-
-    def learn(self, tag: int, found: set[bytes]) -> dict[bytes, float]:
-        known = self.known.setdefault(tag, {})
-        new = list(found.difference(known))
-        if self.size + len(new) > self.limit:
-            self.known, self.size = {tag: (known := {})}, 0
-            new = list(found)
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            known.update(zip(part, self.model.score(tag, part).tolist(), strict=True))
-        self.size += len(new)
-        return known
+        """Natural log probability of each text, its end included. Without contexts every n-gram must be known."""
+        total = np.zeros(len(found))
+        for lot in _pieces(found):
+            place, todo, starts, grams = _symbols(lot)
+            out, back = np.zeros(len(place)), np.zeros(len(place))
+            for n in range(ORDER, 0, -1):
+                at = np.flatnonzero(todo & (place >= n - 1))
+                gram = grams[n - 1][at]
+                hit, value = self._look(self.grams.get((tag, n)), gram)
+                if self.contexts is None and not hit.all():
+                    raise LookupError("texts hold n-grams that their chunk did not count: its rows changed between two reads")
+                out[at[hit]] = back[at[hit]] + value[hit]
+                todo[at[hit]] = False
+                at, gram = at[~hit], gram[~hit]
+                if len(at):
+                    back[at] += self._look(self.contexts.get((tag, n)), gram >> 8)[1]
+            out[todo] = back[todo] - math.log(SYMBOLS)
+            np.add.at(total, [x[0] for x in lot], np.add.reduceat(out, starts))
+        return total
+
+
+def _arrays(tag: np.ndarray, n: np.ndarray, key: np.ndarray, value: np.ndarray) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
+    out = {}
+    for t in np.unique(tag):
+        for k in range(1, ORDER + 1):
+            at = np.flatnonzero((tag == t) & (n == k))
+            at = at[np.argsort(key[at], kind="stable")]
+            out[int(t), k] = key[at], value[at]
+    return out
+
+
+def fit(docs: DataFrame, running: bool = False) -> Model:
+    """docs: text, tag -> the whole model in memory, for small tables only: the query looks n-grams up by chunks."""
+    def arrays(df: DataFrame, key: str, value: str):
+        t = df.select("tag", "n", key, F.log(value).alias("v")).toArrow()
+        return _arrays(*(t.column(i).to_numpy() for i in range(4)))
+
+    grams, contexts = smoothed(ngrams(asked(docs.withColumns({"chunk": F.lit(0).cast("long"), "doc_id": F.lit(0)}), running)))
+    return Model(arrays(grams, "gram", "p"), arrays(contexts, "context", "gamma"))
 
 
 def _marked(text: str) -> int:
@@ -201,34 +236,77 @@ def _in_repeats(hashes: np.ndarray) -> int:
 _MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, surprise double"
 
 
-def measured(docs: DataFrame, model: Model) -> DataFrame:
-    """docs (doc_id, tag, text) -> doc_id, tag, the counts and `surprise`: negative log probability a byte (null: no words)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches):
-        hashes, scores = HashMemo(), _Scores(shared.value)
-        for whole in batches:
-            for i in range(0, whole.num_rows, _DOCS):
-                batch = whole.slice(i, _DOCS)
-                tags = batch.column(1).to_pylist()
-                texts = [t or "" for t in batch.column(2).to_pylist()]
-                split = [t.encode().split() for t in texts]
-                rows = [None] * len(texts)
-                for tag in set(tags):
-                    own = [j for j, t in enumerate(tags) if t == tag]
-                    for a in range(0, len(own), 50):
-                        some = own[a : a + 50]
-                        known = scores.learn(tag, set().union(*(split[j] for j in some)))
-                        for j in some:
-                            found, text = split[j], texts[j]
-                            size = sum(map(len, found))
-                            spaces = sum(map(text.count, " \t\n\x0b\x0c\r"))
-                            surprise = -sum(map(known.__getitem__, found)) / (size + len(found)) if found else None
-                            rows[j] = (len(found), len(text) - spaces, _marked(text), _same_lines(text), _in_repeats(hashes.array(found)), surprise)
-                kinds = [pa.int64()] * 5 + [pa.float64()]
-                yield pa.record_batch([batch.column(0), batch.column(1), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds))], ["doc_id", "tag", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "surprise"])
-
-    return docs.select("doc_id", "tag", "text").mapInArrow(run, "doc_id long, tag long, " + _MEASURES)
+_PARTS = "chunk long, tag long, n int, gram long, v float, docs binary"
+
+
+def _pack(batches):
+    """chunk, doc_id, tag, text -> compressed lots of documents, each of one chunk; n tells how they sort: after n-grams."""
+    for whole in batches:
+        chunk = whole.column(0).to_numpy()
+        for c in np.unique(chunk):
+            own = pa.Table.from_batches([whole]).filter(pa.array(chunk == c)).select(["doc_id", "tag", "text"])
+            for a in range(0, own.num_rows, _DOCS):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, own.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as out:
+                    out.write_table(own.slice(a, _DOCS))
+                yield pa.record_batch([pa.array([int(c)]), pa.array([0], pa.int64()), pa.array([ORDER + 1], pa.int32()), pa.array([0], pa.int64()), pa.array([0], pa.float32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["chunk", "tag", "n", "gram", "v", "docs"])
+
+
+def _rated(batch: pa.Table, model: Model, hashes: HashMemo) -> pa.RecordBatch:
+    tags = batch.column("tag").to_pylist()
+    texts = [t or "" for t in batch.column("text").to_pylist()]
+    split = [t.encode().split() for t in texts]
+    surprise: list[float | None] = [None] * len(texts)
+    for tag in set(tags):
+        own = [j for j, t in enumerate(tags) if t == tag and split[j]]
+        found = [b" ".join(split[j]) for j in own]
+        for j, f, s in zip(own, found, model.score(tag, found).tolist(), strict=True):
+            surprise[j] = -s / (len(f) + 1)
+    rows = []
+    for text, found, s in zip(texts, split, surprise, strict=True):
+        spaces = sum(map(text.count, " \t\n\x0b\x0c\r"))
+        rows.append((len(found), len(text) - spaces, _marked(text), _same_lines(text), _in_repeats(hashes.array(found)), s))
+    kinds = [pa.int64()] * 5 + [pa.float64()]
+    return pa.record_batch([batch.column("doc_id").combine_chunks(), batch.column("tag").combine_chunks(), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds))], ["doc_id", "tag", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "surprise"])
+
+
+def _measure(batches):
+    """Rows of _PARTS, chunk by chunk, n-grams before documents."""
+    hashes, chunk, held, model = HashMemo(), None, [], None
+    for batch in batches:
+        chunks, n = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+        cuts = [0, *(np.flatnonzero((np.diff(chunks) != 0) | (np.diff(n > ORDER) != 0)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:]):
+            if a == b:
+                continue
+            if chunks[a] != chunk:
+                chunk, held, model = chunks[a], [], None
+            if n[a] <= ORDER:
+                held.append([batch.column(i).slice(a, b - a).to_numpy() for i in (1, 2, 3, 4)])
+                continue
+            if model is None:
+                model = Model(_arrays(*map(np.concatenate, zip(*held))) if held else {})
+                held = []
+            for i in range(a, b):
+                yield _rated(pa.ipc.open_stream(batch.column(5)[i].as_buffer()).read_all(), model, hashes)
+
+
+def measured(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, tag, text) -> doc_id, tag, the counts and `surprise`: negative log probability a byte (null: no words).
+
+    A chunk is a partition of the table, or a share by hash where partitions are large: what a task holds of the model
+    is bounded by the text it scores, however large the model is.
+    """
+    shares = max(1, round(docs.sparkSession._jsparkSession.sessionState().conf().filesMaxPartitionBytes() / _CHUNK))
+    docs = docs.withColumn("chunk", F.spark_partition_id().cast("long") * shares + F.pmod(F.xxhash64("text"), F.lit(shares)))
+    found = asked(docs)
+    grams, _ = smoothed(ngrams(found))
+    known = found.select("chunk", "tag", "n", "gram").join(grams.select("tag", "n", "gram", F.log("p").cast("float").alias("v")), ["tag", "n", "gram"])
+    known = staged(known.select("chunk", "tag", "n", "gram", "v"), "known").withColumn("docs", F.lit(None).cast("binary"))
+    # the same columns as in asked(): what a small table's repartition deals out where depends on the columns it has
+    lots = docs.select("chunk", "doc_id", "tag", "text").mapInArrow(_pack, _PARTS)
+    parts = known.unionByName(lots).repartition("chunk").sortWithinPartitions("chunk", "n")
+    return parts.mapInArrow(_measure, "doc_id long, tag long, " + _MEASURES)
 
 
 def bands(rows: DataFrame) -> DataFrame:
@@ -245,7 +323,7 @@ def op10_kneser_ney(spark, sf_dir: str) -> DataFrame:
     their own. A null or repeated doc_id is carried along; equal rows get equal answers. An empty table gives no rows.
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.xxhash64(F.coalesce("lang", F.lit(""))).alias("tag"))
-    rows = staged(measured(docs, fit(docs)), "measures")
+    rows = staged(measured(docs), "measures")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     inside = F.coalesce(F.col("surprise").between(F.col("low"), F.col("high")), F.lit(False))
     limits = staged(bands(rows.where(~failed)), "bands")  # a row a language; of known size, so Spark can choose to broadcast it

@@ -377,6 +377,25 @@ def test_op10_model_is_a_distribution(spark):
     assert abs(sum(p("\x02th" + chr(c)) for c in range(quality.SYMBOLS)) - 1) < 1e-9
 
 
+def test_op10_order_of_words_and_whole_model(spark, monkeypatch):
+    """The query's scores are those of an independent running-text model: n-grams cross word limits and none is dropped."""
+    from strandloom.llm import quality
+
+    rng = np.random.default_rng(3)
+    texts = ["the cat sat on the mat and then the cat ran", "mat the on sat cat the ran cat the then and", "a dog  and\na cat sat there"] + [" ".join("".join(chr(97 + c) for c in rng.integers(0, 26, 7)) for _ in range(60)) for _ in range(40)] + ["", None]
+    df = spark.createDataFrame([(i, 5 + i % 2, t) for i, t in enumerate(texts)], "doc_id long, tag long, text string").repartition(3)
+    monkeypatch.setattr(quality, "_PIECE", 37)  # texts longer than a piece
+    model = quality.fit(df, running=True)
+    assert sum(len(k) for (_, n), (k, _) in model.grams.items() if n == 5) == len({(5 + i % 2, g) for i, t in enumerate(texts) if t for s in ["\x02" + " ".join(t.split()) + "\x03"] for g in (s[j : j + 5] for j in range(len(s) - 4))})
+    got = {r.doc_id: r.surprise for r in quality.measured(df).collect()}
+    assert len(got) == len(texts) and got[len(texts) - 1] is None and got[len(texts) - 2] is None
+    for i, t in enumerate(texts[:-2]):
+        t = " ".join(t.split()).encode()
+        assert got[i] == pytest.approx(-model.score(5 + i % 2, [t])[0] / (len(t) + 1), rel=1e-5)
+    fluent, shuffled = (model.score(5, [t.encode()])[0] for t in (texts[0], "mat the cat on sat the ran then the cat and"))
+    assert fluent > shuffled
+
+
 def test_components(spark):
     """Chains, stars and repeats against union-find."""
     import random
