@@ -396,6 +396,25 @@ def test_op10_order_of_words_and_whole_model(spark, monkeypatch):
     assert fluent > shuffled
 
 
+def test_op10_rejects_planted_junk(spark, tmp_path):
+    """Texts that pass the counts but read like no language of the corpus: letters at random, and real words joined to a table."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    rng = np.random.default_rng(5)
+    d = pq.read_table("/root/testdata/sf0.01/documents.parquet").to_pylist()
+    vocabulary = sorted({w for r in d if r["lang"] == "en" for w in r["text"].split()})
+    junk = [" ".join("".join(chr(c) for c in rng.integers(33, 127, 7)) for _ in range(120)) for _ in range(5)] + [" | ".join(rng.choice(vocabulary, 100)) for _ in range(5)]
+    d += [{"doc_id": 10**6 + i, "text": t, "lang": "en", "source": "src0", "n_chars": len(t)} for i, t in enumerate(junk)]
+    pq.write_table(pa.Table.from_pylist(d, pq.read_schema("/root/testdata/sf0.01/documents.parquet")), tmp_path / "documents.parquet")
+    got = run(spark, "op10_kneser_ney", str(tmp_path))
+    planted = got[got.doc_id >= 10**6].sort_values("doc_id")
+    print(planted[["doc_id", "perplexity", "low", "high", "kept"]])
+    assert not planted.base_failed.any() and not planted.kept.any()
+    clean = got[(got.doc_id < 10**6) & ~got.base_failed]
+    assert clean.kept.mean() > 0.95
+
+
 def test_components(spark):
     """Chains, stars and repeats against union-find."""
     import random
