@@ -15,7 +15,7 @@ from strandloom.llm.secrets import op6_linked_credentials
 from strandloom.llm.sharding import op5_hash_tree
 from strandloom.llm.simhash import op2_simhash
 from strandloom.llm.substrings import op8_suffix_trees
-from strandloom.llm.urls import OP7_SQL, op7_bloom_cascade
+from strandloom.llm.urls import OP7_FAMILIES_SQL, OP7_SQL, op7_blocked_families, op7_bloom_cascade
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chosen_path": op1_chosen_path,
@@ -25,8 +25,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_hash_tree": op5_hash_tree,
     "op6_linked_credentials": op6_linked_credentials,
     "op7_bloom_cascade": op7_bloom_cascade,
+    "op7_blocked_families": op7_blocked_families,
     "op8_suffix_trees": op8_suffix_trees,
     "op9_entropy_balance": op9_entropy_balance,
     "op10_kneser_ney": op10_kneser_ney,
 }
-ORACLES: dict[str, str] = {"op7_bloom_cascade": OP7_SQL}
+ORACLES: dict[str, str] = {"op7_bloom_cascade": OP7_SQL, "op7_blocked_families": OP7_FAMILIES_SQL}

@@ -17,6 +17,8 @@ from strandloom.llm.common import staged, table
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 #: Hosts with such a label are listed: advertising and tracking services.
 LISTED = r"(^|[.-])(ads?|adserver|banners?|clicks?|track(er|ing)?)([.-]|$)"
+#: All blocked families: advertising and tracking, adult, gambling, pills, spam farms.
+FAMILIES = r"(^|[.-])(ads?|adserver|banners?|clicks?|track(er|ing)?|adult|porn|xxx|sex|bets?|betting|casinos?|gambling|poker|slots|pills?|pharma|viagra|spam)([.-]|$)"
 BITS_A_KEY, HASHES = 10, 7
 #: No filter is larger (bits; 64 MB): a bound of what is sent to the executors. A list beyond it is refused.
 MOST_BITS = 1 << 29
@@ -99,21 +101,31 @@ class Cascade:
         return told
 
 
-def op7_bloom_cascade(spark, sf_dir: str) -> DataFrame:
-    """Verdict for every page: the longest rule's, else block for listed hosts and allow for all others.
-
-    Null urls and urls without :// have empty host and path, fit no rule and are allowed. Equal rows get equal answers.
-    An empty table gives no rows.
-    """
+def verdicts(spark, sf_dir: str, listed: str) -> DataFrame:
+    """Verdict for every page: the longest rule's, else block for hosts that `listed` (a pattern) names and allow for all others."""
     host, path = host_and_path(F.col("url"))
     pages = table(spark, sf_dir, "pages").select("page_id", host.alias("host"), path.alias("path"))
-    universe = staged(pages.select(F.col("host").alias("key")).distinct().withColumn("listed", F.col("key").rlike(LISTED)), "hosts")
+    universe = staged(pages.select(F.col("host").alias("key")).distinct().withColumn("listed", F.col("key").rlike(listed)), "hosts")
     filters = Cascade(universe)
     rule, verdict = ruled(F.col("host"), F.col("path"))
     method = F.when(filters.listed(F.col("host")), F.lit("block")).otherwise(F.lit("allow"))
     return pages.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, method).alias("verdict"))
 
 
+def op7_bloom_cascade(spark, sf_dir: str) -> DataFrame:
+    """Verdict for every page: the longest rule's, else block for listed hosts and allow for all others.
+
+    Null urls and urls without :// have empty host and path, fit no rule and are allowed. Equal rows get equal answers.
+    An empty table gives no rows.
+    """
+    return verdicts(spark, sf_dir, LISTED)
+
+
+def op7_blocked_families(spark, sf_dir: str) -> DataFrame:
+    """As op7_bloom_cascade, with the list of all blocked families: that query's SQL fixes its own list, the first family."""
+    return verdicts(spark, sf_dir, FAMILIES)
+
+
 OP7_SQL = """
 WITH a AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
 b AS (SELECT page_id, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
@@ -129,3 +141,4 @@ SELECT page_id, host, path, rule, CASE
         WHEN regexp_matches(host, '(^|[.-])(ads?|adserver|banners?|clicks?|track(er|ing)?)([.-]|$)') THEN 'block' ELSE 'allow' END AS verdict
 FROM c
 """
+OP7_FAMILIES_SQL = OP7_SQL.replace(LISTED, FAMILIES)

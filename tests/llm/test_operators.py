@@ -254,6 +254,24 @@ def test_op7_cascade_is_exact(spark):
         urls.BITS_A_KEY = urls_bits
 
 
+def test_op7_blocks_each_planted_family(spark, tmp_path):
+    import duckdb
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    bad = ["ads-track", "adult-x", "free-bets", "casino-win", "cheap-pills", "spam-farm"]
+    good = ["loads", "adultery", "alphabets", "spillway", "spamalot", "www"]
+    urls = [f"https://blog.{h}.example.org/en/a" for h in bad + good] + [f"https://{h}.example.net/es/a" for h in good] + ["https://casino-win.example.com/de/", None]
+    pq.write_table(pa.table({"page_id": pa.array(range(len(urls)), pa.int64()), "url": urls, "html": urls}), tmp_path / "pages.parquet")
+    got = run(spark, "op7_blocked_families", str(tmp_path))
+    said = dict(zip(got.page_id, got.verdict))
+    assert [said[i] for i in range(len(urls))] == ["block"] * 6 + ["allow"] * 6 + ["block"] * 6 + ["allow"] * 2
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet'")
+    want = c.sql(registry.ORACLES["op7_blocked_families"]).df().astype({"page_id": "Int64"})
+    assert rows(got, sorted(got.columns)) == rows(want, sorted(got.columns))
+
+
 def test_op8(spark, hard_dir, docs):
     got = run(spark, "op8_suffix_trees", hard_dir)
     split = [WORD.findall(text_of(t)) for t in docs.text]
