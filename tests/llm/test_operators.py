@@ -228,6 +228,19 @@ def test_op6_weak_parts_need_partners(spark):
     assert clean[0] == texts[0] and clean[4] == "[secret] [secret]" and clean[1] == "[secret] " + "pad " * 10 + "[secret]"
 
 
+def test_op6_long_tokens(spark):
+    """Opaque tokens of any length, also where the first digit or the first letter comes late."""
+    from strandloom.llm import secrets
+
+    tokens = ["Ab1" * 667, "x" * 100 + "7", "7" * 100 + "x", "Qr5+/" * 40_000 + "==", "z" * 2000]
+    df = spark.createDataFrame([(i, f"user=alice {t} end") for i, t in enumerate(tokens)], "doc_id long, text string")
+    opaque = [k.name for k in secrets.BASE + secrets.WEAK].index("opaque")
+    got = {r.doc_id: [(s.start, s.end) for s in r.spans if s.kind == opaque] for r in secrets.spans(df).collect()}
+    assert got == {i: [(11, 11 + len(t))] for i, t in enumerate(tokens[:4])}
+    clean = {r.doc_id: r.text for r in secrets.redacted(df, secrets.spans(df)).collect()}
+    assert all(clean[i] == "[secret] [secret] end" for i in range(4)) and clean[4] == f"user=alice {tokens[4]} end"
+
+
 def test_op7(spark, hard_dir):
     import duckdb
 
