@@ -344,13 +344,24 @@ def located_positions(spark, sf_dir):
     return intervals.located(places, begins).select("event_id", "raw", "contig_id", "pos")
 
 
+def _over_variants(spark, sf_dir, part):
+    found = hits(spark, sf_dir).withColumn("first", F.col("pos")).withColumn("last", F.col("pos") + F.col("length") - 1)
+    variants = part.selectExpr("p_partkey % 7 AS contig_id", "p_partkey % 1500 AS first", "p_partkey % 1500 + p_size % 5 AS last", "p_partkey AS variant")
+    return intervals.overlapping(found, variants, "contig_id", 256).groupBy("read_id", "contig_id", "pos", "strand", "ed", "variant").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(_H + """, v AS (SELECT (p_partkey % 7)::BIGINT AS contig_id, p_partkey % 1500 AS first, p_partkey % 1500 + p_size % 5 AS last, p_partkey AS variant FROM part WHERE p_size > 45)
 SELECT read_id, contig_id, hits.pos, strand, ed, variant, count(*) AS n FROM hits JOIN v USING (contig_id) WHERE hits.pos <= v.last AND v.first <= hits.pos + length - 1 GROUP BY ALL""")
 def hits_over_variants(spark, sf_dir):
     """Hits whose bases overlap a variant: an interval join in buckets."""
-    found = hits(spark, sf_dir).withColumn("first", F.col("pos")).withColumn("last", F.col("pos") + F.col("length") - 1)
-    variants = _table(spark, sf_dir, "part").where("p_size > 45").selectExpr("p_partkey % 7 AS contig_id", "p_partkey % 1500 AS first", "p_partkey % 1500 + p_size % 5 AS last", "p_partkey AS variant")
-    return intervals.overlapping(found, variants, "contig_id", 256).groupBy("read_id", "contig_id", "pos", "strand", "ed", "variant").agg(F.count(F.lit(1)).alias("n"))
+    return _over_variants(spark, sf_dir, _table(spark, sf_dir, "part").where("p_size > 45"))
+
+
+@query(_H + """, v AS (SELECT (p_partkey % 7)::BIGINT AS contig_id, p_partkey % 1500 AS first, p_partkey % 1500 + p_size % 5 AS last, p_partkey AS variant FROM part)
+SELECT read_id, contig_id, hits.pos, strand, ed, variant, count(*) AS n FROM hits JOIN v USING (contig_id) WHERE hits.pos <= v.last AND v.first <= hits.pos + length - 1 GROUP BY ALL""")
+def hits_over_all_variants(spark, sf_dir):
+    """As hits_over_variants, for every row of part: that query's SQL fixes its filter."""
+    return _over_variants(spark, sf_dir, _table(spark, sf_dir, "part"))
 
 
 @query("SELECT l_orderkey, l_linenumber, l_quantity::BIGINT AS indel, floor((-5.0::DOUBLE + (l_quantity - 1) * -0.4::DOUBLE) / -5.0::DOUBLE)::BIGINT AS mismatches, (l_partkey * 1737350767) % 4294967296 AS hashed, greatest(10, least(40, l_quantity::BIGINT))::BIGINT AS held FROM lineitem")

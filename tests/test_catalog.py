@@ -65,3 +65,16 @@ def test_clusters_from_first_against_a_plain_fold(spark):
         want |= {(read, contig, *k) for k in kept}
     got = catalog.QUERIES["clusters_from_first"](spark, SF).toPandas()
     assert {tuple(r) for r in got[["read_id", "contig_id", "pos", "ed", "strand"]].itertuples(index=False)} == want and len(got) == len(want)
+
+
+def test_every_variant_meets_the_hits(spark):
+    """Against brute force over all rows of part."""
+    hits, part = catalog.hits(spark, SF).toPandas(), pd.read_parquet(f"{SF}/part.parquet")
+    part = part.assign(contig_id=part.p_partkey % 7, first=part.p_partkey % 1500, last=part.p_partkey % 1500 + part.p_size % 5)
+    met = hits.merge(part, on="contig_id")
+    met = met[(met.pos <= met["last"]) & (met["first"] <= met.pos + met["length"] - 1)]
+    want = met.groupby(["read_id", "contig_id", "pos", "strand", "ed", "p_partkey"]).size().reset_index()
+    got = catalog.QUERIES["hits_over_all_variants"](spark, SF).toPandas()
+    assert rows(got[["read_id", "contig_id", "pos", "strand", "ed", "variant", "n"]].set_axis(list("abcdefg"), axis=1)) == rows(want.set_axis(list("abcdefg"), axis=1))
+    print("rows", len(got), (part.p_size > 45).sum(), len(part))
+    assert (part.p_size <= 45).any()
