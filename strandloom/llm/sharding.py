@@ -21,45 +21,83 @@ class Tree:
     weights: tuple[float, ...] = ()
 
     def weight(self, leaf: int) -> float:
-        return self.weights[leaf] if self.weights else 1.0
+        return (self.weights[leaf] if self.weights else 1.0) if leaf < self.shards else 0.0
 
-    def racks(self) -> list[list[int]]:
-        return [list(range(i, min(i + self.per_rack, self.shards))) for i in range(0, self.shards, self.per_rack)]
+    def regions(self) -> int:
+        return -(-self.shards // (self.per_rack * self.per_region))
 
-    def regions(self) -> list[list[list[int]]]:
-        racks = self.racks()
-        return [racks[i : i + self.per_region] for i in range(0, len(racks), self.per_region)]
 
+#: Levels of draws: children of the root, of a region, of a rack; a light leaf's mark and delay; a heavy leaf's excess.
+_REGION, _RACK, _SHARD, _MARK, _DELAY, _EXCESS = range(6)
 
-def _draw(key: Column, leaf: int, weight: float) -> Column:
-    """An exponential draw of rate `weight` for this key at this leaf; the least draw wins."""
-    u = (F.shiftrightunsigned(F.xxhash64(key, F.lit(leaf)), 11).cast("double") + 0.5) * F.lit(2.0**-53)
-    return -F.log(u) / F.lit(float(weight))
 
+def _uniform(key: Column, level: int, node: Column) -> Column:
+    return (F.shiftrightunsigned(F.xxhash64(key, F.lit(level), node.cast("long")), 11).cast("double") + 0.5) * F.lit(2.0**-53)
 
-def _winner(nodes: list[Column]) -> Column:
-    """The node with the least draw; every node is a struct that starts with its draw."""
-    return F.array_min(F.array(*nodes))
+
+def _draw(key: Column, level: int, node: Column, rate: Column | float = 1.0) -> Column:
+    """An exponential draw of a rate for this key at this node; the least draw wins."""
+    return -F.log(_uniform(key, level, node)) / (F.lit(float(rate)) if isinstance(rate, (int, float)) else rate)
+
+
+def _first(key: Column, level: int, parent: Column, width: int) -> Column:
+    """The child with the least draw, all children being alike."""
+    children = [parent * width + i for i in range(width)]
+    return F.array_min(F.array(*[F.struct(_draw(key, level, c).alias("d"), c.alias("n")) for c in children]))["n"]
 
 
 def with_shard(df: DataFrame, key: str, tree: Tree, out: str) -> DataFrame:
     """Adds `out`, the leaf of `key` in the tree, and out_region, out_rack.
 
-    A leaf draws an exponential time of its weight's rate, and an inner node draws the least time below it, which is an
-    exponential of the subtree's total weight. So the descent takes each child with probability in proportion to its
-    weight at all three levels, and a change of one leaf's weight changes draws only on its own path: rows move only
-    into or out of that leaf. A null key draws as any other value. Leaves of weight 0 or less take nothing.
+    A row descends: one draw for each region, then one for each rack of the winner, then one for each of its shards
+    (2 + 4 + 5 draws for 40 shards). Draws go by room, not by what stands there yet: a rack has room for per_rack shards
+    of weight 1 and a region for per_region racks, so an old node's draws never change when others come or grow. A row
+    that lands on a shard which is not there, or (by its mark) on what a shard of less than 1 lacks, goes on to the
+    region or shard with the next time: of a node's children the first has the node's own time, each other one comes
+    later by as much as its draw exceeds the least, which is exponential of its own rate again. What a shard weighs above 1 draws beside
+    the regions. So each shard's time is exponential in its own weight, rows are dealt by weight at all three levels,
+    and a new or changed shard moves rows only into or out of itself. A null key draws as any other value. Shards of
+    weight 0 or less take nothing.
     """
-    regions, k = [], 0
-    for i, region in enumerate(tree.regions()):
-        racks = []
-        for rack in region:
-            leaves = [F.struct(_draw(F.col(key), leaf, tree.weight(leaf)).alias("d"), F.lit(i).alias("g"), F.lit(k).alias("r"), F.lit(leaf).alias("s")) for leaf in rack if tree.weight(leaf) > 0]
-            k += 1
-            racks += [_winner(leaves)] if leaves else []
-        regions += [_winner(racks)] if racks else []
-    df = df.withColumn("_leaf", _winner(regions))
-    return df.withColumns({f"{out}_region": F.col("_leaf.g"), f"{out}_rack": F.col("_leaf.r"), out: F.col("_leaf.s")}).drop("_leaf")
+    k, weights = F.col(key), [tree.weight(i) for i in range(tree.shards)]
+    of_region = tree.per_region * tree.per_rack
+    held = [min(max(tree.weight(i), 0.0), 1.0) for i in range(tree.regions() * of_region)]
+    heavy = [(i, w - 1.0) for i, w in enumerate(weights) if w > 1]
+    none = F.lit(None).cast("long")
+    regions = [_draw(k, _REGION, F.lit(g), of_region) for g in range(tree.regions())]
+    roots = [F.struct(t.alias("t"), F.lit(g).cast("long").alias("n"), none.alias("leaf")) for g, t in enumerate(regions)]
+    roots += [F.struct(_draw(k, _EXCESS, F.lit(i), more).alias("t"), none.alias("n"), F.lit(i).cast("long").alias("leaf")) for i, more in heavy]
+    df = df.withColumn("_root", F.array_min(F.array(*roots)))
+    df = df.withColumn("_rack", _first(k, _RACK, F.col("_root.n"), tree.per_region))
+    df = df.withColumn("_leaf", F.coalesce(F.col("_root.leaf"), _first(k, _SHARD, F.col("_rack"), tree.per_rack)))
+    won, made = F.col("_leaf"), ["_root", "_rack", "_leaf"]
+    if min(held, default=1.0) < 1:  # some room is empty: rows that land there compare the times of regions and shards
+        share = F.get(F.array(*map(F.lit, held)), F.col("_leaf").cast("int"))
+        df = df.withColumn("_done", F.col("_root.leaf").isNotNull() | (_uniform(k, _MARK, F.col("_leaf")) < share))
+        now = lambda c: F.when(~F.col("_done"), c)
+        times, cols = [r for r in roots[tree.regions() :]], {}
+        for g, t in enumerate(regions):
+            racks = range(g * tree.per_region, (g + 1) * tree.per_region)
+            if min(held[g * of_region : (g + 1) * of_region]) == 1:
+                times.append(F.struct(t.alias("t"), F.lit(g).cast("long").alias("n"), none.alias("leaf")))
+                continue
+            cols[f"_g{g}"] = now(F.array(*[_draw(k, _RACK, F.lit(r), tree.per_rack) for r in racks]))
+            for j, r in enumerate(racks):
+                leaves = range(r * tree.per_rack, (r + 1) * tree.per_rack)
+                if max(held[i] for i in leaves) > 0:
+                    cols[f"_r{r}"] = now(F.array(*[_draw(k, _SHARD, F.lit(i)) for i in leaves]))
+                    begun = t + F.get(f"_g{g}", F.lit(j)) - F.array_min(f"_g{g}")
+                    for i, leaf in enumerate(leaves):
+                        if held[leaf] > 0:
+                            later = F.when(_uniform(k, _MARK, F.lit(leaf)) < held[leaf], F.lit(0.0)).otherwise(_draw(k, _DELAY, F.lit(leaf), held[leaf]))
+                            times.append(F.struct((begun + F.get(f"_r{r}", F.lit(i)) - F.array_min(f"_r{r}") + later).alias("t"), none.alias("n"), F.lit(leaf).cast("long").alias("leaf")))
+        df = df.withColumns(cols).withColumn("_next", now(F.array_min(F.array(*times))))
+        df = df.withColumn("_rack", F.when(F.col("_next.leaf").isNull(), _first(k, _RACK, F.col("_next.n"), tree.per_region)))
+        won = F.when(F.col("_done"), won).otherwise(F.coalesce(F.col("_next.leaf"), _first(k, _SHARD, F.col("_rack"), tree.per_rack)))
+        made += ["_done", "_next", *cols]
+    df = df.withColumn(out, won.cast("int")).drop(*made)
+    rack = F.floor(F.col(out) / tree.per_rack).cast("int")
+    return df.withColumns({f"{out}_region": F.floor(rack / tree.per_region).cast("int"), f"{out}_rack": rack})
 
 
 def with_slots(df: DataFrame, shard: str, key: str, rows_per_cell: int = 50_000, out: str = "slot") -> DataFrame:

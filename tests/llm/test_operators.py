@@ -198,6 +198,35 @@ def test_op5_weights(spark):
     assert set(got.b[got.a != got.b]) == {5}
 
 
+@pytest.mark.parametrize("n", [1, 7, 39, 40])
+def test_op5_growth(spark, n):
+    """One more shard takes rows only into itself, whether its rack and region are new or not; all shares stay even."""
+    from strandloom.llm.sharding import Tree, with_shard
+
+    got = with_shard(with_shard(spark.range(20_000), "id", Tree(n), "a"), "id", Tree(n + 1), "b").toPandas()
+    moved = got[got.a != got.b]
+    assert set(moved.b) == {n} and abs(len(moved) / len(got) - 1 / (n + 1)) < 0.02
+    assert got.b.value_counts().between(0.75 * 20_000 / (n + 1), 1.25 * 20_000 / (n + 1)).all()
+    assert (got.b_rack == got.b // 5).all() and (got.b_region == got.b // 20).all()
+
+
+def test_op5_light_and_heavy_shards(spark):
+    """Weights below and above 1, and 0; a change moves rows only into or out of the changed shard."""
+    from dataclasses import replace
+
+    from strandloom.llm.sharding import Tree, with_shard
+
+    weights = (0.25, 1.0, 2.0, 3.0, 0.5, 1.0, 0.0, 0.75)
+    tree = Tree(8, 3, 2, weights)
+    for leaf, w in ((0, 0.5), (3, 1.0), (6, 0.3), (4, 0.0)):
+        more = replace(tree, weights=(*weights[:leaf], w, *weights[leaf + 1 :]))
+        got = with_shard(with_shard(spark.range(20_000), "id", tree, "a"), "id", more, "b").toPandas()
+        moved = got[got.a != got.b]
+        assert set(moved.a) == {leaf} or set(moved.b) == {leaf}
+        share = got.b.value_counts(normalize=True)
+        assert all(abs(share.get(i, 0.0) - x / sum(more.weights)) < 0.015 for i, x in enumerate(more.weights))
+
+
 def test_op6(spark, hard_dir, docs):
     got = run(spark, "op6_linked_credentials", hard_dir)
     kinds = [("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)), ("access", re.compile("AKIA[A-Z0-9]+")), ("hex", re.compile("[0-9a-f]+"))]
