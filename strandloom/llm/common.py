@@ -4,15 +4,19 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+from pyspark.sql.window import Window
 
 #: Separators of words: space and the ASCII control characters from tab to carriage return.
 SPACES = r"[\x20\x09-\x0D]+"
 _LOCAL: dict[str, str] = {}
+_OPEN: list[list[str]] = []
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -28,9 +32,13 @@ def words(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; only a session without one gets a local folder."""
+    """The folder that driver and executors share. Only a local session without one gets a folder of its own; elsewhere
+    the executors could not see each other's files, so the setting is demanded.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share; intermediate tables need one")
         app = spark.sparkContext.applicationId
         if app not in _LOCAL:
             _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="strandloom-")
@@ -38,10 +46,11 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Writes a table to the shared folder and reads it back: lineage ends here, a lost executor costs nothing done so far.
 
-    The shuffle files of the write are dropped as soon as it is done.
+    The shuffle files of the write are dropped as soon as it is done, the table itself at the end of the scratch() that
+    it was made in, if any; with `keep` at the end of the one around that.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -51,12 +60,51 @@ def staged(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(_CLEAN, before)
+    around = _OPEN[:-1] if keep else _OPEN
+    if around:
+        around[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables staged inside are deleted at the end, but for those kept: nothing made inside may be read lazily after it."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        jvm = spark.sparkContext._jvm
+        for path in _OPEN.pop():
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def with_fields(df: DataFrame, more: str) -> StructType:
+    """The schema of a table, whatever its columns are called, and further fields (DDL)."""
+    return StructType([*df.schema.fields, *StructType.fromDDL(more).fields])
+
+
+def told_apart(columns) -> Column:
+    """A digest that orders rows which agree in all else: the choice among them is the same on every run."""
+    return F.sha2(F.to_json(F.struct(*columns)), 256)
+
+
+def numbered(df: DataFrame, order, out: str, parts: int | None = None) -> DataFrame:
+    """Adds `out`: places 0.. in an order without ties. Ranges are numbered apart from each other; only their sizes, a
+    row a range, meet in one task.
+    """
+    parts = parts or min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.count() // 50_000 + 1)
+    dealt = staged(df.repartitionByRange(parts, order).withColumn("_range", F.spark_partition_id()), "ranges")
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    begins = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_begin"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(order)) - 1
+    return dealt.withColumn("_place", place).join(begins, "_range").withColumn(out, F.col("_begin") + F.col("_place")).drop("_range", "_place", "_begin")
+
+
 def packed(df: DataFrame, names: list[str]) -> DataFrame:
     """The named columns, and all others in one struct `_rest`: whatever they are called, they clash with nothing."""
-    rest = [F.col(f"`{c}`") for c in df.columns if c not in names]
+    rest = [F.col("`" + c.replace("`", "``") + "`") for c in df.columns if c not in names]
     return df.select(*names, (F.struct(*rest) if rest else F.lit(0)).alias("_rest"))
 
 
