@@ -6,6 +6,7 @@ text whole, in bounded steps.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
 
@@ -15,17 +16,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strandloom.llm.common import table
+from strandloom.llm.common import table, with_fields
 
 BUCKETS, WIDTH, ORDERS = 1 << 15, 16, (1, 2, 3)
-#: Bounds of the training sample: documents of all languages together, and subword occurrences drawn from each text.
-SAMPLE_DOCS, SAMPLE_SUBWORDS = 4000, 192
+#: Bound of the training sample: documents of all languages together. Their texts count whole.
+SAMPLE_DOCS = 4000
 EPOCHS, BATCH, RATE = 6, 64, 0.5
 #: Steps of gradient descent at least: small samples are passed more often.
 STEPS = 350
 #: Of the calibration documents that are predicted right, the share that the rejection threshold may lose.
 LOST = 0.001
-STEP = 1 << 20  # code points of a text that are hashed at a time
+STEP = 1 << 20  # symbols of a text that are hashed at a time
 UNKNOWN = "und"
 
 
@@ -34,22 +35,45 @@ def _letters() -> np.ndarray:
     return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
 
-def subwords(text: str) -> tuple[np.ndarray, int]:
-    """Bucket of every subword of 1 to 3 letters (a run of other characters counts as one edge), and the letters."""
-    codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")
-    letter = _letters()[codes]
-    n = int(letter.sum())
-    x = np.where(letter, codes, 32).astype(np.uint64)
-    keep = np.ones(len(x), bool)
-    keep[1:] = letter[1:] | letter[:-1]
-    x = np.concatenate(([np.uint64(32)], x[keep], [np.uint64(32)]))
-    found, h = [], np.zeros(len(x), np.uint64)
-    for k in range(max(ORDERS)):
-        h = h[: len(x) - k] * np.uint64(0x9E3779B97F4A7C15) + x[k:] + np.uint64(1)
-        if k + 1 in ORDERS:
-            g = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-            found.append((g >> np.uint64(49)).astype(np.int32))
-    return np.concatenate(found), n
+def _symbols(text: str) -> Iterator[tuple[np.ndarray, int]]:
+    """A text's letters in order, each run of other characters as one edge, an edge at both ends; and how many letters."""
+    low, after_letter = text.lower(), True
+    yield np.array([32], np.uint64), 0
+    for i in range(0, len(low), STEP):
+        codes = np.frombuffer(low[i : i + STEP].encode("utf-32-le", "surrogatepass"), "<u4")
+        letter = _letters()[codes]
+        keep = letter.copy()
+        keep[1:] |= letter[:-1]
+        keep[0] |= after_letter
+        after_letter = bool(letter[-1])
+        yield np.where(letter, codes, 32).astype(np.uint64)[keep], int(letter.sum())
+    yield np.array([32], np.uint64), 0
+
+
+def subwords(text: str) -> Iterator[tuple[np.ndarray, int]]:
+    """Buckets of all subwords of 1 to 3 symbols of a text, step by step (the same however it is stepped), and letters."""
+    tail = np.empty(0, np.uint64)
+    for part, n in _symbols(text):
+        x, old = np.concatenate((tail, part)), len(tail)
+        found, h = [], np.zeros(len(x), np.uint64)
+        for k in range(max(ORDERS)):
+            h = h[: max(len(x) - k, 0)] * np.uint64(0x9E3779B97F4A7C15) + x[k:] + np.uint64(1)
+            if k + 1 in ORDERS:
+                new = h[max(old - k, 0) :]  # those that end in this part
+                g = (new ^ (new >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+                found.append((g >> np.uint64(49)).astype(np.int32))
+        tail = x[max(len(x) - max(ORDERS) + 1, 0) :]
+        yield np.concatenate(found), n
+
+
+def counted(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct buckets of a whole text and their counts; none without a letter. No more than BUCKETS of them."""
+    total, letters = np.zeros(BUCKETS, np.int64), 0
+    for found, n in subwords(text or ""):
+        total += np.bincount(found, minlength=BUCKETS)
+        letters += n
+    at = np.flatnonzero(total) if letters else np.empty(0, np.int64)
+    return at.astype(np.int32), total[at].astype(np.float32)
 
 
 @dataclass(frozen=True)
@@ -64,8 +88,7 @@ class Model:
         if not text or not self.languages:
             return UNKNOWN, 0.0
         total, count, letters = np.zeros(len(self.languages)), 0, 0
-        for i in range(0, len(text), STEP):
-            found, n = subwords(text[i : i + STEP])
+        for found, n in subwords(text):
             total += self.votes[found].sum(0, dtype=np.float64)
             count, letters = count + len(found), letters + n
         if not letters:
@@ -76,8 +99,8 @@ class Model:
         return self.languages[best], float(p[best] / p.sum())
 
 
-def fit(languages: list[str], labels: np.ndarray, rows: list[np.ndarray], held: np.ndarray) -> Model:
-    """rows: subword buckets of each document; held: the documents that calibrate instead of train."""
+def fit(languages: list[str], labels: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]], held: np.ndarray) -> Model:
+    """rows: subword buckets of each document and their shares; held: the documents that calibrate instead of train."""
     rng, k = np.random.default_rng(7), len(languages)
     emb, w, b = rng.normal(0, 1 / WIDTH, (BUCKETS, WIDTH)), np.zeros((WIDTH, k)), np.zeros(k)
     train = np.flatnonzero(~held)
@@ -90,24 +113,25 @@ def fit(languages: list[str], labels: np.ndarray, rows: list[np.ndarray], held:
         rng.shuffle(train)
         for i in range(0, len(train), BATCH):
             part = train[i : i + BATCH]
-            sizes = np.array([len(rows[j]) for j in part])
-            flat, doc = np.concatenate([rows[j] for j in part]), np.repeat(np.arange(len(part)), sizes)
-            mean = np.add.reduceat(emb[flat], np.concatenate(([0], np.cumsum(sizes)[:-1])), 0) / sizes[:, None]
+            sizes = np.array([len(rows[j][0]) for j in part])
+            flat, share = (np.concatenate([rows[j][x] for j in part]) for x in (0, 1))
+            doc = np.repeat(np.arange(len(part)), sizes)
+            mean = np.add.reduceat(emb[flat] * share[:, None], np.concatenate(([0], np.cumsum(sizes)[:-1])), 0)
             z = mean @ w + b
             p = np.exp(z - z.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
             p[np.arange(len(part)), labels[part]] -= 1
             rate = RATE * (1 - done / steps)
-            back = (p @ w.T) / sizes[:, None]
+            back = p @ w.T
             w -= rate * mean.T @ p / len(part) * 8
             b -= rate * p.mean(0)
             order = np.argsort(flat, kind="stable")
             at = np.flatnonzero(np.diff(flat[order], prepend=-1))
-            emb[flat[order][at]] -= rate * np.add.reduceat(back[doc[order]], at, 0) * 8
+            emb[flat[order][at]] -= rate * np.add.reduceat((back[doc] * share[:, None])[order], at, 0) * 8
             done += 1
     votes = emb @ w
     calib = np.flatnonzero(held) if held.any() else train
-    z = np.array([votes[rows[j]].mean(0) + b for j in calib]).reshape(-1, k)
+    z = np.array([rows[j][1] @ votes[rows[j][0]] + b for j in calib]).reshape(-1, k)
     y = labels[calib]
 
     doubt = 1 / (len(y) + 2)  # that a sample without a mistake leaves: keeps scores off 1
@@ -128,37 +152,42 @@ def fit(languages: list[str], labels: np.ndarray, rows: list[np.ndarray], held:
     return Model(tuple(languages), (votes / heat).astype(np.float32), b / heat, threshold)
 
 
-def train(docs: DataFrame, docs_bound: int = SAMPLE_DOCS, subwords_bound: int = SAMPLE_SUBWORDS) -> Model:
+def train(docs: DataFrame, docs_bound: int = SAMPLE_DOCS) -> Model:
     """Fits a model to docs (doc_id, text, lang).
 
     At most docs_bound documents, the same number for each language, are taken by the order of a hash of doc_id: a
-    share that gives about a fifth more than wanted passes first, so that only the sample itself is ordered. From each
-    text at most subwords_bound occurrences, spread over the whole of it, reach the driver (4 bytes each).
+    share that gives about a fifth more than wanted passes first, so that only the sample itself is ordered. Their texts
+    count whole: the counts of their subwords, BUCKETS at most for each, reach the driver. A column of more languages
+    than docs_bound is refused.
     """
     docs = docs.where("text IS NOT NULL AND lang IS NOT NULL").withColumn("h", F.pmod(F.xxhash64(F.col("doc_id"), F.lit("sample")), F.lit(1 << 40)))
-    counts = docs.groupBy("lang").count()
-    known = {r["lang"]: r["count"] for r in counts.orderBy("lang").limit(docs_bound).collect()}
+    none = Model((), np.zeros((BUCKETS, 0), np.float32), np.zeros(0), 0.0)
+    known = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().orderBy("lang").limit(docs_bound + 1).collect()}
     if not known:
-        return Model((), np.zeros((BUCKETS, 0), np.float32), np.zeros(0), 0.0)
-    each = max(1, docs_bound // len(known))
+        return none
+    if len(known) > docs_bound:
+        raise ValueError(f"more than {docs_bound} languages: a sample of so many documents cannot hold one of each")
+    each = docs_bound // len(known)
     share = docs.sparkSession.createDataFrame([(lang, min(1.0, (1.2 * each + 50) / n) * (1 << 40)) for lang, n in known.items()], "lang string, below double")
     picked = docs.join(F.broadcast(share), "lang").where("h < below")  # a row for each language, no more than docs_bound
-    picked = picked.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("nth") <= each)
+    picked = picked.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "text"))).where(F.col("nth") <= each)
 
     def run(batches):
         for batch in batches:
-            out = []
-            for text, h in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                found, n = subwords(text)
-                if n and len(found) > subwords_bound:
-                    found = found[np.sort(np.random.default_rng(h).choice(len(found), subwords_bound, replace=False))]
-                out.append(found if n else found[:0])
-            yield pa.record_batch([batch.column(1), batch.column(2), pa.array(out, pa.list_(pa.int32()))], ["lang", "h", "found"])
-
-    rows = sorted((r for r in picked.select("text", "lang", "h").mapInArrow(run, "lang string, h long, found array<int>").collect() if r["found"]), key=lambda r: (r["lang"], r["h"], r["found"]))
-    languages = sorted({r["lang"] for r in rows})
-    labels = np.array([languages.index(r["lang"]) for r in rows], int)
-    return fit(languages, labels, [np.array(r["found"], np.int32) for r in rows], np.array([r["h"] % 5 == 0 for r in rows], bool))
+            made = [counted(t.as_py()) for t in batch.column(0)]
+            columns = [pa.array([m[i] for m in made], pa.list_(kind)) for i, kind in ((0, pa.int32()), (1, pa.float32()))]
+            yield pa.record_batch([batch.column(1), batch.column(2), *columns], ["lang", "h", "found", "n"])
+
+    told = picked.select("text", "lang", "h").mapInArrow(run, "lang string, h long, found array<int>, n array<float>").toArrow()
+    lang, h = told.column("lang").to_pylist(), told.column("h").to_pylist()
+    rows = [(f.values.to_numpy(), n.values.to_numpy()) for f, n in zip(told.column("found"), told.column("n"), strict=True)]
+    order = sorted((i for i in range(len(rows)) if len(rows[i][0])), key=lambda i: (lang[i], h[i], rows[i][0].tobytes(), rows[i][1].tobytes()))
+    if not order:
+        return none
+    rows = [(rows[i][0], rows[i][1] / rows[i][1].sum()) for i in order]
+    languages = sorted({lang[i] for i in order})
+    labels = np.array([languages.index(lang[i]) for i in order], int)
+    return fit(languages, labels, rows, np.array([h[i] % 5 == 0 for i in order], bool))
 
 
 def may_learn() -> Column:
@@ -169,7 +198,7 @@ def may_learn() -> Column:
 def predicted(docs: DataFrame, model: Model) -> DataFrame:
     """docs with lang_pred, score, rejected added. The model is broadcast: BUCKETS x languages numbers."""
     shared, names = docs.sparkSession.sparkContext.broadcast(model), docs.columns
-    schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes) + ", lang_pred string, score double, rejected boolean"
+    schema = with_fields(docs, "lang_pred string, score double, rejected boolean")
 
     def run(batches):
         model = shared.value
