@@ -1,7 +1,7 @@
 """Mixing sources to target weights by entropy balancing.
 
-Each document gets a rate, an exponential tilt of its size, such that its source meets its target of words; rates then
-become whole copies.
+Each document gets a rate, an exponential tilt of its size held to at most MOST, such that its source meets its target
+of words (a capped tilt: the dual is that of the balance with an upper bound on rates); rates then become whole copies.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strandloom.llm.common import packed, staged, table, unpacked, words
+from strandloom.llm.common import numbered, packed, scratch, staged, table, told_apart, unpacked, with_fields, words
 
 #: Weights of the sources in order, the share of all words that the mix has, copies of a document at most.
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
@@ -22,22 +22,22 @@ CELL = 4096
 def targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """source, source_size -> and weight, target.
 
-    Sources in code point order, null last, take the weights in turn. The level at which `share` of all words is dealt
-    by weight with no source above `most` times its size comes from running sums over the sources in order of the level
-    at which each fills up. The table has a row for each source; only the level, a number, reaches the driver.
+    Sources in code point order, null last, take the weights in turn: ranges of sources are numbered apart, so no task
+    orders them all. The level at which `share` of all words is dealt by weight with no source above `most` times its
+    size comes from filling up: sources that a level would take above their cap are set to it and the rest is dealt
+    again, until no more are. Only sums over the sources reach the driver.
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    ranked = sources.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int")))
-    ranked = ranked.withColumn("full_at", most * F.col("source_size") / F.col("weight"))
-    by_level = Window.orderBy("full_at", F.col("source").asc_nulls_last())
-    until = by_level.rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    steps = ranked.select(
-        "full_at",
-        ((F.lit(share) * F.sum("source_size").over(every) - most * F.coalesce(F.sum("source_size").over(until), F.lit(0))) / (F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(until), F.lit(0.0)))).alias("level"),
-    )
-    level = steps.where("level <= full_at").agg(F.min("full_at").alias("f"), F.min_by("level", "full_at").alias("level")).first()["level"]
-    return ranked.withColumn("target", F.least(F.lit(float(level or 0.0)) * F.col("weight"), (most * F.col("source_size")).cast("double"))).drop("full_at")
+    ranked = numbered(sources, F.col("source").asc_nulls_last(), "_rank")
+    ranked = ranked.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("_rank") % len(weights) + 1).cast("int"))).drop("_rank")
+    ranked = staged(ranked.withColumn("_full_at", most * F.col("source_size") / F.col("weight")), "ranked")
+    level, full = 0.0, -1
+    while True:  # the level only rises, so each round sets more sources to their cap or is the last
+        capped = F.col("_full_at") < F.lit(level)
+        got = ranked.agg(F.count(F.when(capped, 1)).alias("full"), F.sum("source_size").alias("all"), F.sum(F.when(capped, F.col("source_size"))).alias("in_full"), F.sum(F.when(~capped, F.col("weight"))).alias("open")).first()
+        if got["full"] == full or not got["open"]:
+            break
+        full, level = got["full"], (share * got["all"] - most * (got["in_full"] or 0)) / got["open"]
+    return ranked.withColumn("target", F.least(F.lit(float(level)) * F.col("weight"), (most * F.col("source_size")).cast("double"))).drop("_full_at")
 
 
 def tilts(sizes: DataFrame, wanted: DataFrame, most: float = MOST, rounds: int = 60, near: float = 1e-6) -> DataFrame:
@@ -92,18 +92,19 @@ def mix(docs: DataFrame) -> DataFrame:
     are rounded apart from each other, so a source of any size spreads over many tasks.
     """
     docs = staged(docs, "sizes")
-    sources = docs.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("docs"))
-    wanted = staged(targets(staged(sources, "sources")), "targets")
-    sizes = staged(docs.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "histogram")
-    solved = tilts(sizes, wanted)
-    about = wanted.withColumnRenamed("source", "_s").join(solved.withColumnRenamed("source", "_t"), F.col("_s").eqNullSafe(F.col("_t"))).drop("_t")
-    about = staged(about, "about")  # a row a source; of known size, so Spark can choose to broadcast it
+    with scratch(docs.sparkSession):
+        sources = docs.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("docs"))
+        wanted = staged(targets(staged(sources, "sources")), "targets")
+        sizes = staged(docs.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "histogram")
+        solved = tilts(sizes, wanted)
+        about = wanted.withColumnRenamed("source", "_s").join(solved.withColumnRenamed("source", "_t"), F.col("_s").eqNullSafe(F.col("_t"))).drop("_t")
+        about = staged(about, "about", keep=True)  # a row a source; of known size, so Spark can choose to broadcast it
     rated = docs.join(about, F.col("source").eqNullSafe(F.col("_s")))
     rate = F.when(F.col("full"), F.lit(float(MOST))).otherwise(F.least(F.lit(float(MOST)), F.exp(F.least(F.col("tilt") * F.col("size") / F.col("scale"), F.lit(50.0)))))
     order = F.xxhash64(*docs.columns)
     rated = rated.withColumn("rate", rate).withColumn("order", order).withColumn("cell", F.pmod(F.xxhash64("order"), F.ceil(F.col("docs") / CELL)))
     kept = [*docs.columns, "source_size", "target"]
-    schema = ", ".join(f"`{c}` {t}" for c, t in rated.select(*kept).dtypes) + ", copies int"
+    schema = with_fields(rated.select(*kept), "copies int")
     return rated.select(*kept, "rate", "order", "cell").groupBy("source", "cell").applyInPandas(_round, schema)
 
 
@@ -118,12 +119,17 @@ def op9_entropy_balance(spark, sf_dir: str) -> DataFrame:
 
 
 def resampled(docs: DataFrame) -> DataFrame:
-    """The documents themselves, each as often as the mix takes it (columns unchanged)."""
+    """The documents themselves, each as often as the mix takes it (columns unchanged).
+
+    Rows that repeat doc_id and text, whatever their other columns hold, are taken as often as the mix takes them all
+    together, from that one of them whose other columns come first by their digest. Null text has no words, so it is
+    kept or not as its source's rate for nothing is rounded; an empty table gives no rows.
+    """
     names = ["doc_id", "source", "text"]
     keyed = packed(docs, names).withColumn("_h", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
     slim = keyed.select("doc_id", "source", F.col("_h"), F.size(words(F.col("text"))).cast("long").alias("size"))
     taken = staged(mix(slim), "mix").groupBy("doc_id", "_h").agg(F.sum("copies").alias("_copies")).where("_copies > 0")
     taken = taken.select(F.col("doc_id").alias("_doc"), F.col("_h").alias("_k"), "_copies")
-    first = keyed.withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id", "_h").orderBy(F.lit(0)))).where("_nth = 1")
+    first = keyed.withColumn("_told", told_apart(["source", "text", "_rest"])).withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id", "_h").orderBy("_told"))).where("_nth = 1")
     joined = first.join(taken, first["doc_id"].eqNullSafe(F.col("_doc")) & (F.col("_h") == F.col("_k")))
     return unpacked(joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))), docs.columns, names)
