@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strandloom.llm.common import HashMemo, chained, components, mix64, packed, staged, table, unpacked
+from strandloom.llm.common import HashMemo, chained, components, mix64, packed, scratch, staged, table, told_apart, unpacked
 
 #: Token positions chosen at the roots of all trees together (4 trees of 2), and at each inner node.
 ROOTS, BRANCHES = 8, 3
@@ -24,9 +24,11 @@ ROOTS, BRANCHES = 8, 3
 SKETCH = 128
 #: Documents in a node that are compared exhaustively; larger nodes are cut into blocks that share PIVOTS documents.
 NODE, PIVOTS = 1000, 32
-#: Shingles that a task compares at a time, and those of documents outside a node's main component that are compared
-#: with the whole node; with more of them the node branches, this many levels at most.
-BLOCK_SHINGLES, OUTSIDE, LEVELS = 1_000_000, 3_000_000, 6
+#: Shingles and documents of a node that a task compares at a time (more go to further blocks).
+BLOCK_SHINGLES, BLOCK = 1_000_000, 4000
+#: A node of more than NODE documents, more than so many of them outside its main component, branches, this many levels
+#: at most; then its outside documents are compared with its blocks in groups of this size.
+OUTSIDE, LEVELS = 256, 6
 #: Standard deviations that a sketch's estimate may fall short of the least similarity.
 SLACK = 4.5
 
@@ -259,6 +261,18 @@ def _in_blocks(rows: DataFrame, blocks, everywhere) -> DataFrame:
     return rows.withColumn("key", F.when(F.col("_block") == 0, F.col("key")).otherwise(F.xxhash64("key", "_block"))).drop("_block")
 
 
+def _in_cells(rows: DataFrame, blocks, groups) -> DataFrame:
+    """Rows of a node dealt to cells of a block (all documents) and a group (of those outside the main component, as
+    `query`): each pair of an outside document with any other one meets in one cell, and no cell grows with the node."""
+    each = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    block, group = F.pmod(F.xxhash64("rep"), blocks), F.pmod(F.xxhash64("rep", F.lit("group")), groups)
+    cell = lambda b, g, query: F.struct(b.alias("b"), g.alias("g"), F.lit(query).alias("query"))
+    plain = F.transform(each(groups), lambda g: cell(block, g, False))
+    asked = F.when(F.col("outer"), F.transform(each(blocks), lambda b: cell(b, group, True)))
+    rows = rows.withColumn("_c", F.explode(F.concat(plain, F.coalesce(asked, F.expr("cast(array() as array<struct<b:bigint,g:bigint,query:boolean>>)")))))
+    return rows.select(F.xxhash64("key", "_c.b", "_c.g").alias("key"), "rep", "n", "sketch", "comp", "_c.query")
+
+
 def _in_order(rows: DataFrame) -> DataFrame:
     """Each node in one piece and in order of its key."""
     return rows.repartition("key").sortWithinPartitions("key")
@@ -267,11 +281,14 @@ def _in_order(rows: DataFrame) -> DataFrame:
 def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """docs: row (unique), text -> (row, n, root), (a, b): sizes and component (least row) of all, and confirmed links.
 
-    Documents with equal sets stand as one from the start. A first pass links each node by a spanning forest. Then
-    components are known, and nodes that were dense or large only need links between different ones: documents outside
-    a node's main component against all of it, on full sets. So a group of near copies costs about as many rows as it
-    has members, not pairs. A pair at the least similarity is missed with a chance of about (1 - similarity) to the
-    power ROOTS (under 1 in 300,000), plus as much again for its sketch.
+    Documents with equal sets stand as one from the start. At the roots small nodes are compared whole and large ones in
+    blocks that share pivots; a spanning forest of what is alike links them. Then components are known, and large or
+    dense nodes only need links between different ones. Such a node branches, level by level, until it is small, or
+    until so few documents are outside its main component that they are compared with all of it, on full sets: a group
+    of near copies never grows smaller by branching, and costs about as many rows as it has members, not pairs. Nodes
+    within one component need no more work. A pair at the least similarity is missed with a chance of about (1 -
+    similarity) to the power ROOTS (under 1 in 300,000), more by (1 - similarity) to the power BRANCHES for each level
+    below, plus as much again for its sketch. README has the recall as measured against all pairs.
     """
     told = staged(signed(docs, shingle), "signed")
     sets = staged(told.where("set_key IS NOT NULL").groupBy("set_key").agg(F.min("row").alias("rep")), "sets")
@@ -294,17 +311,19 @@ def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> tuple
         rows, found = rows.select("key", "rep", "n", "sketch", "comp"), None
         for depth in range(LEVELS + 1):
             parts = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("n"))
-            about = parts.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.max_by("n", F.struct("c", "comp")).alias("inside"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("k"))
-            about = staged(about.where("k > 1").select(F.col("key").alias("_k"), "main", "all", (F.col("all") - F.col("inside")).alias("outside")), "about")
-            deep = about.where(F.col("outside") > OUTSIDE).select("_k") if depth < LEVELS else about.where("false").select("_k")
-            flat = about.where(F.col("outside") <= OUTSIDE) if depth < LEVELS else about
-            query = F.col("comp") != F.col("main")
-            cut = _in_blocks(rows.join(flat, of_key(flat)).withColumn("query", query), F.ceil(F.col("all") / BLOCK_SHINGLES), query)
-            held = staged(_in_order(cut.select("key", "rep", "n", "sketch", "comp", "query")).mapInArrow(_outside(similarity), "key long, rep long, comp long, query boolean"), "outside")
+            main = F.struct("c", "comp")
+            about = parts.groupBy("key").agg(F.max_by("comp", main).alias("main"), F.sum("n").alias("all"), F.sum("c").alias("m"), F.max("c").alias("inside"), F.count(F.lit(1)).alias("k"))
+            about = staged(about.where("k > 1").select(F.col("key").alias("_k"), "main", "all", "m", (F.col("m") - F.col("inside")).alias("outside")), "about")
+            deep = (F.col("m") > NODE) & (F.col("outside") > OUTSIDE) & F.lit(depth < LEVELS)
+            flat = about.where(~deep)
+            cut = rows.join(flat, of_key(flat)).withColumn("outer", F.col("comp") != F.col("main"))
+            cut = _in_cells(cut, F.greatest(F.ceil(F.col("all") / BLOCK_SHINGLES), F.ceil(F.col("m") / BLOCK)), F.ceil(F.col("outside") / OUTSIDE))
+            held = staged(_in_order(cut).mapInArrow(_outside(similarity), "key long, rep long, comp long, query boolean"), "outside")
             found = held if found is None else found.unionByName(held)
-            if not deep.limit(1).count():
+            large = about.where(deep).select("_k")
+            if not large.limit(1).count():
                 break
-            rows = staged(rows.join(deep, of_key(deep), "left_semi").mapInArrow(_branch, _NODE), "level")
+            rows = staged(rows.join(large, of_key(large), "left_semi").mapInArrow(_branch, _NODE), "level")
         if found.limit(1).count():
             full = _full_sets(found.select("rep").distinct(), docs, sets, shingle)
             exact = _in_order(found.join(full, "rep").select("key", "rep", "comp", "query", "s")).mapInArrow(_exact(similarity), "a long, b long")
@@ -323,7 +342,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
     """
     known = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
     rows = known.select(F.col("doc_id").alias("row"), "text")
-    told, _ = similar(rows, shingle, similarity)
+    with scratch(docs.sparkSession):
+        told = staged(similar(rows, shingle, similarity)[0], "near", keep=True)
     told = told.select(F.col("row").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("root").alias("component_id"), (F.col("row") == F.col("root")).alias("kept"))
     none = signed(docs.where("doc_id IS NULL").select(F.lit(0).cast("long").alias("row"), "text"), shingle)
     none = none.select(F.lit(None).cast("long").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept"))
@@ -333,13 +353,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
 def deduplicated(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """The documents (all columns) with one of each component left: that with the least doc_id.
 
-    Rows that repeat doc_id and text leave one row; rows with a null doc_id all stay.
+    Rows that repeat doc_id and text leave one row, whose other columns come first by their digest; rows with a null
+    doc_id all stay. Null and wordless texts are linked with nothing. An empty table gives no rows.
     """
     names = ["doc_id", "text"]
     kept = near_duplicates(docs, shingle, similarity).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_kept")).distinct()
     rows = packed(docs, names)
-    known = rows.where("doc_id IS NOT NULL").withColumn("_h", F.xxhash64(F.coalesce("text", F.lit(""))))
-    known = known.withColumn("_again", F.lag("_h").over(Window.partitionBy("doc_id").orderBy("_h")))
+    known = rows.where("doc_id IS NOT NULL").withColumn("_h", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn("_told", told_apart(["text", "_rest"]))
+    known = known.withColumn("_again", F.lag("_h").over(Window.partitionBy("doc_id").orderBy("_h", "_told")))
     known = known.where(F.col("_again").isNull() | (F.col("_again") != F.col("_h")))
     known = known.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi").select(*rows.columns)
     return unpacked(known.unionByName(rows.where("doc_id IS NULL")), docs.columns, names)
