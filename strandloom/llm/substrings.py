@@ -1,27 +1,32 @@
 """Substring dedup: repeated runs of words across documents, found in suffix trees that are partitioned by prefix.
 
-The tree of all suffixes is never built whole. A window of WINDOW words is filed under one prefix of PREFIX words, the
-least inside it by hash, which is the same wherever the same words stand; only prefixes that occur in two documents can
-lie above a repeat, and only their windows are followed. A prefix with few documents is one group; one with many is
-extended to the whole window, so that every group fits a task. Sorting a group puts the leaves of its subtree side by
-side: neighbours that share all WINDOW words lie under one internal node of that depth, and the windows of a document
-under such nodes join up to its maximal repeats.
+The tree of all suffixes is never built whole. A repeat of WINDOW words holds an anchor of PREFIX words, the least of its
+runs of so many words by hash, which is the same wherever the same words stand. So only suffixes whose first WINDOW
+words hold an anchor that two documents share can lie under a deep node; they are dealt to groups by that anchor.
+A group with many documents is split by more of the suffix's own first words, LENGTHS of them in turn, so that every
+group fits a task. A group carries the words themselves. It sorts its suffixes by them; common-prefix lengths of
+neighbours then give the internal nodes: suffixes between which no common prefix is shorter than WINDOW words are the
+leaves under one node of that depth, and what a document has under such nodes joins up to its maximal repeats.
 """
 
 from __future__ import annotations
 
 import hashlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import HashMemo, chained, mix64, staged, table
+from strandloom.llm.common import HashMemo, chained, mix64, scratch, staged, table
 
 WINDOW, PREFIX = 13, 5
-#: Documents under one short prefix that a task sorts together; larger groups are split by the next words.
-GROUP = 500
+#: Documents under one prefix that a task sorts together; larger groups are split by this many words of the suffix.
+GROUP, LENGTHS = 500, (5, 9, 13)
+#: Different words that a task numbers before it starts anew with the next group.
+_WORDS = 1_000_000
 
 
 def _least_prefix(prefixes: np.ndarray) -> np.ndarray:
@@ -60,7 +65,8 @@ def _anchors(batches):
         yield pa.record_batch([_column(batch, "doc_id"), _column(batch, "rid"), pa.array(list(map(len, found)), pa.int32()), pa.array(digests, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))], ["doc_id", "rid", "n", "digest", "anchors"])
 
 
-_LEAVES = "group long, doc_id long, rid long, start int, n int, nodes array<long>"
+_LEAVES = "group long, doc_id long, rid long, starts array<int>, n int, words binary"
+_RUNS = "doc_id long, rid long, start int, n int"
 
 
 def _runs(doc: np.ndarray, rid: np.ndarray, start: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -73,63 +79,159 @@ def _runs(doc: np.ndarray, rid: np.ndarray, start: np.ndarray, *more: np.ndarray
     return at, np.diff(np.append(at, len(start))).astype(np.int32)
 
 
-def _again(group: np.ndarray, node: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Which windows lie under a node (group, node) that a smaller document shares."""
-    order = np.lexsort((doc, node, group))
-    new = np.ones(len(order), bool)
-    g, x = group[order], node[order]
-    new[1:] = (g[1:] != g[:-1]) | (x[1:] != x[:-1])
-    least = doc[order[np.flatnonzero(new)[np.cumsum(new) - 1]]]
-    out = np.empty(len(order), bool)
-    out[order] = doc[order] != least
+def _heads(node: np.ndarray) -> np.ndarray:
+    """Where each node begins; leaves of a node are neighbours."""
+    return np.flatnonzero(np.concatenate((np.ones(min(len(node), 1), bool), node[1:] != node[:-1])))
+
+
+def _least(value: np.ndarray, head: np.ndarray) -> np.ndarray:
+    """For each leaf the least value under its node."""
+    return np.repeat(np.minimum.reduceat(value, head), np.diff(np.append(head, len(value)))) if len(value) else value
+
+
+def _set(x) -> np.ndarray:
+    return x.values.to_numpy().view(np.uint64) if x.is_valid else np.empty(0, np.uint64)
+
+
+class _Prefixes:
+    """Which group a window goes to, by the anchors and longer prefixes that are known to be shared and crowded."""
+
+    def __init__(self):
+        self.hashes = _Hashes()
+
+    def dealt(self, text: str | None, shared: np.ndarray, crowded: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Windows under shared anchors: their starts and groups, whether the group is crowded still, hashes of all words."""
+        w, _, least = self.hashes.of(text)
+        at = np.flatnonzero(np.isin(least, shared))
+        group, open_ = least[at].copy(), np.ones(len(at), bool)
+        for length, many in zip(LENGTHS[1:], crowded):
+            open_ &= np.isin(group, many)
+            if not open_.any():
+                break
+            own = mix64(chained(w, length)[at[open_]] + np.uint64(length))  # of the suffix's own first words
+            group[open_] = mix64(group[open_] * np.uint64(0x9E3779B97F4A7C15) ^ own)
+        else:
+            return at, group, open_, w
+        return at, group, np.zeros(len(at), bool), w
+
+
+def _lists(batch, names: list[str]):
+    return zip(*(map(_set, _column(batch, n)) for n in names), strict=True)
+
+
+def _deeper(depth: int):
+    """Distinct groups of a document's windows after `depth` splits, of those whose group was crowded before."""
+    def run(batches):
+        prefixes = _Prefixes()
+        for batch in batches:
+            found = []
+            for text, (shared, *crowded) in zip(_column(batch, "text"), _lists(batch, ["shared", *[f"many{i}" for i in range(1, depth + 1)]]), strict=True):
+                _, group, open_, _ = prefixes.dealt(text.as_py(), shared, crowded)
+                found.append(np.unique(group[open_]).view(np.int64))
+            yield pa.record_batch([_column(batch, "rid"), pa.array(found, pa.list_(pa.int64()))], ["rid", "groups"])
+
+    return run
+
+
+def _settled(texts: dict, node: np.ndarray, doc: np.ndarray, rid: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Windows of a batch whose words also stand in a smaller document of the batch; `node` is a hash of their words."""
+    split = lru_cache(128)(lambda r: texts[r].as_py().encode().split())
+    order = np.lexsort((doc, node))
+    head = _heads(node[order])
+    lead = np.empty(len(order), np.int64)
+    lead[order] = order[np.repeat(head, np.diff(np.append(head, len(order))))]
+    like = np.flatnonzero(doc != doc[lead])
+    ahead = start[lead[like]] - start[like]
+    out = np.zeros(len(order), bool)
+    for i, n in zip(*(x.tolist() for x in _runs(doc[like], rid[like], start[like], rid[lead[like]], ahead)), strict=True):
+        one, other = like[i], lead[like[i]]
+        words = [split(int(rid[x]))[start[x] : start[x] + n + WINDOW - 1] for x in (one, other)]
+        out[like[i : i + n]] = words[0] == words[1]  # hashes that agree by chance settle nothing
     return out
 
 
 def _leaves(batches):
-    """Windows under shared prefixes, consecutive ones of a group in one row.
+    """Suffixes that begin under shared prefixes: a row for each run of consecutive ones of a group, with all their words.
 
-    Of equal windows in a batch only those of the least document go on to meet other batches, so a passage that many
-    documents share sends a row a batch; the others are settled (group and nodes null).
+    A row lists every place where its document has the same words under the same group. Of equal windows in a batch
+    only those of the least document go on to meet other batches, so a passage that many documents share sends a row a
+    batch; the others are settled (group and words null).
     """
-    hashes, names = _Hashes(), ["group", "doc_id", "rid", "start", "n", "nodes"]
+    prefixes, names = _Prefixes(), ["group", "doc_id", "rid", "starts", "n", "words"]
     for batch in batches:
-        parts = []
-        for doc, rid, text, few, many in zip(*(_column(batch, c) for c in ("doc_id", "rid", "text", "few", "many")), strict=True):
-            w, g, least = hashes.of(text.as_py())
-            few, many = (np.array(x.as_py() or [], np.int64).view(np.uint64) for x in (few, many))
-            split = np.isin(least, many)
-            at = np.flatnonzero(split | np.isin(least, few))
+        parts, texts = [], {}
+        for doc, rid, text, (shared, *crowded) in zip(*(_column(batch, c) for c in ("doc_id", "rid", "text")), _lists(batch, ["shared", *[f"many{i}" for i in range(1, len(LENGTHS))]]), strict=True):
+            at, group, _, w = prefixes.dealt(text.as_py(), shared, crowded)
             if len(at):
-                node = mix64(g[at] * np.uint64(0x9E3779B97F4A7C15) + chained(w, WINDOW - PREFIX)[at + PREFIX])
-                group = np.where(split[at], mix64(node ^ least[at]), least[at])
-                parts.append((group.view(np.int64), np.full(len(at), doc.as_py()), np.full(len(at), rid.as_py()), at.astype(np.int32), node.view(np.int64)))
+                texts[rid.as_py()] = text
+                parts.append((group.view(np.int64), np.full(len(at), doc.as_py()), np.full(len(at), rid.as_py()), at.astype(np.int32), chained(w, WINDOW)[at].view(np.int64)))
         if not parts:
             continue
         group, doc, rid, start, node = (np.concatenate(x) for x in zip(*parts, strict=True))
-        settled = _again(group, node, doc)
+        settled = _settled(texts, node, doc, rid, start)
         go = np.flatnonzero(~settled)
         at, size = _runs(doc[go], rid[go], start[go], group[go])
-        lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(go)).astype(np.int32)), pa.array(node[go]))
-        yield pa.record_batch([*(pa.array(x[go[at]]) for x in (group, doc, rid, start)), pa.array(size), lists], names)
+        rows, split, now = {}, [], None
+        for i, n in zip(go[at].tolist(), size.tolist()):
+            r = int(rid[i])
+            if r != now:
+                split, now = texts[r].as_py().encode().split(), r
+            s = int(start[i])
+            rows.setdefault((int(group[i]), int(doc[i]), r, n, b" ".join(split[s : s + n + WINDOW - 1])), []).append(s)
+        keys = list(zip(*rows)) if rows else [()] * 5
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+        made = [pa.array(k, kind) for k, kind in zip(keys, kinds)]
+        yield pa.record_batch([*made[:3], pa.array(list(rows.values()), pa.list_(pa.int32())), *made[3:]], names)
         done = np.flatnonzero(settled)
         if len(done):
             at, size = _runs(doc[done], rid[done], start[done])
-            yield pa.record_batch([pa.nulls(len(at), pa.int64()), *(pa.array(x[done[at]]) for x in (doc, rid, start)), pa.array(size), pa.nulls(len(at), pa.list_(pa.int64()))], names)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32)), pa.array(start[done[at]]))
+            yield pa.record_batch([pa.nulls(len(at), pa.int64()), *(pa.array(x[done[at]]) for x in (doc, rid)), lists, pa.array(size), pa.nulls(len(at), pa.binary())], names)
+
+
+def _suffix_nodes(group: np.ndarray, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes (group, place in ids) sorted by group and words: their order, and the node of WINDOW words that each is under.
+
+    Neighbours whose common prefix is shorter than WINDOW words, or of another group, are under different nodes.
+    """
+    first = ids[at[:, None] + np.arange(WINDOW)].astype(np.int64)
+    keys = [first[:, i] << 32 | first[:, i + 1] for i in range(0, WINDOW - 1, 2)] + [first[:, -1]] * (WINDOW % 2)
+    order = np.lexsort((*keys[::-1], group))
+    first, group = first[order], group[order]
+    same = first[1:] == first[:-1]
+    common = np.where(same.all(1), WINDOW, same.argmin(1))  # words that neighbours have in common
+    split = (common < WINDOW) | (group[1:] != group[:-1])
+    return order, np.concatenate(([0], np.cumsum(split)))
 
 
 def _repeats(batches):
     """Rows in order of their group -> windows (doc_id, rid, start, n) under a node that a smaller document shares."""
     held: list[pa.RecordBatch] = []
+    numbers: dict[bytes, int] = {}
 
     def done(rows: pa.Table):
+        if len(numbers) > _WORDS:
+            numbers.clear()
         size = rows.column("n").to_numpy()
         row = np.repeat(np.arange(len(size)), size)
-        group, doc, rid = (rows.column(c).to_numpy()[row] for c in ("group", "doc_id", "rid"))
-        start = rows.column("start").to_numpy()[row] + (np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)).astype(np.int32)
-        node = rows.column("nodes").combine_chunks().flatten().to_numpy()
-        hit = np.flatnonzero(_again(group, node, doc))
-        at, n = _runs(doc[hit], rid[hit], start[hit], row[hit])
-        return pa.record_batch([pa.array(x[hit[at]]) for x in (doc, rid, start)] + [pa.array(n)], ["doc_id", "rid", "start", "n"])
+        nth = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+        found = [w for x in rows.column("words") for w in x.as_py().split(b" ")]
+        ids = np.fromiter((numbers.setdefault(w, len(numbers)) for w in found), np.int32, len(found))
+        begins = np.cumsum(size + (WINDOW - 1)) - (size + (WINDOW - 1))
+        group, doc = (rows.column(c).to_numpy()[row] for c in ("group", "doc_id"))
+        order, node = _suffix_nodes(group, ids, begins[row] + nth)
+        again = np.empty(len(order), bool)
+        again[order] = doc[order] > _least(doc[order], _heads(node))
+        hit = np.flatnonzero(again)
+        where, n = _runs(doc[hit], row[hit], nth[hit])
+        starts, first = rows.column("starts").combine_chunks(), hit[where]
+        counts = pc.list_value_length(starts).to_numpy()[row[first]]
+        out = np.repeat(np.arange(len(first)), counts)
+        offsets = starts.offsets.to_numpy()[row[first]]
+        place = np.repeat(offsets, counts) + np.arange(len(out)) - np.repeat(np.cumsum(counts) - counts, counts)
+        begin = starts.values.to_numpy()[place.astype(np.int64)] + nth[first][out]
+        rid = rows.column("rid").to_numpy()[row[first]]
+        return pa.record_batch([pa.array(doc[first][out]), pa.array(rid[out]), pa.array(begin.astype(np.int32)), pa.array(n[out])], ["doc_id", "rid", "start", "n"])
 
     for batch in batches:
         if not batch.num_rows:
@@ -148,7 +250,8 @@ def repeated(docs: DataFrame) -> DataFrame:
     """docs: doc_id (not null), rid (tells texts of one doc_id apart), text -> doc_id, rid, runs (start, n): windows
     whose words also stand as a window in a document with a smaller doc_id.
 
-    Of exact copies only the least document is followed; all windows of the others are repeats.
+    Of exact copies (by a digest of 128 bits) only the least document is followed; all windows of the others are
+    repeats. Other windows are equal when their words are.
     """
     found = staged(docs.select("doc_id", "rid", "text").mapInArrow(_anchors, "doc_id long, rid long, n int, digest binary, anchors array<long>"), "anchors").where("n > 0")
     groups = found.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("k")).where("k > 1")
@@ -157,13 +260,20 @@ def repeated(docs: DataFrame) -> DataFrame:
     each = found.join(copies.select("rid"), "rid", "left_anti").select("rid", F.explode("anchors").alias("anchor"))
     shared = each.groupBy("anchor").agg(F.min("rid").alias("a"), F.max("rid").alias("b"), F.count(F.lit(1)).alias("k")).where("a < b")
     shared = staged(shared.select("anchor", (F.col("k") > GROUP).alias("many")), "shared")
-    lists = [F.collect_set(F.when(F.col("many") == many, F.col("anchor"))).alias(name) for many, name in ((False, "few"), (True, "many"))]
+    lists = [F.collect_set("anchor").alias("shared"), F.collect_set(F.when(F.col("many"), F.col("anchor"))).alias("many1")]
     wanted = staged(each.join(shared, "anchor").groupBy("rid").agg(*lists), "wanted")
-    leaves = staged(docs.select("doc_id", "rid", "text").join(wanted, "rid").select("doc_id", "rid", "text", "few", "many").mapInArrow(_leaves, _LEAVES), "leaves")
+    for depth in range(1, len(LENGTHS) - 1):  # crowded groups, split by more words, may be crowded still
+        open_ = docs.select("rid", "text").join(wanted.where("size(many1) > 0"), "rid")
+        groups = staged(open_.mapInArrow(_deeper(depth), "rid long, groups array<long>").select("rid", F.explode("groups").alias("group")), "deeper")
+        many = groups.groupBy("group").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > GROUP).select("group")
+        held = groups.join(many, "group").groupBy("rid").agg(F.collect_set("group").alias(f"many{depth + 1}"))
+        wanted = staged(wanted.join(held, "rid", "left"), "wanted")
+    leaves = staged(docs.select("doc_id", "rid", "text").join(wanted, "rid").mapInArrow(_leaves, _LEAVES), "leaves")
     sorted_ = leaves.where("group IS NOT NULL").repartition("group").sortWithinPartitions("group")
-    every = sorted_.mapInArrow(_repeats, "doc_id long, rid long, start int, n int")
-    every = every.unionByName(leaves.where("group IS NULL").select("doc_id", "rid", "start", "n")).unionByName(copies)
-    return staged(every.groupBy("doc_id", "rid").agg(F.collect_list(F.struct("start", "n")).alias("runs")), "runs")
+    every = sorted_.mapInArrow(_repeats, _RUNS)
+    settled = leaves.where("group IS NULL").select("doc_id", "rid", F.explode("starts").alias("start"), "n")
+    every = every.unionByName(settled).unionByName(copies)
+    return staged(every.groupBy("doc_id", "rid").agg(F.collect_list(F.struct("start", "n")).alias("runs")), "runs", keep=True)
 
 
 def _cut(batches):
@@ -197,7 +307,9 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     not smaller than any. Rows that repeat a doc_id do not make each other's words repeats.
     """
     docs = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("rid"))
-    runs = repeated(docs.where("doc_id IS NOT NULL")).withColumnsRenamed({"doc_id": "_doc", "rid": "_rid"})
+    with scratch(docs.sparkSession):
+        runs = repeated(docs.where("doc_id IS NOT NULL"))
+    runs = runs.withColumnsRenamed({"doc_id": "_doc", "rid": "_rid"})
     joined = docs.join(runs, (F.col("doc_id") == F.col("_doc")) & (F.col("rid") == F.col("_rid")), "left")
     return joined.select("doc_id", "text", "runs").mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept_sha256 string, n_repeats long, text string")
 

@@ -344,6 +344,24 @@ def test_op8_large_groups(spark, hard_dir, monkeypatch):
     assert rows(got, list(got.columns)) == rows(want, list(got.columns))
 
 
+def test_op8_nodes_come_from_words(spark, hard_dir, monkeypatch):
+    """Suffixes are under one node if their group and first words agree; hashes that agree by chance settle nothing."""
+    from strandloom.llm import substrings
+
+    rng = np.random.default_rng(6)
+    ids, at, group = rng.integers(0, 2, 400).astype(np.int32), np.arange(380), rng.integers(0, 2, 380)
+    ids[100:160] = ids[200:260]
+    order, node = substrings._suffix_nodes(group, ids, at)
+    of = {}
+    for i, n in zip(order, node):
+        of.setdefault(n, set()).add((group[i], tuple(ids[at[i] : at[i] + substrings.WINDOW])))
+    assert all(len(x) == 1 for x in of.values()) and len(set.union(*of.values())) == len(of) < 380
+    want, chained = run(spark, "op8_suffix_trees", hard_dir), substrings.chained
+    monkeypatch.setattr(substrings, "chained", lambda w, k: chained(w, k) * np.uint64(k != substrings.WINDOW))
+    got = run(spark, "op8_suffix_trees", hard_dir)
+    assert rows(got, list(got.columns)) == rows(want, list(want.columns))
+
+
 def test_op9(spark, hard_dir, docs):
     got = run(spark, "op9_entropy_balance", hard_dir)
     sizes = docs.text.map(lambda t: len(WORD.findall(text_of(t))))
