@@ -3,8 +3,8 @@
 The tree of all suffixes is never built whole. A repeat of WINDOW words holds an anchor of PREFIX words, the least of its
 runs of so many words by hash, which is the same wherever the same words stand. So only suffixes whose first WINDOW
 words hold an anchor that two documents share can lie under a deep node; they are dealt to groups by that anchor.
-A group with many documents is split by more of the suffix's own first words, LENGTHS of them in turn, so that every
-group fits a task. A group carries the words themselves. It sorts its suffixes by them; common-prefix lengths of
+An anchor of many documents is extended by the suffix's own first words, by more of them the more documents it has, so
+that every group fits a task. A group carries the words themselves. It sorts its suffixes by them; common-prefix lengths of
 neighbours then give the internal nodes: suffixes between which no common prefix is shorter than WINDOW words are the
 leaves under one node of that depth, and what a document has under such nodes joins up to its maximal repeats.
 """
@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 from strandloom.llm.common import HashMemo, chained, mix64, scratch, staged, table
 
 WINDOW, PREFIX = 13, 5
-#: Documents under one prefix that a task sorts together; larger groups are split by this many words of the suffix.
-GROUP, LENGTHS = 500, (5, 9, 13)
+#: Words of a suffix that its group is named by besides the anchor, for anchors of more than so many documents. Suffixes
+#: that share WINDOW words are one leaf, which needs no bound.
+SPLITS = ((500, 9), (4000, WINDOW))
 #: Different words that a task numbers before it starts anew with the next group.
 _WORDS = 1_000_000
 
@@ -61,7 +62,7 @@ def _anchors(batches):
     for batch in batches:
         found = [hashes.of(t.as_py())[2] for t in _column(batch, "text")]
         digests = [hashlib.blake2b((t.as_py() or "").encode(), digest_size=16).digest() for t in _column(batch, "text")]
-        prefixes = [np.unique(x).view(np.int64) for x in found]
+        prefixes = [np.unique(x[_heads(x)]).view(np.int64) for x in found]
         yield pa.record_batch([_column(batch, "doc_id"), _column(batch, "rid"), pa.array(list(map(len, found)), pa.int32()), pa.array(digests, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))], ["doc_id", "rid", "n", "digest", "anchors"])
 
 
@@ -99,38 +100,30 @@ class _Prefixes:
     def __init__(self):
         self.hashes = _Hashes()
 
-    def dealt(self, text: str | None, shared: np.ndarray, crowded: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Windows under shared anchors: their starts and groups, whether the group is crowded still, hashes of all words."""
+    def dealt(self, text: str | None, anchors: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Windows under shared anchors: their starts and groups, and hashes of their words. anchors: all shared ones,
+        then those of more documents than each of SPLITS."""
         w, _, least = self.hashes.of(text)
-        at = np.flatnonzero(np.isin(least, shared))
-        group, open_ = least[at].copy(), np.ones(len(at), bool)
-        for length, many in zip(LENGTHS[1:], crowded):
-            open_ &= np.isin(group, many)
-            if not open_.any():
-                break
-            own = mix64(chained(w, length)[at[open_]] + np.uint64(length))  # of the suffix's own first words
-            group[open_] = mix64(group[open_] * np.uint64(0x9E3779B97F4A7C15) ^ own)
-        else:
-            return at, group, open_, w
-        return at, group, np.zeros(len(at), bool), w
+        head = _heads(least)
+        at = np.flatnonzero(np.repeat(np.isin(least[head], anchors[0]), np.diff(np.append(head, len(least)))))
+        group = least[at]
+        base = group.copy()
+        for (_, length), many in zip(SPLITS, anchors[1:], strict=True):
+            if len(many):
+                longer = np.flatnonzero(np.isin(base, many))
+                group[longer] = mix64(base[longer] * np.uint64(0x9E3779B97F4A7C15) ^ _chained_at(w, at[longer], length))
+        return at, group, _chained_at(w, at, WINDOW)
 
 
-def _lists(batch, names: list[str]):
-    return zip(*(map(_set, _column(batch, n)) for n in names), strict=True)
+def _chained_at(w: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """A 64-bit hash of the k values from each place on."""
+    out = w[at]
+    for i in range(1, k):
+        out = mix64(out * np.uint64(0x9E3779B97F4A7C15) + w[at + i])
+    return mix64(out + np.uint64(k))
 
 
-def _deeper(depth: int):
-    """Distinct groups of a document's windows after `depth` splits, of those whose group was crowded before."""
-    def run(batches):
-        prefixes = _Prefixes()
-        for batch in batches:
-            found = []
-            for text, (shared, *crowded) in zip(_column(batch, "text"), _lists(batch, ["shared", *[f"many{i}" for i in range(1, depth + 1)]]), strict=True):
-                _, group, open_, _ = prefixes.dealt(text.as_py(), shared, crowded)
-                found.append(np.unique(group[open_]).view(np.int64))
-            yield pa.record_batch([_column(batch, "rid"), pa.array(found, pa.list_(pa.int64()))], ["rid", "groups"])
-
-    return run
+_LISTS = ["shared", *[f"many{i}" for i in range(len(SPLITS))]]
 
 
 def _settled(texts: dict, node: np.ndarray, doc: np.ndarray, rid: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -160,11 +153,11 @@ def _leaves(batches):
     prefixes, names = _Prefixes(), ["group", "doc_id", "rid", "starts", "n", "words"]
     for batch in batches:
         parts, texts = [], {}
-        for doc, rid, text, (shared, *crowded) in zip(*(_column(batch, c) for c in ("doc_id", "rid", "text")), _lists(batch, ["shared", *[f"many{i}" for i in range(1, len(LENGTHS))]]), strict=True):
-            at, group, _, w = prefixes.dealt(text.as_py(), shared, crowded)
+        for doc, rid, text, *anchors in zip(*(_column(batch, c) for c in ("doc_id", "rid", "text", *_LISTS)), strict=True):
+            at, group, node = prefixes.dealt(text.as_py(), list(map(_set, anchors)))
             if len(at):
                 texts[rid.as_py()] = text
-                parts.append((group.view(np.int64), np.full(len(at), doc.as_py()), np.full(len(at), rid.as_py()), at.astype(np.int32), chained(w, WINDOW)[at].view(np.int64)))
+                parts.append((group.view(np.int64), np.full(len(at), doc.as_py()), np.full(len(at), rid.as_py()), at.astype(np.int32), node.view(np.int64)))
         if not parts:
             continue
         group, doc, rid, start, node = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -259,15 +252,9 @@ def repeated(docs: DataFrame) -> DataFrame:
     copies = staged(copies.select("doc_id", "rid", F.lit(0).alias("start"), "n"), "copies")
     each = found.join(copies.select("rid"), "rid", "left_anti").select("rid", F.explode("anchors").alias("anchor"))
     shared = each.groupBy("anchor").agg(F.min("rid").alias("a"), F.max("rid").alias("b"), F.count(F.lit(1)).alias("k")).where("a < b")
-    shared = staged(shared.select("anchor", (F.col("k") > GROUP).alias("many")), "shared")
-    lists = [F.collect_set("anchor").alias("shared"), F.collect_set(F.when(F.col("many"), F.col("anchor"))).alias("many1")]
+    shared = staged(shared.select("anchor", "k"), "shared")
+    lists = [F.collect_set(F.when(F.col("k") > least, F.col("anchor"))).alias(name) for name, least in zip(_LISTS, (0, *(n for n, _ in SPLITS)))]
     wanted = staged(each.join(shared, "anchor").groupBy("rid").agg(*lists), "wanted")
-    for depth in range(1, len(LENGTHS) - 1):  # crowded groups, split by more words, may be crowded still
-        open_ = docs.select("rid", "text").join(wanted.where("size(many1) > 0"), "rid")
-        groups = staged(open_.mapInArrow(_deeper(depth), "rid long, groups array<long>").select("rid", F.explode("groups").alias("group")), "deeper")
-        many = groups.groupBy("group").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > GROUP).select("group")
-        held = groups.join(many, "group").groupBy("rid").agg(F.collect_set("group").alias(f"many{depth + 1}"))
-        wanted = staged(wanted.join(held, "rid", "left"), "wanted")
     leaves = staged(docs.select("doc_id", "rid", "text").join(wanted, "rid").mapInArrow(_leaves, _LEAVES), "leaves")
     sorted_ = leaves.where("group IS NOT NULL").repartition("group").sortWithinPartitions("group")
     every = sorted_.mapInArrow(_repeats, _RUNS)

@@ -339,9 +339,10 @@ def test_op8_large_groups(spark, hard_dir, monkeypatch):
     from strandloom.llm import substrings
 
     want = run(spark, "op8_suffix_trees", hard_dir)
-    monkeypatch.setattr(substrings, "GROUP", 1)
-    got = run(spark, "op8_suffix_trees", hard_dir)
-    assert rows(got, list(got.columns)) == rows(want, list(got.columns))
+    for splits in (((0, 9), (1, 13)), ((1, 9), (2, 13))):
+        monkeypatch.setattr(substrings, "SPLITS", splits)
+        got = run(spark, "op8_suffix_trees", hard_dir)
+        assert rows(got, list(got.columns)) == rows(want, list(got.columns))
 
 
 def test_op8_nodes_come_from_words(spark, hard_dir, monkeypatch):
@@ -356,8 +357,8 @@ def test_op8_nodes_come_from_words(spark, hard_dir, monkeypatch):
     for i, n in zip(order, node):
         of.setdefault(n, set()).add((group[i], tuple(ids[at[i] : at[i] + substrings.WINDOW])))
     assert all(len(x) == 1 for x in of.values()) and len(set.union(*of.values())) == len(of) < 380
-    want, chained = run(spark, "op8_suffix_trees", hard_dir), substrings.chained
-    monkeypatch.setattr(substrings, "chained", lambda w, k: chained(w, k) * np.uint64(k != substrings.WINDOW))
+    want, hashed = run(spark, "op8_suffix_trees", hard_dir), substrings._chained_at
+    monkeypatch.setattr(substrings, "_chained_at", lambda w, at, k: hashed(w, at, k) * np.uint64(k != substrings.WINDOW))
     got = run(spark, "op8_suffix_trees", hard_dir)
     assert rows(got, list(got.columns)) == rows(want, list(want.columns))
 
