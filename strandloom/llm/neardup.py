@@ -26,9 +26,9 @@ SKETCH = 128
 NODE, PIVOTS = 1000, 32
 #: Shingles and documents of a node that a task compares at a time (more go to further blocks).
 BLOCK_SHINGLES, BLOCK = 1_000_000, 4000
-#: A node of more than NODE documents, more than so many of them outside its main component, branches, this many levels
-#: at most; then its outside documents are compared with its blocks in groups of this size.
-OUTSIDE, LEVELS = 256, 6
+#: A node of more than NODE documents branches while most of them are outside its main component, this many levels at
+#: most. Else the outside documents, in groups of about so many shingles, are compared with the node's blocks.
+LEVELS, OUTSIDE = 6, 3_000_000
 #: Standard deviations that a sketch's estimate may fall short of the least similarity.
 SLACK = 4.5
 
@@ -283,10 +283,10 @@ def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> tuple
 
     Documents with equal sets stand as one from the start. At the roots small nodes are compared whole and large ones in
     blocks that share pivots; a spanning forest of what is alike links them. Then components are known, and large or
-    dense nodes only need links between different ones. Such a node branches, level by level, until it is small, or
-    until so few documents are outside its main component that they are compared with all of it, on full sets: a group
-    of near copies never grows smaller by branching, and costs about as many rows as it has members, not pairs. Nodes
-    within one component need no more work. A pair at the least similarity is missed with a chance of about (1 -
+    dense nodes only need links between different ones. Such a node branches, level by level, until it is small or most of
+    it is one component; then the documents outside that are compared with all of it, on full sets: a group of near
+    copies never grows smaller by branching, and costs about as many rows as it has members, not pairs. Nodes within
+    one component need no more work. A pair at the least similarity is missed with a chance of about (1 -
     similarity) to the power ROOTS (under 1 in 300,000), more by (1 - similarity) to the power BRANCHES for each level
     below, plus as much again for its sketch. README has the recall as measured against all pairs.
     """
@@ -312,12 +312,12 @@ def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> tuple
         for depth in range(LEVELS + 1):
             parts = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("n"))
             main = F.struct("c", "comp")
-            about = parts.groupBy("key").agg(F.max_by("comp", main).alias("main"), F.sum("n").alias("all"), F.sum("c").alias("m"), F.max("c").alias("inside"), F.count(F.lit(1)).alias("k"))
-            about = staged(about.where("k > 1").select(F.col("key").alias("_k"), "main", "all", "m", (F.col("m") - F.col("inside")).alias("outside")), "about")
-            deep = (F.col("m") > NODE) & (F.col("outside") > OUTSIDE) & F.lit(depth < LEVELS)
+            about = parts.groupBy("key").agg(F.max_by("comp", main).alias("main"), F.sum("n").alias("all"), F.sum("c").alias("m"), F.max("c").alias("most"), F.max_by("n", main).alias("inside"), F.count(F.lit(1)).alias("k"))
+            about = staged(about.where("k > 1").select(F.col("key").alias("_k"), "main", "all", "m", "most", (F.col("all") - F.col("inside")).alias("outside")), "about")
+            deep = (F.col("m") > NODE) & (2 * F.col("most") < F.col("m")) & F.lit(depth < LEVELS)
             flat = about.where(~deep)
             cut = rows.join(flat, of_key(flat)).withColumn("outer", F.col("comp") != F.col("main"))
-            cut = _in_cells(cut, F.greatest(F.ceil(F.col("all") / BLOCK_SHINGLES), F.ceil(F.col("m") / BLOCK)), F.ceil(F.col("outside") / OUTSIDE))
+            cut = _in_cells(cut, F.greatest(F.ceil(F.col("all") / BLOCK_SHINGLES), F.ceil(F.col("m") / BLOCK)), F.greatest(F.ceil(F.col("outside") / OUTSIDE), F.lit(1)))
             held = staged(_in_order(cut).mapInArrow(_outside(similarity), "key long, rep long, comp long, query boolean"), "outside")
             found = held if found is None else found.unionByName(held)
             large = about.where(deep).select("_k")

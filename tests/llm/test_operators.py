@@ -73,7 +73,7 @@ def test_op1_large_nodes(spark, hard_dir, monkeypatch):
     from strandloom.llm import neardup
 
     want = run(spark, "op1_chosen_path", hard_dir)
-    for values in ({"NODE": 4, "PIVOTS": 2, "BLOCK_SHINGLES": 300, "OUTSIDE": 2, "LEVELS": 0}, {"NODE": 2, "PIVOTS": 1, "BLOCK": 3, "OUTSIDE": 1, "LEVELS": 6}):
+    for values in ({"NODE": 4, "PIVOTS": 2, "BLOCK_SHINGLES": 300, "OUTSIDE": 200, "LEVELS": 0}, {"NODE": 2, "PIVOTS": 1, "BLOCK": 3, "OUTSIDE": 200, "LEVELS": 6}):
         for k, v in values.items():
             monkeypatch.setattr(neardup, k, v)
         got = run(spark, "op1_chosen_path", hard_dir)
