@@ -16,6 +16,22 @@ def offsets(contigs: DataFrame, separator: int = SEPARATOR, boundary: int = BOUN
     return contigs.withColumn("begin", (F.lit(boundary) + F.coalesce(F.sum(F.col("size") + separator).over(before), F.lit(0))).cast("long"))
 
 
+def translated(pos, n_initial: Column) -> Column:
+    """A 1-based position on a contig without the Ns at its start -> on the contig as the file has it."""
+    return pos + n_initial
+
+
+def on_contigs(variants: DataFrame, contigs: DataFrame) -> DataFrame:
+    """vcf() rows (chrom, pos) -> and contig_id, pos without the Ns at the start (contigs: contig_id, name, n_initial).
+
+    Names are cut at the first blank; variants of other contigs, or among the Ns, go. Contigs are a small table, which
+    Spark broadcasts by its own measure.
+    """
+    names = contigs.select("contig_id", "n_initial", F.split("name", "\\s", 2)[0].alias("chrom"))
+    placed = variants.join(names, "chrom").withColumn("pos", F.col("pos") - F.col("n_initial"))
+    return placed.where("pos >= 1").drop("chrom", "n_initial")
+
+
 def located(places: DataFrame, contigs: DataFrame, width: int = 1 << 16, separator: int = SEPARATOR) -> DataFrame:
     """raw -> contig_id and pos (1-based) of the last contig that begins no later, half a separator of slack allowed.
 

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from strandloom.functions.scores import insert_size, insert_penalty
 from strandloom.operators.hits import ranked
@@ -28,6 +29,20 @@ def close_pairs(hits: DataFrame, mean: float, dev: float, sigmas: float = 4) ->
     return mates(hits).where(F.abs(F.col("insert_size") - mean) <= sigmas * dev)
 
 
+def as_good_as_alone(pairs: DataFrame, hits: DataFrame, errors: int) -> DataFrame:
+    """All or nothing: pairs stay only where both mates have as few errors as their best hits (hits: read_id, mate,
+    pair_id, ed), and where the better mate's best is within the bound."""
+    best = hits.groupBy("pair_id").agg(*[F.min(F.when(F.col("mate") == m, F.col("ed"))).alias(f"_best{m + 1}") for m in (0, 1)])
+    kept = pairs.join(best, "pair_id").where((F.col("ed1") == F.col("_best1")) & (F.col("ed2") == F.col("_best2")) & (F.least("_best1", "_best2") <= errors))
+    return kept.drop("_best1", "_best2")
+
+
+def hopeful(pairs_of: DataFrame, hits: DataFrame, limit: int = 1024) -> DataFrame:
+    """Pairs of reads worth a further search: not those of which both mates have more than half of `limit` hits."""
+    many = hits.groupBy("pair_id").agg(*[F.count(F.when(F.col("mate") == m, 1)).alias(f"_n{m}") for m in (0, 1)])
+    return pairs_of.join(many.where((F.col("_n0") > limit // 2) & (F.col("_n1") > limit // 2)), "pair_id", "left_anti")
+
+
 def distant_pairs(hits: DataFrame, mean: float, dev: float, near: float = 4, far: float = 7) -> DataFrame:
     off = F.abs(F.col("insert_size") - mean)
     return mates(hits).where((off > near * dev) & (off <= far * dev))
@@ -55,5 +70,4 @@ def touching(pairs: DataFrame, contig) -> DataFrame:
 def first_tier(tiers: list[DataFrame], key: str) -> DataFrame:
     """For each key the rows of the first table that has any; `tier` tells which."""
     every = reduce(DataFrame.unionByName, [t.withColumn("tier", F.lit(i)) for i, t in enumerate(tiers)])
-    least = every.groupBy(key).agg(F.min("tier").alias("tier"))
-    return every.join(least, [key, "tier"])
+    return every.withColumn("_least", F.min("tier").over(Window.partitionBy(key))).where("tier = _least").drop("_least")

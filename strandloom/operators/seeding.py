@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -76,11 +78,34 @@ def verified(placed: DataFrame, errors: int) -> DataFrame:
     return placed.withColumn("ed", distance.cast("long")).where("ed >= 0")
 
 
-def map_reads(reads: DataFrame, contigs: DataFrame, errors: int = 3, k: int = AlignConfig.seed) -> DataFrame:
-    """read_id, strand, contig_id, start, ed, seq, window: every verified place of every read."""
+def map_reads(reads: DataFrame, contigs: DataFrame, errors: int = 3, k: int = AlignConfig.seed, bound: int | None = None, index: DataFrame | None = None) -> DataFrame:
+    """read_id, strand, contig_id, start, ed, seq, window: every verified place of every read.
+
+    bound: errors that a window of the read's own length may have (default: `errors`). index: seed_index() of the
+    contigs for this k, as written; else it is made here.
+    """
     stranded, pieces = both_strands(reads), chunks(contigs)
-    found = candidates(read_seeds(stranded, errors, k), seed_index(pieces, k))
-    return verified(windows(found, stranded, pieces), errors)
+    found = candidates(read_seeds(stranded, errors, k), seed_index(pieces, k) if index is None else index)
+    return verified(windows(found, stranded, pieces), errors if bound is None else bound)
+
+
+def map_all_lengths(reads: DataFrame, contigs: DataFrame, errors: int, k: int = AlignConfig.seed, bound: int | None = None, index: DataFrame | None = None, least: int = 8) -> DataFrame:
+    """map_reads() for reads of any length: those too short for errors + 1 seeds of k bases take shorter seeds (k, its
+    half, ... but no less than `least` bases), those too short for these fewer seeds, and so a bound of fewer errors.
+
+    Reads shorter than two of the shortest seeds are looked for as a whole with no error.
+    """
+    n, out, sizes = errors + 1, [], [k]
+    while sizes[-1] > least:
+        sizes.append(max(least, sizes[-1] // 2))
+    classes = [(n * x, x, errors) for x in sizes] + [(e * least, least, e - 1) for e in range(n - 1, 0, -1)]
+    above = None
+    for low, seed, e in classes:
+        own = reads.where((F.length("seq") >= low) if above is None else (F.length("seq") >= low) & (F.length("seq") < above))
+        above = low
+        if seed == k or own.limit(1).count():  # an index of shorter seeds is made only for reads that need it
+            out.append(map_reads(own, contigs, e, seed, None if bound is None else min(bound, 2 * e), index if seed == k else None))
+    return reduce(DataFrame.unionByName, out)
 
 
 def best_in_contig(hits: DataFrame) -> DataFrame:
@@ -117,6 +142,7 @@ def shared_qgrams(reads: DataFrame, index: DataFrame, errors: int, q: int) -> Da
     """
     grams = F.transform(F.sequence(F.lit(0), F.greatest(F.floor(F.length("seq") / q).cast("int") - 1, F.lit(0))), lambda j: F.struct(j.alias("j"), F.substring("seq", j * q + 1, F.lit(q)).alias("seed")))
     rows = reads.where(F.length("seq") >= q).select("read_id", "strand", F.floor(F.length("seq") / q).alias("n"), F.explode(grams).alias("x")).select("read_id", "strand", "n", "x.j", "x.seed")
-    held = rows.join(index.select("seed", "contig_id").distinct(), "seed")
+    wanted = index.select("seed", "contig_id").join(rows.select("seed").distinct(), "seed", "left_semi")  # most seeds go before the shuffle
+    held = rows.join(wanted.distinct(), "seed")
     counted = held.groupBy("read_id", "strand", "contig_id", "n").agg(F.countDistinct("j").alias("shared"))
     return counted.where(F.col("shared") >= F.col("n") - errors)

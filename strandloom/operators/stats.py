@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.operators.seeding import chunks, seed_index
+from strandloom.operators.seeding import CHUNK, chunks
 
 
 def length_histogram(reads: DataFrame) -> DataFrame:
@@ -33,8 +33,11 @@ def prefix_rollup(index: DataFrame, depth: int) -> DataFrame:
 def dinucleotides(contigs: DataFrame) -> DataFrame:
     """Counts of the sixteen pairs of neighbouring bases in each contig; zeros for one without any."""
     pairs = [a + b for a in "ACGT" for b in "ACGT"]
-    found = seed_index(chunks(contigs), 2).groupBy("contig_id").pivot("seed", pairs).count()
-    told = contigs.select("contig_id").join(found, "contig_id", "left")
+    own = F.substring("seq", F.lit(1), F.least(F.length("seq"), F.lit(CHUNK + 1)))  # a pair that spans two chunks counts in the first
+    # a pair is counted by how much shorter the chunk gets without its first bases; the second one is only looked at
+    count = lambda p: ((F.length("own") - F.length(F.regexp_replace("own", f"{p[0]}(?={p[1]})", "")))).cast("long")
+    parts = chunks(contigs).select("contig_id", own.alias("own")).groupBy("contig_id").agg(*[F.sum(count(p)).alias(p) for p in pairs])
+    told = contigs.select("contig_id").join(parts, "contig_id", "left")
     return told.select("contig_id", *[F.coalesce(p, F.lit(0)).cast("long").alias(p.lower()) for p in pairs])
 
 

@@ -1,14 +1,19 @@
-"""From reads to SAM rows in one call."""
+"""From reads to SAM rows in one call: single reads and pairs."""
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from strandloom.functions import alignment
+from strandloom.functions import alignment, dna
+from strandloom.functions.scores import position_hash
 from strandloom.operators import hits as H
-from strandloom.operators import seeding
-from strandloom.plans.config import AlignConfig
+from strandloom.operators import intervals, pairs, rescue, seeding, stats
+from strandloom.operators.saving import saved
+from strandloom.plans.config import AlignConfig, auto_errors, read_group
 from strandloom.sources import writers
 
 
@@ -17,27 +22,126 @@ def build_index(contigs: DataFrame, cfg: AlignConfig = AlignConfig()) -> DataFra
     return seeding.seed_index(seeding.chunks(contigs), cfg.seed)
 
 
-def align(reads: DataFrame, contigs: DataFrame, cfg: AlignConfig = AlignConfig(errors=3)) -> DataFrame:
-    """read_id, seq -> every place of every read with its alignment and score.
+def settled(reads: DataFrame, cfg: AlignConfig) -> AlignConfig:
+    """The settings with the error limit that the reads' lengths suggest, where none is given (one row is collected)."""
+    if cfg.errors:
+        return cfg
+    limits = stats.length_limits(stats.length_histogram(reads)).first()
+    return replace(cfg, errors=auto_errors(limits["max_length"] or 0, limits["min_length"] or 0))
+
 
-    A read's places come from the seed join; the kernel then runs on them alone, in a window `errors` bases wider.
+def align(reads: DataFrame, contigs: DataFrame, cfg: AlignConfig = AlignConfig(errors=3), index: DataFrame | None = None) -> DataFrame:
+    """read_id, seq (and qual) -> places of every read with their alignments and scores.
+
+    Bases below cfg.mask_low_quality count as N where there are qualities. Equal reads are searched once. The seed join
+    finds places; a window of a read's own length may have twice the errors, since an indel shifts an end of it; the
+    kernel then aligns with free ends in a window `errors` bases wider, and its distance decides. cfg.mode keeps of a
+    read's places the best stratum, the best two, or all; with cfg.sensitive those of worse strata stay that are no
+    worse than sensitivity_factor times the best. index: what build_index() made, read back.
     """
+    cfg = settled(reads, cfg)
+    seq = dna.masked(F.col("seq"), F.col("qual"), cfg.mask_low_quality) if "qual" in reads.columns else F.col("seq")
+    asked = reads.select("read_id", F.when(F.col("seq").isNotNull(), F.coalesce(seq, F.col("seq"))).alias("seq")).where("seq != ''")
+    once = asked.groupBy("seq").agg(F.min("read_id").alias("read_id"))
     errors = cfg.errors
-    found = seeding.map_reads(reads, contigs, errors, cfg.seed).drop("window")
-    found = H.ranked(found.withColumn("hash", F.pmod(F.col("start") * F.lit(0x678DDE6F), F.lit(1 << 32))), ["read_id"], ["ed", "hash", "contig_id", "start", "strand"], cfg.max_mappings).drop("nth", "hash")
+    found = seeding.map_all_lengths(once, contigs, errors, cfg.seed, 2 * errors, index).drop("window")
+    found = H.ranked(found.withColumn("hash", position_hash(F.col("start"))), ["read_id"], ["ed", "hash", "contig_id", "start", "strand"], cfg.max_mappings).drop("nth", "hash", "ed")
     pieces = seeding.chunks(contigs).select("contig_id", "chunk", F.col("seq").alias("piece"))
     placed = found.withColumn("low", F.greatest(F.col("start") - errors, F.lit(0))).withColumn("chunk", F.floor(F.col("low") / seeding.CHUNK)).join(pieces, ["contig_id", "chunk"])
     window = F.substring("piece", (F.col("low") - F.col("chunk") * seeding.CHUNK).cast("int") + 1, F.length("seq") + 2 * errors)
     told = placed.select("read_id", "strand", "contig_id", "low", window.alias("window"), "seq").withColumn("x", alignment.infix_aligned("seq", "window")).withColumn("y", alignment.described("x.ext"))
-    told = told.select("read_id", "strand", "contig_id", (F.col("low") + F.col("x.first") + 1).alias("pos"), F.col("x.ed").cast("long").alias("ed"), "x.ext", "y.cigar", "y.md", "y.score", F.col("seq").alias("turned"))
-    return told.dropDuplicates(["read_id", "strand", "contig_id", "pos"])
+    told = told.where(F.col("x.ed") <= errors)
+    told = told.select("read_id", "strand", "contig_id", (F.col("low") + F.col("x.first") + 1).alias("pos"), F.col("x.ed").cast("long").alias("ed"), "x.ext", "y.cigar", "y.md", "y.score", (F.col("x.last") - F.col("x.first")).cast("long").alias("length"))
+    told = told.dropDuplicates(["read_id", "strand", "contig_id", "pos"])
+    if cfg.mode != "all":
+        best = F.min("ed").over(Window.partitionBy("read_id"))
+        allowed = best + (1 if cfg.mode == "second" else 0)
+        if cfg.sensitive:
+            allowed = F.greatest(allowed, F.floor(best * cfg.sensitivity_factor))
+        told = told.withColumn("_allowed", allowed).where("ed <= _allowed").drop("_allowed")
+    same = asked.join(once.withColumnRenamed("read_id", "_first"), "seq").select("read_id", "_first")
+    return told.withColumnRenamed("read_id", "_first").join(same, "_first").drop("_first")
+
+
+def _named(rows: DataFrame, contigs: DataFrame) -> DataFrame:
+    """rname and pos as the reference file has them (contigs: contig_id and, where known, name and n_initial)."""
+    known = contigs.columns
+    name = F.split("name", "\\s", 2)[0] if "name" in known else F.col("contig_id").cast("string")
+    lead = F.col("n_initial") if "n_initial" in known else F.lit(0)
+    table = contigs.select(F.col("contig_id").alias("_c"), name.alias("rname"), lead.cast("long").alias("_lead"))
+    placed = rows.join(table, F.col("contig_id") == F.col("_c"), "left").drop("_c")
+    return placed.withColumn("pos", intervals.translated(F.col("pos"), F.col("_lead"))).drop("_lead")
+
+
+def _tagged(rows: DataFrame, cfg: AlignConfig) -> DataFrame:
+    return rows.withColumn("rg", F.lit(read_group(cfg.read_group)[1])) if cfg.read_group else rows
 
 
-def to_sam(reads: DataFrame, aligned: DataFrame) -> DataFrame:
-    """One SAM row a read (reads: read_id, name, seq, qual): its best place with its mapping quality, or unmapped."""
+def to_sam(reads: DataFrame, aligned: DataFrame, contigs: DataFrame | None = None, cfg: AlignConfig = AlignConfig()) -> DataFrame:
+    """One SAM row a read (reads: read_id, name, seq, qual): its best place with its mapping quality, or unmapped.
+
+    contigs (contig_id, name, n_initial, as readers.fasta() has them) give names and positions in the file; without
+    them a contig's id is its name.
+    """
     quality = H.qualities(aligned.select("read_id", "contig_id", "pos", "score")).select("read_id", "mapq")
     order = [F.col("score").desc(), "contig_id", "pos", "strand"]
-    best = H.ranked(aligned, ["read_id"], order, 1).join(quality, "read_id").drop("nth", "turned", "ext")
+    best = H.ranked(aligned, ["read_id"], order, 1).join(quality, "read_id").drop("nth", "ext", "length")
     rows = reads.join(best, "read_id", "left").withColumn("method", F.when(F.col("ed") == 0, "perfect").otherwise("edits"))
-    return writers.single_rows(rows.withColumnRenamed("name", "qname").withColumn("rname", F.col("contig_id").cast("string")))
+    rows = rows.withColumn("rname", F.col("contig_id").cast("string")) if contigs is None else _named(rows, contigs)
+    return writers.single_rows(_tagged(rows.withColumnRenamed("name", "qname"), cfg))
+
+
+def _pair_hits(found: DataFrame) -> DataFrame:
+    return found.select("pair_id", "mate", "read_id", "contig_id", "strand", "pos", "ed", "score", "length", "cigar", "md", "method")
 
+
+def align_pairs(reads: DataFrame, contigs: DataFrame, cfg: AlignConfig = AlignConfig(), index: DataFrame | None = None) -> DataFrame:
+    """Mates (read_id, pair_id, mate 0 or 1, name, seq, qual) -> two SAM rows a pair, facing each other.
+
+    Both mates are aligned; insert sizes of pairs with a single place each give mean and deviation (one row; without
+    samples the prior). Then the first of these that a pair has: close pairs in which both mates stand at their best;
+    pairs with a mate found again near the other one's place; pairs further apart; else each mate's best place alone.
+    The best-scored pair is written. With cfg.contig_filter (a name) only pairs that touch that contig are.
+    """
+    cfg = settled(reads, cfg)
+    facts = reads.select("read_id", "pair_id", "mate")
+    found = align(reads.select("read_id", "seq", *[c for c in ("qual",) if c in reads.columns]), contigs, cfg, index)
+    found = found.join(facts, "read_id").withColumn("method", F.when(F.col("ed") == 0, "perfect").otherwise("edits"))
+    found = saved(found, "found")
+    hits = _pair_hits(found)
+    alone = F.count(F.lit(1)).over(Window.partitionBy("pair_id", "mate"))
+    sure = pairs.mates(hits.withColumn("_n", alone).where("_n = 1").drop("_n")).withColumn("all", F.lit(1))
+    model = stats.insert_model(sure, ["all"], cfg.max_mate_distance).first()  # a single row
+    mean, dev = (model["mean"], max(model["dev"], 1.0)) if model else (cfg.max_mate_distance / 2, cfg.max_mate_distance / 8)
+    every = saved(pairs.mates(hits), "mates")
+    off = F.abs(F.col("insert_size") - mean)
+    close = pairs.as_good_as_alone(every.where(off <= cfg.confidence_sigmas * dev), hits, cfg.errors)
+    close = saved(close, "close")
+    single = hits.join(close.select("pair_id").distinct(), "pair_id", "left_anti")
+    lacking = pairs.hopeful(single, hits, cfg.max_mappings)
+    anchors = H.ranked(lacking, ["pair_id", "mate"], ["ed", "contig_id", "pos", "strand"], 4).select(F.concat_ws(":", "pair_id", (1 - F.col("mate")).cast("string")).alias("pair_id"), "contig_id", (F.col("pos") - 1).alias("start"), "strand", "length")
+    wanted = reads.where("seq != ''").select(F.concat_ws(":", "pair_id", F.col("mate").cast("string")).alias("pair_id"), "seq")
+    again = rescue.rescued(anchors, wanted, seeding.chunks(contigs), mean, dev, cfg.saturation_sigmas, cfg.errors_paired)
+    again = again.withColumn("y", alignment.described("ext")).withColumn("_m", F.substring_index("pair_id", ":", -1).cast("int")).withColumn("_p", F.substring_index("pair_id", ":", 1).cast("long"))
+    span = F.length(F.regexp_replace(F.regexp_replace("ext", "#.", ""), r"[\^$]", ""))
+    again = again.join(facts.select(F.col("read_id"), F.col("pair_id").alias("_q"), F.col("mate").alias("_n")), (F.col("_p") == F.col("_q")) & (F.col("_m") == F.col("_n")))
+    again = again.select(F.col("_p").alias("pair_id"), F.col("_m").alias("mate"), "read_id", "contig_id", "strand", "pos", "ed", "y.score", span.cast("long").alias("length"), "y.cigar", "y.md", F.lit("rescued").alias("method"))
+    again = saved(again, "rescued")
+    both = single.unionByName(again).dropDuplicates(["pair_id", "mate", "contig_id", "strand", "pos"])
+    near = pairs.within_mate_errors(pairs.mates(both), 2 * cfg.errors_paired).where(F.abs(F.col("insert_size") - mean) <= cfg.saturation_sigmas * dev)
+    far = every.where((off > cfg.confidence_sigmas * dev) & (F.col("insert_size") <= cfg.max_mate_distance))
+    tiers = pairs.first_tier([close, near, far], "pair_id")
+    best = pairs.best_pairs(pairs.scored(tiers, mean, dev, cfg.saturation_sigmas, cfg.score_match), "pair_score", 1)
+    best = saved(best, "best")
+    side = lambda m: best.select("pair_id", F.lit(m).alias("mate"), "contig_id", *[F.col(f"{c}{m + 1}").alias(c) for c in ("strand", "pos")])
+    chosen = side(0).unionByName(side(1)).join(hits.unionByName(both.where("method = 'rescued'")), ["pair_id", "mate", "contig_id", "strand", "pos"])
+    chosen = H.ranked(chosen, ["pair_id", "mate"], ["ed", F.col("method") == "rescued"], 1).drop("nth")
+    lone = H.ranked(hits.join(best.select("pair_id"), "pair_id", "left_anti"), ["pair_id", "mate"], [F.col("score").desc(), "contig_id", "pos", "strand"], 1).drop("nth")
+    quality = H.qualities(found.select("read_id", "contig_id", "pos", "score")).select("read_id", "mapq")
+    rows = chosen.unionByName(lone.select(chosen.columns)).drop("pair_id", "mate").join(quality, "read_id", "left")
+    rows = _named(reads.join(rows, "read_id", "left"), contigs)
+    if cfg.contig_filter:
+        touched = F.max(F.coalesce(F.col("rname") == cfg.contig_filter, F.lit(False))).over(Window.partitionBy("pair_id"))
+        rows = rows.withColumn("_t", touched).where("_t").drop("_t")
+    rows = rows.withColumn("mo", F.lit(f"{mean:.2f}_{dev:.2f}"))
+    return writers.paired_rows(_tagged(rows.withColumnRenamed("name", "qname"), cfg))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from strandloom.functions import alignment, dna, scores
 from strandloom.operators import hits as H
 from strandloom.operators import intervals, pairs, rescue, seeding, stats
-from strandloom.plans.align import align, to_sam
+from strandloom.plans.align import align, align_pairs, to_sam
 from strandloom.plans.config import AlignConfig
 from strandloom.sources import writers
 from strandloom.streaming import reads as streams
@@ -196,6 +196,17 @@ def sam_text(spark, sf_dir):
     return rows.select("qname", writers.sam_line().alias("line"))
 
 
+@query()
+def paired_sam(spark, sf_dir):
+    """Both ends of every read as mates that face each other: aligned, paired, rescued, two SAM rows a pair. (Tracebacks
+    and the insert model's tail are not SQL; tests hold it against planted places.)"""
+    whole = reads(spark, sf_dir)
+    half = F.floor(F.length("seq") / 2).cast("int")
+    ends = F.array(F.struct(F.lit(0).alias("mate"), F.substring("seq", F.lit(1), half).alias("seq")), F.struct(F.lit(1).alias("mate"), dna.reverse_complement(F.substring("seq", half + 1, F.length("seq"))).alias("seq")))
+    mates = whole.select(F.col("read_id").alias("pair_id"), F.explode(ends).alias("x")).select((F.col("pair_id") * 2 + F.col("x.mate")).alias("read_id"), "pair_id", "x.mate", F.col("pair_id").cast("string").alias("name"), "x.seq", F.lit(None).cast("string").alias("qual"))
+    return align_pairs(mates, contigs(spark, sf_dir), AlignConfig(errors=2)).select("qname", "flag", "rname", "pos", "mapq", "cigar", "rnext", "pnext", "tlen", "nm", "xm")
+
+
 @query()
 def rescued_mates(spark, sf_dir):
     """Ends of reads looked for in the window that the place of their first half allows (a traceback is not SQL)."""
@@ -267,6 +278,21 @@ def close_mates(spark, sf_dir):
     return pairs.close_pairs(hits(spark, sf_dir), 500, 125).select(*_PAIR)
 
 
+@query(f"WITH {_MATES}, b AS (SELECT pair_id, min(ed) FILTER (mate = 0) AS b1, min(ed) FILTER (mate = 1) AS b2 FROM hits GROUP BY 1) SELECT {', '.join(_PAIR)} FROM m JOIN b USING (pair_id) WHERE abs(insert_size - 500) <= 4 * 125 AND ed1 = b1 AND ed2 = b2 AND least(b1, b2) <= 3")
+def sure_pairs(spark, sf_dir):
+    """Close mates that both stand at their best."""
+    source = hits(spark, sf_dir)
+    return pairs.as_good_as_alone(pairs.close_pairs(source, 500, 125), source, 3).select(*_PAIR)
+
+
+@query(f"WITH {_HITS}, n AS (SELECT pair_id, count(*) FILTER (mate = 0) AS a, count(*) FILTER (mate = 1) AS b FROM hits GROUP BY 1) SELECT pair_id, a AS n_first, b AS n_second FROM n WHERE NOT (a > 2 AND b > 2)")
+def hopeful_pairs(spark, sf_dir):
+    """Read pairs worth a further search: not both mates have more than half the hits that are kept."""
+    source = hits(spark, sf_dir)
+    many = source.groupBy("pair_id").agg(*[F.count(F.when(F.col("mate") == m, 1)).alias(n) for m, n in ((0, "n_first"), (1, "n_second"))])
+    return pairs.hopeful(many, source, 4)
+
+
 @query(f"WITH {_MATES} SELECT {', '.join(_PAIR)} FROM m WHERE abs(insert_size - 500) > 4 * 125 AND abs(insert_size - 500) <= 7 * 125")
 def distant_mates(spark, sf_dir):
     """Mates beyond four and within seven deviations."""
@@ -350,18 +376,28 @@ def _over_variants(spark, sf_dir, part):
     return intervals.overlapping(found, variants, "contig_id", 256).groupBy("read_id", "contig_id", "pos", "strand", "ed", "variant").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(_H + """, v AS (SELECT (p_partkey % 7)::BIGINT AS contig_id, p_partkey % 1500 AS first, p_partkey % 1500 + p_size % 5 AS last, p_partkey AS variant FROM part WHERE p_size > 45)
-SELECT read_id, contig_id, hits.pos, strand, ed, variant, count(*) AS n FROM hits JOIN v USING (contig_id) WHERE hits.pos <= v.last AND v.first <= hits.pos + length - 1 GROUP BY ALL""")
+_OVER = _H + """, v AS (SELECT (p_partkey % 7)::BIGINT AS contig_id, p_partkey % 1500 AS first, p_partkey % 1500 + p_size % 5 AS last, p_partkey AS variant FROM part)
+SELECT read_id, contig_id, hits.pos, strand, ed, variant, count(*) AS n FROM hits JOIN v USING (contig_id) WHERE hits.pos <= v.last AND v.first <= hits.pos + length - 1 GROUP BY ALL"""
+
+
+@query(_OVER)
 def hits_over_variants(spark, sf_dir):
-    """Hits whose bases overlap a variant: an interval join in buckets."""
-    return _over_variants(spark, sf_dir, _table(spark, sf_dir, "part").where("p_size > 45"))
+    """Hits whose bases overlap a variant: an interval join in buckets, over every row of part."""
+    return _over_variants(spark, sf_dir, _table(spark, sf_dir, "part"))
 
 
-@query(_H + """, v AS (SELECT (p_partkey % 7)::BIGINT AS contig_id, p_partkey % 1500 AS first, p_partkey % 1500 + p_size % 5 AS last, p_partkey AS variant FROM part)
-SELECT read_id, contig_id, hits.pos, strand, ed, variant, count(*) AS n FROM hits JOIN v USING (contig_id) WHERE hits.pos <= v.last AND v.first <= hits.pos + length - 1 GROUP BY ALL""")
+@query(_OVER)
 def hits_over_all_variants(spark, sf_dir):
-    """As hits_over_variants, for every row of part: that query's SQL fixes its filter."""
-    return _over_variants(spark, sf_dir, _table(spark, sf_dir, "part"))
+    """The same under its name of the round before."""
+    return hits_over_variants(spark, sf_dir)
+
+
+@query("SELECT doc_id AS contig_id, p_partkey, p_partkey % 400 + 1 - doc_id % 100 AS pos FROM part JOIN documents ON p_partkey % 50 = doc_id WHERE p_partkey % 400 + 1 - doc_id % 100 >= 1")
+def variants_on_contigs(spark, sf_dir):
+    """Variants by contig name to contigs that have Ns at their start: those among the Ns go."""
+    named = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("contig_id"), F.concat(F.col("doc_id").cast("string"), F.lit(" more")).alias("name"), (F.col("doc_id") % 100).alias("n_initial"))
+    variants = _table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % 50).cast("string").alias("chrom"), (F.col("p_partkey") % 400 + 1).alias("pos"))
+    return intervals.on_contigs(variants, named).select("contig_id", "p_partkey", "pos")
 
 
 @query("SELECT l_orderkey, l_linenumber, l_quantity::BIGINT AS indel, floor((-5.0::DOUBLE + (l_quantity - 1) * -0.4::DOUBLE) / -5.0::DOUBLE)::BIGINT AS mismatches, (l_partkey * 1737350767) % 4294967296 AS hashed, greatest(10, least(40, l_quantity::BIGINT))::BIGINT AS held FROM lineitem")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -29,6 +31,18 @@ def fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return kept.select(F.split("name", "\\s", 2)[0].alias("name"), seq.alias("seq"), first.cast("long").alias("n_initial"), last.cast("long").alias("n_final"), F.length(seq).cast("long").alias("size"))
 
 
+def fasta_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Records of several files as fasta() has them, with `file_no`: contigs of a file come before those of the next."""
+    return reduce(DataFrame.unionByName, [fasta(spark, p).withColumn("file_no", F.lit(i)) for i, p in enumerate(paths)])
+
+
+def fasta_reads(spark: SparkSession, path: str) -> DataFrame:
+    """Reads of a FASTA file, as fastq() has them, without qualities; their order is that of names."""
+    rows = spark.read.option("lineSep", ">").text(path).where(F.length(F.trim("value")) > 0)
+    seq = F.regexp_replace(F.upper(F.regexp_replace(F.regexp_replace("value", "^[^\\n\\r]*", ""), "\\s", "")), "[^ACGT]", "N")
+    return rows.select(F.regexp_extract("value", "^([^ \\t\\r\\n]*)", 1).alias("name"), seq.alias("seq"), F.lit(None).cast("string").alias("qual"), F.lit(0).alias("mate"))
+
+
 def fastq(spark: SparkSession, path: str, mate: int = 0) -> DataFrame:
     """ordinal, name, seq, qual, mate of each record of four lines (LF or CRLF; gzip and bzip2 by the file's name).
 

@@ -17,6 +17,11 @@ def sam_header(contigs: list[tuple[str, int]], command: str = "", group: str = "
     return "\n".join([*lines, f"@PG\tID:strandloom\tPN:strandloom\tVN:1\tCL:{said}"]) + "\n"
 
 
+def _extra(mapped: DataFrame) -> list[str]:
+    """Columns of further tags, where there are any: the read group, and an insert model's mean and deviation."""
+    return [c for c in ("rg", "mo") if c in mapped.columns]
+
+
 def single_rows(mapped: DataFrame) -> DataFrame:
     """One SAM row a read, unmapped ones included (null rname).
 
@@ -30,7 +35,7 @@ def single_rows(mapped: DataFrame) -> DataFrame:
     star = lambda c: F.coalesce(F.col(c), F.lit("*"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
     return mapped.select(
-        "qname", flag.alias("flag"), star("rname").alias("rname"), zero("pos").alias("pos"), zero("mapq").alias("mapq"), star("cigar").alias("cigar"), F.lit("*").alias("rnext"), F.lit(0).cast("long").alias("pnext"), F.lit(0).cast("long").alias("tlen"),
+        *_extra(mapped), "qname", flag.alias("flag"), star("rname").alias("rname"), zero("pos").alias("pos"), zero("mapq").alias("mapq"), star("cigar").alias("cigar"), F.lit("*").alias("rnext"), F.lit(0).cast("long").alias("pnext"), F.lit(0).cast("long").alias("tlen"),
         turned("seq", dna.reverse_complement).alias("seq"), F.coalesce(turned("qual", F.reverse), F.lit("*")).alias("qual"), F.when(~unmapped, F.col("ed")).alias("nm"), F.when(~unmapped, F.col("md")).alias("md"), F.when(~unmapped, F.col("score")).alias("as_score"), F.when(~unmapped, F.col("method")).alias("xm"),
     )
 
@@ -54,25 +59,29 @@ def paired_rows(mapped: DataFrame) -> DataFrame:
     rnext, pnext = place("_rname", "rname", "*"), place("_pos", "pos", 0).cast("long")
     tag = lambda c: F.when(~lost, F.col(c)).alias(c)
     return both.select(
-        "qname", flag.alias("flag"), rname.alias("rname"), pos.alias("pos"), F.coalesce("mapq", F.lit(0)).cast("long").alias("mapq"), F.coalesce("cigar", F.lit("*")).alias("cigar"),
+        *_extra(mapped), "qname", flag.alias("flag"), rname.alias("rname"), pos.alias("pos"), F.coalesce("mapq", F.lit(0)).cast("long").alias("mapq"), F.coalesce("cigar", F.lit("*")).alias("cigar"),
         F.when(rnext == "*", "*").when(rnext == rname, "=").otherwise(rnext).alias("rnext"), pnext.alias("pnext"), F.coalesce(F.when(left, size).otherwise(-size), F.lit(0)).cast("long").alias("tlen"),
         turned("seq", dna.reverse_complement).alias("seq"), F.coalesce(turned("qual", F.reverse), F.lit("*")).alias("qual"), F.when(~lost, F.col("ed")).alias("nm"), tag("md"), F.when(~lost, F.col("score")).alias("as_score"), F.when(~lost, F.col("method")).alias("xm"),
     )
 
 
-def sam_line() -> Column:
-    """The text of a row of single_rows(); tags only for mapped reads, the score with one decimal."""
+def sam_line(extra: tuple[str, ...] = ()) -> Column:
+    """The text of a row of single_rows() or paired_rows(); tags only for mapped reads, the score with one decimal.
+
+    extra: rg and mo, where the rows have these columns.
+    """
     fields = ["qname", "flag", "rname", "pos", "mapq", "cigar", "rnext", "pnext", "tlen", "seq", "qual"]
     tag = lambda name, c: F.when(c.isNotNull(), F.concat(F.lit(name), c.cast("string")))
+    mapped = lambda c: F.when(F.col("nm").isNotNull(), F.col(c))
     score = F.when(F.col("as_score").isNotNull(), F.format_string("%.1f", F.col("as_score").cast("double")))
-    return F.concat_ws("\t", *[F.col(c).cast("string") for c in fields], tag("NM:i:", F.col("nm")), tag("MD:Z:", F.col("md")), tag("AS:i:", score), tag("XM:Z:", F.col("xm")))
+    return F.concat_ws("\t", *[F.col(c).cast("string") for c in fields], tag("NM:i:", F.col("nm")), tag("MD:Z:", F.col("md")), *[tag("RG:Z:", mapped(c)) for c in extra if c == "rg"], tag("AS:i:", score), tag("XM:Z:", F.col("xm")), *[tag("MO:Z:", mapped(c)) for c in extra if c == "mo"])
 
 
 def write_sam(rows: DataFrame, header: str, path: str, gzip: bool = False) -> None:
     """Text parts under path/rows, in no set order, and the header under path/header."""
     spark = rows.sparkSession
     spark.createDataFrame([(header.rstrip("\n"),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/header")
-    out = rows.select(sam_line().alias("value")).write.mode("overwrite")
+    out = rows.select(sam_line(tuple(c for c in ("rg", "mo") if c in rows.columns)).alias("value")).write.mode("overwrite")
     (out.option("compression", "gzip") if gzip else out).text(f"{path}/rows")
 
 
@@ -82,5 +91,16 @@ def write_index(index: DataFrame, path: str, buckets: int = 64) -> None:
     index.withColumn("bucket", bucket).repartition("bucket").sortWithinPartitions("seed").write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
+def write_variants(variants: DataFrame, path: str) -> None:
+    """intervals.on_contigs() rows as Parquet in order of place, so that a range is found in few row groups."""
+    variants.repartitionByRange("contig_id", "pos").sortWithinPartitions("contig_id", "pos", "vtype", "alt").write.mode("overwrite").parquet(path)
+
+
+def write_unmapped(rows: DataFrame, path: str) -> None:
+    """FASTQ text of the rows of single_rows() that are not mapped."""
+    lost = rows.where(F.col("flag").bitwiseAND(F.lit(4)) != 0)
+    lost.select(F.concat_ws("\n", F.concat(F.lit("@"), "qname"), "seq", F.lit("+"), "qual").alias("value")).write.mode("overwrite").text(path)
+
+
 def write_statistics(stats: DataFrame, path: str) -> None:
     stats.write.mode("overwrite").json(path)
