@@ -88,3 +88,36 @@ def test_run(spark, hard_dir, tmp_path):
     empty = pq.read_schema(f"{hard_dir}/documents.parquet").empty_table()
     pq.write_table(empty, tmp_path / "documents.parquet")
     assert pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_columns_of_any_name(spark, tmp_path):
+    """Blanks, dashes, dots and backticks in the names of further columns; rows that repeat others in all but these."""
+    import pyarrow as pa
+
+    names = ["my col", "a-b", "a.b", "t`ick", "Größe", "_rest", "h", "lang_pred", "_h", "_told"]
+    d = pq.read_table("/root/testdata/sf0.001/documents.parquet").slice(0, 60)
+    d = pa.concat_tables([d, d.slice(3, 4)])
+    for name in names:
+        d = d.append_column(name, pa.array([f"{name}{i}" for i in range(len(d))]))
+    pq.write_table(d, tmp_path / "documents.parquet")
+    once = []
+    for _ in range(2):
+        docs = table(spark, str(tmp_path), "documents")
+        for name, stage in pipeline.STAGES[:-1]:
+            docs = staged(stage(spark, docs, str(tmp_path)), name)
+            assert docs.columns == d.column_names
+        once.append(sorted(map(repr, docs.collect())))
+    assert once[0] == once[1] and len(once[0]) > 20
+
+
+def test_scratch_leaves_nothing(spark, tmp_path, monkeypatch):
+    """Tables staged inside are gone at the end, kept ones stay; without a shared folder only a local session may run."""
+    import os
+
+    from strandloom.llm import common
+
+    monkeypatch.setattr(common, "shared_dir", lambda s: str(tmp_path))
+    with common.scratch(spark):
+        staged(spark.range(3), "inside")
+        kept = staged(spark.range(4), "kept", keep=True)
+    assert [x.split("-")[0] for x in os.listdir(tmp_path)] == ["kept"] and kept.count() == 4
