@@ -38,7 +38,7 @@ BASE = (
 )
 #: Parts that say little alone.
 WEAK = (
-    Kind("user", r"""(?i)(?:user(?:name|_?id)?|login|account|client_?id|access_?key_?id)["']?\x20{0,8}[:=]\x20{0,8}["']?([A-Za-z0-9_.@-]+)""", "access", 1, 3, weak=True),
+    Kind("user", r"""(?i)(?:user(?:name|_?id)?|login|account|client_?id|access_?key_?id)["']?\x20*+[:=]\x20*+["']?([A-Za-z0-9_.@-]+)""", "access", 1, 3, weak=True),
     Kind("opaque", r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{32,}+={0,2}(?![A-Za-z0-9+/_-])", "secret", weak=True),
     Kind("endpoint", r"""(?:https?|ftp|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s"'<>]+""", "endpoint", weak=True),
 )

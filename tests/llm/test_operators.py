@@ -270,6 +270,14 @@ def test_op6_long_tokens(spark):
     assert all(clean[i] == "[secret] [secret] end" for i in range(4)) and clean[4] == f"user=alice {tokens[4]} end"
 
 
+def test_op6_blanks_without_bound(spark):
+    from strandloom.llm import secrets
+
+    texts = ["user" + " " * n + "=" + " " * n + "alice " + "deadbeefdeadbeefdeadbeef" for n in (0, 8, 9, 5000)] + ["user" + " " * 50_000]
+    got = {r.doc_id: [s.start for s in r.spans] for r in secrets.spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {i: [0, len(t) - 24] for i, t in enumerate(texts[:4])}
+
+
 def test_op7(spark, hard_dir):
     import duckdb
 
