@@ -9,12 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from strandloom.llm.bpe import op4_streaming_bpe
 from strandloom.llm.language import op3_subword_softmax
 from strandloom.llm.mixing import op9_entropy_balance
-from strandloom.llm.neardup import op1_chosen_path
+from strandloom.llm.neardup import OP1_SQL, op1_chosen_path
 from strandloom.llm.quality import op10_kneser_ney
-from strandloom.llm.secrets import op6_linked_credentials
+from strandloom.llm.secrets import OP6_SQL, op6_linked_credentials
 from strandloom.llm.sharding import op5_hash_tree
 from strandloom.llm.simhash import op2_simhash
-from strandloom.llm.substrings import op8_suffix_trees
+from strandloom.llm.substrings import OP8_SQL, op8_suffix_trees
 from strandloom.llm.urls import OP7_FAMILIES_SQL, OP7_SQL, op7_blocked_families, op7_bloom_cascade
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -30,4 +30,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_entropy_balance": op9_entropy_balance,
     "op10_kneser_ney": op10_kneser_ney,
 }
-ORACLES: dict[str, str] = {"op7_bloom_cascade": OP7_SQL, "op7_blocked_families": OP7_FAMILIES_SQL}
+ORACLES: dict[str, str] = {
+    "op1_chosen_path": OP1_SQL,
+    "op6_linked_credentials": OP6_SQL,
+    "op7_bloom_cascade": OP7_SQL,
+    "op7_blocked_families": OP7_FAMILIES_SQL,
+    "op8_suffix_trees": OP8_SQL,
+}

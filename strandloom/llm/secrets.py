@@ -134,3 +134,32 @@ def op6_linked_credentials(spark, sf_dir: str) -> DataFrame:
     base = F.filter(every, lambda x: x["kind"] < len(BASE))
     count = lambda i: F.size(F.filter(every, lambda x: x["kind"] == i)).cast("long")
     return joined.select("doc_id", *[count(i).alias(f"n_{k.name}") for i, k in enumerate(BASE)], F.sha2(listed(base), 256).alias("base_sha256"), listed(every).alias("spans"))
+
+
+def _sql_places(name: str, pattern: str, group: int, least: int) -> str:
+    """Matches of a pattern in DuckDB: kind, start, end of those whose group has `least` code points."""
+    quoted = pattern.replace("'", "''")
+    return f"""SELECT doc_id, text, '{name}' AS kind, start, start + w AS "end" FROM (
+      SELECT doc_id, text, w, m, sum(b + w) OVER (PARTITION BY doc_id ORDER BY i) - w AS start FROM (
+        SELECT doc_id, text, unnest(range(len(f))) AS i, unnest(list_transform(f, lambda x: length(x))) AS w, unnest(list_transform(g, lambda x: length(x))) AS m, unnest(list_transform(s[1 : len(f)], lambda x: length(x))) AS b FROM (
+          SELECT doc_id, text, regexp_extract_all(text, '{quoted}') AS f, regexp_extract_all(text, '{quoted}', {group}) AS g, string_split_regex(text, '{quoted}') AS s FROM t))) WHERE m >= {least}"""
+
+
+#: RE2 has neither possessive nor looking patterns: those of WEAK say the same by plain ones and by what follows a run.
+_TOKEN = "[A-Za-z0-9+/_-]"
+OP6_SQL = f"""
+WITH t AS (SELECT doc_id, translate(coalesce(text, ''), 'ſK', '??') AS text FROM documents),
+base AS ({" UNION ALL ".join(_sql_places(k.name, k.pattern, k.measured, k.least) for k in BASE)}),
+runs AS ({_sql_places("opaque", _TOKEN + "{32,}", 0, 1)}),
+tails AS (SELECT *, substr(text, start::BIGINT + 1, ("end" - start)::BIGINT) AS run, length(regexp_extract(substr(text, "end"::BIGINT + 1, 3), '^=*')) AS marks, regexp_matches(substr(text, "end"::BIGINT + 1, 3), '^={{1,2}}{_TOKEN}') AS goes_on FROM runs),
+opaque AS (SELECT doc_id, text, kind, start, "end" + CASE WHEN goes_on THEN marks - 1 ELSE least(marks, 2) END AS "end" FROM tails WHERE regexp_matches(run, '[0-9]') AND regexp_matches(run, '[A-Za-z]')),
+users AS ({_sql_places(WEAK[0].name, WEAK[0].pattern.replace("*+", "*"), WEAK[0].measured, WEAK[0].least)}),
+ends AS ({_sql_places(WEAK[2].name, WEAK[2].pattern.replace(chr(92) + "s", chr(92) + "x20" + chr(92) + "x09-" + chr(92) + "x0D"), 0, 1)}),
+parts AS (SELECT doc_id, start::BIGINT AS start, "end"::BIGINT AS "end", kind, list_position(['assign', 'access', 'hex', 'user', 'opaque', 'endpoint'], kind) AS k, kind IN ('assign', 'hex', 'opaque') AS secret
+          FROM (SELECT * FROM base UNION ALL SELECT * FROM users UNION ALL SELECT * FROM opaque UNION ALL SELECT * FROM ends)),
+found AS (SELECT doc_id, start, "end", kind, k FROM parts WHERE k <= 3 UNION ALL
+          SELECT doc_id, start, "end", kind, k FROM parts a WHERE k > 3 AND EXISTS (SELECT 1 FROM parts b WHERE b.doc_id = a.doc_id AND b.secret <> a.secret AND b.start <= a."end" + {SCOPE} AND b."end" >= a.start - {SCOPE})),
+told AS (SELECT doc_id, string_agg(kind || ':' || start || ':' || "end", ',' ORDER BY start, k, "end") AS spans, string_agg(kind || ':' || start || ':' || "end", ',' ORDER BY start, k, "end") FILTER (k <= 3) AS base,
+         count(*) FILTER (k = 1) AS n_assign, count(*) FILTER (k = 2) AS n_access, count(*) FILTER (k = 3) AS n_hex FROM found GROUP BY 1)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM t LEFT JOIN told USING (doc_id)
+"""

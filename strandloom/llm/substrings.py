@@ -307,3 +307,17 @@ def op8_suffix_trees(spark, sf_dir: str) -> DataFrame:
     See deduplicated() for nulls and repeated rows. An empty table gives no rows.
     """
     return deduplicated(table(spark, sf_dir, "documents")).drop("text")
+
+
+#: Every window of every document by its words; a word goes when a window over it stands in a smaller document too.
+OP8_SQL = f"""
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+v AS (SELECT doc_id, p, array_to_string(w[p : p + {WINDOW - 1}], ' ') AS words FROM (SELECT doc_id, w, unnest(range(1, len(w) - {WINDOW - 2})) AS p FROM d WHERE len(w) >= {WINDOW})),
+again AS (SELECT doc_id, p FROM (SELECT doc_id, p, min(doc_id) OVER (PARTITION BY words) AS least FROM v) WHERE least < doc_id),
+gone AS (SELECT DISTINCT doc_id, p + i AS p FROM again, range({WINDOW}) t(i)),
+runs AS (SELECT doc_id, count(*) AS n_removed, count(*) FILTER (p > before + 1 OR before IS NULL) AS n_repeats FROM (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM gone) GROUP BY 1),
+word AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS kept FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256, coalesce(n_repeats, 0) AS n_repeats
+FROM d LEFT JOIN runs USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
