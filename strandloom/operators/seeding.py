@@ -117,12 +117,16 @@ def strata(reads: DataFrame, contigs: DataFrame, cfg: AlignConfig, errors: int,
     """Mapping stage by stage: a read that a stage solves is not searched further (mode first), searched for one error
     more than its best (second), or searched with all errors at once (all).
 
-    Each stage's hits and unsolved reads are saved, so a stage restarts from them and not from the reads.
+    Each stage's hits and unsolved reads are saved, so a stage restarts from them and not from the reads; the index of
+    the contigs is made once for all stages.
     """
     steps = [errors] if cfg.mode == "all" else range(errors + 1)
+    index = seed_index(chunks(contigs), cfg.seed)
+    if len(steps) > 1:
+        index = save(index, "index")
     left, out, best = reads, None, None
     for step in steps:
-        hits = map_reads(left, contigs, step, cfg.seed)
+        hits = map_reads(left, contigs, step, cfg.seed, index=index)
         if cfg.mode == "second" and best is not None:
             hits = hits.join(best, "read_id", "left").where(F.col("best").isNull() | (F.col("ed") <= F.col("best") + 1)).drop("best")
         hits = save(hits.select("read_id", "strand", "contig_id", "start", "ed").withColumn("stage", F.lit(step)), "hits")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from strandloom.functions import alignment, dna, scores
 from strandloom.operators import hits as H
 from strandloom.operators import intervals, pairs, rescue, seeding, stats
+from strandloom.operators.saving import saved
 from strandloom.plans.align import align, align_pairs, to_sam
 from strandloom.plans.config import AlignConfig
 from strandloom.sources import writers
@@ -151,6 +152,39 @@ def reads_for_next_stage(spark, sf_dir):
     return H.unsolved(source, seeding.map_reads(source, contigs(spark, sf_dir), 3), 1).select("read_id")
 
 
+_STRATA = f"""WITH {_REF}, {_STRANDED},
+pieces AS (SELECT read_id, strand, s, (length(seq) * j) // (s + 1) AS at, substr(seq, (length(seq) * j) // (s + 1) + 1, 18) AS seed FROM reads, range(4) a(s), range(4) b(j) WHERE j <= s AND length(seq) >= 18 * (s + 1)),
+places AS (SELECT contig_id, seq, unnest(range(length(seq) - 17)) AS p FROM ref WHERE length(seq) >= 18),
+cand AS (SELECT DISTINCT q.read_id, q.strand, q.s, i.contig_id, i.p - q.at AS start FROM places i JOIN pieces q ON substr(i.seq, i.p + 1, 18) = q.seed),
+placed AS (SELECT c.*, levenshtein(q.seq, substr(r.seq, c.start + 1, length(q.seq))) AS ed FROM cand c JOIN reads q USING (read_id, strand) JOIN ref r USING (contig_id) WHERE c.start >= 0 AND c.start + length(q.seq) <= length(r.seq)),
+found AS (SELECT read_id, strand, contig_id, start::BIGINT AS start, ed::BIGINT AS ed, s AS stage FROM placed WHERE ed <= s)"""
+
+
+def _strata(spark, sf_dir, mode):
+    source = reads(spark, sf_dir)
+    return seeding.strata(source, contigs(spark, sf_dir), AlignConfig(mode=mode), 3, saved).withColumn("stage", F.col("stage").cast("long"))
+
+
+@query(_STRATA + " SELECT read_id, strand, contig_id, start, ed, stage FROM (SELECT *, min(stage) OVER (PARTITION BY read_id) AS least FROM found) WHERE stage = least")
+def strata_first(spark, sf_dir):
+    """Places of each read from the first stage (no error, one, ...) that has any."""
+    return _strata(spark, sf_dir, "first")
+
+
+@query(_STRATA + """, best AS (SELECT f.read_id, s AS stage, min(f.ed) AS best FROM range(4) t(s) JOIN found f ON f.stage < s GROUP BY ALL),
+kept AS (SELECT f.* FROM found f LEFT JOIN best USING (read_id, stage) WHERE best IS NULL OR (best > stage - 2 AND ed <= best + 1))
+SELECT read_id, strand, contig_id, start, ed, min(stage) AS stage FROM kept GROUP BY ALL""")
+def strata_second(spark, sf_dir):
+    """The same with one stage more than a read's best: places of the best two strata."""
+    return _strata(spark, sf_dir, "second")
+
+
+@query(_STRATA + " SELECT read_id, strand, contig_id, start, ed, stage FROM found WHERE stage = 3")
+def strata_all(spark, sf_dir):
+    """All places with three errors at most, in one stage."""
+    return _strata(spark, sf_dir, "all")
+
+
 @query(f"""WITH {_REF}, {_STRANDED}, grams AS (SELECT read_id, strand, length(seq) // 12 AS n, unnest(range(length(seq) // 12)) AS j, seq FROM reads), g AS (SELECT read_id, strand, n, j, substr(seq, j * 12 + 1, 12) AS seed FROM grams),
 idx AS (SELECT DISTINCT contig_id, substr(seq, p + 1, 12) AS seed FROM (SELECT contig_id, seq, unnest(range(length(seq) - 11)) AS p FROM ref WHERE length(seq) >= 12))
 SELECT read_id, strand, contig_id, n, count(DISTINCT j) AS shared FROM g JOIN idx USING (seed) GROUP BY 1, 2, 3, 4 HAVING count(DISTINCT j) >= n - 3""")
@@ -240,9 +274,12 @@ def clusters_from_previous(spark, sf_dir):
     return H.clusters_from_previous(hits(spark, sf_dir), CFG.merge_distance).select("read_id", "contig_id", "pos", "ed", "strand")
 
 
-@query()
+@query("WITH RECURSIVE " + _HITS + """, h AS (SELECT read_id, contig_id, pos, ed, strand, row_number() OVER (PARTITION BY read_id, contig_id ORDER BY pos, ed, strand) AS nth FROM hits),
+c AS (SELECT read_id, contig_id, nth, pos AS first FROM h WHERE nth = 1 UNION ALL
+  SELECT h.read_id, h.contig_id, h.nth, CASE WHEN h.pos - c.first <= 12 THEN c.first ELSE h.pos END FROM c JOIN h ON h.read_id = c.read_id AND h.contig_id = c.contig_id AND h.nth = c.nth + 1)
+SELECT read_id, contig_id, pos, ed, strand FROM (SELECT h.*, row_number() OVER (PARTITION BY read_id, contig_id, first ORDER BY ed, nth) AS k FROM h JOIN c USING (read_id, contig_id, nth)) WHERE k = 1""")
 def clusters_from_first(spark, sf_dir):
-    """Hits merged while each is near the cluster's first one: a fold, held against brute force in the tests."""
+    """Hits merged while each is near the cluster's first one: a fold."""
     return H.clusters_from_first(hits(spark, sf_dir), CFG.merge_distance)
 
 
@@ -414,9 +451,13 @@ def sam_flags(spark, sf_dir):
     return hits(spark, sf_dir).select("read_id", "contig_id", "pos", "strand", flag.alias("flag"))
 
 
-@query()
+@query("""WITH p AS (SELECT p_partkey, upper(p_name) AS r, upper(p_type) AS a FROM part),
+t AS (SELECT *, list_max(list_filter(range(0, least(length(r), length(a)) + 1), lambda n: right(r, n) = right(a, n))) AS tail FROM p),
+u AS (SELECT p_partkey, left(r, length(r) - tail) AS r, left(a, length(a) - tail) AS a FROM t),
+v AS (SELECT *, list_max(list_filter(range(0, least(length(r), length(a)) + 1), lambda n: left(r, n) = left(a, n))) AS head FROM u)
+SELECT p_partkey, substr(r, head + 1) AS ref, substr(a, head + 1) AS alt, head AS start FROM v""")
 def trimmed_variants(spark, sf_dir):
-    """Alleles without their common ends (part names stand in for alleles; tests hold known values)."""
+    """Alleles without their common ends (part names stand in for alleles)."""
     part = _table(spark, sf_dir, "part").select("p_partkey", F.upper("p_name").alias("ref"), F.upper("p_type").alias("alt"))
     return part.withColumn("x", dna.common_affixes_trimmed(F.col("ref"), F.col("alt"))).select("p_partkey", "x.ref", "x.alt", "x.start")
 

@@ -1,11 +1,13 @@
 """Readers and writers on small files; streams against their batch forms."""
 
 import gzip
+import struct
+from pathlib import Path
 
 import pandas as pd
 
 from strandloom.operators import seeding
-from strandloom.sources import readers, writers
+from strandloom.sources import bam, readers, writers
 from strandloom.streaming import reads as streams
 
 
@@ -83,3 +85,70 @@ def test_running_insert_model(spark, tmp_path):
     q.awaitTermination()
     got = pd.concat(seen).groupby("group").last()
     assert got.loc["a", "n"] == 3 and abs(got.loc["a", "mean"] - 310) < 1e-9 and abs(got.loc["a", "dev"] - 8.164966) < 1e-5 and got.loc["b", "n"] == 0
+
+
+def _records(data: bytes):
+    """A BAM file's contigs and records, read field by field."""
+    whole, at = gzip.decompress(data), 0
+
+    def take(form):
+        nonlocal at
+        got = struct.unpack_from("<" + form, whole, at)
+        at += struct.calcsize("<" + form)
+        return got[0] if len(got) == 1 else got
+
+    assert take("4s") == b"BAM\x01"
+    text = take(f"{take('i')}s").decode()
+    contigs = [(take(f"{take('i')}s")[:-1].decode(), take("i")) for _ in range(take("i"))]
+    out = []
+    while at < len(whole):
+        end = take("i") + at
+        ref, pos, size, mapq, where, n, flag, length, next_ref, next_pos, tlen = take("iiBBHHHiiii")
+        name = take(f"{size}s")[:-1].decode()
+        cigar = "".join(f"{c >> 4}{'MIDNSHP=X'[c & 15]}" for c in (take("I") for _ in range(n)))
+        seq = "".join("=ACMGRSVTWYHKDBN"[c] for b in take(f"{(length + 1) // 2}s") for c in (b >> 4, b & 15))[:length]
+        qual = take(f"{length}s")
+        tags = whole[at:end]
+        at = end
+        out.append((name, flag, ref, pos, mapq, where, cigar, next_ref, next_pos, tlen, seq, qual, tags))
+    return text, contigs, out
+
+
+def test_bam(spark, tmp_path):
+    header = writers.sam_header([("one", 100_000), ("two", 200)])
+    names = "rg string, qname string, flag int, rname string, pos long, mapq long, cigar string, rnext string, pnext long, tlen long, seq string, qual string, nm long, md string, as_score double, xm string"
+    made = [
+        ("g", "a", 99, "one", 16_380, 60, "4M1D2M2S", "=", 16_500, 129, "ACGTNACG", "IIIIIIII", 1, "4^C2", 3.5, "edits"),
+        ("g", "b", 4, "*", 0, 0, "*", "*", 0, 0, "ACG", "*", None, None, None, None),
+        ("g", "c", 4, "*", 0, 0, "*", "*", 0, 0, None, "*", None, None, None, None),
+        ("g", "d", 16, "two", 1, 3, "5M", "one", 7, 0, "TTTTT", "!!!!!", 0, "5", 5.0, "perfect"),
+    ]
+    folder = tmp_path / "out"
+    for _ in range(2):  # the second run takes the place of the first
+        bam.write_bam(spark.createDataFrame(made, names).repartition(2), header, f"file://{folder}")
+    files = sorted(Path(folder).glob("*.bam"))
+    assert files and all(f.read_bytes().endswith(bam.block(b"")) for f in files) and not list(folder.glob("_part*"))
+    told = [_records(f.read_bytes()) for f in files]
+    assert all(t[:2] == (header, [("one", 100_000), ("two", 200)]) for t in told)
+    a, b, c, d = sorted(x for t in told for x in t[2])
+    assert a[:12] == ("a", 99, 0, 16_379, 60, 585, "4M1D2M2S", 0, 16_499, 129, "ACGTNACG", bytes([40] * 8))
+    assert a[12] == b"NMi\x01\0\0\0MDZ4^C2\0RGZg\0ASf" + struct.pack("<f", 3.5) + b"XMZedits\0"
+    assert b[:12] == ("b", 4, -1, -1, 0, 4680, "", -1, -1, 0, "ACG", b"\xff" * 3) and b[12] == b"RGZg\0"
+    assert c[10] == "" and d[:12] == ("d", 16, 1, 0, 3, 4681, "5M", 0, 6, 0, "TTTTT", bytes(5))
+
+
+def test_bam_blocks(spark, tmp_path):
+    """A file of many blocks, none over the format's bound; and no rows at all."""
+    header = writers.sam_header([("one", 1000)])
+    columns = ["qname", "0 AS flag", "'one' AS rname", "1L AS pos", "9L AS mapq", "'100M' AS cigar", "'*' AS rnext", "0L AS pnext", "0L AS tlen", "repeat('ACGTA', 20) AS seq", "'*' AS qual", "0L AS nm", "'100' AS md", "1D AS as_score", "sha2(qname, 512) AS xm"]
+    rows = spark.range(5000).selectExpr("cast(id AS string) AS qname").selectExpr(*columns).coalesce(1)
+    bam.write_bam(rows, header, f"{tmp_path}/many")
+    data = next((tmp_path / "many").glob("*.bam")).read_bytes()
+    at, sizes = 0, []
+    while at < len(data):
+        sizes.append(struct.unpack_from("<H", data, at + 16)[0] + 1)
+        at += sizes[-1]
+    assert at == len(data) and len(sizes) > 10
+    assert sorted(int(r[0]) for r in _records(data)[2]) == list(range(5000))
+    bam.write_bam(rows.limit(0), header, f"{tmp_path}/none")
+    assert all(_records(f.read_bytes())[2] == [] for f in (tmp_path / "none").glob("*.bam"))
