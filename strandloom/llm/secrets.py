@@ -146,9 +146,10 @@ def _sql_places(name: str, pattern: str, group: int, least: int) -> str:
 
 
 #: RE2 has neither possessive nor looking patterns: those of WEAK say the same by plain ones and by what follows a run.
+#: It takes the long s (383) and the Kelvin sign (8490) for letters in either case; the patterns here do not.
 _TOKEN = "[A-Za-z0-9+/_-]"
 OP6_SQL = f"""
-WITH t AS (SELECT doc_id, translate(coalesce(text, ''), 'ſK', '??') AS text FROM documents),
+WITH t AS (SELECT doc_id, translate(coalesce(text, ''), chr(383) || chr(8490), '??') AS text FROM documents),
 base AS ({" UNION ALL ".join(_sql_places(k.name, k.pattern, k.measured, k.least) for k in BASE)}),
 runs AS ({_sql_places("opaque", _TOKEN + "{32,}", 0, 1)}),
 tails AS (SELECT *, substr(text, start::BIGINT + 1, ("end" - start)::BIGINT) AS run, length(regexp_extract(substr(text, "end"::BIGINT + 1, 3), '^=*')) AS marks, regexp_matches(substr(text, "end"::BIGINT + 1, 3), '^={{1,2}}{_TOKEN}') AS goes_on FROM runs),
