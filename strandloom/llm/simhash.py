@@ -79,11 +79,16 @@ def close_pairs(prints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -
 def _before(tops: DataFrame) -> DataFrame:
     """cell -> the cell whose first document follows this cell's last one (after the last cell: the first).
 
-    tops has a row for NEAR_IDS ids at most, so this orders a thousandth of the rows.
+    Cells are dealt out in ranges, and each range is put in order by a task of its own; only the first cell of each
+    range (no more rows than there are ranges) meets those of the others. So ids may be as sparse as they like.
     """
-    order = Window.orderBy(F.col("cell").desc())
+    parts = int(tops.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = staged(tops.select("cell").repartitionByRange(parts, F.col("cell").desc()).withColumn("part", F.spark_partition_id()), "ranges")
+    heads = ranges.groupBy("part").agg(F.max("cell").alias("head")).withColumn("_then", F.lead("head").over(Window.orderBy(F.col("head").desc())))
     first = tops.agg(F.max("cell").alias("first_cell"))
-    return tops.withColumn("then", F.lead("cell").over(order)).withColumn("then", F.coalesce("then", first.scalar())).select("cell", "then")
+    order = Window.partitionBy("part").orderBy(F.col("cell").desc())
+    told = ranges.withColumn("then", F.lead("cell").over(order)).join(heads.select("part", "_then"), "part")
+    return told.select("cell", F.coalesce("then", "_then", first.scalar()).alias("then"))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -126,7 +131,7 @@ def op2_simhash(spark, sf_dir: str) -> DataFrame:
     told = staged(fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text")), "prints")
     order = Window.partitionBy("cell").orderBy("nth")
     first = told.where("nth = 1").select(F.col("cell").alias("next_cell"), F.col("fingerprint").alias("_first"))
-    pairs = staged(close_pairs(told.select("fingerprint").distinct()), "close")
+    pairs = close_pairs(told.select("fingerprint").distinct())  # counted where they meet: no pair is stored or shuffled
     links = pairs.select(F.explode(F.array("a", "b")).alias("fingerprint")).groupBy("fingerprint").agg(F.count(F.lit(1)).alias("near_links"))
     told = told.withColumn("_next", F.lead("fingerprint").over(order)).join(first, "next_cell", "left").join(links, "fingerprint", "left")
     alike = lambda other: F.lit(1.0) - F.bit_count(F.col("fingerprint").bitwiseXOR(other)) / F.lit(64.0)
