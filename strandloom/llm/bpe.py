@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import codecs
 import hashlib
+import heapq
 import json
 from collections.abc import Iterable, Iterator
 from struct import pack
@@ -51,9 +52,15 @@ class Vocabulary:
         pairs = [m if isinstance(m, list) else m.split(" ") for m in said["model"]["merges"]]
         self.ranks = {(raw(a), raw(b)): r for r, (a, b) in enumerate(pairs)}
         self.longest = max(map(len, self.ids), default=1)
-        #: Bytes past a position that can still change the tokens before it: a token that spans the position begins
-        #: less than `longest` bytes before it and ends less than `longest` bytes after it.
-        self.lookahead = self.longest - 1
+        #: The sufficient lookahead in bytes: a token that spans a position was merged from parts, so it begins no more
+        #: than this before the position. Prefixes that end further back than this are none that later bytes build on.
+        self.lookahead = max([len(a) + len(b) for a, b in self.ranks] + [self.longest]) - 1
+        #: Lengths, longest first, of the tokens that end in these (at most two) bytes: only these are looked up.
+        ends: dict[bytes, set[int]] = {}
+        for token in self.ids:
+            if len(token) > 1:
+                ends.setdefault(token[-2:], set()).add(len(token))
+        self.sizes = {end: (*sorted(sizes, reverse=True), 1) for end, sizes in ends.items()}
         self._agree: dict[tuple[int, int], bool] = {}
 
     def merged(self, piece: bytes) -> list[bytes]:
@@ -88,9 +95,12 @@ class Vocabulary:
 
     def short(self, piece: bytes) -> list[int]:
         """Ids of a piece held whole: the same transducer without a window, for pieces no longer than MEMO_CHARS."""
-        ids, known, last, n = self.ids.get, self._agree.get, [-1], len(piece)
+        ids, known, sizes, last, n = self.ids.get, self._agree.get, self.sizes.get, [-1], len(piece)
         for end in range(1, n + 1):
-            for start in range(max(0, end - self.longest), end):
+            for size in sizes(piece[max(0, end - 2) : end], (1,)):
+                start = end - size
+                if start < 0:
+                    continue
                 token = ids(piece[start:end])
                 if token is None:
                     continue
@@ -109,15 +119,15 @@ class Vocabulary:
 
     def tokens(self, piece: Iterable[bytes]) -> Iterator[int]:
         """Ids of a piece that arrives in blocks of bytes; memory is bounded by the lookahead, not by the piece."""
-        ids, agree, longest = self.ids, self.agree, self.longest
+        ids, agree, full = self.ids, self.agree, 4 * (self.lookahead + 1)
         window, last = b"", []  # bytes not yet emitted, and for each of their prefixes the last token of its encoding
-        before = -1  # the token emitted last
+        before, due = -1, full  # the token emitted last, and the window at which tokens are looked for that are final
         for block in piece:
             for i in range(len(block)):
                 window += block[i : i + 1]
                 n = len(window)
-                for size in range(min(n, longest), 0, -1):
-                    token = ids.get(window[n - size :])
+                for size in self.sizes.get(window[-2:], (1,)):
+                    token = ids.get(window[n - size :]) if size <= n else None
                     if token is None:
                         continue
                     ahead = last[n - size - 1] if n > size else before
@@ -128,11 +138,12 @@ class Vocabulary:
                         break
                 else:
                     last.append(None)
-                if n >= 4 * longest:
-                    yield from (done := self._stable(last, longest))
+                if n >= due:
+                    yield from (done := self._stable(last))
                     if done:
                         gone = sum(len(self.bytes[t]) for t in done)
                         window, last, before = window[gone:], last[gone:], done[-1]
+                    due = max(full, len(window) + self.lookahead)
         yield from self._path(last, len(last))
 
     def _path(self, last: list, end: int) -> list[int]:
@@ -142,22 +153,25 @@ class Vocabulary:
             end -= len(self.bytes[out[-1]])
         return out[::-1]
 
-    def _stable(self, last: list, longest: int) -> list[int]:
-        """The tokens that all prefixes which later bytes can build on have in common."""
-        n, common = len(last), None
-        for end in range(n - longest + 1, n + 1):
-            if end > 0 and last[end - 1] is not None:
-                path = self._path(last, end)
-                if common is None:
-                    common = path
-                else:
-                    k = 0
-                    while k < len(common) and k < len(path) and common[k] == path[k]:
-                        k += 1
-                    common = common[:k]
-                if not common:
-                    return []
-        return common or []
+    def _stable(self, last: list) -> list[int]:
+        """The tokens that all prefixes which later bytes can build on have in common.
+
+        A prefix without its last token is a shorter prefix: so they form a tree, and the shared tokens are those of the
+        nearest ancestor of all that end within the lookahead.
+        """
+        n = len(last)
+        ends = {end for end in range(max(1, n - self.lookahead), n + 1) if last[end - 1] is not None}
+        heap = [-end for end in ends]
+        heapq.heapify(heap)
+        while len(heap) > 1:
+            end = -heapq.heappop(heap)
+            shorter = end - len(self.bytes[last[end - 1]])
+            if shorter <= 0:
+                return []
+            if shorter not in ends:
+                ends.add(shorter)
+                heapq.heappush(heap, -shorter)
+        return self._path(last, -heap[0]) if heap else []
 
 
 class Memo(dict):
