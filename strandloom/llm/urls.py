@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +21,7 @@ LISTED = r"(^|[.-])(ads?|adserver|banners?|clicks?|track(er|ing)?)([.-]|$)"
 #: All blocked families: advertising and tracking, adult, gambling, pills, spam farms.
 FAMILIES = r"(^|[.-])(ads?|adserver|banners?|clicks?|track(er|ing)?|adult|porn|xxx|sex|bets?|betting|casinos?|gambling|poker|slots|pills?|pharma|viagra|spam)([.-]|$)"
 BITS_A_KEY, HASHES = 10, 7
-#: No filter is larger (bits; 64 MB): a bound of what is sent to the executors. A list beyond it is refused.
+#: No filter is larger (bits; 64 MB): a bound of what is sent to the executors. Hosts beyond it are split by hash.
 MOST_BITS = 1 << 29
 
 
@@ -60,8 +61,6 @@ class Level:
 def _level(keys: DataFrame, count: int, number: int) -> Level:
     """The Bloom filter of `keys` (column key): bits meet in words by bit_or before and after the shuffle."""
     size = 64 * max(1, math.ceil(count * BITS_A_KEY / 64))
-    if size > MOST_BITS:
-        raise ValueError(f"{count} keys need a filter of {size} bits; {MOST_BITS} is the most that is sent to executors")
     level = Level(None, size, number)
     at = keys.select(F.explode(F.array(*level.positions(F.col("key")))).alias("at"))
     words = at.groupBy(F.floor(F.col("at") / 64).alias("i")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(at, 64) as int))")).alias("w"))
@@ -102,14 +101,26 @@ class Cascade:
 
 
 def verdicts(spark, sf_dir: str, listed: str) -> DataFrame:
-    """Verdict for every page: the longest rule's, else block for hosts that `listed` (a pattern) names and allow for all others."""
+    """Verdict for every page: the longest rule's, else block for hosts that `listed` (a pattern) names and allow for all others.
+
+    So many hosts that filters could pass MOST_BITS (27 million) are split by a hash: each part has a cascade of its
+    own, and its pages are judged and saved before the next part's filters are made, so one cascade is sent at a time.
+    """
     host, path = host_and_path(F.col("url"))
     pages = table(spark, sf_dir, "pages").select("page_id", host.alias("host"), path.alias("path"))
     universe = staged(pages.select(F.col("host").alias("key")).distinct().withColumn("listed", F.col("key").rlike(listed)), "hosts")
-    filters = Cascade(universe)
     rule, verdict = ruled(F.col("host"), F.col("path"))
-    method = F.when(filters.listed(F.col("host")), F.lit("block")).otherwise(F.lit("allow"))
-    return pages.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, method).alias("verdict"))
+
+    def judged(pages: DataFrame, filters: Cascade) -> DataFrame:
+        method = F.when(filters.listed(F.col("host")), F.lit("block")).otherwise(F.lit("allow"))
+        return pages.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, method).alias("verdict"))
+
+    parts = math.ceil(universe.count() * 2 * BITS_A_KEY / MOST_BITS)  # twice the room: hashes deal keys out nearly evenly
+    if parts <= 1:
+        return judged(pages, Cascade(universe))
+    part = lambda key, p: F.pmod(F.xxhash64(key, F.lit(-1)), F.lit(parts)) == p
+    done = [staged(judged(pages.where(part("host", p)), Cascade(universe.where(part("key", p)))), "judged") for p in range(parts)]
+    return reduce(DataFrame.unionByName, done)
 
 
 def op7_bloom_cascade(spark, sf_dir: str) -> DataFrame:
