@@ -95,6 +95,18 @@ def test_op2(spark, hard_dir, docs):
     assert all(abs(1 - (int(r.fingerprint, 16) ^ int(r.edited_fingerprint, 16)).bit_count() / 64 - r.near_edited) < 1e-12 for r in got.itertuples())
 
 
+def test_op2_order_of_sparse_ids(spark):
+    """Ids far apart, each a cell of its own: ranges follow one another, the last cell is followed by the first."""
+    import random
+
+    from strandloom.llm import simhash
+
+    ids = sorted(random.Random(4).sample(range(-(1 << 40), 1 << 40), 500), reverse=True)
+    got = {r.cell: r.then for r in simhash._before(spark.createDataFrame([(i,) for i in ids], "cell long").repartition(7)).collect()}
+    assert got == dict(zip(ids, ids[1:] + ids[:1]))
+    assert [tuple(r) for r in simhash._before(spark.createDataFrame([(3,)], "cell long")).collect()] == [(3, 3)]
+
+
 def test_op2_votes(spark):
     """A fingerprint is the majority of its terms' bits, also where terms overflow a lane group."""
     from pyspark.sql import functions as F
@@ -151,6 +163,24 @@ def test_op4(spark, hard_dir, docs):
     assert rows(got, list(want.columns)) == rows(want, list(want.columns))
 
 
+def test_op4_lookahead_and_long_pieces():
+    """The lookahead follows from the merges; pieces of 100,000 characters equal the library's, in a window of bounded size."""
+    from tokenizers import Tokenizer
+
+    from strandloom.llm import bpe
+
+    t = Tokenizer.from_file(bpe.default_path())
+    with open(bpe.default_path(), encoding="utf-8") as f:
+        v = bpe.Vocabulary(f.read())
+    assert v.lookahead >= max(len(a) + len(b) for a, b in v.ranks) - 1
+    seen, stable = [], v._stable
+    v._stable = lambda last: seen.append(len(last)) or stable(last)
+    for x in ("a" * 100_000, "ab" * 50_000, "日本" * 20_000, "=" * 100_000):
+        raw = x.encode()
+        assert list(v.tokens(raw[i : i + 999] for i in range(0, len(raw), 999))) == t.encode(x, add_special_tokens=False).ids
+    assert max(seen) <= 8 * (v.lookahead + 1)
+
+
 def test_op4_transducer(monkeypatch):
     """Long pieces, small chunks and special strings against the library."""
     import random
@@ -304,6 +334,16 @@ def test_op7_cascade_is_exact(spark):
         urls.BITS_A_KEY = urls_bits
 
 
+def test_op7_hosts_beyond_one_filter(spark, hard_dir, monkeypatch):
+    """Hosts split by hash over several cascades: the same verdicts."""
+    from strandloom.llm import urls
+
+    want = run(spark, "op7_blocked_families", hard_dir)
+    monkeypatch.setattr(urls, "MOST_BITS", 256)
+    got = run(spark, "op7_blocked_families", hard_dir)
+    assert rows(got, sorted(got.columns)) == rows(want, sorted(want.columns))
+
+
 def test_op7_blocks_each_planted_family(spark, tmp_path):
     import duckdb
     import pyarrow as pa
