@@ -55,7 +55,7 @@ class Vocabulary:
         #: The sufficient lookahead in bytes: a token that spans a position was merged from parts, so it begins no more
         #: than this before the position. Prefixes that end further back than this are none that later bytes build on.
         self.lookahead = max([len(a) + len(b) for a, b in self.ranks] + [self.longest]) - 1
-        #: Lengths, longest first, of the tokens that end in these (at most two) bytes: only these are looked up.
+        #: Lengths, longest first, of the tokens that end in these (at most two) bytes: in long pieces only these are looked up.
         ends: dict[bytes, set[int]] = {}
         for token in self.ids:
             if len(token) > 1:
@@ -95,12 +95,9 @@ class Vocabulary:
 
     def short(self, piece: bytes) -> list[int]:
         """Ids of a piece held whole: the same transducer without a window, for pieces no longer than MEMO_CHARS."""
-        ids, known, sizes, last, n = self.ids.get, self._agree.get, self.sizes.get, [-1], len(piece)
+        ids, known, last, n = self.ids.get, self._agree.get, [-1], len(piece)
         for end in range(1, n + 1):
-            for size in sizes(piece[max(0, end - 2) : end], (1,)):
-                start = end - size
-                if start < 0:
-                    continue
+            for start in range(max(0, end - self.longest), end):
                 token = ids(piece[start:end])
                 if token is None:
                     continue
