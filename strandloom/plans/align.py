@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from strandloom.functions import alignment, dna
 from strandloom.functions.scores import position_hash
 from strandloom.operators import hits as H
-from strandloom.operators import intervals, pairs, rescue, seeding, stats
+from strandloom.operators import gapped, intervals, pairs, rescue, seeding, stats
 from strandloom.operators.saving import saved
 from strandloom.plans.config import AlignConfig, auto_errors, read_group
 from strandloom.sources import writers
@@ -63,6 +63,16 @@ def align(reads: DataFrame, contigs: DataFrame, cfg: AlignConfig = AlignConfig(e
     return told.withColumnRenamed("read_id", "_first").join(same, "_first").drop("_first")
 
 
+def align_gapped(reads: DataFrame, contigs: DataFrame, aligned: DataFrame, cfg: AlignConfig = AlignConfig(), index: DataFrame | None = None) -> DataFrame:
+    """Rows as align() gives them for reads that `aligned` has none of: their best shape with one indel of cfg.max_indel
+    bases at most or a clipped end, scored by cfg. The union with `aligned` goes to to_sam().
+    """
+    left = reads.select("read_id", "seq").join(aligned.select("read_id").distinct(), "read_id", "left_anti")
+    scores = (cfg.score_match, cfg.score_mismatch, cfg.gap_open, cfg.gap_extend, cfg.score_clipping)
+    told = gapped.anchored(left, contigs, cfg.seed, cfg.max_indel, scores, cfg.max_mappings, index)
+    return told.withColumn("y", alignment.described("ext")).select("read_id", "strand", "contig_id", "pos", "ed", "ext", "y.cigar", "y.md", "score", "length")
+
+
 def _named(rows: DataFrame, contigs: DataFrame) -> DataFrame:
     """rname and pos as the reference file has them (contigs: contig_id and, where known, name and n_initial)."""
     known = contigs.columns

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from strandloom.functions import alignment, dna, scores
 from strandloom.operators import hits as H
-from strandloom.operators import intervals, pairs, rescue, seeding, stats
+from strandloom.operators import gapped, intervals, pairs, rescue, seeding, stats
 from strandloom.operators.saving import saved
 from strandloom.plans.align import align, align_pairs, to_sam
 from strandloom.plans.config import AlignConfig
@@ -252,6 +252,15 @@ def rescued_mates(spark, sf_dir):
     return rescue.rescued(anchors, last, seeding.chunks(refs), 300, 20)
 
 
+@query()
+def gapped_reads(spark, sf_dir):
+    """Every read without twenty bases of its middle: the best shape of it with one long indel or a clipped end. (The
+    shape is no SQL; tests hold planted indels and clips.)"""
+    cut = (F.length("seq") / 2).cast("int")
+    lacking = F.concat(F.substring("seq", F.lit(1), cut - 10), F.substring("seq", cut + 11, F.length("seq")))
+    return gapped.anchored(reads(spark, sf_dir).withColumn("seq", lacking), contigs(spark, sf_dir))
+
+
 _H = "WITH " + _HITS
 
 

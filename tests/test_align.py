@@ -103,3 +103,33 @@ def test_normal_quantiles(spark):
 
     df = spark.createDataFrame([(0.5, 0.0), (0.975, 1.959964), (0.025, -1.959964), (0.001, -3.090232)], "p double, x double")
     assert all(abs(r.q - r.x) < 5e-4 for r in df.withColumn("q", normal_quantile(F.col("p"))).collect())
+
+
+def test_long_indels_and_clipped_ends(spark):
+    """Planted on both strands: a deletion of 20, an insertion of 15, a strange start, a strange end; and reads without a place."""
+    from strandloom.functions.alignment import consistent
+    from strandloom.plans.align import align_gapped
+
+    rng = random.Random(11)
+    ref = "".join(rng.choice("ACGT") for _ in range(40_000))
+    strange = "".join(rng.choice("ACGT") for _ in range(30))
+    reads, want = [], {}
+    for i, at in enumerate((0, 100, 16_300, 16_384, 39_800)):
+        kinds = [(ref[at : at + 60] + ref[at + 80 : at + 130], at + 1, 20), (ref[at : at + 50] + strange[:15] + ref[at + 50 : at + 100], at + 1, 15), (strange + ref[at : at + 80], at + 1, 0), (ref[at : at + 80] + strange, at + 1, 0)]
+        for j, (seq, pos, ed) in enumerate(kinds):
+            turned = (i + j) % 2
+            reads.append((10 * i + j, seq[::-1].translate(TURN) if turned else seq))
+            want[10 * i + j] = (pos, ed, "-" if turned else "+", seq)
+    reads += [(900, strange * 3), (901, None), (902, ""), (903, "ACGT")]
+    reads = spark.createDataFrame(reads, "read_id long, seq string")
+    contigs = spark.createDataFrame([(7, ref)], "contig_id long, seq string")
+    aligned = align(reads, contigs, AlignConfig(errors=3))
+    rows = {r.read_id: r for r in align_gapped(reads, contigs, aligned, AlignConfig(errors=3)).collect()}
+    assert set(rows) == set(want)
+    for k, (pos, ed, strand, seq) in want.items():
+        r = rows[k]
+        clips = r.ext.count("$")
+        assert r.strand == strand and consistent(seq, ref, r.pos - 1, r.ext) and abs(r.pos - pos) <= 3, (k, r)
+        assert r.ed == ed if k % 10 < 2 else (25 <= clips <= 30 and r.ed <= 1), (k, r)
+    assert align_gapped(reads.limit(0), contigs, aligned, AlignConfig(errors=3)).count() == 0
+    assert align(reads, contigs, AlignConfig(errors=3)).unionByName(align_gapped(reads, contigs, aligned)).columns == aligned.columns
