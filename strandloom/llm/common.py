@@ -63,7 +63,20 @@ def staged(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     around = _OPEN[:-1] if keep else _OPEN
     if around:
         around[-1].append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def released(df: DataFrame) -> None:
+    """Deletes what staged() has written for this table, before its scratch() ends: nothing may read it any more."""
+    if getattr(df, "staged_at", None):
+        _delete(df.sparkSession, df.staged_at)
 
 
 @contextmanager
@@ -73,10 +86,8 @@ def scratch(spark: SparkSession):
     try:
         yield
     finally:
-        jvm = spark.sparkContext._jvm
         for path in _OPEN.pop():
-            folder = jvm.org.apache.hadoop.fs.Path(path)
-            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+            _delete(spark, path)
 
 
 def with_fields(df: DataFrame, more: str) -> StructType:

@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from strandloom.llm.bpe import op4_streaming_bpe
+from strandloom.llm.clustering import OP13_SQL, op13_yinyang
 from strandloom.llm.language import op3_subword_softmax
 from strandloom.llm.mixing import op9_entropy_balance
+from strandloom.llm.negatives import OP12_SQL, op12_norm_buckets
 from strandloom.llm.neardup import OP1_SQL, op1_chosen_path
 from strandloom.llm.quality import op10_kneser_ney
 from strandloom.llm.secrets import OP6_SQL, op6_linked_credentials
@@ -29,6 +31,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_trees": op8_suffix_trees,
     "op9_entropy_balance": op9_entropy_balance,
     "op10_kneser_ney": op10_kneser_ney,
+    "op12_norm_buckets": op12_norm_buckets,
+    "op13_yinyang": op13_yinyang,
 }
 ORACLES: dict[str, str] = {
     "op1_chosen_path": OP1_SQL,
@@ -36,4 +40,6 @@ ORACLES: dict[str, str] = {
     "op7_bloom_cascade": OP7_SQL,
     "op7_blocked_families": OP7_FAMILIES_SQL,
     "op8_suffix_trees": OP8_SQL,
+    "op12_norm_buckets": OP12_SQL,
+    "op13_yinyang": OP13_SQL,
 }
