@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from strandloom.llm.bpe import op4_streaming_bpe
 from strandloom.llm.clustering import OP13_SQL, op13_yinyang
+from strandloom.llm.gam import op11_additive_model
 from strandloom.llm.language import op3_subword_softmax
 from strandloom.llm.mixing import op9_entropy_balance
 from strandloom.llm.negatives import OP12_SQL, op12_norm_buckets
@@ -31,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_trees": op8_suffix_trees,
     "op9_entropy_balance": op9_entropy_balance,
     "op10_kneser_ney": op10_kneser_ney,
+    "op11_additive_model": op11_additive_model,
     "op12_norm_buckets": op12_norm_buckets,
     "op13_yinyang": op13_yinyang,
 }
