@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StringType, StructType
 
+from strandloom.functions import kernels
+
 _ALIGNED = StructType().add("ed", IntegerType()).add("first", IntegerType()).add("last", IntegerType()).add("ext", StringType())
 _DESCRIBED = StructType().add("cigar", StringType()).add("md", StringType()).add("score", DoubleType()).add("events", IntegerType())
 _TOKEN = re.compile(r"\.|\$|#.|\^.|[A-Za-z]")
@@ -52,8 +54,15 @@ def infix_alignment(read: str, window: str) -> tuple[int, int, int, str]:
 
 @F.pandas_udf(_ALIGNED)
 def infix_aligned(read: pd.Series, window: pd.Series) -> pd.DataFrame:
-    rows = [infix_alignment(r, w) if r and w is not None else (None,) * 4 for r, w in zip(read, window, strict=True)]
-    return pd.DataFrame(rows, columns=["ed", "first", "last", "ext"])
+    """infix_alignment() of a whole batch at once; null for a null or empty read and for a null window."""
+    out = pd.DataFrame({"ed": pd.array([None] * len(read), "Int32"), "first": pd.array([None] * len(read), "Int32"), "last": pd.array([None] * len(read), "Int32"), "ext": [None] * len(read)})
+    there = np.flatnonzero(read.notna() & window.notna() & (read.str.len() > 0))
+    (r, m), (w, n) = kernels.rows(read.iloc[there]), kernels.rows(window.iloc[there])
+    errors, last = kernels.infix_distances(r, m, w, n)
+    first, ext = kernels.alignments(r, m, w, last, errors)
+    for name, values in (("ed", errors), ("first", first), ("last", last), ("ext", ext)):
+        out.loc[there, name] = values
+    return out
 
 
 def tokens(ext: str) -> list[str]:
@@ -108,10 +117,18 @@ def affine_score(ext: str, match=1.0, mismatch=-5.0, gap_open=-5.0, gap_extend=-
     return score, events
 
 
-@F.pandas_udf(_DESCRIBED)
-def described(ext: pd.Series) -> pd.DataFrame:
-    rows = [(*cigar_and_md(x), *affine_score(x)) if x is not None else (None,) * 4 for x in ext]
-    return pd.DataFrame(rows, columns=["cigar", "md", "score", "events"])
+def describing(scores: tuple = (1.0, -5.0, -5.0, -0.4, -6.0)):
+    """A function of extended CIGARs: struct(cigar, md, score, events), with the scores that affine_score() takes."""
+
+    @F.pandas_udf(_DESCRIBED)
+    def told(ext: pd.Series) -> pd.DataFrame:
+        known = {x: (*cigar_and_md(x), *affine_score(x, *scores)) for x in ext.dropna().unique()}
+        return pd.DataFrame([known.get(x, (None,) * 4) for x in ext], columns=["cigar", "md", "score", "events"])
+
+    return told
+
+
+described = describing()
 
 
 def short_indels_refined(ext: str) -> tuple[str, int]:

@@ -37,8 +37,8 @@ def anchored(reads: DataFrame, contigs: DataFrame, k: int = 18, longest: int = 5
     stranded, pieces = seeding.both_strands(reads.where(F.length("seq") >= k)), seeding.chunks(contigs)
     size = F.length("seq")
     ends = F.array(F.struct(F.lit(False).alias("right"), F.substring("seq", F.lit(1), F.lit(k)).alias("seed")), F.struct(F.lit(True).alias("right"), F.substring("seq", size - k + 1, F.lit(k)).alias("seed")))
-    seeds = stranded.withColumn("x", F.explode(ends)).select("read_id", "strand", "seq", "x.right", "x.seed")
-    found = seeds.join(seeding.seed_index(pieces, k) if index is None else index, "seed").drop("seed")
+    seeds = stranded.withColumn("x", F.explode(ends)).select("read_id", "strand", "seq", "x.right", seeding.seed_code("x.seed").alias("seed"))
+    found = seeds.join(seeding.matched_index(pieces, seeds, k, index), "seed").drop("seed")
     found = hits.ranked(found, ["read_id"], [F.xxhash64("contig_id", "pos"), "contig_id", "pos", "strand", "right"], limit).drop("nth")
     end = F.col("pos") + k  # where the read's last base would stand if its end were the seed
     low = F.when(F.col("right"), F.greatest(end - size - longest, F.lit(0))).otherwise(F.col("pos"))

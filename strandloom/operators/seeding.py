@@ -4,17 +4,26 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from strandloom.functions import dna
+from strandloom.operators.saving import saved
 from strandloom.plans.config import AlignConfig
 
 #: Bases of a reference chunk, and how far each goes into the next: no read is longer.
 CHUNK, OVERLAP = 1 << 14, 10_240
 #: Places that are cut out of one short string: finding a place in a string takes time in proportion to it.
 BLOCK = 512
+#: So many different seeds of reads, at most, are sent to the tasks that code the reference.
+SENT = 1 << 20
+_CODE = np.full(256, 4, np.uint8)
+_CODE[np.frombuffer(b"ACGT", np.uint8)] = np.arange(4)
 
 
 def chunks(contigs: DataFrame, size: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
@@ -37,6 +46,75 @@ def seed_index(pieces: DataFrame, k: int, size: int = CHUNK) -> DataFrame:
     return rows.select("x.seed", "contig_id", (F.col("at") + F.col("x.i")).alias("pos")).where(~F.col("seed").rlike("[^ACGT]"))
 
 
+def codes(text: bytes, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The number of each k bases in a row, and whether all of them are A, C, G or T."""
+    base = _CODE[np.frombuffer(text, np.uint8)]
+    n = len(base) - k + 1
+    if n <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, bool)
+    out = np.zeros(n, np.int64)
+    for i in range(k):
+        out = out * 4 + (base[i : i + n] & 3)
+    bad = np.concatenate(([0], np.cumsum(base == 4)))
+    return out, bad[k:] == bad[:-k]
+
+
+def coded_index(pieces: DataFrame, k: int, size: int = CHUNK, wanted: np.ndarray | None = None) -> DataFrame:
+    """chunks() -> seed (a number), contig_id, pos for every place whose k bases have no N; a place belongs to one chunk.
+
+    wanted: ascending seeds; all others are left out. It is broadcast, so it has a checked size.
+    """
+    if k > 31:
+        raise ValueError("a seed of more than 31 bases is no 64-bit number")
+    spark = pieces.sparkSession
+    shared = None if wanted is None else spark.sparkContext.broadcast(wanted)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    pieces = pieces.repartition(parts, "contig_id", "chunk").select("contig_id", "chunk", "seq")
+    schema = StructType([StructField("seed", LongType()), pieces.schema["contig_id"], StructField("pos", LongType())])
+
+    def run(batches):
+        for batch in batches:
+            for lot in range(0, batch.num_rows, 64):  # rows of a chunk are many rows of seeds
+                part, seeds, rows, places = batch.slice(lot, 64), [], [], []
+                for i, (chunk, seq) in enumerate(zip(part.column(1).to_pylist(), part.column(2), strict=True)):
+                    found, ok = codes(seq.as_py().encode("latin-1", "replace")[: size + k - 1], k)
+                    if shared is not None and len(found):
+                        near = np.searchsorted(shared.value, found)
+                        ok &= shared.value[np.minimum(near, len(shared.value) - 1)] == found if len(shared.value) else False
+                    at = np.flatnonzero(ok)
+                    seeds.append(found[at])
+                    rows.append(np.full(len(at), i))
+                    places.append(at + chunk * size)
+                if rows:
+                    yield pa.record_batch([pa.array(np.concatenate(seeds)), part.column(0).take(pa.array(np.concatenate(rows))), pa.array(np.concatenate(places))], schema.names)
+
+    return pieces.mapInArrow(run, schema)
+
+
+@F.pandas_udf(LongType())
+def seed_code(seed: pd.Series) -> pd.Series:
+    """The number of a seed as coded_index() has it; null where it has another symbol than A, C, G, T."""
+    known = {}
+    for x in seed.dropna().unique():
+        number, ok = codes(x.encode("latin-1", "replace"), len(x)) if x else (np.zeros(1, np.int64), [False])
+        known[x] = int(number[0]) if ok[0] else None
+    return pd.Series([known.get(x) for x in seed], dtype="Int64")
+
+
+def matched_index(pieces: DataFrame, seeds: DataFrame, k: int, index: DataFrame | None = None) -> DataFrame:
+    """The places of an index whose seed is one of `seeds` (any table with a column seed): seed, contig_id, pos.
+
+    index: coded_index() for this k, read back; without one the reference is coded here. No more than SENT different
+    seeds are sent to the tasks that read the index or code the reference; else both sides are shuffled by seed.
+    """
+    distinct = seeds.where("seed IS NOT NULL").select("seed").distinct()
+    few = np.sort(distinct.limit(SENT + 1).toArrow().column(0).to_numpy())
+    if index is None and len(few) <= SENT:
+        return coded_index(pieces, k, wanted=few)
+    places = coded_index(pieces, k) if index is None else index.select("seed", "contig_id", "pos")
+    return places.join(F.broadcast(distinct) if len(few) <= SENT else distinct, "seed", "left_semi")
+
+
 def occurrences(contigs: DataFrame, pattern: str) -> DataFrame:
     """contig_id, pos of every place where the pattern stands, overlapping ones too."""
     return seed_index(chunks(contigs), len(pattern)).where(F.col("seed") == pattern).select("contig_id", "pos")
@@ -54,7 +132,7 @@ def read_seeds(reads: DataFrame, errors: int, k: int) -> DataFrame:
     at = lambda j: F.floor(F.length("seq") * j / n).cast("int")
     seeds = F.transform(F.sequence(F.lit(0), F.lit(errors)), lambda j: F.struct(at(j).alias("at"), F.substring("seq", at(j) + 1, F.lit(k)).alias("seed")))
     rows = reads.where(F.length("seq") >= n * k).select("read_id", "strand", F.length("seq").alias("length"), F.explode(seeds).alias("x"))
-    return rows.select("read_id", "strand", "length", "x.at", "x.seed").where(~F.col("seed").rlike("[^ACGT]"))
+    return rows.select("read_id", "strand", "length", "x.at", seed_code("x.seed").alias("seed")).where("seed IS NOT NULL")
 
 
 def candidates(seeds: DataFrame, index: DataFrame) -> DataFrame:
@@ -81,11 +159,12 @@ def verified(placed: DataFrame, errors: int) -> DataFrame:
 def map_reads(reads: DataFrame, contigs: DataFrame, errors: int = 3, k: int = AlignConfig.seed, bound: int | None = None, index: DataFrame | None = None) -> DataFrame:
     """read_id, strand, contig_id, start, ed, seq, window: every verified place of every read.
 
-    bound: errors that a window of the read's own length may have (default: `errors`). index: seed_index() of the
-    contigs for this k, as written; else it is made here.
+    bound: errors that a window of the read's own length may have (default: `errors`). index: coded_index() of the
+    contigs for this k, as written; else the seeds of the reads are looked for in the contigs.
     """
     stranded, pieces = both_strands(reads), chunks(contigs)
-    found = candidates(read_seeds(stranded, errors, k), seed_index(pieces, k) if index is None else index)
+    seeds = read_seeds(stranded, errors, k)
+    found = candidates(seeds, matched_index(pieces, seeds, k, index))
     return verified(windows(found, stranded, pieces), errors if bound is None else bound)
 
 
@@ -113,7 +192,7 @@ def best_in_contig(hits: DataFrame) -> DataFrame:
     return hits.withColumn("nth", F.row_number().over(order)).where("nth = 1").drop("nth")
 
 
-def strata(reads: DataFrame, contigs: DataFrame, cfg: AlignConfig, errors: int, save=lambda df, name: df.checkpoint()) -> DataFrame:
+def strata(reads: DataFrame, contigs: DataFrame, cfg: AlignConfig, errors: int, save=saved) -> DataFrame:
     """Mapping stage by stage: a read that a stage solves is not searched further (mode first), searched for one error
     more than its best (second), or searched with all errors at once (all).
 
@@ -121,7 +200,7 @@ def strata(reads: DataFrame, contigs: DataFrame, cfg: AlignConfig, errors: int,
     the contigs is made once for all stages.
     """
     steps = [errors] if cfg.mode == "all" else range(errors + 1)
-    index = seed_index(chunks(contigs), cfg.seed)
+    index = coded_index(chunks(contigs), cfg.seed)
     if len(steps) > 1:
         index = save(index, "index")
     left, out, best = reads, None, None

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from strandloom.functions import alignment, dna
 from strandloom.functions.scores import position_hash
 from strandloom.operators import hits as H
-from strandloom.operators import gapped, intervals, pairs, rescue, seeding, stats
+from strandloom.operators import gapped, intervals, pairs, rescue, seeding, staged, stats
 from strandloom.operators.saving import saved
 from strandloom.plans.config import AlignConfig, auto_errors, read_group
 from strandloom.sources import writers
@@ -19,7 +19,7 @@ from strandloom.sources import writers
 
 def build_index(contigs: DataFrame, cfg: AlignConfig = AlignConfig()) -> DataFrame:
     """contig_id, seq -> seed, contig_id, pos; see writers.write_index() for its home on disk."""
-    return seeding.seed_index(seeding.chunks(contigs), cfg.seed)
+    return seeding.coded_index(seeding.chunks(contigs), cfg.seed)
 
 
 def settled(reads: DataFrame, cfg: AlignConfig) -> AlignConfig:
@@ -30,35 +30,55 @@ def settled(reads: DataFrame, cfg: AlignConfig) -> AlignConfig:
     return replace(cfg, errors=auto_errors(limits["max_length"] or 0, limits["min_length"] or 0))
 
 
+def _scores(cfg: AlignConfig) -> tuple:
+    return cfg.score_match, cfg.score_mismatch, cfg.gap_open, cfg.gap_extend, cfg.score_clipping
+
+
+def _best_strata(hits: DataFrame, cfg: AlignConfig) -> DataFrame:
+    """Of each read's hits those of the best stratum, or the best two; with cfg.sensitive also those that are no worse
+    than sensitivity_factor times the best. All of them in mode all."""
+    if cfg.mode == "all":
+        return hits
+    best = F.min("ed").over(Window.partitionBy("read_id"))
+    allowed = best + (1 if cfg.mode == "second" else 0)
+    if cfg.sensitive:
+        allowed = F.greatest(allowed, F.floor(best * cfg.sensitivity_factor))
+    return hits.withColumn("_allowed", allowed).where("ed <= _allowed").drop("_allowed")
+
+
+def traced(hits: DataFrame, cfg: AlignConfig) -> DataFrame:
+    """staged.search() rows -> read_id, strand, contig_id, pos (1-based), ed, ext, cigar, md, score, length.
+
+    Exact hits are described by expressions; only the others are aligned, a batch at once.
+    """
+    size = F.length("seq")
+    same = hits.where("ed = 0").select(
+        "read_id", "strand", "contig_id", (F.col("low") + F.col("lead") + 1).alias("pos"), "ed", F.expr("repeat('.', length(seq))").alias("ext"),
+        F.concat(size.cast("string"), F.lit("M")).alias("cigar"), size.cast("string").alias("md"), (size * F.lit(cfg.score_match)).alias("score"), size.cast("long").alias("length"),
+    )
+    told = hits.where("ed > 0").select("read_id", "strand", "contig_id", "low", "window", "seq").withColumn("x", alignment.infix_aligned("seq", "window")).withColumn("y", alignment.describing(_scores(cfg))("x.ext"))
+    told = told.select("read_id", "strand", "contig_id", (F.col("low") + F.col("x.first") + 1).alias("pos"), F.col("x.ed").cast("long").alias("ed"), "x.ext", "y.cigar", "y.md", "y.score", (F.col("x.last") - F.col("x.first")).cast("long").alias("length"))
+    return same.unionByName(told)
+
+
 def align(reads: DataFrame, contigs: DataFrame, cfg: AlignConfig = AlignConfig(errors=3), index: DataFrame | None = None) -> DataFrame:
     """read_id, seq (and qual) -> places of every read with their alignments and scores.
 
-    Bases below cfg.mask_low_quality count as N where there are qualities. Equal reads are searched once. The seed join
-    finds places; a window of a read's own length may have twice the errors, since an indel shifts an end of it; the
-    kernel then aligns with free ends in a window `errors` bases wider, and its distance decides. cfg.mode keeps of a
-    read's places the best stratum, the best two, or all; with cfg.sensitive those of worse strata stay that are no
-    worse than sensitivity_factor times the best. index: what build_index() made, read back.
+    Bases below cfg.mask_low_quality count as N where there are qualities. Equal reads are searched once, stage by stage
+    (staged.search()): a read that is solved with few errors is not searched for more. cfg.mode keeps of a read's places
+    the best stratum, the best two, or all; with cfg.sensitive those of worse strata stay that are no worse than
+    sensitivity_factor times the best. index: what build_index() made, read back.
     """
     cfg = settled(reads, cfg)
     seq = dna.masked(F.col("seq"), F.col("qual"), cfg.mask_low_quality) if "qual" in reads.columns else F.col("seq")
     asked = reads.select("read_id", F.when(F.col("seq").isNotNull(), F.coalesce(seq, F.col("seq"))).alias("seq")).where("seq != ''")
-    once = asked.groupBy("seq").agg(F.min("read_id").alias("read_id"))
-    errors = cfg.errors
-    found = seeding.map_all_lengths(once, contigs, errors, cfg.seed, 2 * errors, index).drop("window")
-    found = H.ranked(found.withColumn("hash", position_hash(F.col("start"))), ["read_id"], ["ed", "hash", "contig_id", "start", "strand"], cfg.max_mappings).drop("nth", "hash", "ed")
-    pieces = seeding.chunks(contigs).select("contig_id", "chunk", F.col("seq").alias("piece"))
-    placed = found.withColumn("low", F.greatest(F.col("start") - errors, F.lit(0))).withColumn("chunk", F.floor(F.col("low") / seeding.CHUNK)).join(pieces, ["contig_id", "chunk"])
-    window = F.substring("piece", (F.col("low") - F.col("chunk") * seeding.CHUNK).cast("int") + 1, F.length("seq") + 2 * errors)
-    told = placed.select("read_id", "strand", "contig_id", "low", window.alias("window"), "seq").withColumn("x", alignment.infix_aligned("seq", "window")).withColumn("y", alignment.described("x.ext"))
-    told = told.where(F.col("x.ed") <= errors)
-    told = told.select("read_id", "strand", "contig_id", (F.col("low") + F.col("x.first") + 1).alias("pos"), F.col("x.ed").cast("long").alias("ed"), "x.ext", "y.cigar", "y.md", "y.score", (F.col("x.last") - F.col("x.first")).cast("long").alias("length"))
-    told = told.dropDuplicates(["read_id", "strand", "contig_id", "pos"])
-    if cfg.mode != "all":
-        best = F.min("ed").over(Window.partitionBy("read_id"))
-        allowed = best + (1 if cfg.mode == "second" else 0)
-        if cfg.sensitive:
-            allowed = F.greatest(allowed, F.floor(best * cfg.sensitivity_factor))
-        told = told.withColumn("_allowed", allowed).where("ed <= _allowed").drop("_allowed")
+    once = saved(asked.groupBy("seq").agg(F.min("read_id").alias("read_id")), "once")
+    found = _best_strata(staged.search(once, contigs, cfg, cfg.errors, index), cfg)
+    start = F.col("low") + F.col("lead")
+    found = H.ranked(found.withColumn("hash", position_hash(start)), ["read_id"], ["ed", "hash", "contig_id", start, "strand"], cfg.max_mappings).drop("nth", "hash")
+    told = traced(found, cfg)
+    told = H.ranked(told, ["read_id", "strand", "contig_id", "pos"], ["ed", "ext"], 1).drop("nth")
+    told = _best_strata(told, cfg)
     same = asked.join(once.withColumnRenamed("read_id", "_first"), "seq").select("read_id", "_first")
     return told.withColumnRenamed("read_id", "_first").join(same, "_first").drop("_first")
 
@@ -68,9 +88,8 @@ def align_gapped(reads: DataFrame, contigs: DataFrame, aligned: DataFrame, cfg:
     bases at most or a clipped end, scored by cfg. The union with `aligned` goes to to_sam().
     """
     left = reads.select("read_id", "seq").join(aligned.select("read_id").distinct(), "read_id", "left_anti")
-    scores = (cfg.score_match, cfg.score_mismatch, cfg.gap_open, cfg.gap_extend, cfg.score_clipping)
-    told = gapped.anchored(left, contigs, cfg.seed, cfg.max_indel, scores, cfg.max_mappings, index)
-    return told.withColumn("y", alignment.described("ext")).select("read_id", "strand", "contig_id", "pos", "ed", "ext", "y.cigar", "y.md", "score", "length")
+    told = gapped.anchored(left, contigs, cfg.seed, cfg.max_indel, _scores(cfg), cfg.max_mappings, index)
+    return told.withColumn("y", alignment.describing(_scores(cfg))("ext")).select("read_id", "strand", "contig_id", "pos", "ed", "ext", "y.cigar", "y.md", "score", "length")
 
 
 def _named(rows: DataFrame, contigs: DataFrame) -> DataFrame:

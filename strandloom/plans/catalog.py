@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from strandloom.functions import alignment, dna, scores
 from strandloom.operators import hits as H
-from strandloom.operators import gapped, intervals, pairs, rescue, seeding, stats
+from strandloom.operators import gapped, intervals, pairs, rescue, seeding, staged, stats
 from strandloom.operators.saving import saved
 from strandloom.plans.align import align, align_pairs, to_sam
 from strandloom.plans.config import AlignConfig
@@ -185,6 +185,77 @@ def strata_all(spark, sf_dir):
     return _strata(spark, sf_dir, "all")
 
 
+def _nearest(reads: str, errors: int) -> str:
+    """The least distance of each read to any window of a contig, as SQL without seeds: `near`.
+
+    A place within so few errors keeps one of the read's 12-base blocks, on a diagonal that the place begins and ends no
+    further from than its errors: all windows about the diagonals of shared blocks are compared.
+    """
+    return f"""WITH {_REF.replace('ref AS (', 'ref AS MATERIALIZED (')}, fwd AS MATERIALIZED ({reads}), reads AS MATERIALIZED (SELECT read_id, '+' AS strand, seq FROM fwd UNION ALL SELECT read_id, '-', translate(reverse(seq), 'ACGT', 'TGCA') FROM fwd),
+cut AS (SELECT read_id, strand, j * 12 AS off, substr(seq, j * 12 + 1, 12) AS block FROM (SELECT read_id, strand, seq, unnest(range(length(seq) // 12)) AS j FROM reads)),
+held AS (SELECT contig_id, p, substr(seq, p + 1, 12) AS block FROM (SELECT contig_id, seq, unnest(range(length(seq) - 11)) AS p FROM ref WHERE length(seq) >= 12)),
+diag AS (SELECT DISTINCT read_id, strand, contig_id, p - off AS d FROM cut JOIN held USING (block)),
+close AS MATERIALIZED (SELECT g.*, q.seq || '' AS seq, r.seq || '' AS ref FROM diag g JOIN reads q USING (read_id, strand) JOIN ref r USING (contig_id) WHERE levenshtein(q.seq, substr(r.seq, greatest(d, 0) + 1, length(q.seq) + least(d, 0))) <= {2 * errors}),
+moved AS MATERIALIZED (SELECT *, unnest(range(-{errors}, {errors + 1})) AS x FROM close),
+wider AS MATERIALIZED (SELECT read_id, strand, contig_id, seq, ref, d + x AS a, length(seq) + unnest(range(-{errors}, {errors + 1})) AS n FROM moved),
+near AS MATERIALIZED (SELECT read_id, strand, contig_id, min(levenshtein(seq, substr(ref, a + 1, n)))::BIGINT AS ed FROM wider WHERE a >= 0 AND a + n <= length(ref) GROUP BY 1, 2, 3 HAVING min(levenshtein(seq, substr(ref, a + 1, n))) <= {errors})"""
+
+
+_WHOLE = f"SELECT item_id AS read_id, {_DNA} AS seq FROM benchmark"
+#: Reads with errors, by turns: none, one (another base), two (a base lost), three (a base more).
+_SPOILS = (
+    "read_id, CASE WHEN read_id % 4 >= 1 THEN substr(seq, 1, 10) || translate(substr(seq, 11, 1), 'ACGT', 'CGTA') || substr(seq, 12) ELSE seq END AS seq",
+    "read_id, CASE WHEN read_id % 4 >= 2 THEN substr(seq, 1, 34) || substr(seq, 36) ELSE seq END AS seq",
+    "read_id, CASE WHEN read_id % 4 >= 3 THEN substr(seq, 1, 57) || 'A' || substr(seq, 58) ELSE seq END AS seq",
+)
+_SPOILED = _WHOLE
+for _step in _SPOILS:
+    _SPOILED = f"SELECT {_step} FROM ({_SPOILED})"
+#: All reads without their fourth last base.
+_SHORT_OF_ONE = f"SELECT read_id, left(seq, length(seq) - 4) || right(seq, 3) AS seq FROM ({_WHOLE})"
+
+
+def spoiled(spark, sf_dir) -> DataFrame:
+    out = reads(spark, sf_dir)
+    for step in _SPOILS:
+        first, rest = step.split(", ", 1)
+        out = out.selectExpr(first, rest)
+    return out.where("seq != ''")
+
+
+@query(_nearest(_SPOILED, 3) + """, best AS (SELECT read_id, min(ed) AS stage FROM near GROUP BY 1),
+solved AS MATERIALIZED (SELECT n.*, stage, q.seq || '' AS seq, r.seq || '' AS ref FROM near n JOIN best USING (read_id) JOIN reads q USING (read_id, strand) JOIN ref r USING (contig_id) WHERE n.ed = stage),
+cut_up AS MATERIALIZED (SELECT *, (length(seq) * j + stage) // (stage + 1) AS off, CASE WHEN length(seq) // (stage + 1) >= 18 THEN 18 ELSE 9 END AS k FROM (SELECT *, unnest(range(stage + 1)) AS j FROM solved)),
+seeded AS MATERIALIZED (SELECT *, unnest(range(length(ref) - k + 1)) AS p FROM cut_up),
+held_at AS MATERIALIZED (SELECT *, length(seq) - off - k AS rest, unnest(range(-3, 4)) AS x FROM seeded WHERE substr(ref, p + 1, k) = substr(seq, off + 1, k)),
+parts AS (SELECT read_id, strand, contig_id, ed, stage, j, p, min(levenshtein(left(seq, off), substr(ref, p - off - x + 1, off + x))) FILTER (off + x >= 0 AND p - off - x >= 0) AS before_, min(levenshtein(right(seq, rest), substr(ref, p + k + 1, rest + x))) FILTER (rest + x >= 0 AND p + k + rest + x <= length(ref)) AS after_
+  FROM held_at GROUP BY ALL)
+SELECT read_id, strand, contig_id, ed, stage, min(j)::BIGINT AS substage FROM parts WHERE before_ + after_ <= stage GROUP BY ALL""")
+def staged_hits(spark, sf_dir):
+    """Where each spoiled read lies with as few errors as any place of it has (three at most), searched stage by stage:
+    the stage, and the first of its segments that finds the place. Ends are free; reads may have any length."""
+    found = staged.search(spoiled(spark, sf_dir), contigs(spark, sf_dir), AlignConfig(sensitive=False), 3)
+    told = found.groupBy("read_id", "strand", "contig_id").agg(F.min("ed").alias("ed"), F.min(F.struct("stage", "substage")).alias("x"))
+    return told.select("read_id", "strand", "contig_id", "ed", F.col("x.stage").cast("long").alias("stage"), F.col("x.substage").cast("long").alias("substage"))
+
+
+@query(_nearest(_SHORT_OF_ONE, 2) + " SELECT read_id, strand, contig_id, ed FROM near")
+def free_end_hits(spark, sf_dir):
+    """All reads, each without its fourth last base, with two errors at most: the least distance in each contig, with
+    free ends around a seed (a window of the read's own length would count the lost base and the ones it moves)."""
+    short = reads(spark, sf_dir).where("length(seq) >= 5").select("read_id", F.expr("concat(left(seq, length(seq) - 4), right(seq, 3))").alias("seq"))
+    found = staged.search(short, contigs(spark, sf_dir), AlignConfig(mode="all", sensitive=False), 2)
+    return found.groupBy("read_id", "strand", "contig_id").agg(F.min("ed").alias("ed"))
+
+
+@query(_nearest(_SPOILED, 3) + " SELECT read_id, strand, contig_id, ed FROM near")
+def hits_through_repeats(spark, sf_dir):
+    """The least distance of each spoiled read in each contig, three errors at most, where every seed of more than two
+    places counts as a repeat's: such reads are found by counting their blocks on a diagonal."""
+    found = staged.search(spoiled(spark, sf_dir), contigs(spark, sf_dir), AlignConfig(mode="all", sensitive=False), 3, hot=2)
+    return found.groupBy("read_id", "strand", "contig_id").agg(F.min("ed").alias("ed"))
+
+
 @query(f"""WITH {_REF}, {_STRANDED}, grams AS (SELECT read_id, strand, length(seq) // 12 AS n, unnest(range(length(seq) // 12)) AS j, seq FROM reads), g AS (SELECT read_id, strand, n, j, substr(seq, j * 12 + 1, 12) AS seed FROM grams),
 idx AS (SELECT DISTINCT contig_id, substr(seq, p + 1, 12) AS seed FROM (SELECT contig_id, seq, unnest(range(length(seq) - 11)) AS p FROM ref WHERE length(seq) >= 12))
 SELECT read_id, strand, contig_id, n, count(DISTINCT j) AS shared FROM g JOIN idx USING (seed) GROUP BY 1, 2, 3, 4 HAVING count(DISTINCT j) >= n - 3""")
