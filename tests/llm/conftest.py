@@ -16,12 +16,28 @@ HARD = [
 HOSTS = [None, "", "no scheme", "HTTP://WWW.Example.COM/en/x?q#f", "https://a.b.net/es/", "https://net/fr/", "https://example.com?x/y", "ftp://ads.site.org/", "https://xcom/", "https://user@h.com:80/p#", "a://b://c/d", "https://ADS-track.example.org"]
 
 
-def _write(folder, docs, pages):
-    pq.write_table(docs, folder / "documents.parquet")
-    pq.write_table(pages, folder / "pages.parquet")
+def _write(folder, **tables):
+    for name, rows in tables.items():
+        pq.write_table(rows, folder / f"{name}.parquet")
     return str(folder)
 
 
+def _vectors():
+    """sf0.001's vectors and labels made hard: unusable and repeated rows, equal vectors, null ids, clashing names."""
+    v = pq.read_table(f"{SF}/embeddings.parquet").to_pylist()
+    x, top = v[3]["embedding"], 100_000
+    bad = [None, [], x[:10], [*x, 1.0], [None, *x[1:]], [float("nan"), *x[1:]], [*x[:-1], float("inf")], [-float("inf")] * 64]
+    v += [{"vec_id": top + 100 * i, "embedding": e, "label": 3} for i, e in enumerate(bad)]
+    v += [{"vec_id": top + 1000 + i, "embedding": x if i % 2 else [0.0] * 64, "label": i % 4} for i in range(40)]
+    v += [{"vec_id": None, "embedding": x, "label": 5}, {"vec_id": None, "embedding": v[9]["embedding"], "label": 5}, {"vec_id": 100, "embedding": x, "label": None}]
+    v += [v[i] for i in range(0, 500, 50)] + [next(r for r in v if r["vec_id"] is not None and r["vec_id"] % 100 == 0)] * 2
+    v += [{"vec_id": 7_000_000, "embedding": [9000.0, *x[1:]], "label": -7}]
+    out = pa.Table.from_pylist(v, pq.read_schema(f"{SF}/embeddings.parquet"))
+    for name in ("x", "rid", "cluster", "block", "score"):
+        out = out.append_column(name, pa.array([f"{name}{i % 3}" for i in range(len(out))]))
+    return out
+
+
 @pytest.fixture(scope="session")
 def hard_dir(tmp_path_factory):
     """sf0.001, hard texts, repeated rows, repeated and null ids, and columns whose names operators use themselves."""
@@ -35,13 +51,15 @@ def hard_dir(tmp_path_factory):
     p = pq.read_table(f"{SF}/pages.parquet").to_pylist()
     p += [{"page_id": 900 + i, "url": u, "html": "x"} for i, u in enumerate(HOSTS)] + [p[0], {"page_id": None, "url": p[1]["url"], "html": None}]
     pages = pa.Table.from_pylist(p, pq.read_schema(f"{SF}/pages.parquet")).append_column("host", pa.array(["clash"] * len(p)))
-    return _write(tmp_path_factory.mktemp("hard"), docs, pages)
+    known = pq.read_table(f"{SF}/labels.parquet").to_pylist()
+    known += [known[0], {**known[1], "quality": 1 - known[1]["quality"]}, {"doc_id": None, "quality": 1, "toxic": 0}, {"doc_id": 10_003, "quality": None, "toxic": 0}, {"doc_id": 10_006, "quality": 7, "toxic": 0}]
+    labels = pa.Table.from_pylist(known, pq.read_schema(f"{SF}/labels.parquet")).append_column("text", pa.array(["clash"] * len(known)))
+    return _write(tmp_path_factory.mktemp("hard"), documents=docs, pages=pages, embeddings=_vectors(), labels=labels)
 
 
 @pytest.fixture(scope="session")
 def empty_dir(tmp_path_factory):
-    docs, pages = (pq.read_schema(f"{SF}/{t}.parquet").empty_table() for t in ("documents", "pages"))
-    return _write(tmp_path_factory.mktemp("empty"), docs, pages)
+    return _write(tmp_path_factory.mktemp("empty"), **{t: pq.read_schema(f"{SF}/{t}.parquet").empty_table() for t in ("documents", "pages", "embeddings", "labels")})
 
 
 @pytest.fixture(scope="session")
