@@ -10,6 +10,8 @@ import pandas as pd
 
 #: Pairs that are computed together: their words or bands stay in the processor's cache.
 LOT = 2048
+_CODE = np.full(256, 4, np.uint8)
+_CODE[np.frombuffer(b"ACGT", np.uint8)] = np.arange(4)
 
 
 def rows(texts: pd.Series) -> tuple[np.ndarray, np.ndarray]:
@@ -22,6 +24,19 @@ def rows(texts: pd.Series) -> tuple[np.ndarray, np.ndarray]:
     return out, sizes
 
 
+def codes(text: bytes, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The number of each k bases in a row, and whether all of them are A, C, G or T."""
+    base = _CODE[np.frombuffer(text, np.uint8)]
+    n = len(base) - k + 1
+    if n <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, bool)
+    out = np.zeros(n, np.int64)
+    for i in range(k):
+        out = out * 4 + (base[i : i + n] & 3)
+    bad = np.concatenate(([0], np.cumsum(base == 4)))
+    return out, bad[k:] == bad[:-k]
+
+
 def _by_symbol(read: np.ndarray, words: int) -> np.ndarray:
     """For each symbol (after its rank), word and pair: the places of the symbol in the read, a bit each."""
     symbols = np.unique(read)
@@ -127,13 +142,11 @@ def _cut(text: np.ndarray, first: np.ndarray, last: np.ndarray, back: bool) -> t
 
 def pair_counts(text: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """How often each of the sixteen pairs of neighbouring bases stands in each row from `first` to before `last`."""
-    code = np.full(256, -1, np.int64)
-    code[np.frombuffer(b"ACGT", np.uint8)] = np.arange(4)
-    c = code[text]
+    c = _CODE[text].astype(np.int64)
     if text.shape[1] < 2:
         return np.zeros((len(text), 16), np.int64)
     place = np.arange(text.shape[1] - 1)[None, :]
-    ok = (c[:, :-1] >= 0) & (c[:, 1:] >= 0) & (place >= first[:, None]) & (place + 1 < last[:, None])
+    ok = (c[:, :-1] < 4) & (c[:, 1:] < 4) & (place >= first[:, None]) & (place + 1 < last[:, None])
     row = np.nonzero(ok)[0]
     return np.bincount(row * 16 + (c[:, :-1] * 4 + c[:, 1:])[ok], minlength=len(text) * 16).reshape(len(text), 16)
 

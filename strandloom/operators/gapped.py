@@ -25,14 +25,15 @@ def _shape(longest: int, scores: tuple):
     return told
 
 
-def anchored(reads: DataFrame, contigs: DataFrame, k: int = 18, longest: int = 50, scores: tuple = (1.0, -5.0, -5.0, -0.4, -6.0), limit: int = 1024, index: DataFrame | None = None) -> DataFrame:
+def anchored(reads: DataFrame, contigs: DataFrame, k: int = 18, longest: int = 50, scores: tuple = (1.0, -5.0, -5.0, -0.4, -6.0), limit: int = 1024, index: DataFrame | None = None, least: float = 0.0) -> DataFrame:
     """read_id, seq -> read_id, strand, contig_id, pos (1-based), ed, ext, score, length: the best shape of each read.
 
     The first or the last k bases stand exactly in a contig (an equi-join with the seeds); from there the read is plain,
     has one insertion or deletion of `longest` bases at most, or its other end is clipped, whichever scores most (match,
     mismatch, gap opened, gap extended, clip). Errors are mismatches and bases of the indel. Reads that are null,
     shorter than k or have N in both seeds get no row, nor do those whose best score is not above 0. Ties go to the
-    least contig, position and strand. limit: anchors of a read that are tried, by a hash of their place.
+    least contig, position and strand. limit: anchors of a read that are tried, by a hash of their place. least: share of
+    a read that must stay when an end is clipped.
     """
     stranded, pieces = seeding.both_strands(reads.where(F.length("seq") >= k)), seeding.chunks(contigs)
     size = F.length("seq")
@@ -48,6 +49,7 @@ def anchored(reads: DataFrame, contigs: DataFrame, k: int = 18, longest: int = 5
     window = F.substring("piece", (F.col("low") - F.col("chunk") * seeding.CHUNK).cast("int") + 1, (F.col("far") - F.col("low")).cast("int"))
     told = placed.select("read_id", "strand", "contig_id", "right", F.col("pos").alias("at"), end.alias("end"), "seq", window.alias("window"))
     told = told.withColumn("x", _shape(longest, scores)("seq", "window", "right")).where("x.score > 0")
+    told = told.where(F.length(F.regexp_replace("x.ext", "[^$]", "")) <= F.length("seq") * F.lit(1.0 - least))
     span = F.length(F.regexp_replace(F.regexp_replace("x.ext", "#.", ""), r"[\^$]", "")).cast("long")
     pos = F.when(F.col("right"), F.col("end") - span).otherwise(F.col("at")) + 1
     errors = F.length(F.regexp_replace("x.ext", r"[.$#^]", "")).cast("long")

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strandloom.functions.scores import insert_size, insert_penalty
+from strandloom.functions.scores import insert_penalty, insert_size, mapping_quality
 from strandloom.operators.hits import ranked
+from strandloom.plans.config import AlignConfig
 
 _SIDE = ("contig_id", "strand", "pos", "ed", "score", "length")
 
@@ -71,3 +72,47 @@ def first_tier(tiers: list[DataFrame], key: str) -> DataFrame:
     """For each key the rows of the first table that has any; `tier` tells which."""
     every = reduce(DataFrame.unionByName, [t.withColumn("tier", F.lit(i)) for i, t in enumerate(tiers)])
     return every.withColumn("_least", F.min("tier").over(Window.partitionBy(key))).where("tier = _least").drop("_least")
+
+
+def beside(rescued: DataFrame) -> DataFrame:
+    """Rescued mates with their anchors -> pairs as mates() has them, and anchor_ed.
+
+    rescued: pair_id, mate, contig_id, strand, pos, ed, score, length, and the anchor's a_strand, a_pos, a_ed, a_score,
+    a_length.
+    """
+    side = lambda m: [F.when(F.col("mate") == m, F.col(c)).otherwise(F.col("a_" + c)).alias(f"{c}{m + 1}") for c in _SIDE[1:]]
+    both = rescued.select("pair_id", "contig_id", *side(0), *side(1), F.col("a_ed").alias("anchor_ed"))
+    size = insert_size(F.col("contig_id"), F.col("strand1"), F.col("pos1"), F.col("length1"), F.col("contig_id"), F.col("strand2"), F.col("pos2"), F.col("length2"))
+    return both.withColumn("insert_size", size)
+
+
+def best_alone(hits: DataFrame) -> DataFrame:
+    """The best hit of each mate by itself, as a pair: the last chance of a near pair."""
+    return mates(ranked(hits, ["pair_id", "mate"], [F.col("score").desc(), "contig_id", "pos", "strand"], 1).drop("nth"))
+
+
+def fallback(mapped: DataFrame, hits: DataFrame, rescued: DataFrame, mean: float, dev: float, errors: int, near: float = 4, far: float = 7, longest: float = 1000) -> DataFrame:
+    """Pairs of the first of these tiers that a read pair has, and its distant pairs (tier 4) beside them.
+
+    0: mapped pairs within `near` deviations in which both mates stand at their best. 1: rescued ones whose anchor has no
+    more than `errors` errors; 2: those with worse anchors. 3: each mate's best hit, if both lie within `far` deviations
+    above the mean. 4: mapped pairs beyond `near` deviations and no longer than `longest`. mapped: mates(hits). rescued:
+    as mapped, and anchor_ed. The score decides between a tier and the distant pairs.
+    """
+    keep, off = [c for c in mapped.columns], F.abs(F.col("insert_size") - mean)
+    close = as_good_as_alone(mapped.where(off <= near * dev), hits, errors)
+    low, high = rescued.where(F.col("anchor_ed") <= errors), rescued.where(F.col("anchor_ed") > errors)
+    alone = best_alone(hits).where(F.col("insert_size") <= mean + far * dev)
+    first = first_tier([t.select(*keep) for t in (close, low, high, alone)], "pair_id")
+    distant = mapped.where((off > near * dev) & (F.col("insert_size") <= longest)).select(*keep).withColumn("tier", F.lit(4))
+    return first.unionByName(distant).dropDuplicates(["pair_id", "contig_id", "strand1", "pos1", "strand2", "pos2"])
+
+
+def pair_qualities(pairs: DataFrame, score: str, width: float = 0.5, cfg: AlignConfig = AlignConfig()) -> DataFrame:
+    """pair_id, best and second score, how many places have scores less than `width` below each, and the pair's quality."""
+    places = pairs.groupBy("pair_id", "contig_id", "strand1", "pos1", "strand2", "pos2").agg(F.max(score).alias("_s"))
+    per = Window.partitionBy("pair_id")
+    places = places.withColumn("best", F.max("_s").over(per)).withColumn("_rest", F.when(F.col("_s") <= F.col("best") - width, F.col("_s"))).withColumn("second", F.max("_rest").over(per))
+    count = lambda c: F.count(F.when(c, 1))
+    told = places.groupBy("pair_id", "best", "second").agg(count(F.col("_rest").isNull()).alias("n_best"), count(F.col("_rest") > F.col("second") - width).alias("n_second"))
+    return told.withColumn("pairq", mapping_quality(F.col("n_best"), F.col("n_second"), F.col("best") - F.coalesce("second", "best"), cfg))

@@ -13,6 +13,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from strandloom.functions import dna
+from strandloom.functions.kernels import codes
 from strandloom.operators.saving import saved
 from strandloom.plans.config import AlignConfig
 
@@ -22,8 +23,6 @@ CHUNK, OVERLAP = 1 << 14, 10_240
 BLOCK = 512
 #: So many different seeds of reads, at most, are sent to the tasks that code the reference.
 SENT = 1 << 20
-_CODE = np.full(256, 4, np.uint8)
-_CODE[np.frombuffer(b"ACGT", np.uint8)] = np.arange(4)
 
 
 def chunks(contigs: DataFrame, size: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
@@ -46,19 +45,6 @@ def seed_index(pieces: DataFrame, k: int, size: int = CHUNK) -> DataFrame:
     return rows.select("x.seed", "contig_id", (F.col("at") + F.col("x.i")).alias("pos")).where(~F.col("seed").rlike("[^ACGT]"))
 
 
-def codes(text: bytes, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The number of each k bases in a row, and whether all of them are A, C, G or T."""
-    base = _CODE[np.frombuffer(text, np.uint8)]
-    n = len(base) - k + 1
-    if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, bool)
-    out = np.zeros(n, np.int64)
-    for i in range(k):
-        out = out * 4 + (base[i : i + n] & 3)
-    bad = np.concatenate(([0], np.cumsum(base == 4)))
-    return out, bad[k:] == bad[:-k]
-
-
 def coded_index(pieces: DataFrame, k: int, size: int = CHUNK, wanted: np.ndarray | None = None) -> DataFrame:
     """chunks() -> seed (a number), contig_id, pos for every place whose k bases have no N; a place belongs to one chunk.
 

@@ -69,7 +69,7 @@ def segment_seeds(reads: DataFrame, steps: list[int], longest: int, mode: str =
                 for stage in able[-1:] if mode == "all" else able:
                     k = seed_of(len(raw), stage, longest)
                     if k not in coded:
-                        coded[k] = seeding.codes(raw, k)
+                        coded[k] = kernels.codes(raw, k)
                     seed, ok = coded[k]
                     for minor, (a, b) in enumerate(segments(len(raw), stage)):
                         free = np.flatnonzero(ok[a : b - k + 1])
@@ -96,7 +96,7 @@ def blocks(reads: DataFrame, stage: int, longest: int) -> DataFrame:
                 k = seed_of(len(raw), stage, longest)
                 if k is None:
                     continue
-                seed, ok = seeding.codes(raw, k)
+                seed, ok = kernels.codes(raw, k)
                 at = range(0, len(raw) - k + 1, k)
                 found += [(i, min(stage, a * (stage + 1) // len(raw)), k, a, int(seed[a]) if ok[a] else None, len(at)) for a in at]
             columns = list(zip(*found, strict=True)) if found else [()] * 6

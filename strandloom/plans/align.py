@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strandloom.functions import alignment, dna
+from strandloom.functions import alignment, clipping, dna
 from strandloom.functions.scores import position_hash
 from strandloom.operators import hits as H
 from strandloom.operators import gapped, intervals, pairs, rescue, seeding, staged, stats
@@ -85,10 +85,11 @@ def align(reads: DataFrame, contigs: DataFrame, cfg: AlignConfig = AlignConfig(e
 
 def align_gapped(reads: DataFrame, contigs: DataFrame, aligned: DataFrame, cfg: AlignConfig = AlignConfig(), index: DataFrame | None = None) -> DataFrame:
     """Rows as align() gives them for reads that `aligned` has none of: their best shape with one indel of cfg.max_indel
-    bases at most or a clipped end, scored by cfg. The union with `aligned` goes to to_sam().
+    bases at most or a clipped end, scored by cfg; a clipped read must keep cfg.min_clipped_factor of its bases (with 1,
+    the default, none is clipped). The union with `aligned` goes to to_sam().
     """
     left = reads.select("read_id", "seq").join(aligned.select("read_id").distinct(), "read_id", "left_anti")
-    told = gapped.anchored(left, contigs, cfg.seed, cfg.max_indel, _scores(cfg), cfg.max_mappings, index)
+    told = gapped.anchored(left, contigs, cfg.seed, cfg.max_indel, _scores(cfg), cfg.max_mappings, index, cfg.min_clipped_factor)
     return told.withColumn("y", alignment.describing(_scores(cfg))("ext")).select("read_id", "strand", "contig_id", "pos", "ed", "ext", "y.cigar", "y.md", "score", "length")
 
 
@@ -120,57 +121,138 @@ def to_sam(reads: DataFrame, aligned: DataFrame, contigs: DataFrame | None = Non
     return writers.single_rows(_tagged(rows.withColumnRenamed("name", "qname"), cfg))
 
 
-def _pair_hits(found: DataFrame) -> DataFrame:
-    return found.select("pair_id", "mate", "read_id", "contig_id", "strand", "pos", "ed", "score", "length", "cigar", "md", "method")
+_HIT = ["pair_id", "mate", "read_id", "contig_id", "strand", "pos", "ed", "score", "length", "ext", "cigar", "md", "method"]
 
 
-def align_pairs(reads: DataFrame, contigs: DataFrame, cfg: AlignConfig = AlignConfig(), index: DataFrame | None = None) -> DataFrame:
-    """Mates (read_id, pair_id, mate 0 or 1, name, seq, qual) -> two SAM rows a pair, facing each other.
+def _turned(df: DataFrame, which) -> DataFrame:
+    """Reads of the condition `which` as their other strand."""
+    both = df.withColumn("seq", F.when(which, dna.reverse_complement(F.col("seq"))).otherwise(F.col("seq")))
+    return both.withColumn("qual", F.when(which, F.reverse("qual")).otherwise(F.col("qual"))) if "qual" in df.columns else both
+
+
+def _other_way(orientation: str):
+    """Mates that are turned so that pairs of this orientation face each other: both for rf, the second for ff."""
+    return {"fr": F.lit(False), "rf": F.lit(True), "ff": F.col("mate") == 1}[orientation]
+
+
+def _lost_mates(single: DataFrame, hits: DataFrame, reads: DataFrame, contigs: DataFrame, mean: float, dev: float, cfg: AlignConfig) -> DataFrame:
+    """Mates found again near the other one's place: whole with errors, else clipped. Hits with their anchors (a_...)."""
+    hopeful = pairs.hopeful(single, hits, cfg.max_mappings)
+    near = H.ranked(hopeful, ["pair_id", "mate"], ["ed", "contig_id", "pos", "strand"], cfg.max_pairs).drop("nth")
+    key = lambda mate: F.concat_ws(":", F.col("pair_id").cast("string"), mate.cast("string")).alias("pair_id")
+    anchors = near.select(key(1 - F.col("mate")), "contig_id", (F.col("pos") - 1).alias("start"), "strand", "length", F.col("pair_id").alias("_p"), (1 - F.col("mate")).alias("_m"), *[F.col(c).alias("a_" + c) for c in ("strand", "pos", "ed", "score", "length")])
+    wanted = reads.where("seq != ''").select(key(F.col("mate")), "seq")
+    reach = max(seeding.OVERLAP, int(mean + 2 * cfg.clipping_sigmas * dev))
+    pieces = seeding.chunks(contigs, overlap=reach)
+    about = ["_p", "_m", "a_strand", "a_pos", "a_ed", "a_score", "a_length"]
+    whole = rescue.rescued(anchors, wanted, pieces, mean, dev, cfg.saturation_sigmas, cfg.errors_paired).withColumn("y", alignment.describing(_scores(cfg))("ext"))
+    whole = saved(whole.select("contig_id", "strand", "pos", "ed", "ext", "y.cigar", "y.md", "y.score", F.lit("rescued").alias("method"), *about), "rescued")
+    sure = whole.where("ed <= 1").select(F.col("_p").alias("_q")).distinct()
+    left = anchors.join(sure, F.col("_p") == F.col("_q"), "left_anti")
+    part = rescue.rescued_by_clipping(left, wanted, pieces, mean, dev, 2 * cfg.clipping_sigmas, longest=cfg.max_indel, scores=_scores(cfg)).where(F.col("ext").contains("$") | F.col("ext").rlike("[#^]"))
+    part = part.withColumn("y", alignment.describing(_scores(cfg))("ext")).select("contig_id", "strand", "pos", "ed", "ext", "y.cigar", "y.md", "score", F.lit("clipped").alias("method"), *about)
+    again = whole.unionByName(part).withColumnsRenamed({"_p": "pair_id", "_m": "mate"})
+    facts = reads.select("read_id", F.col("pair_id").alias("_p"), F.col("mate").alias("_m"))
+    again = again.join(facts, (F.col("pair_id") == F.col("_p")) & (F.col("mate") == F.col("_m"))).drop("_p", "_m")
+    return again.withColumn("length", _span(F.col("ext")))
+
+
+def _span(ext):
+    """Reference bases that an extended CIGAR covers."""
+    return F.length(F.regexp_replace(F.regexp_replace(ext, "#.", ""), r"[\^$]", "")).cast("long")
 
-    Both mates are aligned; insert sizes of pairs with a single place each give mean and deviation (one row; without
-    samples the prior). Then the first of these that a pair has: close pairs in which both mates stand at their best;
-    pairs with a mate found again near the other one's place; pairs further apart; else each mate's best place alone.
-    The best-scored pair is written. With cfg.contig_filter (a name) only pairs that touch that contig are.
+
+def clipped_pairs(rows: DataFrame, sizes: DataFrame, cfg: AlignConfig) -> DataFrame:
+    """Rows of mapped mates with their ends clipped: off the contig, of low quality, not worth their score, and, where the
+    mates overlap, the right mate's bases that the left one has too.
+
+    rows: pair_id, mate, contig_id, strand, pos, ext, qual and the columns that follow from ext (ed, cigar, md, score,
+    length), which are told anew for the rows that change. sizes: contig_id, size.
+    """
+    other = rows.select(F.col("pair_id").alias("_p"), (1 - F.col("mate")).alias("_m"), F.col("contig_id").alias("_c"), F.col("strand").alias("_s"), F.col("pos").alias("_b"), F.col("length").alias("_l"))
+    both = rows.join(other, (F.col("pair_id") == F.col("_p")) & (F.col("mate") == F.col("_m")) & (F.col("contig_id") == F.col("_c")), "left").join(sizes, "contig_id", "left")
+    right = (F.col("strand") == "-") & (F.col("_s") == "+") & (F.col("_b") <= F.col("pos"))
+    shared = F.when(right & F.lit(cfg.paired_clipping), F.greatest(F.col("_b") + F.col("_l") - F.col("pos"), F.lit(0))).otherwise(0)
+    quality = F.when(F.col("strand") == "-", F.reverse("qual")).otherwise(F.col("qual"))
+    both = both.withColumn("_shared", shared).withColumn("_quality", quality)
+    touched = (F.col("ext").rlike("[^.$]") & F.lit(cfg.boundary_clipping)) | (F.col("_shared") > 0) | F.lit(bool(cfg.clip_quality)) | (F.col("pos") < 1) | (F.col("pos") - 1 + F.col("length") > F.col("size"))
+    drop = ["_p", "_m", "_c", "_s", "_b", "_l", "_shared", "_quality", "size", "_touched"]
+    both = both.withColumn("_touched", F.coalesce(touched, F.lit(False)))
+    step = clipping.ends_clipped(_scores(cfg), cfg.boundary_clipping, cfg.clip_quality)
+    new = both.where("_touched").withColumn("x", step("ext", "_quality", F.col("pos") - 1, "size", "_shared")).withColumn("y", alignment.describing(_scores(cfg))("x.ext"))
+    new = new.withColumns({
+        "pos": F.col("pos") + F.col("x.moved"), "ext": F.col("x.ext"), "cigar": F.col("y.cigar"), "md": F.col("y.md"), "score": F.col("y.score"),
+        "length": _span(F.col("x.ext")), "ed": F.length(F.regexp_replace("x.ext", r"[.$#^]", "")).cast("long"),
+    })
+    return both.where("NOT _touched").drop(*drop).unionByName(new.drop(*drop, "x", "y"))
+
+
+def align_pairs(reads: DataFrame, contigs: DataFrame, cfg: AlignConfig = AlignConfig(), index: DataFrame | None = None) -> DataFrame:
+    """Mates (read_id, pair_id, mate 0 or 1, name, seq, qual) -> two SAM rows a pair.
+
+    Both mates are aligned, also with one long indel; insert sizes of pairs with a single place each give mean and
+    deviation (one row; without samples the prior). Mates without a close pair are looked for again near the other one's
+    place, whole and then clipped. pairs.fallback() says which pairs count; of those that score best (less than
+    cfg.score_tie apart) a digest picks one, and their number gives the pair's quality, which may raise that of its mates.
+    Else each mate stands at its best place alone. Ends are clipped last (clipped_pairs()). Mates of orientation ff or rf
+    are turned to face each other and reported as they are. Mates shorter than nine tenths of the longest take part only
+    with cfg.short_reads. With cfg.contig_filter (a name) only pairs that touch that contig are given.
     """
     cfg = settled(reads, cfg)
-    facts = reads.select("read_id", "pair_id", "mate")
-    found = align(reads.select("read_id", "seq", *[c for c in ("qual",) if c in reads.columns]), contigs, cfg, index)
-    found = found.join(facts, "read_id").withColumn("method", F.when(F.col("ed") == 0, "perfect").otherwise("edits"))
-    found = saved(found, "found")
-    hits = _pair_hits(found)
+    way = _other_way(cfg.orientation)
+    reads = saved(_turned(reads if "qual" in reads.columns else reads.withColumn("qual", F.lit(None).cast("string")), way), "mates")
+    limits = stats.length_limits(stats.length_histogram(reads)).first()
+    least = max(limits["min_length"] or 0, int((limits["max_length"] or 0) * 0.9))
+    aligned = saved(align(reads.select("read_id", "seq", "qual"), contigs, cfg, index), "aligned")
+    long = align_gapped(reads.where("seq != ''"), contigs, aligned, cfg, index).withColumn("method", F.when(F.col("ext").contains("$"), "clipped").otherwise("indel"))
+    found = aligned.withColumn("method", F.when(F.col("ed") == 0, "perfect").otherwise("edits")).unionByName(long)
+    facts = reads.select("read_id", "pair_id", "mate", F.length("seq").alias("_n"))
+    short = F.lit(cfg.short_reads) & (F.col("ed") <= F.floor(cfg.errors * cfg.sensitivity_factor * F.col("_n") / max(least, 1)))
+    found = saved(found.join(facts, "read_id").where((F.col("_n") >= least) | short).select(*_HIT), "found")
+    hits = found.where(~F.col("ext").contains("$"))  # clipped ones make no pairs
     alone = F.count(F.lit(1)).over(Window.partitionBy("pair_id", "mate"))
     sure = pairs.mates(hits.withColumn("_n", alone).where("_n = 1").drop("_n")).withColumn("all", F.lit(1))
     model = stats.insert_model(sure, ["all"], cfg.max_mate_distance).first()  # a single row
     mean, dev = (model["mean"], max(model["dev"], 1.0)) if model else (cfg.max_mate_distance / 2, cfg.max_mate_distance / 8)
-    every = saved(pairs.mates(hits), "mates")
-    off = F.abs(F.col("insert_size") - mean)
-    close = pairs.as_good_as_alone(every.where(off <= cfg.confidence_sigmas * dev), hits, cfg.errors)
-    close = saved(close, "close")
-    single = hits.join(close.select("pair_id").distinct(), "pair_id", "left_anti")
-    lacking = pairs.hopeful(single, hits, cfg.max_mappings)
-    anchors = H.ranked(lacking, ["pair_id", "mate"], ["ed", "contig_id", "pos", "strand"], 4).select(F.concat_ws(":", "pair_id", (1 - F.col("mate")).cast("string")).alias("pair_id"), "contig_id", (F.col("pos") - 1).alias("start"), "strand", "length")
-    wanted = reads.where("seq != ''").select(F.concat_ws(":", "pair_id", F.col("mate").cast("string")).alias("pair_id"), "seq")
-    again = rescue.rescued(anchors, wanted, seeding.chunks(contigs), mean, dev, cfg.saturation_sigmas, cfg.errors_paired)
-    again = again.withColumn("y", alignment.described("ext")).withColumn("_m", F.substring_index("pair_id", ":", -1).cast("int")).withColumn("_p", F.substring_index("pair_id", ":", 1).cast("long"))
-    span = F.length(F.regexp_replace(F.regexp_replace("ext", "#.", ""), r"[\^$]", ""))
-    again = again.join(facts.select(F.col("read_id"), F.col("pair_id").alias("_q"), F.col("mate").alias("_n")), (F.col("_p") == F.col("_q")) & (F.col("_m") == F.col("_n")))
-    again = again.select(F.col("_p").alias("pair_id"), F.col("_m").alias("mate"), "read_id", "contig_id", "strand", "pos", "ed", "y.score", span.cast("long").alias("length"), "y.cigar", "y.md", F.lit("rescued").alias("method"))
-    again = saved(again, "rescued")
-    both = single.unionByName(again).dropDuplicates(["pair_id", "mate", "contig_id", "strand", "pos"])
-    near = pairs.within_mate_errors(pairs.mates(both), 2 * cfg.errors_paired).where(F.abs(F.col("insert_size") - mean) <= cfg.saturation_sigmas * dev)
-    far = every.where((off > cfg.confidence_sigmas * dev) & (F.col("insert_size") <= cfg.max_mate_distance))
-    tiers = pairs.first_tier([close, near, far], "pair_id")
-    best = pairs.best_pairs(pairs.scored(tiers, mean, dev, cfg.saturation_sigmas, cfg.score_match), "pair_score", 1)
-    best = saved(best, "best")
-    side = lambda m: best.select("pair_id", F.lit(m).alias("mate"), "contig_id", *[F.col(f"{c}{m + 1}").alias(c) for c in ("strand", "pos")])
-    chosen = side(0).unionByName(side(1)).join(hits.unionByName(both.where("method = 'rescued'")), ["pair_id", "mate", "contig_id", "strand", "pos"])
-    chosen = H.ranked(chosen, ["pair_id", "mate"], ["ed", F.col("method") == "rescued"], 1).drop("nth")
-    lone = H.ranked(hits.join(best.select("pair_id"), "pair_id", "left_anti"), ["pair_id", "mate"], [F.col("score").desc(), "contig_id", "pos", "strand"], 1).drop("nth")
+    every = saved(pairs.mates(hits), "pairs")
+    close = pairs.as_good_as_alone(every.where(F.abs(F.col("insert_size") - mean) <= cfg.confidence_sigmas * dev), hits, cfg.errors)
+    again = saved(_lost_mates(hits.join(close.select("pair_id").distinct(), "pair_id", "left_anti"), hits, reads, contigs, mean, dev, cfg), "again")
+    beside = pairs.within_mate_errors(pairs.beside(again), 2 * cfg.errors_paired).where("insert_size IS NOT NULL")
+    told = pairs.fallback(every, hits, beside, mean, dev, cfg.errors, cfg.confidence_sigmas, cfg.saturation_sigmas, cfg.max_mate_distance)
+    told = saved(pairs.best_pairs(pairs.scored(told, mean, dev, cfg.saturation_sigmas, cfg.score_match), "pair_score", cfg.max_pairs).drop("nth"), "told")
+    pairq = pairs.pair_qualities(told, "pair_score", cfg.score_tie, cfg)
+    leading = told.join(pairq.select("pair_id", "best", "n_best", "pairq"), "pair_id").where(F.col("pair_score") > F.col("best") - cfg.score_tie)
+    digest = F.md5(F.concat_ws("|", "pair_id", "contig_id", "pos1", "strand1", "pos2", "strand2"))
+    best = saved(H.ranked(leading.withColumn("_d", digest), ["pair_id"], ["_d"], 1).drop("nth", "_d"), "best")
+    side = lambda m: best.select("pair_id", F.lit(m).alias("mate"), "contig_id", "tier", F.when(F.col("n_best") == 1, F.col("pairq")).alias("_pairq"), *[F.col(f"{c}{m + 1}").alias(c) for c in ("strand", "pos")])
+    chosen = side(0).unionByName(side(1)).join(found.unionByName(again.select(*_HIT)), ["pair_id", "mate", "contig_id", "strand", "pos"])
+    chosen = H.ranked(chosen, ["pair_id", "mate"], ["ed", F.col("method").isin("rescued", "clipped"), F.col("score").desc(), "ext"], 1).drop("nth")
+    lone = H.ranked(found.join(best.select("pair_id"), "pair_id", "left_anti"), ["pair_id", "mate"], [F.col("score").desc(), "contig_id", "pos", "strand"], 1).drop("nth")
+    lone = lone.withColumn("tier", F.lit(5)).withColumn("_pairq", F.lit(None).cast("long"))
     quality = H.qualities(found.select("read_id", "contig_id", "pos", "score")).select("read_id", "mapq")
-    rows = chosen.unionByName(lone.select(chosen.columns)).drop("pair_id", "mate").join(quality, "read_id", "left")
-    rows = _named(reads.join(rows, "read_id", "left"), contigs)
+    rows = chosen.unionByName(lone.select(chosen.columns)).join(quality, "read_id", "left").withColumn("mapq", F.coalesce("mapq", F.lit(0)))
+    lowest = F.min("mapq").over(Window.partitionBy("pair_id"))
+    pairq = F.when((F.col("tier") == 4) & (lowest <= 3), lowest).otherwise(F.col("_pairq"))
+    rows = rows.withColumn("mapq", F.greatest("mapq", F.when(F.col("_pairq").isNotNull(), pairq))).drop("_pairq", "tier")
+    rows = rows.join(reads.select("read_id", "qual"), "read_id")
+    rows = saved(clipped_pairs(rows, contigs.select("contig_id", F.length("seq").cast("long").alias("size")), cfg), "rows")
+    rows = reads.join(rows.drop("pair_id", "mate", "qual", "ext"), "read_id", "left")
+    rows = _named(rows, contigs)
     if cfg.contig_filter:
         touched = F.max(F.coalesce(F.col("rname") == cfg.contig_filter, F.lit(False))).over(Window.partitionBy("pair_id"))
         rows = rows.withColumn("_t", touched).where("_t").drop("_t")
     rows = rows.withColumn("mo", F.lit(f"{mean:.2f}_{dev:.2f}"))
-    return writers.paired_rows(_tagged(rows.withColumnRenamed("name", "qname"), cfg))
+    return _as_they_are(writers.paired_rows(_tagged(rows.withColumnRenamed("name", "qname"), cfg)), cfg.orientation)
+
+
+def _as_they_are(rows: DataFrame, orientation: str) -> DataFrame:
+    """SAM rows of turned mates with the flags of the reads as they were; unmapped ones get their own bases back."""
+    if orientation == "fr":
+        return rows
+    second = F.col("flag").bitwiseAND(F.lit(128)) != 0
+    mine, mates = {"rf": (F.lit(True), F.lit(True)), "ff": (second, ~second)}[orientation]
+    mapped, mate_mapped = (F.col("flag").bitwiseAND(F.lit(bit)) == 0 for bit in (4, 8))
+    flag = F.col("flag").bitwiseXOR(F.when(mine & mapped, 16).otherwise(0).cast("long")).bitwiseXOR(F.when(mates & mate_mapped, 32).otherwise(0).cast("long"))
+    back = mine & ~mapped
+    seq, qual = F.when(back, dna.reverse_complement(F.col("seq"))).otherwise(F.col("seq")), F.when(back, F.reverse("qual")).otherwise(F.col("qual"))
+    return rows.withColumns({"flag": flag, "seq": seq, "qual": qual})

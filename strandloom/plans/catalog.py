@@ -309,7 +309,7 @@ def paired_sam(spark, sf_dir):
     half = F.floor(F.length("seq") / 2).cast("int")
     ends = F.array(F.struct(F.lit(0).alias("mate"), F.substring("seq", F.lit(1), half).alias("seq")), F.struct(F.lit(1).alias("mate"), dna.reverse_complement(F.substring("seq", half + 1, F.length("seq"))).alias("seq")))
     mates = whole.select(F.col("read_id").alias("pair_id"), F.explode(ends).alias("x")).select((F.col("pair_id") * 2 + F.col("x.mate")).alias("read_id"), "pair_id", "x.mate", F.col("pair_id").cast("string").alias("name"), "x.seq", F.lit(None).cast("string").alias("qual"))
-    return align_pairs(mates, contigs(spark, sf_dir), AlignConfig(errors=2)).select("qname", "flag", "rname", "pos", "mapq", "cigar", "rnext", "pnext", "tlen", "nm", "xm")
+    return align_pairs(mates, contigs(spark, sf_dir), AlignConfig(errors=2, short_reads=True)).select("qname", "flag", "rname", "pos", "mapq", "cigar", "rnext", "pnext", "tlen", "nm", "xm")
 
 
 @query()

@@ -7,7 +7,12 @@ from dataclasses import dataclass
 
 @dataclass(frozen=True)
 class AlignConfig:
-    """Names and defaults of the mapping options; errors 0 means: from the read lengths."""
+    """Names and defaults of the mapping options; errors 0 means: from the read lengths.
+
+    min_clipped_factor: share of a read that a single read's clipped shape must keep (1: none is clipped). clip_quality:
+    ends of a lower quality are clipped (0: none are). short_reads: whether reads of less than nine tenths of the longest
+    take part in pairs, with errors in proportion to their length.
+    """
 
     errors: int = 0
     mode: str = "first"  # first, second or all strata
@@ -37,8 +42,14 @@ class AlignConfig:
     contig_filter: str = ""
     read_group: str = ""
     seed: int = 18
+    short_reads: bool = False
+    boundary_clipping: bool = True
+    paired_clipping: bool = True
+    clip_quality: int = 0
 
     def __post_init__(self):
+        if self.orientation not in ("fr", "ff", "rf"):
+            raise ValueError(f"orientation is fr, ff or rf, not {self.orientation!r}")
         if self.mode not in ("first", "second", "all"):
             raise ValueError(f"mode is first, second or all, not {self.mode!r}")
 

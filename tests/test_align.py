@@ -124,8 +124,9 @@ def test_long_indels_and_clipped_ends(spark):
     reads = spark.createDataFrame(reads, "read_id long, seq string")
     contigs = spark.createDataFrame([(7, ref)], "contig_id long, seq string")
     aligned = align(reads, contigs, AlignConfig(errors=3))
-    rows = {r.read_id: r for r in align_gapped(reads, contigs, aligned, AlignConfig(errors=3)).collect()}
+    rows = {r.read_id: r for r in align_gapped(reads, contigs, aligned, AlignConfig(errors=3, min_clipped_factor=0.5)).collect()}
     assert set(rows) == set(want)
+    assert {r.read_id for r in align_gapped(reads, contigs, aligned, AlignConfig(errors=3)).collect()} == {k for k in want if k % 10 < 2}
     for k, (pos, ed, strand, seq) in want.items():
         r = rows[k]
         clips = r.ext.count("$")
