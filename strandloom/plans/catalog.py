@@ -323,6 +323,39 @@ def rescued_mates(spark, sf_dir):
     return rescue.rescued(anchors, last, seeding.chunks(refs), 300, 20)
 
 
+@query()
+def rescued_by_clipping(spark, sf_dir):
+    """Second halves of reads that begin with bases of elsewhere, found again by the part that belongs there. (The best
+    clipped shape is no SQL; tests hold planted clips and all shapes tried one by one.)"""
+    whole, refs = reads(spark, sf_dir), contigs(spark, sf_dir)
+    half = F.floor(F.length("seq") / 2).cast("int")
+    first = whole.select("read_id", F.substring("seq", F.lit(1), half).alias("seq"))
+    strange = F.concat(F.reverse(F.substring("seq", 1, 12)), F.substring("seq", half + 13, F.length("seq")))
+    last = whole.select(F.col("read_id").alias("pair_id"), dna.reverse_complement(strange).alias("seq"))
+    anchors = seeding.best_in_contig(seeding.map_reads(first, refs, 1)).select(F.col("read_id").alias("pair_id"), "contig_id", "start", "strand", F.length("seq").alias("length"))
+    return rescue.rescued_by_clipping(anchors, last, seeding.chunks(refs), 300, 20)
+
+
+_OVERLAPPING = _nearest(_WHOLE, 0) + """, sized AS (SELECT item_id AS read_id, length(x)::BIGINT AS n, length(x) - length(x) // 3 AS m FROM (SELECT item_id, """ + _DNA + """ AS x FROM benchmark)),
+ends AS (SELECT read_id, contig_id, n, m, CASE WHEN strand = '+' THEN d + 1 ELSE d + n - m + 1 END AS pos1, strand AS strand1, CASE WHEN strand = '+' THEN d + n - m + 1 ELSE d + 1 END AS pos2, CASE WHEN strand = '+' THEN '-' ELSE '+' END AS strand2
+  FROM close JOIN sized USING (read_id) WHERE d >= 0 AND d + n <= length(ref) AND seq = substr(ref, d + 1, n)),
+one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY read_id ORDER BY md5(concat_ws('|', read_id, contig_id, pos1, strand1, pos2, strand2))) AS nth FROM ends) WHERE nth = 1),
+told AS (SELECT read_id, contig_id, n, m, mate, CASE mate WHEN 0 THEN strand1 ELSE strand2 END AS strand, CASE mate WHEN 0 THEN pos1 ELSE pos2 END AS pos, greatest(2 * m - n, 0) AS shared FROM one, range(2) t(mate))
+SELECT s.read_id::VARCHAR AS qname, CASE WHEN t.read_id IS NULL THEN 77 + 64 * k WHEN strand = '+' THEN 99 + 64 * k ELSE 83 + 64 * k END::BIGINT AS flag, coalesce(contig_id::VARCHAR, '*') AS rname, coalesce(pos + CASE WHEN strand = '-' THEN shared ELSE 0 END, 0)::BIGINT AS pos,
+  CASE WHEN t.read_id IS NULL THEN '*' WHEN strand = '-' AND shared > 0 THEN shared || 'S' || (s.m - shared) || 'M' ELSE s.m || 'M' END AS cigar
+FROM sized s CROSS JOIN range(2) u(k) LEFT JOIN told t ON t.read_id = s.read_id AND mate = k"""
+
+
+@query(_OVERLAPPING)
+def overlapping_mates(spark, sf_dir):
+    """The first and last two thirds of every read as mates: what both have is clipped off the right one. Reads of the
+    table stand in contigs without an error or not at all, so that the SQL only needs exact places."""
+    part = F.length("seq") - F.floor(F.length("seq") / 3).cast("int")
+    ends = F.array(F.struct(F.lit(0).alias("mate"), F.substring("seq", F.lit(1), part).alias("seq")), F.struct(F.lit(1).alias("mate"), dna.reverse_complement(F.substring("seq", F.length("seq") - part + 1, part)).alias("seq")))
+    mates = reads(spark, sf_dir).select(F.col("read_id").alias("pair_id"), F.explode(ends).alias("x")).select((F.col("pair_id") * 2 + F.col("x.mate")).alias("read_id"), "pair_id", "x.mate", F.col("pair_id").cast("string").alias("name"), "x.seq")
+    return align_pairs(mates, contigs(spark, sf_dir), AlignConfig(errors=1, short_reads=True)).select("qname", "flag", "rname", "pos", "cigar")
+
+
 @query()
 def gapped_reads(spark, sf_dir):
     """Every read without twenty bases of its middle: the best shape of it with one long indel or a clipped end. (The
@@ -438,6 +471,41 @@ def pair_fallback(spark, sf_dir):
     return pairs.first_tier([pairs.close_pairs(source, 500, 125).select(*keep), pairs.distant_pairs(source, 500, 125).select(*keep), single], "pair_id").select(*keep, "tier")
 
 
+_FALLBACK = f"""WITH {_MATES.replace('FROM hits a JOIN hits b', 'FROM mapped a JOIN mapped b').replace(', m AS (', ", mapped AS (SELECT * FROM hits WHERE kind IN ('lev', 'indel1', 'indel2')), m AS (")},
+best AS (SELECT pair_id, min(ed) FILTER (mate = 0) AS b1, min(ed) FILTER (mate = 1) AS b2 FROM mapped GROUP BY 1),
+again AS (SELECT h.*, a.strand AS a_strand, a.pos AS a_pos, a.ed AS a_ed, a.length AS a_length FROM hits h JOIN mapped a ON a.pair_id = h.pair_id AND a.contig_id = h.contig_id AND a.mate <> h.mate AND a.strand <> h.strand WHERE h.kind NOT IN ('lev', 'indel1', 'indel2')),
+two AS (SELECT pair_id, contig_id, a_ed, CASE mate WHEN 0 THEN strand ELSE a_strand END AS strand1, CASE mate WHEN 0 THEN pos ELSE a_pos END AS pos1, CASE mate WHEN 0 THEN ed ELSE a_ed END AS ed1, CASE mate WHEN 0 THEN length ELSE a_length END AS length1,
+  CASE mate WHEN 1 THEN strand ELSE a_strand END AS strand2, CASE mate WHEN 1 THEN pos ELSE a_pos END AS pos2, CASE mate WHEN 1 THEN ed ELSE a_ed END AS ed2, CASE mate WHEN 1 THEN length ELSE a_length END AS length2 FROM again),
+r AS (SELECT *, CASE WHEN pos1 < pos2 OR (pos1 = pos2 AND strand1 = '+') THEN CASE WHEN strand1 = '+' THEN pos2 - pos1 + length2 END ELSE CASE WHEN strand2 = '+' THEN pos1 - pos2 + length1 END END AS insert_size FROM two),
+alone AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pair_id, mate ORDER BY score DESC, contig_id, pos, strand) AS nth FROM mapped) WHERE nth = 1),
+t AS (SELECT pair_id, contig_id, strand1, pos1, strand2, pos2, insert_size, 0 AS tier FROM m JOIN best USING (pair_id) WHERE abs(insert_size - 500) <= 4 * 125 AND ed1 = b1 AND ed2 = b2 AND least(b1, b2) <= 3
+  UNION ALL SELECT pair_id, contig_id, strand1, pos1, strand2, pos2, insert_size, CASE WHEN a_ed <= 3 THEN 1 ELSE 2 END FROM r WHERE abs(insert_size - 500) <= 7 * 125
+  UNION ALL SELECT m.pair_id, m.contig_id, strand1, pos1, strand2, pos2, insert_size, 3 FROM m JOIN alone a ON a.mate = 0 AND a.pair_id = m.pair_id AND a.contig_id = m.contig_id AND a.pos = pos1 AND a.strand = strand1 JOIN alone b ON b.mate = 1 AND b.pair_id = m.pair_id AND b.contig_id = m.contig_id AND b.pos = pos2 AND b.strand = strand2 WHERE insert_size <= 500 + 7 * 125),
+f AS (SELECT * FROM (SELECT *, min(tier) OVER (PARTITION BY pair_id) AS least FROM t) WHERE tier = least UNION ALL SELECT pair_id, contig_id, strand1, pos1, strand2, pos2, insert_size, 4, 4 FROM m WHERE abs(insert_size - 500) > 4 * 125 AND insert_size <= 1500)
+SELECT DISTINCT pair_id, contig_id, strand1, pos1, strand2, pos2, insert_size, tier FROM f"""
+
+
+@query(_FALLBACK)
+def pair_tiers(spark, sf_dir):
+    """The tiers of a pair's search, and its distant pairs: close, rescued beside a good and beside a bad anchor, each
+    mate's best. (Hits of the kinds that end in a clip stand in for rescued mates.)"""
+    every = hits(spark, sf_dir)
+    mapped = every.where("kind IN ('lev', 'indel1', 'indel2')")
+    anchors = mapped.select(F.col("pair_id").alias("_p"), F.col("contig_id").alias("_c"), F.col("mate").alias("_m"), *[F.col(c).alias("a_" + c) for c in ("strand", "pos", "ed", "score", "length")])
+    again = every.where("kind NOT IN ('lev', 'indel1', 'indel2')").join(anchors, F.expr("pair_id = _p AND contig_id = _c AND mate != _m AND strand != a_strand"))
+    beside = pairs.beside(again).where(F.abs(F.col("insert_size") - 500) <= 7 * 125)
+    told = pairs.fallback(pairs.mates(mapped), mapped, beside, 500, 125, 3, longest=1500)
+    return told.select("pair_id", "contig_id", "strand1", "pos1", "strand2", "pos2", "insert_size", "tier").distinct()
+
+
+@query(f"""WITH {_MATES}, p AS (SELECT pair_id, contig_id, strand1, pos1, strand2, pos2, max(score1 + score2) AS s FROM m GROUP BY ALL), b AS (SELECT *, max(s) OVER (PARTITION BY pair_id) AS best FROM p),
+c AS (SELECT *, max(s) FILTER (s <= best - 7) OVER (PARTITION BY pair_id) AS second FROM b), q AS (SELECT pair_id, best, second, count(*) FILTER (s > best - 7) AS n_best, count(*) FILTER (s <= best - 7 AND s > second - 7) AS n_second FROM c GROUP BY ALL)
+SELECT *, CASE WHEN n_best > 1 THEN CASE n_best WHEN 2 THEN 3 WHEN 3 THEN 2 ELSE CASE WHEN n_best < 10 THEN 1 ELSE 0 END END WHEN n_second = 0 THEN 60 ELSE greatest(0, 60 - floor(90 * log2(1 + n_second) / greatest(best - second, 0.5)))::BIGINT END::BIGINT AS pairq FROM q""")
+def pair_qualities(spark, sf_dir):
+    """Of each read pair the best and second scores (scores less than seven apart tie), places with them, quality."""
+    return pairs.pair_qualities(pairs.mates(hits(spark, sf_dir)).withColumn("plain", F.col("score1") + F.col("score2")), "plain", 7)
+
+
 @query()
 def pair_scores(spark, sf_dir):
     """Pair scores with the insert size's penalty (a normal tail, which SQL lacks; tests hold known values)."""
