@@ -105,7 +105,8 @@ def fallback(mapped: DataFrame, hits: DataFrame, rescued: DataFrame, mean: float
     alone = best_alone(hits).where(F.col("insert_size") <= mean + far * dev)
     first = first_tier([t.select(*keep) for t in (close, low, high, alone)], "pair_id")
     distant = mapped.where((off > near * dev) & (F.col("insert_size") <= longest)).select(*keep).withColumn("tier", F.lit(4))
-    return first.unionByName(distant).dropDuplicates(["pair_id", "contig_id", "strand1", "pos1", "strand2", "pos2"])
+    every = first.unionByName(distant)
+    return ranked(every, ["pair_id", "contig_id", "strand1", "pos1", "strand2", "pos2"], ["tier", F.col("ed1") + F.col("ed2"), "ed1", "length1", "length2"], 1).drop("nth")
 
 
 def pair_qualities(pairs: DataFrame, score: str, width: float = 0.5, cfg: AlignConfig = AlignConfig()) -> DataFrame:

@@ -482,7 +482,7 @@ t AS (SELECT pair_id, contig_id, strand1, pos1, strand2, pos2, insert_size, 0 AS
   UNION ALL SELECT pair_id, contig_id, strand1, pos1, strand2, pos2, insert_size, CASE WHEN a_ed <= 3 THEN 1 ELSE 2 END FROM r WHERE abs(insert_size - 500) <= 7 * 125
   UNION ALL SELECT m.pair_id, m.contig_id, strand1, pos1, strand2, pos2, insert_size, 3 FROM m JOIN alone a ON a.mate = 0 AND a.pair_id = m.pair_id AND a.contig_id = m.contig_id AND a.pos = pos1 AND a.strand = strand1 JOIN alone b ON b.mate = 1 AND b.pair_id = m.pair_id AND b.contig_id = m.contig_id AND b.pos = pos2 AND b.strand = strand2 WHERE insert_size <= 500 + 7 * 125),
 f AS (SELECT * FROM (SELECT *, min(tier) OVER (PARTITION BY pair_id) AS least FROM t) WHERE tier = least UNION ALL SELECT pair_id, contig_id, strand1, pos1, strand2, pos2, insert_size, 4, 4 FROM m WHERE abs(insert_size - 500) > 4 * 125 AND insert_size <= 1500)
-SELECT DISTINCT pair_id, contig_id, strand1, pos1, strand2, pos2, insert_size, tier FROM f"""
+SELECT pair_id, contig_id, strand1, pos1, strand2, pos2, min(tier)::INT AS tier FROM f GROUP BY ALL"""
 
 
 @query(_FALLBACK)
@@ -495,7 +495,7 @@ def pair_tiers(spark, sf_dir):
     again = every.where("kind NOT IN ('lev', 'indel1', 'indel2')").join(anchors, F.expr("pair_id = _p AND contig_id = _c AND mate != _m AND strand != a_strand"))
     beside = pairs.beside(again).where(F.abs(F.col("insert_size") - 500) <= 7 * 125)
     told = pairs.fallback(pairs.mates(mapped), mapped, beside, 500, 125, 3, longest=1500)
-    return told.select("pair_id", "contig_id", "strand1", "pos1", "strand2", "pos2", "insert_size", "tier").distinct()
+    return told.select("pair_id", "contig_id", "strand1", "pos1", "strand2", "pos2", "tier")
 
 
 @query(f"""WITH {_MATES}, p AS (SELECT pair_id, contig_id, strand1, pos1, strand2, pos2, max(score1 + score2) AS s FROM m GROUP BY ALL), b AS (SELECT *, max(s) OVER (PARTITION BY pair_id) AS best FROM p),
