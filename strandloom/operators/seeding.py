@@ -26,12 +26,27 @@ SENT = 1 << 20
 
 
 def chunks(contigs: DataFrame, size: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """contig_id, seq -> contig_id, chunk, seq: overlapping pieces, so that no row or task holds a whole contig."""
+    """contig_id, seq -> contig_id, chunk, length, seq: overlapping pieces, so that no row or task holds a whole contig.
+
+    Contigs that were cut as they were read (sources.fasta) are such pieces already.
+    """
+    if "chunk" in contigs.columns:
+        if (size, overlap) != (CHUNK, OVERLAP):
+            raise ValueError("these contigs are cut already, to other chunks")
+        return contigs.select("contig_id", "chunk", "length", "seq")
     starts = F.explode(F.sequence(F.lit(0), F.greatest(F.length("seq") - 1, F.lit(0)), F.lit(size)))
     cut = contigs.where(F.length("seq") > 0).select("contig_id", "seq", starts.alias("at"))
     return cut.select("contig_id", (F.col("at") / size).cast("long").alias("chunk"), F.length("seq").alias("length"), F.substring("seq", F.col("at") + 1, F.lit(size + overlap)).alias("seq"))
 
 
+def whole(contigs: DataFrame) -> DataFrame:
+    """One row a contig without its bases: contig_id, size and, where known, name, n_initial and n_final."""
+    known = [c for c in ("name", "n_initial", "n_final") if c in contigs.columns]
+    if "chunk" in contigs.columns:
+        return contigs.where("chunk = 0").select("contig_id", F.col("length").alias("size"), *known)
+    return contigs.select("contig_id", F.length("seq").cast("long").alias("size"), *known)
+
+
 def seed_index(pieces: DataFrame, k: int, size: int = CHUNK) -> DataFrame:
     """Chunks -> seed, contig_id, pos for every place whose k bases have no N; a place belongs to one chunk."""
     parts = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -95,6 +95,7 @@ def align_gapped(reads: DataFrame, contigs: DataFrame, aligned: DataFrame, cfg:
 
 def _named(rows: DataFrame, contigs: DataFrame) -> DataFrame:
     """rname and pos as the reference file has them (contigs: contig_id and, where known, name and n_initial)."""
+    contigs = seeding.whole(contigs)
     known = contigs.columns
     name = F.split("name", "\\s", 2)[0] if "name" in known else F.col("contig_id").cast("string")
     lead = F.col("n_initial") if "n_initial" in known else F.lit(0)
@@ -235,7 +236,7 @@ def align_pairs(reads: DataFrame, contigs: DataFrame, cfg: AlignConfig = AlignCo
     pairq = F.when((F.col("tier") == 4) & (lowest <= 3), lowest).otherwise(F.col("_pairq"))
     rows = rows.withColumn("mapq", F.greatest("mapq", F.when(F.col("_pairq").isNotNull(), pairq))).drop("_pairq", "tier")
     rows = rows.join(reads.select("read_id", "qual"), "read_id")
-    rows = saved(clipped_pairs(rows, contigs.select("contig_id", F.length("seq").cast("long").alias("size")), cfg), "rows")
+    rows = saved(clipped_pairs(rows, seeding.whole(contigs).select("contig_id", "size"), cfg), "rows")
     rows = reads.join(rows.drop("pair_id", "mate", "qual", "ext"), "read_id", "left")
     rows = _named(rows, contigs)
     if cfg.contig_filter:
