@@ -5,22 +5,26 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """A new name in the folder that driver and executors share (spark.checkpoint.dir). Only a local session may have no
+    such folder set."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
+        shared = "file://" + tempfile.mkdtemp(prefix="strandloom-")
+        spark.conf.set("spark.checkpoint.dir", shared)
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table to the folder that driver and executors share (spark.checkpoint.dir) and reads it back.
+    """Writes a table to the shared folder and reads it back.
 
-    Steps that use a table several times then share its rows, and a lost executor costs one step. Only a local session
-    may have no such folder set.
+    Steps that use a table several times then share its rows, and a lost executor costs one step.
     """
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="strandloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = folder(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

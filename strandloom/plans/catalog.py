@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 from strandloom.functions import alignment, dna, scores
 from strandloom.operators import hits as H
 from strandloom.operators import gapped, intervals, pairs, rescue, seeding, staged, stats
-from strandloom.operators.saving import saved
+from strandloom.operators.saving import folder, saved
 from strandloom.plans.align import align, align_pairs, to_sam
 from strandloom.plans.config import AlignConfig
-from strandloom.sources import writers
+from strandloom.sources import fasta, variants, writers
 from strandloom.streaming import reads as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -519,6 +519,18 @@ def insert_model(spark, sf_dir):
     return told.select("contig_id", F.round("mean", 6).alias("mean"), F.round("dev", 6).alias("dev"), "n")
 
 
+@query(f"WITH {_MATES}, x AS (SELECT contig_id, insert_size, row_number() OVER (PARTITION BY contig_id ORDER BY pair_id, insert_size) AS nth FROM m WHERE insert_size IS NOT NULL) SELECT contig_id, count(*) AS n, round(avg(insert_size), 6) AS mean, round(stddev_pop(insert_size), 6) AS dev, count(*) >= 100 AS frozen FROM x WHERE nth <= 100 GROUP BY 1")
+def frozen_insert_model(spark, sf_dir):
+    """Insert sizes by contig as a stream of pairs that stops learning after 100 samples of a contig."""
+    home = folder(spark, "stream")
+    source = pairs.mates(hits(spark, sf_dir)).where("insert_size IS NOT NULL").select(F.col("contig_id").alias("group"), F.col("pair_id").alias("ordinal"), F.col("insert_size").cast("double").alias("insert_size"))
+    source.repartitionByRange(4, "ordinal").sortWithinPartitions("ordinal").write.parquet(f"{home}/in")
+    streams.streamed_models(spark, f"{home}/in", "group long, ordinal long, insert_size double", f"{home}/out", f"{home}/checkpoint", files=100)
+    told = spark.read.parquet(f"{home}/out")
+    last = H.ranked(told, ["group"], [F.col("batch").desc()], 1)
+    return last.select(F.col("group").alias("contig_id"), "n", F.round("mean", 6).alias("mean"), F.round("dev", 6).alias("dev"), "frozen")
+
+
 @query(f"SELECT length(s)::BIGINT AS length, count(*) AS n FROM (SELECT {_DNA} AS s FROM benchmark) GROUP BY 1")
 def length_histogram(spark, sf_dir):
     return stats.length_histogram(reads(spark, sf_dir))
@@ -546,6 +558,38 @@ def contig_offsets(spark, sf_dir):
     return intervals.offsets(contigs(spark, sf_dir).select("contig_id", F.length("seq").cast("long").alias("size")))
 
 
+@query(f"""WITH {_REF}, c AS (SELECT contig_id, seq, unnest(range(0, length(seq), 1000)) AS a FROM ref)
+SELECT contig_id::VARCHAR AS name, (a // 1000)::BIGINT AS chunk, length(seq)::BIGINT AS size, md5(substr(seq, a + 1, 1100)) AS digest FROM c""")
+def chunks_of_fasta(spark, sf_dir):
+    """All contigs written as FASTA, and read again in byte ranges that cut them into overlapping chunks."""
+    home = folder(spark, "fasta")
+    contigs(spark, sf_dir).where("seq != ''").select(F.concat(F.lit(">"), F.col("contig_id").cast("string"), F.lit(" of documents\n"), F.regexp_replace("seq", "(.{70})", "$1\n")).alias("value")).write.text(home)
+    return fasta.chunks(spark, home, 1000, 100).select("name", "chunk", "size", F.md5("seq").alias("digest"))
+
+
+_PLACED = "v AS (SELECT p_partkey % 40 AS contig_id, p_partkey * 7 % 1400 + 1 AS pos, p_partkey, (['snp', 'ins', 'del'])[p_size % 3 + 1] AS vtype, p_name AS alt FROM part)"
+
+
+def _variants(spark, sf_dir) -> DataFrame:
+    return _table(spark, sf_dir, "part").selectExpr("p_partkey % 40 AS contig_id", "p_partkey * 7 % 1400 + 1 AS pos", "p_partkey", "element_at(array('snp', 'ins', 'del'), p_size % 3 + 1) AS vtype", "p_name AS alt")
+
+
+@query(f"WITH {_PLACED}, r AS (SELECT s_suppkey, s_suppkey % 40 AS contig_id, s_suppkey * 13 % 1400 AS first, s_suppkey * 13 % 1400 + 60 AS last FROM supplier) SELECT s_suppkey, p_partkey, v.contig_id, pos, vtype FROM r JOIN v ON v.contig_id = r.contig_id AND pos BETWEEN first AND last")
+def variants_in_ranges(spark, sf_dir):
+    """Variants of a saved table in the ranges that suppliers stand in for: only the cells of the ranges are read."""
+    home = folder(spark, "variants")
+    variants.write(_variants(spark, sf_dir), home, cell=256)
+    ranges = _table(spark, sf_dir, "supplier").selectExpr("s_suppkey", "s_suppkey % 40 AS contig_id", "s_suppkey * 13 % 1400 AS first", "s_suppkey * 13 % 1400 + 60 AS last")
+    return variants.within(spark, home, ranges).select("s_suppkey", "p_partkey", "contig_id", "pos", "vtype")
+
+
+@query(f"""WITH {_REF}, {_PLACED}, at_ AS (SELECT contig_id, list(DISTINCT pos) AS places FROM v WHERE vtype = 'snp' GROUP BY 1)
+SELECT contig_id, length(seq)::BIGINT AS size, md5(CASE WHEN places IS NULL THEN seq ELSE coalesce(list_aggregate(list_transform(range(1, length(seq) + 1), lambda i: CASE WHEN list_contains(places, i) THEN 'N' ELSE substr(seq, i, 1) END), 'string_agg', ''), '') END) AS digest FROM ref LEFT JOIN at_ USING (contig_id) WHERE seq <> ''""")
+def masked_contigs(spark, sf_dir):
+    """Contigs whose variable single bases are N: a reference that no allele is preferred on."""
+    return variants.masked(contigs(spark, sf_dir).where("seq != ''"), _variants(spark, sf_dir).where("vtype = 'snp'")).select("contig_id", F.length("seq").cast("long").alias("size"), F.md5("seq").alias("digest"))
+
+
 @query(f"""WITH o AS (SELECT contig_id, size, (10240 + coalesce(sum(size + 1536) OVER (ORDER BY contig_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS begin FROM (SELECT doc_id AS contig_id, length({_DNA})::BIGINT AS size FROM documents))
 SELECT event_id, e.event_id * 211 AS raw, contig_id, e.event_id * 211 - begin + 1 AS pos FROM events e JOIN o ON e.event_id * 211 BETWEEN begin - 768 AND begin + size + 767""")
 def located_positions(spark, sf_dir):

@@ -149,7 +149,8 @@ def chunks(spark: SparkSession, paths: str | list[str], chunk: int = CHUNK, over
     """
     files = sizes([paths] if isinstance(paths, str) else paths)
     rows = [(f, i, min(i + width, n)) for f, n in files for i in range(0, n, width)]
-    ranges = spark.createDataFrame(rows, "file string, begin long, end long").repartition(max(1, min(len(rows), 10_000)))
+    tasks = max(1, min(len(rows), 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    ranges = spark.createDataFrame(rows, "file string, begin long, end long").repartition(tasks)
 
     def scan(batches):
         for batch in batches:
@@ -183,5 +184,5 @@ def chunks(spark: SparkSession, paths: str | list[str], chunk: int = CHUNK, over
                     one = batch.slice(i, 1)
                     yield pa.record_batch([one.column("contig_id"), pa.array([number]), one.column("size"), pa.array([seq]), one.column("name"), one.column("n_initial"), one.column("n_final"), one.column("size")], ["contig_id", "chunk", "length", "seq", "name", "n_initial", "n_final", "size"])
 
-    work = work.repartition(max(1, min(len(rows), 10_000)), "file", "at")
+    work = work.repartition(tasks, "file", "at")
     return work.mapInArrow(emit, "contig_id long, chunk long, length long, seq string, name string, n_initial long, n_final long, size long")
