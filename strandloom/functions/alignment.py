@@ -131,9 +131,33 @@ def describing(scores: tuple = (1.0, -5.0, -5.0, -0.4, -6.0)):
 described = describing()
 
 
-def short_indels_refined(ext: str) -> tuple[str, int]:
-    """One insertion, two matches, one deletion (or the reverse) between matches become mismatches: text and how many."""
-    return re.subn(r"(?<=\.)(?:#(.)\.\.\^(.)|\^(.)\.\.#(.))(?=\.)", lambda m: (m[2] or m[3]) * 3, ext, count=1)
+#: An insertion and a deletion two matches apart, in either order, between matches.
+_SHORT = re.compile(r"(?<=\.)(?:#(.)\.\.\^(.)|\^(.)\.\.#(.))(?=\.)")
+
+
+def short_indels_refined(ext: str, read: str | None = None, window: str | None = None, first: int = 0) -> tuple[str, int]:
+    """The first insertion, two matches and deletion (or the reverse) between matches as three bases side by side, and
+    how many such were found (0 or 1).
+
+    The three bases are told from the read and the window (infix from `first`): a dot where they agree. Without these
+    all three count as mismatches of the deleted base.
+    """
+    found = _SHORT.search(ext)
+    if not found:
+        return ext, 0
+    if read is None or window is None:
+        return ext[: found.start()] + (found[2] or found[3]) * 3 + ext[found.end() :], 1
+    before = tokens(ext[: found.start()])
+    i, j = sum(t[0] != "^" for t in before), first + sum(t[0] not in "#$" for t in before)
+    three = "".join("." if read[i + k] == window[j + k] else window[j + k] for k in range(3))
+    return ext[: found.start()] + three + ext[found.end() :], 1
+
+
+@F.pandas_udf(StructType().add("ext", StringType()).add("ed", IntegerType()))
+def refined(ext: pd.Series, read: pd.Series, window: pd.Series, first: pd.Series) -> pd.DataFrame:
+    """short_indels_refined() of a batch, and the errors that follow."""
+    rows = [short_indels_refined(x, r, w, int(f))[0] for x, r, w, f in zip(ext, read, window, first, strict=True)]
+    return pd.DataFrame({"ext": rows, "ed": pd.array([sum(t not in (".", "$") for t in tokens(x)) for x in rows], "int32")})
 
 
 def consistent(read: str, window: str, first: int, ext: str) -> bool:

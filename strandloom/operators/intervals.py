@@ -6,14 +6,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from strandloom.operators.saving import saved
+
 #: Symbols between contigs and before the first one.
 SEPARATOR, BOUNDARY = 1536, 10240
 
 
-def offsets(contigs: DataFrame, separator: int = SEPARATOR, boundary: int = BOUNDARY) -> DataFrame:
-    """contig_id, size -> and `begin`, its place on the concatenated reference (a row for each contig: a small table)."""
-    before = Window.orderBy("contig_id").rowsBetween(Window.unboundedPreceding, -1)
-    return contigs.withColumn("begin", (F.lit(boundary) + F.coalesce(F.sum(F.col("size") + separator).over(before), F.lit(0))).cast("long"))
+def offsets(contigs: DataFrame, separator: int = SEPARATOR, boundary: int = BOUNDARY, parts: int | None = None) -> DataFrame:
+    """contig_id, size -> and `begin`, its place on the concatenated reference.
+
+    Contigs are dealt to ranges of their ids; each range adds up its own sizes, and only the ranges' sums, a row each,
+    meet in one task. Many rows of one id share a range.
+    """
+    parts = parts or int(contigs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = saved(contigs.repartitionByRange(parts, "contig_id").withColumn("_range", F.spark_partition_id()), "ranges")
+    taken = F.col("size") + separator
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = dealt.groupBy("_range").agg(F.sum(taken).alias("_n"))
+    firsts = sums.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    within = Window.partitionBy("_range").orderBy("contig_id").rowsBetween(Window.unboundedPreceding, -1)
+    told = dealt.join(firsts, "_range").withColumn("begin", (F.lit(boundary) + F.col("_first") + F.coalesce(F.sum(taken).over(within), F.lit(0))).cast("long"))
+    return told.drop("_range", "_first")
 
 
 def translated(pos, n_initial: Column) -> Column:
@@ -57,6 +70,3 @@ def overlapping(left: DataFrame, right: DataFrame, key: str, width: int) -> Data
     meets = (F.col("first") <= F.col("_last")) & (F.col("_first") <= F.col("last")) & (F.col("_cell") == F.floor(F.greatest("first", "_first") / width))
     return both.where(meets).drop("_cell")
 
-
-def bucket_of(pos: Column, width: int) -> Column:
-    return F.floor(pos / width)

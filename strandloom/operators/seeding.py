@@ -179,12 +179,13 @@ def map_all_lengths(reads: DataFrame, contigs: DataFrame, errors: int, k: int =
     while sizes[-1] > least:
         sizes.append(max(least, sizes[-1] // 2))
     classes = [(n * x, x, errors) for x in sizes] + [(e * least, least, e - 1) for e in range(n - 1, 0, -1)]
-    above = None
+    lengths = [r["n"] for r in reads.select(F.length("seq").alias("n")).distinct().collect() if r["n"] is not None]  # no more than a chunk's overlap
+    above = 1 << 31
     for low, seed, e in classes:
-        own = reads.where((F.length("seq") >= low) if above is None else (F.length("seq") >= low) & (F.length("seq") < above))
-        above = low
-        if seed == k or own.limit(1).count():  # an index of shorter seeds is made only for reads that need it
+        if seed == k == sizes[0] and not out or any(low <= x < above for x in lengths):
+            own = reads.where((F.length("seq") >= low) & (F.length("seq") < above))
             out.append(map_reads(own, contigs, e, seed, None if bound is None else min(bound, 2 * e), index if seed == k else None))
+        above = low
     return reduce(DataFrame.unionByName, out)
 
 

@@ -56,8 +56,14 @@ def traced(hits: DataFrame, cfg: AlignConfig) -> DataFrame:
         "read_id", "strand", "contig_id", (F.col("low") + F.col("lead") + 1).alias("pos"), "ed", F.expr("repeat('.', length(seq))").alias("ext"),
         F.concat(size.cast("string"), F.lit("M")).alias("cigar"), size.cast("string").alias("md"), (size * F.lit(cfg.score_match)).alias("score"), size.cast("long").alias("length"),
     )
-    told = hits.where("ed > 0").select("read_id", "strand", "contig_id", "low", "window", "seq").withColumn("x", alignment.infix_aligned("seq", "window")).withColumn("y", alignment.describing(_scores(cfg))("x.ext"))
-    told = told.select("read_id", "strand", "contig_id", (F.col("low") + F.col("x.first") + 1).alias("pos"), F.col("x.ed").cast("long").alias("ed"), "x.ext", "y.cigar", "y.md", "y.score", (F.col("x.last") - F.col("x.first")).cast("long").alias("length"))
+    told = hits.where("ed > 0").select("read_id", "strand", "contig_id", "low", "window", "seq").withColumn("x", alignment.infix_aligned("seq", "window"))
+    told = told.select("*", "x.first", "x.last", "x.ext", "x.ed")
+    if cfg.short_indel_refinement:
+        short = F.col("ext").rlike(r"#.\.\.\^|\^.\.\.#")
+        better = told.where(short).withColumn("x", alignment.refined("ext", "seq", "window", "first")).withColumn("ext", F.col("x.ext")).withColumn("ed", F.col("x.ed")).drop("x")
+        told = told.where(~short).drop("x").unionByName(better)
+    told = told.withColumn("y", alignment.describing(_scores(cfg))("ext"))
+    told = told.select("read_id", "strand", "contig_id", (F.col("low") + F.col("first") + 1).alias("pos"), F.col("ed").cast("long").alias("ed"), "ext", "y.cigar", "y.md", "y.score", (F.col("last") - F.col("first")).cast("long").alias("length"))
     return same.unionByName(told)
 
 

@@ -599,26 +599,32 @@ def located_positions(spark, sf_dir):
     return intervals.located(places, begins).select("event_id", "raw", "contig_id", "pos")
 
 
-def _over_variants(spark, sf_dir, part):
-    found = hits(spark, sf_dir).withColumn("first", F.col("pos")).withColumn("last", F.col("pos") + F.col("length") - 1)
-    variants = part.selectExpr("p_partkey % 7 AS contig_id", "p_partkey % 1500 AS first", "p_partkey % 1500 + p_size % 5 AS last", "p_partkey AS variant")
-    return intervals.overlapping(found, variants, "contig_id", 256).groupBy("read_id", "contig_id", "pos", "strand", "ed", "variant").agg(F.count(F.lit(1)).alias("n"))
+def _stretches(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Hits and variants on contigs of a hundred parts each, so that contigs grow in number with the tables."""
+    at = "l_partkey % 100 * 100 + l_linenumber * 7"
+    found = _table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS read_id", "l_linenumber AS mate", "l_partkey div 100 AS contig_id", f"{at} AS first", f"{at} + 60 + l_suppkey % 40 AS last")
+    return found, _table(spark, sf_dir, "part").selectExpr("p_partkey div 100 AS contig_id", "p_partkey % 100 * 100 + p_size AS first", "p_partkey % 100 * 100 + p_size + p_size % 5 AS last", "p_partkey AS variant")
 
 
-_OVER = _H + """, v AS (SELECT (p_partkey % 7)::BIGINT AS contig_id, p_partkey % 1500 AS first, p_partkey % 1500 + p_size % 5 AS last, p_partkey AS variant FROM part)
-SELECT read_id, contig_id, hits.pos, strand, ed, variant, count(*) AS n FROM hits JOIN v USING (contig_id) WHERE hits.pos <= v.last AND v.first <= hits.pos + length - 1 GROUP BY ALL"""
+_OVER = """WITH h AS (SELECT l_orderkey AS read_id, l_linenumber AS mate, l_partkey // 100 AS contig_id, l_partkey % 100 * 100 + l_linenumber * 7 AS first, l_partkey % 100 * 100 + l_linenumber * 7 + 60 + l_suppkey % 40 AS last FROM lineitem),
+v AS (SELECT p_partkey // 100 AS contig_id, p_partkey % 100 * 100 + p_size AS first, p_partkey % 100 * 100 + p_size + p_size % 5 AS last, p_partkey AS variant FROM part)"""
 
 
-@query(_OVER)
+@query(_OVER + " SELECT read_id, mate, h.contig_id, h.first AS pos, variant, count(*) AS n FROM h JOIN v ON v.contig_id = h.contig_id AND h.first <= v.last AND v.first <= h.last GROUP BY ALL")
 def hits_over_variants(spark, sf_dir):
     """Hits whose bases overlap a variant: an interval join in buckets, over every row of part."""
-    return _over_variants(spark, sf_dir, _table(spark, sf_dir, "part"))
+    found, variants_ = _stretches(spark, sf_dir)
+    met = intervals.overlapping(found, variants_, "contig_id", 256)
+    return met.groupBy("read_id", "mate", "contig_id", F.col("first").alias("pos"), "variant").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(_OVER)
+@query(_OVER + " SELECT variant, count(h.contig_id) AS n_hits, count(DISTINCT read_id) AS n_reads, min(h.first) AS first_hit FROM v LEFT JOIN h ON v.contig_id = h.contig_id AND h.first <= v.last AND v.first <= h.last GROUP BY variant")
 def hits_over_all_variants(spark, sf_dir):
-    """The same under its name of the round before."""
-    return hits_over_variants(spark, sf_dir)
+    """Every variant with the hits and reads that cover it, also those that none does."""
+    found, variants_ = _stretches(spark, sf_dir)
+    met = intervals.overlapping(found, variants_, "contig_id", 256).groupBy("variant").agg(F.count(F.lit(1)).alias("n_hits"), F.countDistinct("read_id").alias("n_reads"), F.min("first").alias("first_hit"))
+    told = variants_.select("variant").join(met, "variant", "left")
+    return told.select("variant", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_hits", "n_reads")], "first_hit")
 
 
 @query("SELECT doc_id AS contig_id, p_partkey, p_partkey % 400 + 1 - doc_id % 100 AS pos FROM part JOIN documents ON p_partkey % 50 = doc_id WHERE p_partkey % 400 + 1 - doc_id % 100 >= 1")

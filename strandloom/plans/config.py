@@ -46,6 +46,7 @@ class AlignConfig:
     boundary_clipping: bool = True
     paired_clipping: bool = True
     clip_quality: int = 0
+    short_indel_refinement: bool = True
 
     def __post_init__(self):
         if self.orientation not in ("fr", "ff", "rf"):
