@@ -16,11 +16,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strandloom.llm.common import table, with_fields
+from strandloom.llm.common import mix64, table, with_fields
 
 BUCKETS, WIDTH, ORDERS = 1 << 15, 16, (1, 2, 3)
 #: Bound of the training sample: documents of all languages together. Their texts count whole.
 SAMPLE_DOCS = 4000
+#: Different subwords that a document of the sample is told by at most; of a text with more, a hash picks them.
+SAMPLE_SUBWORDS = 8192
 EPOCHS, BATCH, RATE = 6, 64, 0.5
 #: Steps of gradient descent at least: small samples are passed more often.
 STEPS = 350
@@ -76,6 +78,14 @@ def counted(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return at.astype(np.int32), total[at].astype(np.float32)
 
 
+def thinned(found: np.ndarray, n: np.ndarray, most: int = SAMPLE_SUBWORDS) -> tuple[np.ndarray, np.ndarray]:
+    """No more than `most` of a text's buckets, by a hash of bucket and text."""
+    if len(found) <= most:
+        return found, n
+    keep = np.sort(np.argsort(mix64(found.astype(np.uint64) + np.uint64(int(n.sum())) * np.uint64(BUCKETS)), kind="stable")[:most])
+    return found[keep], n[keep]
+
+
 @dataclass(frozen=True)
 class Model:
     languages: tuple[str, ...]
@@ -157,16 +167,14 @@ def train(docs: DataFrame, docs_bound: int = SAMPLE_DOCS) -> Model:
 
     At most docs_bound documents, the same number for each language, are taken by the order of a hash of doc_id: a
     share that gives about a fifth more than wanted passes first, so that only the sample itself is ordered. Their texts
-    count whole: the counts of their subwords, BUCKETS at most for each, reach the driver. A column of more languages
-    than docs_bound is refused.
+    count whole; the counts of SAMPLE_SUBWORDS subwords at most for each reach the driver (66 KB). Of more languages than
+    docs_bound those with the most documents are learnt, of equally many the first by name; the others are not.
     """
     docs = docs.where("text IS NOT NULL AND lang IS NOT NULL").withColumn("h", F.pmod(F.xxhash64(F.col("doc_id"), F.lit("sample")), F.lit(1 << 40)))
     none = Model((), np.zeros((BUCKETS, 0), np.float32), np.zeros(0), 0.0)
-    known = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().orderBy("lang").limit(docs_bound + 1).collect()}
+    known = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(docs_bound).collect()}
     if not known:
         return none
-    if len(known) > docs_bound:
-        raise ValueError(f"more than {docs_bound} languages: a sample of so many documents cannot hold one of each")
     each = docs_bound // len(known)
     share = docs.sparkSession.createDataFrame([(lang, min(1.0, (1.2 * each + 50) / n) * (1 << 40)) for lang, n in known.items()], "lang string, below double")
     picked = docs.join(F.broadcast(share), "lang").where("h < below")  # a row for each language, no more than docs_bound
@@ -174,7 +182,7 @@ def train(docs: DataFrame, docs_bound: int = SAMPLE_DOCS) -> Model:
 
     def run(batches):
         for batch in batches:
-            made = [counted(t.as_py()) for t in batch.column(0)]
+            made = [thinned(*counted(t.as_py())) for t in batch.column(0)]
             columns = [pa.array([m[i] for m in made], pa.list_(kind)) for i, kind in ((0, pa.int32()), (1, pa.float32()))]
             yield pa.record_batch([batch.column(1), batch.column(2), *columns], ["lang", "h", "found", "n"])
 

@@ -562,3 +562,25 @@ def test_components(spark):
         root[max(a, b)] = min(a, b)
     df = spark.createDataFrame(edges, "a long, b long").repartition(7)
     assert {r.v: r.root for r in components(df).collect()} == {x: find(x) for x in root if find(x) != x}
+
+
+def test_op3_more_languages_than_the_sample_holds(spark):
+    """Those with the most documents are learnt; every document still gets an answer."""
+    from strandloom.llm import language
+
+    rng = np.random.default_rng(3)
+    text = lambda k: " ".join("".join(rng.choice(list("abcdefgh"[k : k + 3]), 4)) for _ in range(40))
+    rows_ = [(i, text(i % 3), f"l{i % 3}") for i in range(60)] + [(100 + i, text(5), f"rare{i:03}") for i in range(50)]
+    docs = spark.createDataFrame(rows_, "doc_id long, text string, lang string")
+    model = language.train(docs, docs_bound=30)
+    assert len(model.languages) == 30 and {"l0", "l1", "l2", "rare000"} <= set(model.languages) and "rare049" not in model.languages
+    assert language.predicted(docs, model).count() == len(rows_)
+
+
+def test_op3_thins_only_texts_of_many_subwords():
+    from strandloom.llm.language import thinned
+
+    found, n = np.arange(0, 20_000, 2, dtype=np.int32), np.ones(10_000, np.float32)
+    few, counts = thinned(found, n, 500)
+    assert len(few) == len(counts) == 500 and (np.diff(few) > 0).all() and set(few) <= set(found) and few.max() > 18_000 > few.min() * 20
+    assert thinned(found, n, 10_000)[0] is found
