@@ -61,3 +61,14 @@ def run_statistics(rows: DataFrame, name: str, value: str) -> DataFrame:
 
 def error_histogram(hits: DataFrame, most: int = 49) -> DataFrame:
     return hits.groupBy(F.least("ed", F.lit(most)).cast("long").alias("errors")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def methods(hits: DataFrame, method: str = "method") -> DataFrame:
+    """How many hits each method found, with their least, mean and most errors."""
+    return hits.groupBy(F.col(method).alias("method")).agg(F.count(F.lit(1)).alias("n"), F.min("ed").alias("least"), F.avg("ed").alias("mean"), F.max("ed").alias("most"))
+
+
+def unknown_bases(reads: DataFrame, most: int = 50) -> DataFrame:
+    """Reads by how many of their bases are unknown; `most` and more are one."""
+    n = F.length("seq") - F.length(F.translate("seq", "N", ""))
+    return reads.groupBy(F.least(n, F.lit(most)).cast("long").alias("unknown")).agg(F.count(F.lit(1)).alias("n"))

@@ -46,6 +46,16 @@ def _best_strata(hits: DataFrame, cfg: AlignConfig) -> DataFrame:
     return hits.withColumn("_allowed", allowed).where("ed <= _allowed").drop("_allowed")
 
 
+def _merged(hits: DataFrame, cfg: AlignConfig) -> DataFrame:
+    """Of a read's hits in a contig that lie within cfg.merge_distance of each other (of the first one of them, or of the
+    one before) the best; all of them where the distance is 0."""
+    if cfg.merge_distance <= 0:
+        return hits
+    merge = H.clusters_from_first if cfg.merge_from_first else H.clusters_from_previous
+    key = ["read_id", "contig_id", "pos", "strand"]
+    return hits.join(merge(hits.select(*key, "ed"), cfg.merge_distance).select(*key), key, "left_semi")
+
+
 def traced(hits: DataFrame, cfg: AlignConfig) -> DataFrame:
     """staged.search() rows -> read_id, strand, contig_id, pos (1-based), ed, ext, cigar, md, score, length.
 
@@ -73,7 +83,8 @@ def align(reads: DataFrame, contigs: DataFrame, cfg: AlignConfig = AlignConfig(e
     Bases below cfg.mask_low_quality count as N where there are qualities. Equal reads are searched once, stage by stage
     (staged.search()): a read that is solved with few errors is not searched for more. cfg.mode keeps of a read's places
     the best stratum, the best two, or all; with cfg.sensitive those of worse strata stay that are no worse than
-    sensitivity_factor times the best. index: what build_index() made, read back.
+    sensitivity_factor times the best. Hits within cfg.merge_distance of each other are one. index: what build_index()
+    made, read back.
     """
     cfg = settled(reads, cfg)
     seq = dna.masked(F.col("seq"), F.col("qual"), cfg.mask_low_quality) if "qual" in reads.columns else F.col("seq")
@@ -84,7 +95,7 @@ def align(reads: DataFrame, contigs: DataFrame, cfg: AlignConfig = AlignConfig(e
     found = H.ranked(found.withColumn("hash", position_hash(start)), ["read_id"], ["ed", "hash", "contig_id", start, "strand"], cfg.max_mappings).drop("nth", "hash")
     told = traced(found, cfg)
     told = H.ranked(told, ["read_id", "strand", "contig_id", "pos"], ["ed", "ext"], 1).drop("nth")
-    told = _best_strata(told, cfg)
+    told = _merged(_best_strata(told, cfg), cfg)
     same = asked.join(once.withColumnRenamed("read_id", "_first"), "seq").select("read_id", "_first")
     return told.withColumnRenamed("read_id", "_first").join(same, "_first").drop("_first")
 

@@ -239,6 +239,17 @@ def staged_hits(spark, sf_dir):
     return told.select("read_id", "strand", "contig_id", "ed", F.col("x.stage").cast("long").alias("stage"), F.col("x.substage").cast("long").alias("substage"))
 
 
+@query(_nearest(_SPOILED, 3) + """, told AS MATERIALIZED (SELECT w.read_id, w.strand, w.contig_id, a, n, levenshtein(w.seq, substr(ref, a + 1, n))::BIGINT AS far FROM wider w JOIN near USING (read_id, strand, contig_id) WHERE a >= 0 AND a + n <= length(ref)),
+best AS (SELECT read_id, min(ed) AS ed FROM near GROUP BY 1)
+SELECT read_id, strand, contig_id, (a + 1)::BIGINT AS pos, n::BIGINT AS span, far AS ed FROM (SELECT t.*, row_number() OVER (PARTITION BY t.read_id, strand, contig_id ORDER BY a + n DESC, a DESC) AS nth FROM told t JOIN best b ON b.read_id = t.read_id AND far = ed) WHERE nth = 1""")
+def aligned_places(spark, sf_dir):
+    """Where the best alignment of each spoiled read begins in each contig, how many bases it spans, and its errors: all of
+    align(), the last such place of a contig."""
+    told = align(spoiled(spark, sf_dir), contigs(spark, sf_dir), AlignConfig(errors=3, sensitive=False, short_indel_refinement=False))
+    order = [(F.col("pos") + F.col("length")).desc(), F.col("pos").desc()]
+    return H.ranked(told, ["read_id", "strand", "contig_id"], order, 1).select("read_id", "strand", "contig_id", "pos", F.col("length").alias("span"), "ed")
+
+
 @query(_nearest(_SHORT_OF_ONE, 2) + " SELECT read_id, strand, contig_id, ed FROM near")
 def free_end_hits(spark, sf_dir):
     """All reads, each without its fourth last base, with two errors at most: the least distance in each contig, with
@@ -558,6 +569,19 @@ def contig_offsets(spark, sf_dir):
     return intervals.offsets(contigs(spark, sf_dir).select("contig_id", F.length("seq").cast("long").alias("size")))
 
 
+@query(_H + " SELECT kind AS method, count(*) AS n, min(ed) AS least, round(avg(ed), 6) AS mean, max(ed) AS most FROM hits GROUP BY 1")
+def method_counts(spark, sf_dir):
+    """Hits by the method that found them."""
+    return stats.methods(hits(spark, sf_dir), "kind").withColumn("mean", F.round("mean", 6))
+
+
+@query("SELECT least(length(s) - length(replace(s, 'N', '')), 50)::BIGINT AS unknown, count(*) AS n FROM (SELECT regexp_replace(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), '[^ACGT]', 'N', 'g') AS s FROM benchmark) GROUP BY 1")
+def unknown_bases(spark, sf_dir):
+    """Reads by their unknown bases (letters that are no bases stand in for them)."""
+    letters = F.upper(F.regexp_replace("text", "[^A-Za-z]", ""))
+    return stats.unknown_bases(_table(spark, sf_dir, "benchmark").select(dna.encoded(letters).alias("seq")))
+
+
 @query(f"""WITH {_REF}, c AS (SELECT contig_id, seq, unnest(range(0, length(seq), 1000)) AS a FROM ref)
 SELECT contig_id::VARCHAR AS name, (a // 1000)::BIGINT AS chunk, length(seq)::BIGINT AS size, md5(substr(seq, a + 1, 1100)) AS digest FROM c""")
 def chunks_of_fasta(spark, sf_dir):

@@ -104,3 +104,20 @@ def test_models_freeze_over_batches(spark, tmp_path):
         assert got.loc[g, "n"] == len(x) and bool(got.loc[g, "frozen"]) == (len(x) == 50)
         if x:
             assert abs(got.loc[g, "mean"] - pd.Series(x).mean()) < 1e-9 and abs(got.loc[g, "dev"] - pd.Series(x).std(ddof=0)) < 1e-9
+
+
+def test_saved_tables_go_with_their_scratch(spark, tmp_path):
+    from pathlib import Path
+
+    from strandloom.operators import saving
+
+    home = Path(saving.folder(spark, "x").removeprefix("file://")).parent
+    before = set(home.iterdir())
+    kept = saving.saved(spark.range(3), "kept")
+    with saving.scratch(spark):
+        saving.saved(spark.range(3), "gone")
+        with saving.scratch(spark):
+            saving.saved(spark.range(3), "gone")
+            assert len(set(home.iterdir()) - before) == 3
+        assert len(set(home.iterdir()) - before) == 2
+    assert len(set(home.iterdir()) - before) == 1 and kept.count() == 3
