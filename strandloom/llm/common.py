@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,7 @@ from pyspark.sql.window import Window
 #: Separators of words: space and the ASCII control characters from tab to carriage return.
 SPACES = r"[\x20\x09-\x0D]+"
 _LOCAL: dict[str, str] = {}
-_OPEN: list[list[str]] = []
+_OPEN: ContextVar[tuple[list[str], ...]] = ContextVar("strandloom_staged", default=())
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -60,7 +61,7 @@ def staged(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(_CLEAN, before)
-    around = _OPEN[:-1] if keep else _OPEN
+    around = _OPEN.get()[:-1] if keep else _OPEN.get()
     if around:
         around[-1].append(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -81,12 +82,15 @@ def released(df: DataFrame) -> None:
 
 @contextmanager
 def scratch(spark: SparkSession):
-    """Tables staged inside are deleted at the end, but for those kept: nothing made inside may be read lazily after it."""
-    _OPEN.append([])
+    """Tables staged inside are deleted at the end, but for those kept: nothing made inside may be read lazily after it.
+    Each thread has its own."""
+    made: list[str] = []
+    before = _OPEN.set((*_OPEN.get(), made))
     try:
         yield
     finally:
-        for path in _OPEN.pop():
+        _OPEN.reset(before)
+        for path in made:
             _delete(spark, path)
 
 
