@@ -575,11 +575,11 @@ def method_counts(spark, sf_dir):
     return stats.methods(hits(spark, sf_dir), "kind").withColumn("mean", F.round("mean", 6))
 
 
-@query("SELECT least(length(s) - length(replace(s, 'N', '')), 50)::BIGINT AS unknown, count(*) AS n FROM (SELECT regexp_replace(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), '[^ACGT]', 'N', 'g') AS s FROM benchmark) GROUP BY 1")
+@query("SELECT least(length(s) - length(replace(s, 'N', '')), 1000)::BIGINT AS unknown, count(*) AS n FROM (SELECT regexp_replace(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), '[^ACGT]', 'N', 'g') AS s FROM benchmark) GROUP BY 1")
 def unknown_bases(spark, sf_dir):
     """Reads by their unknown bases (letters that are no bases stand in for them)."""
     letters = F.upper(F.regexp_replace("text", "[^A-Za-z]", ""))
-    return stats.unknown_bases(_table(spark, sf_dir, "benchmark").select(dna.encoded(letters).alias("seq")))
+    return stats.unknown_bases(_table(spark, sf_dir, "benchmark").select(dna.encoded(letters).alias("seq")), 1000)
 
 
 @query(f"""WITH {_REF}, c AS (SELECT contig_id, seq, unnest(range(0, length(seq), 1000)) AS a FROM ref)
