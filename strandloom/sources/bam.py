@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 from pyarrow import fs
 from pyspark.sql import DataFrame
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 #: Fixed values of the format: signs of CIGAR operations and of bases, by their codes; most bytes of a block.
 OPERATIONS, SYMBOLS, BLOCK = "MIDNSHP=X", "=ACMGRSVTWYHKDBN", 0xFF00
@@ -51,16 +51,20 @@ def header_bytes(text: str) -> tuple[bytes, dict[str, int]]:
     return b"".join(out), {line["SN"]: i for i, line in enumerate(lines)}
 
 
+_CODES = bytes(ord(f"{max(SYMBOLS.find(chr(c).upper()), 0) if chr(c).upper() in SYMBOLS else 15:x}") for c in range(256))
+_PHRED = bytes(max(c - 33, 0) for c in range(256))
+
+
 def record(row: dict, contigs: dict[str, int]) -> bytes:
     """A row of writers.single_rows() or paired_rows() as a record; tags without a value are left out."""
     name, cigar, seq = row["qname"].encode() + b"\0", packed_cigar(row["cigar"]), "" if row["seq"] in (None, "*") else row["seq"]
     own = contigs.get(row["rname"], -1)
     following = own if row["rnext"] == "=" else contigs.get(row["rnext"], -1)
     begin, span = row["pos"] - 1, sum(c >> 4 for c in cigar if OPERATIONS[c & 15] in "MDN=X")
-    codes = [SYMBOLS.index(b) if b in SYMBOLS else 15 for b in seq.upper()] + [0] * (len(seq) % 2)
-    quality = b"\xff" * len(seq) if row["qual"] in (None, "*") else bytes(ord(q) - 33 for q in row["qual"])
+    codes = seq.encode("latin-1", "replace").translate(_CODES) + b"0" * (len(seq) % 2)  # a hexadecimal digit a base
+    quality = b"\xff" * len(seq) if row["qual"] in (None, "*") else row["qual"].encode("latin-1", "replace").translate(_PHRED)
     body = [struct.pack("<iiBBHHHiiii", own, begin, len(name), row["mapq"], bin_of(begin, begin + max(span, 1)), len(cigar), row["flag"], len(seq), following, row["pnext"] - 1, row["tlen"]), name]
-    body += [struct.pack(f"<{len(cigar)}I", *cigar), bytes(a << 4 | b for a, b in zip(codes[::2], codes[1::2], strict=True)), quality]
+    body += [struct.pack(f"<{len(cigar)}I", *cigar), bytes.fromhex(codes.decode()), quality]
     for tag, column, kind in TAGS:
         value = row.get(column)
         if value is not None:
@@ -79,7 +83,7 @@ class Written(WriterCommitMessage):
     name: str
 
 
-class _Writer(DataSourceWriter):
+class _Writer(DataSourceArrowWriter):
     def __init__(self, header: str, path: str, overwrite: bool):
         self.header, self.path, self.overwrite = header, path, overwrite
 
@@ -90,11 +94,12 @@ class _Writer(DataSourceWriter):
         name = f"part-{uuid.uuid4().hex}.bam"
         with store.open_output_stream(f"{folder}/_{name}", compression=None) as out:
             buffer = bytearray(held)
-            for row in iterator:
-                buffer += record(row.asDict(), contigs)
-                while len(buffer) >= BLOCK:
-                    out.write(block(bytes(buffer[:BLOCK])))
-                    del buffer[:BLOCK]
+            for batch in iterator:
+                for row in batch.to_pylist():
+                    buffer += record(row, contigs)
+                    while len(buffer) >= BLOCK:
+                        out.write(block(bytes(buffer[:BLOCK])))
+                        del buffer[:BLOCK]
             if buffer:
                 out.write(block(bytes(buffer)))
             out.write(block(b""))
