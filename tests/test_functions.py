@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandloom.functions import alignment, dna, scores
-from strandloom.operators import hits, pairs, seeding
+from strandloom.operators import hits, pairs, seeding, stats
 from strandloom.plans.config import AlignConfig, auto_errors, read_group, segments, stages
 
 
@@ -80,6 +80,56 @@ def test_long_indels_and_refinement():
     assert alignment.short_indels_refined("...#A..^C...") == ("...CCC...", 1)
 
 
+def test_reads_shorter_than_the_longest_indel():
+    rng = random.Random(5)
+    ref = "".join(rng.choice("ACGT") for _ in range(150))
+    assert alignment.long_indel(ref[:45], ref, 0) == (45.0, "." * 45)
+    score, ext = alignment.long_indel(ref[:20] + ref[40:65], ref, 0)
+    assert ext == "." * 20 + "".join("^" + b for b in ref[20:40]) + "." * 25 and abs(score - (45 - 5 - 19 * 0.4)) < 1e-9
+    for m in range(1, 55):
+        found = alignment.long_indel("A" * m, ref, 10)
+        assert found is None or len(found[1].replace("#", "")) >= 1
+
+
+def test_prefixes_are_those_of_the_text_index(spark):
+    rng = random.Random(6)
+    rows = [(i, "".join(rng.choice("ACGTACGTACGTN") for _ in range(n))) for i, n in enumerate((0, 17, 18, 19, 40, 900, 3000))] + [(7, "ACGT" * 600)]
+    pieces = seeding.chunks(spark.createDataFrame(rows, "contig_id long, seq string"), 700, 300)
+    want = {(r.prefix, r.n) for r in seeding.seed_index(pieces, 18, 700).groupBy(F.substring("seed", 1, 3).alias("prefix")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = seeding.seed_prefixes(pieces, 18, 3, 700)
+    assert {tuple(r) for r in counts.collect()} == want
+    told = dict(map(tuple, stats.prefix_rollup(counts, 3).collect()))
+    assert told[""] == sum(n for _, n in want) and told["AC"] == sum(n for p, n in want if p.startswith("AC"))
+    assert "Generate" not in seeding.seed_prefixes(pieces.select("contig_id", "chunk", "length", "seq").localCheckpoint(), 18, 3)._jdf.queryExecution().toString()  # no row a place
+
+
+def test_patterns_and_grams_send_no_other_seed(spark):
+    contigs = spark.createDataFrame([(1, "ACGTACGTACNACGTAC"), (2, "TTTTTTTTTTTTTTTT")], "contig_id long, seq string")
+    found = seeding.occurrences(contigs, "ACGTAC")
+    assert sorted(map(tuple, found.collect())) == [(1, 0), (1, 4), (1, 11)] and seeding.occurrences(contigs, "ACN").count() == 0
+    assert found._jdf.queryExecution().toString().count("Generate explode") < seeding.seed_index(seeding.chunks(contigs), 6)._jdf.queryExecution().toString().count("Generate explode")  # no row a place
+    reads = seeding.both_strands(spark.createDataFrame([(9, "T" * 12 + "ACGT" * 3)], "read_id long, seq string"))
+    told = {(r.strand, r.contig_id, r.shared) for r in seeding.shared_qgrams(reads, seeding.chunks(contigs), 1, 12).collect()}
+    assert told == {("+", 2, 1)}
+
+
+def test_strata_save_only_places_of_seeds_of_reads(spark, tmp_path):
+    rng = random.Random(7)
+    ref = "".join(rng.choice("ACGT") for _ in range(20_000))
+    kept = {}
+
+    def save(df, name):
+        path = str(tmp_path / f"{name}-{len(kept)}")
+        df.write.parquet(path)
+        kept[f"{name}-{len(kept)}"] = out = spark.read.parquet(path)
+        return out
+
+    reads = spark.createDataFrame([(1, ref[100:180])], "read_id long, seq string")
+    found = seeding.strata(reads, spark.createDataFrame([(1, ref)], "contig_id long, seq string"), AlignConfig(mode="first"), 2, save).collect()
+    assert [(r.start, r.ed, r.stage) for r in found] == [(100, 0, 0)]
+    assert kept["index-0"].count() < 20
+
+
 def test_variants_trimmed(spark):
     df = spark.createDataFrame([("ACGT", "AGGT"), ("AC", "ACC"), ("CCC", "CC"), ("A", "A")], "r string, a string")
     got = [tuple(r[0]) for r in df.select(dna.common_affixes_trimmed(F.col("r"), F.col("a"))).collect()]
