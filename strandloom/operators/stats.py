@@ -1,4 +1,4 @@
-"""Aggregates: length histograms, prefix counts, insert-size model, run statistics."""
+"""Aggregates: length histograms, prefix rollups, insert-size model, run statistics."""
 
 from __future__ import annotations
 
@@ -18,16 +18,12 @@ def length_limits(histogram: DataFrame, share: float = 0.9) -> DataFrame:
     return top.select("max_length", F.greatest("least", F.floor(F.col("max_length") * share)).cast("long").alias("min_length"))
 
 
-def prefix_counts(index: DataFrame, k: int) -> DataFrame:
-    """Seeds by their first k bases: what a prefix table over a sorted index holds."""
-    return index.groupBy(F.substring("seed", 1, k).alias("prefix")).agg(F.count(F.lit(1)).alias("n"))
-
-
-def prefix_rollup(index: DataFrame, depth: int) -> DataFrame:
-    """Counts for all prefixes of 0 to `depth` bases, the empty one included."""
-    parts = [F.substring("seed", i + 1, 1).alias(f"b{i + 1}") for i in range(depth)]
+def prefix_rollup(counts: DataFrame, depth: int) -> DataFrame:
+    """Counts (prefix of `depth` bases, n) for all prefixes of 0 to `depth` bases, the empty one included."""
     names = [f"b{i + 1}" for i in range(depth)]
-    return index.select(*parts).rollup(*names).agg(F.count(F.lit(1)).alias("n")).select(F.concat_ws("", *names).alias("prefix"), "n").groupBy("prefix").agg(F.sum("n").alias("n"))
+    parts = [F.substring("prefix", i + 1, 1).alias(name) for i, name in enumerate(names)]
+    told = counts.select(*parts, "n").rollup(*names).agg(F.sum("n").alias("n"))
+    return told.select(F.concat_ws("", *names).alias("prefix"), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
 def dinucleotides(contigs: DataFrame) -> DataFrame:
