@@ -10,8 +10,11 @@ from pyspark.sql.window import Window
 
 from strandloom.functions.scores import insert_penalty, insert_size, mapping_quality
 from strandloom.operators.hits import ranked
+from strandloom.operators.stats import insert_model
 from strandloom.plans.config import AlignConfig
 
+#: Insert sizes that a model of them needs.
+SAMPLES = 100
 _SIDE = ("contig_id", "strand", "pos", "ed", "score", "length")
 
 
@@ -26,6 +29,15 @@ def mates(hits: DataFrame) -> DataFrame:
     return both.withColumn("insert_size", size).withColumnRenamed("contig_id1", "contig_id").drop("_c", "_p")
 
 
+def insert_sizes(every: DataFrame, longest: float = 1000) -> tuple[float, float]:
+    """Mean and deviation of the insert sizes of mates(): a sample for each read pair whose places, however many, all have
+    the same size, so copies of a contig neither add samples nor take them away. With fewer than SAMPLES of them the
+    prior (half and an eighth of the most). One row is collected."""
+    sizes = every.where(F.col("insert_size").between(0, longest)).groupBy("pair_id").agg(F.min("insert_size").alias("insert_size"), F.max("insert_size").alias("_most"))
+    model = insert_model(sizes.where("insert_size = _most").withColumn("all", F.lit(1)), ["all"], longest).first()
+    return (model["mean"], max(model["dev"], 1.0)) if model and model["n"] >= SAMPLES else (longest / 2, longest / 8)
+
+
 def close_pairs(hits: DataFrame, mean: float, dev: float, sigmas: float = 4) -> DataFrame:
     return mates(hits).where(F.abs(F.col("insert_size") - mean) <= sigmas * dev)
 

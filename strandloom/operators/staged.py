@@ -227,7 +227,8 @@ def search(reads: DataFrame, contigs: DataFrame, cfg: AlignConfig, errors: int,
             more = save(used_index(pieces, cut.where("seed IS NOT NULL"), sizes, cfg.seed, index), "used")
             over = more.groupBy("k", "seed").agg(F.count(F.lit(1)).alias("places")).where(F.col("places") > hot)
             places = places.unionByName(counted(cut, more, save(over, "repeats"), step).select(places.columns))
-        hits = verified(places, stranded, pieces, most)
+        places = save(places, "places")
+        hits = verified(places, stranded, seeding.chunks_of(contigs, places), most)
         if cfg.mode == "second" and out is not None:
             best = out.groupBy("read_id").agg(F.min("ed").alias("_best"))
             hits = hits.join(best, "read_id", "left").where(F.col("_best").isNull() | (F.col("ed") <= F.col("_best") + 1)).drop("_best")
