@@ -168,7 +168,7 @@ def verified(places: DataFrame, stranded: DataFrame, pieces: DataFrame, most: in
     contig_id, low, seq, window, lead, ed, stage, substage.
 
     The window is the read's own place and `most` bases on either side, as far as the contig goes; `lead` of them stand
-    before the place. Exact places are told by an expression and never enter Python.
+    before the place. Exact places are told by an expression.
     """
     key = ["read_id", "strand", "contig_id", "start"]
     seed = F.struct("stage", "substage", "k", "at", "pos")
@@ -181,15 +181,17 @@ def verified(places: DataFrame, stranded: DataFrame, pieces: DataFrame, most: in
     placed = placed.select(*key, "low", "seq", "seeds", window.alias("window"), F.greatest(lead, F.lit(0)).cast("int").alias("lead"))
     exact = (F.col("start") >= 0) & (F.substring("window", F.col("lead") + 1, F.length("seq")) == F.col("seq"))
     kept = ["read_id", "strand", "contig_id", "low", "seq", "window", "lead", "ed", "stage", "substage"]
-    same = placed.where(exact).withColumn("x", F.col("seeds")[0]).select("*", F.lit(0).cast("long").alias("ed"), "x.stage", "x.substage").select(kept)
     if most == 0:
-        return same
-    tried = F.col("seeds") if most < BIT_PARALLEL else F.slice("seeds", 1, 1)  # the best infix is the same for all of them
-    other = placed.where(~exact).withColumn("x", F.explode(tried))
-    other = other.withColumn("ed", _distances(most)("seq", "window", "x.at", (F.col("x.pos") - F.col("low")).cast("int"), "x.k", "lead")).where("ed IS NOT NULL")
+        return placed.where(exact).withColumn("x", F.col("seeds")[0]).select("*", F.lit(0).cast("long").alias("ed"), "x.stage", "x.substage").select(kept)
+    one = F.slice("seeds", 1, 1)  # from BIT_PARALLEL errors on the best infix is the same for all of them
+    tried = F.when(F.col("exact"), one).otherwise(F.col("seeds")) if most < BIT_PARALLEL else one
+    told = placed.withColumn("exact", F.coalesce(exact, F.lit(False))).withColumn("x", F.explode(tried))
+    asked = lambda c, none: F.when(F.col("exact"), F.lit(none)).otherwise(c)  # noqa: E731  # exact places go through as empty pairs
+    place = (F.col("x.pos") - F.col("low")).cast("int")
+    far = _distances(most)(asked(F.col("seq"), ""), asked(F.col("window"), ""), asked(F.col("x.at"), 0), asked(place, 0), "x.k", asked(F.col("lead"), 0))
+    told = told.withColumn("ed", far).withColumn("ed", asked(F.col("ed"), 0).cast("long")).where("ed IS NOT NULL")
     best = F.row_number().over(Window.partitionBy(*key).orderBy("ed", "x.substage"))
-    other = other.withColumn("_nth", best).where("_nth = 1").select("*", "x.stage", "x.substage").select(kept)
-    return same.unionByName(other)
+    return told.withColumn("_nth", best).where("_nth = 1").select("*", "x.stage", "x.substage").select(kept)
 
 
 def search(reads: DataFrame, contigs: DataFrame, cfg: AlignConfig, errors: int, index: DataFrame | None = None, save: Callable = saved, hot: int = HOT) -> DataFrame:

@@ -105,6 +105,17 @@ def test_free_ends_around_a_seed_and_the_count_filter():
     assert K.could_align(*far[0], *far[1], np.full(50, 4), 2).mean() < 0.1
 
 
+def test_seeds_of_two_sizes_in_more_pairs_than_a_lot():
+    rng = random.Random(8)
+    ref = dna(rng, 60)
+    read = ref[2:40] + ref[41:58]
+    for size in (K.LOT - 1, K.LOT + 1, 2 * K.LOT + 7):
+        k = np.array([9, 18] * size)[:size]
+        (r, m), (w, n) = K.rows(pd.Series([read] * size)), K.rows(pd.Series([ref] * size))
+        got = K.anchored_distances(r, m, w, n, np.zeros(size, np.int64), np.full(size, 2), k, 3)
+        assert len(got) == size and (got == 1).all()
+
+
 def test_coded_seeds_are_those_of_the_text_index(spark):
     rng = random.Random(6)
     contigs = spark.createDataFrame([(1, dna(rng, 40_000)), (2, dna(rng, 300, "ACGTN")), (3, "ACG"), (4, ""), (5, dna(rng, seeding.CHUNK + 17))], "contig_id long, seq string")
