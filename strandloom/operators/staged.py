@@ -112,6 +112,12 @@ def used_index(pieces: DataFrame, seeds: DataFrame, sizes: list[int], longest: i
 
     index: seeding.coded_index() of the longest seed, read back.
     """
+    if index is None:
+        distinct = seeds.where("seed IS NOT NULL").select("k", "seed").distinct()
+        few = distinct.limit(seeding.SENT + 1).toArrow()
+        if few.num_rows <= seeding.SENT:
+            ks, numbers = (few.column(c).to_numpy() for c in ("k", "seed"))
+            return seeding.coded_places(pieces, {k: np.sort(numbers[ks == k]) for k in sizes if (ks == k).any()})
     parts = [seeding.matched_index(pieces, seeds.where(F.col("k") == k), k, index if k == longest else None).select(F.lit(k).alias("k"), "seed", "contig_id", "pos") for k in sizes]
     return reduce(DataFrame.unionByName, parts)
 
@@ -215,6 +221,11 @@ def search(reads: DataFrame, contigs: DataFrame, cfg: AlignConfig, errors: int,
     repeats = used.groupBy("k", "seed").agg(F.count(F.lit(1)).alias("places")).where(F.col("places") > hot)
     repeats = save(repeats, "repeats")
     any_hot = repeats.limit(1).count() > 0
+    if any_hot:  # the blocks of all stages, for every read with a repeat's seed: one more pass over the reference
+        asked = stranded.join(seeds.join(repeats, ["k", "seed"], "left_semi").select("read_id", "strand").distinct(), ["read_id", "strand"], "left_semi")
+        cuts = save(reduce(DataFrame.unionByName, [blocks(asked, step, cfg.seed) for step in steps]), "blocks")
+        more = save(used_index(pieces, cuts.where("seed IS NOT NULL"), sizes, cfg.seed, index), "used")
+        over = save(more.groupBy("k", "seed").agg(F.count(F.lit(1)).alias("places")).where(F.col("places") > hot), "repeats")
     left, out = stranded, None
     for step in steps:
         own = seeds.where(F.col("stage") == step)
@@ -224,11 +235,9 @@ def search(reads: DataFrame, contigs: DataFrame, cfg: AlignConfig, errors: int,
         cold = own.join(repeats, ["k", "seed"], "left_anti") if any_hot else own
         places = cold.join(used, ["k", "seed"]).select("read_id", "strand", "stage", "substage", "k", "at", "contig_id", "pos")
         if any_hot:
-            asked = left.join(own.join(repeats, ["k", "seed"], "left_semi").select("read_id", "strand").distinct(), ["read_id", "strand"], "left_semi")
-            cut = save(blocks(asked, step, cfg.seed), "blocks")
-            more = save(used_index(pieces, cut.where("seed IS NOT NULL"), sizes, cfg.seed, index), "used")
-            over = more.groupBy("k", "seed").agg(F.count(F.lit(1)).alias("places")).where(F.col("places") > hot)
-            places = places.unionByName(counted(cut, more, save(over, "repeats"), step).select(places.columns))
+            hot_reads = own.join(repeats, ["k", "seed"], "left_semi").select("read_id", "strand").distinct()
+            cut = cuts.where(F.col("stage") == step).join(hot_reads, ["read_id", "strand"], "left_semi")
+            places = places.unionByName(counted(cut, more, over, step).select(places.columns))
         places = save(places, "places")
         hits = verified(places, stranded, seeding.chunks_of(contigs, places), most)
         if cfg.mode == "second" and out is not None:

@@ -180,6 +180,19 @@ def test_a_seed_with_100_000_places(spark, hot):
     assert found == {i: ed for i, _, ed in reads}
 
 
+def test_repeats_cost_one_more_pass_over_the_reference(spark, monkeypatch):
+    rng, passes = random.Random(9), []
+    ref = dna(rng, 4000)
+    whole = seeding.coded_places
+    monkeypatch.setattr(seeding, "coded_places", lambda *a: (passes.append(sorted(a[1])), whole(*a))[1])
+    monkeypatch.setattr(seeding, "coded_index", lambda *a, **b: passes.append("index"))
+    reads = spark.createDataFrame([(1, ref[200:290]), (2, ref[900:945] + "A" + ref[945:1000])], "read_id long, seq string")
+    contigs = spark.createDataFrame([(i, ref) for i in range(4)], "contig_id long, seq string")
+    found = staged.search(reads, contigs, AlignConfig(sensitive=False), 3, hot=2).select("read_id", "contig_id", "ed").distinct().collect()
+    assert sorted(map(tuple, found)) == [(1, i, 0) for i in range(4)] + [(2, i, 1) for i in range(4)]
+    assert passes == [[9, 18], [9, 18]] or passes == [[18], [18]]
+
+
 def test_nothing_to_search(spark):
     contigs = spark.createDataFrame([(1, "ACGT" * 30)], "contig_id long, seq string")
     for rows in ([], [(1, "ACG")], [(1, "N" * 50)]):
