@@ -26,8 +26,9 @@ SKETCH = 128
 NODE, PIVOTS = 1000, 32
 #: Shingles and documents of a node that a task compares at a time (more go to further blocks).
 BLOCK_SHINGLES, BLOCK = 1_000_000, 4000
-#: A node of more than NODE documents branches while most of them are outside its main component, this many levels at
-#: most. Else the outside documents, in groups of about so many shingles, are compared with the node's blocks.
+#: The documents outside a node's main component, in groups of about so many shingles, are compared with the node's
+#: blocks. A node of more than NODE documents, most of them outside, branches instead where that makes fewer rows, this
+#: many levels at most.
 LEVELS, OUTSIDE = 6, 3_000_000
 #: Standard deviations that a sketch's estimate may fall short of the least similarity.
 SLACK = 4.5
@@ -121,6 +122,18 @@ def _sketches(rows) -> np.ndarray:
     return np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
 
 
+def _lanes(rows) -> np.ndarray:
+    """Sketches by eights of their tokens, for _same()."""
+    sketch = _sketches(rows)
+    return np.ascontiguousarray(sketch.reshape(len(sketch), SKETCH // 8, 8).transpose(1, 0, 2))
+
+
+def _same(lanes: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """Tokens that each sketch shares with one: bytes of 0 and 1, summed eight at a time (SKETCH is below 256)."""
+    eights = (lanes == one[:, None]).view(np.uint64)[..., 0].sum(0)
+    return ((eights * np.uint64(0x0101010101010101)) >> np.uint64(56)).astype(np.int64)
+
+
 def _forest_of(similarity: float):
     """First pass over a node: the links of a maximal spanning forest of the likely ones; all likely ones if they are
     not many more, else the node is noted as dense.
@@ -129,7 +142,7 @@ def _forest_of(similarity: float):
 
     def work(key, rows):
         rep, first = np.unique(rows.column("rep").to_numpy(), return_index=True)
-        n, sketch, m = rows.column("n").to_numpy()[first], _sketches(rows)[first], len(rep)
+        n, lanes, m = rows.column("n").to_numpy()[first], _lanes(rows)[:, first], len(rep)
         best, link, todo = np.full(m, -1), np.full(m, -1), np.ones(m, bool)
         todo[0] = False
         tree, every, likely, cur = [], [], 0, 0
@@ -137,7 +150,7 @@ def _forest_of(similarity: float):
             rest = np.flatnonzero(todo)
             if not len(rest):
                 break
-            same = (sketch[rest] == sketch[cur]).sum(1)
+            same = _same(lanes, lanes[:, cur])[rest]
             ok = (same >= need) & (np.minimum(n[rest], n[cur]) >= similarity * np.maximum(n[rest], n[cur]))
             likely += int(ok.sum())
             if likely <= 4 * m:
@@ -158,19 +171,19 @@ def _forest_of(similarity: float):
 
 
 def _outside(similarity: float):
-    """Second pass over a block: documents outside the main component (query) and those of other components that are
-    likely linked with them. As many rows at most as come in.
+    """Second pass over a cell: documents outside the main component (query) and those of the cell's block (own), of
+    other components, that are likely linked with them. As many rows at most as come in.
     """
     need = _least_equal(similarity)
 
     def work(key, rows):
-        n, sketch, comp = rows.column("n").to_numpy(), _sketches(rows), rows.column("comp").to_numpy()
-        query = np.flatnonzero(rows.column("query").to_numpy())
+        n, lanes, comp = rows.column("n").to_numpy(), _lanes(rows), rows.column("comp").to_numpy()
+        own = np.flatnonzero(rows.column("own").to_numpy())
+        block, size, part = np.ascontiguousarray(lanes[:, own]), n[own], comp[own]
         found = np.zeros(len(n), bool)
-        for i in query:
-            same = (sketch == sketch[i]).sum(1)
-            ok = (same >= need) & (comp != comp[i]) & (np.minimum(n, n[i]) >= similarity * np.maximum(n, n[i]))
-            found |= ok
+        for i in np.flatnonzero(rows.column("query").to_numpy()):
+            ok = (_same(block, lanes[:, i]) >= need) & (part != comp[i]) & (np.minimum(size, n[i]) >= similarity * np.maximum(size, n[i]))
+            found[own[ok]] = True
             found[i] |= ok.any()
         if found.any():
             yield from rows.select(["key", "rep", "comp", "query"]).filter(pa.array(found)).combine_chunks().to_batches()
@@ -206,7 +219,7 @@ def _exact(similarity: float):
 
 
 def _branch(batches):
-    """Rows of large nodes -> rows of their children: positions come from the node's key, values from the sketch."""
+    """Rows of large nodes -> rows of their children, and the node: positions come from its key, values from the sketch."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -216,7 +229,7 @@ def _branch(batches):
             at = (mix64(key + np.uint64(i + 1)) % np.uint64(SKETCH)).astype(np.int64)
             value = sketch[np.arange(len(key)), at].astype(np.uint64)
             child = mix64(mix64(key * np.uint64(BRANCHES) + np.uint64(i)) + value).view(np.int64)
-            yield pa.record_batch([pa.array(child), *batch.columns[1:]], ["key", "rep", "n", "sketch", "comp"])
+            yield pa.record_batch([pa.array(child), *batch.columns[1:], batch.column(0)], ["key", "rep", "n", "sketch", "comp", "parent"])
 
 
 def _full_sets(wanted: DataFrame, docs: DataFrame, reps: DataFrame, shingle: int) -> DataFrame:
@@ -261,16 +274,28 @@ def _in_blocks(rows: DataFrame, blocks, everywhere) -> DataFrame:
     return rows.withColumn("key", F.when(F.col("_block") == 0, F.col("key")).otherwise(F.xxhash64("key", "_block"))).drop("_block")
 
 
-def _in_cells(rows: DataFrame, blocks, groups) -> DataFrame:
-    """Rows of a node dealt to cells of a block (all documents) and a group (of those outside the main component, as
-    `query`): each pair of an outside document with any other one meets in one cell, and no cell grows with the node."""
-    each = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
-    block, group = F.pmod(F.xxhash64("rep"), blocks), F.pmod(F.xxhash64("rep", F.lit("group")), groups)
-    cell = lambda b, g, query: F.struct(b.alias("b"), g.alias("g"), F.lit(query).alias("query"))
-    plain = F.transform(each(groups), lambda g: cell(block, g, False))
-    asked = F.when(F.col("outer"), F.transform(each(blocks), lambda b: cell(b, group, True)))
-    rows = rows.withColumn("_c", F.explode(F.concat(plain, F.coalesce(asked, F.expr("cast(array() as array<struct<b:bigint,g:bigint,query:boolean>>)")))))
-    return rows.select(F.xxhash64("key", "_c.b", "_c.g").alias("key"), "rep", "n", "sketch", "comp", "_c.query")
+def _in_cells(rows: DataFrame) -> DataFrame:
+    """Rows of a node dealt to cells of a block (all documents, `own`) and a group (of those outside the main component,
+    `query`): each outside document meets any other one in a cell, goes to a cell once, and no cell grows with the node."""
+    each = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    block, group = F.pmod(F.xxhash64("rep"), F.col("blocks")), F.pmod(F.xxhash64("rep", F.lit("group")), F.col("groups"))
+    cell = lambda b, g, own, query: F.struct(b.alias("b"), g.alias("g"), own.alias("own"), query.alias("query"))
+    plain = F.transform(each("groups"), lambda g: cell(block, g, F.lit(True), F.col("outer") & (g == group)))
+    others = F.filter(each("blocks"), lambda b: F.col("outer") & (b != block))
+    rows = rows.withColumn("_c", F.explode(F.concat(plain, F.transform(others, lambda b: cell(b, group, F.lit(False), F.lit(True))))))
+    return rows.select(F.xxhash64("key", "_c.b", "_c.g").alias("key"), "rep", "n", "sketch", "comp", "_c.own", "_c.query")
+
+
+def _about(rows: DataFrame, *more: str) -> DataFrame:
+    """Of each node (and what its rows have in common) with several components: the main one, all documents and those of
+    the main one, its blocks and groups, and the rows that _in_cells() makes of it."""
+    parts = rows.groupBy("key", *more, "comp").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("n"))
+    main = F.struct("c", "comp")
+    about = parts.groupBy(F.col("key").alias("_k"), *more).agg(F.max_by("comp", main).alias("main"), F.sum("n").alias("all"), F.sum("c").alias("m"), F.max("c").alias("most"), F.max_by("n", main).alias("inside"), F.count(F.lit(1)).alias("k"))
+    blocks = F.greatest(F.ceil(F.col("all") / BLOCK_SHINGLES), F.ceil(F.col("m") / BLOCK))
+    groups = F.greatest(F.ceil((F.col("all") - F.col("inside")) / OUTSIDE), F.ceil((F.col("m") - F.col("most")) / (4 * BLOCK)))
+    about = about.where("k > 1").withColumn("blocks", blocks).withColumn("groups", groups)
+    return staged(about.select("_k", *more, "main", "m", "most", "blocks", "groups", F.expr("m * groups + (m - most) * (blocks - 1)").alias("cost")), "about")
 
 
 def _in_order(rows: DataFrame) -> DataFrame:
@@ -283,10 +308,10 @@ def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> tuple
 
     Documents with equal sets stand as one from the start. At the roots small nodes are compared whole and large ones in
     blocks that share pivots; a spanning forest of what is alike links them. Then components are known, and large or
-    dense nodes only need links between different ones. Such a node branches, level by level, until it is small or most of
-    it is one component; then the documents outside that are compared with all of it, on full sets: a group of near
-    copies never grows smaller by branching, and costs about as many rows as it has members, not pairs. Nodes within
-    one component need no more work. A pair at the least similarity is missed with a chance of about (1 -
+    dense nodes only need links between different ones: the documents outside the node's main component are compared with
+    all of it, on sketches, then on full sets. A group of near copies, or of texts nearly so alike, never grows smaller by
+    branching; it costs a row a member and cell. A very large node, of many cells, branches where its children make fewer
+    rows, level by level. Nodes within one component need no more work. A pair at the least similarity is missed with a chance of about (1 -
     similarity) to the power ROOTS (under 1 in 300,000), more by (1 - similarity) to the power BRANCHES for each level
     below, plus as much again for its sketch. README has the recall as measured against all pairs.
     """
@@ -309,21 +334,25 @@ def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> tuple
         comps = components(links).select(F.col("v").alias("rep"), F.col("root").alias("comp"))
         rows = first.join(again, of_key(again), "left_semi").join(comps, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
         rows, found = rows.select("key", "rep", "n", "sketch", "comp"), None
+        about = _about(rows)
         for depth in range(LEVELS + 1):
-            parts = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("n"))
-            main = F.struct("c", "comp")
-            about = parts.groupBy("key").agg(F.max_by("comp", main).alias("main"), F.sum("n").alias("all"), F.sum("c").alias("m"), F.max("c").alias("most"), F.max_by("n", main).alias("inside"), F.count(F.lit(1)).alias("k"))
-            about = staged(about.where("k > 1").select(F.col("key").alias("_k"), "main", "all", "m", "most", (F.col("all") - F.col("inside")).alias("outside")), "about")
-            deep = (F.col("m") > NODE) & (2 * F.col("most") < F.col("m")) & F.lit(depth < LEVELS)
-            flat = about.where(~deep)
+            many = about.where((F.col("m") > NODE) & (2 * F.col("most") < F.col("m")) & (F.col("cost") > 2 * BRANCHES * F.col("m")))
+            flat, below = about, None
+            if depth < LEVELS and many.limit(1).count():
+                level = staged(rows.join(many, of_key(many), "left_semi").mapInArrow(_branch, _NODE + ", parent long"), "level")
+                below = _about(level, "parent")
+                less = below.groupBy("parent").agg(F.sum("cost").alias("less"))
+                less = many.join(less, F.col("_k") == F.col("parent"), "left").where(F.coalesce("less", F.lit(0)) + BRANCHES * F.col("m") < F.col("cost"))
+                deep = staged(less.select("_k"), "deep")
+                flat = about.join(deep, "_k", "left_anti")
             cut = rows.join(flat, of_key(flat)).withColumn("outer", F.col("comp") != F.col("main"))
-            cut = _in_cells(cut, F.greatest(F.ceil(F.col("all") / BLOCK_SHINGLES), F.ceil(F.col("m") / BLOCK)), F.greatest(F.ceil(F.col("outside") / OUTSIDE), F.lit(1)))
-            held = staged(_in_order(cut).mapInArrow(_outside(similarity), "key long, rep long, comp long, query boolean"), "outside")
+            held = staged(_in_order(_in_cells(cut)).mapInArrow(_outside(similarity), "key long, rep long, comp long, query boolean"), "outside")
             found = held if found is None else found.unionByName(held)
-            large = about.where(deep).select("_k")
-            if not large.limit(1).count():
+            if below is None or not deep.limit(1).count():
                 break
-            rows = staged(rows.join(large, of_key(large), "left_semi").mapInArrow(_branch, _NODE), "level")
+            of_parent = F.col("parent") == deep["_k"]
+            rows = level.join(deep, of_parent, "left_semi").drop("parent")
+            about = below.join(deep.withColumnRenamed("_k", "parent"), "parent", "left_semi").drop("parent")
         if found.limit(1).count():
             full = _full_sets(found.select("rep").distinct(), docs, sets, shingle)
             exact = _in_order(found.join(full, "rep").select("key", "rep", "comp", "query", "s")).mapInArrow(_exact(similarity), "a long, b long")

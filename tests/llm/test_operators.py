@@ -80,6 +80,26 @@ def test_op1_large_nodes(spark, hard_dir, monkeypatch):
         assert rows(got, list(got.columns)) == rows(want, list(got.columns))
 
 
+def test_op1_a_large_group_of_texts_nearly_alike(spark, tmp_path, monkeypatch):
+    """Texts that share a passage but are not alike: no more rows are compared than a row a text and root position, and
+    where cells would be many, branching makes fewer; pairs among them are found either way."""
+    from strandloom.llm import neardup
+
+    common = [f"c{i}" for i in range(45)]
+    texts = [" ".join([*common, *(f"own{d}x{i}" for i in range(40))]) for d in range(120)]
+    texts += [t + " end" for t in texts[:6]]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    made, cells = [], neardup._in_cells
+    monkeypatch.setattr(neardup, "_in_cells", lambda *a: made.append(cells(*a).count()) or cells(*a))
+    for values, deep in (({"NODE": 20, "PIVOTS": 4}, False), ({"BLOCK": 4, "OUTSIDE": 60}, True)):
+        for k, v in values.items():
+            monkeypatch.setattr(neardup, k, v)
+        made.clear()
+        got = run(spark, "op1_chosen_path", str(tmp_path))
+        assert [int(c) for c in got.sort_values("doc_id").component_id] == [*range(120), *range(6)]
+        assert deep and len(made) > 1 or sum(made) <= neardup.ROOTS * len(texts)
+
+
 def test_op2(spark, hard_dir, docs):
     got = run(spark, "op2_simhash", hard_dir)
     d = docs.assign(text=docs.text.map(text_of)).sort_values(["doc_id", "text"], ascending=[False, True], na_position="last")
