@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__
+from strandloom.operators import hits as H
 from strandloom.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -50,6 +51,17 @@ def test_alignments_replay(spark):
         assert (r.score, r.events) == affine_score(r.ext)
 
 
+def test_clusters_from_previous_sort_rows_once(spark, capsys):
+    """Other columns stay with their hit, also of null places; a task holds its rows in one sort."""
+    rows = [(1, 1, 100, "+", 2, "a"), (1, 1, 110, "+", 1, "b"), (1, 1, 118, "-", 1, "c"), (1, 1, 131, "+", 0, "d"), (1, 2, None, "+", 5, "e"), (1, 2, 3, "+", 7, "f"), (2, 1, 119, "+", 3, "g")]
+    hits = spark.createDataFrame(rows, "read_id long, contig_id long, pos long, strand string, ed long, more string")
+    got = H.clusters_from_previous(hits)
+    got.explain()
+    assert capsys.readouterr().out.count("Sort [") == 1
+    assert got.columns == hits.columns
+    assert {r.more: tuple(r) for r in got.collect()} == {r[5]: r for r in rows if r[5] in "bdefg"}
+
+
 def test_clusters_from_first_against_a_plain_fold(spark):
     hits = catalog.hits(spark, SF).toPandas()
     want = set()
