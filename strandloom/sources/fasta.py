@@ -20,6 +20,8 @@ from strandloom.operators.seeding import CHUNK, OVERLAP
 
 #: Bytes of a range, of a header line at most, and of a read.
 RANGE, HEADER, BLOCK = 8 << 20, 1 << 16, 1 << 20
+#: Bases and chunks that a task hands on at a time.
+HELD, ROWS = 4 << 20, 4096
 _BLANKS = b" \t\r\n\x0b\x0c"
 _BASES = bytes(ord(chr(c).upper()) if chr(c) in "ACGTacgt" else ord("N") for c in range(256))
 _PARTS = "file string, begin long, part int, at long, name string, bases long, lead long, tail long"
@@ -44,12 +46,12 @@ def sizes(paths: list[str]) -> list[tuple[str, int]]:
     return out
 
 
-def _lines(stream, at: int, end: int) -> Iterator[tuple[int, bool, bytes]]:
+def _lines(stream, at: int, end: int, most: int = BLOCK) -> Iterator[tuple[int, bool, bytes]]:
     """Byte place, whether a line begins there, and bytes up to a line's end or a read's, from `at` to before `end`."""
     stream.seek(at)
     fresh = True
     while at < end:
-        block = stream.read(min(BLOCK, end - at))
+        block = stream.read(min(most, end - at))
         if not block:
             return
         for part in block.splitlines(keepends=True):
@@ -116,27 +118,27 @@ def scanned(path: str, begin: int, end: int) -> list[tuple]:
     return [(at, told(title), n, lead, tail) for at, title, n, lead, tail in parts]
 
 
-def cut(path: str, at: int, base: int, bases: int, lead: int, size: int, chunk: int, overlap: int) -> Iterator[tuple[int, str]]:
+def cut(stream, at: int, base: int, bases: int, lead: int, size: int, chunk: int, overlap: int) -> Iterator[tuple[int, str]]:
     """The chunks that begin among the `bases` bases from byte `at`, the first of which is the contig's base `base`.
 
-    lead: Ns at the contig's start; size: its bases without those at both ends.
+    lead: Ns at the contig's start; size: its bases without those at both ends. A read is about as long as what is
+    still needed, so that a short contig costs no whole block.
     """
     first = max(0, -(-(base - lead) // chunk))
     last = min(base - lead + bases, size)  # no chunk begins at or after it
-    system, name = _opened(path)
-    with system.open_input_file(name) as stream:
-        held, low = bytearray(), base - lead  # bases read and not dropped yet, and where they begin
-        lines = _lines(stream, at, 1 << 62)
-        for number in range(first, -(-last // chunk) if last > 0 else 0):
-            begin, end = number * chunk, min(number * chunk + chunk + overlap, size)
-            while low + len(held) < end:
-                found = next(lines, None)
-                if found is None or (found[1] and found[2].startswith(b">")):
-                    break
-                held += found[2].translate(_BASES, _BLANKS)
-            del held[: max(0, begin - low)]
-            low = max(low, begin)
-            yield number, held[: end - begin].decode("ascii")
+    need = min(base - lead + bases + chunk + overlap, size) - (base - lead)
+    held, low = bytearray(), base - lead  # bases read and not dropped yet, and where they begin
+    lines = _lines(stream, at, 1 << 62, min(BLOCK, max(1024, need + need // 32 + 64)))
+    for number in range(first, -(-last // chunk) if last > 0 else 0):
+        begin, end = number * chunk, min(number * chunk + chunk + overlap, size)
+        while low + len(held) < end:
+            found = next(lines, None)
+            if found is None or (found[1] and found[2].startswith(b">")):
+                break
+            held += found[2].translate(_BASES, _BLANKS)
+        del held[: max(0, begin - low)]
+        low = max(low, begin)
+        yield number, held[: end - begin].decode("ascii")
 
 
 def chunks(spark: SparkSession, paths: str | list[str], chunk: int = CHUNK, overlap: int = OVERLAP, width: int = RANGE) -> DataFrame:
@@ -177,12 +179,31 @@ def chunks(spark: SparkSession, paths: str | list[str], chunk: int = CHUNK, over
     work = saved(placed.drop("name", "lead", "tail", "b", "p").join(contigs, "contig_id").where("bases > 0"), "work")
 
     def emit(batches):
+        stream, now = None, None
         for batch in batches:
-            keys = ("file", "at", "base", "bases", "n_initial", "size")
-            for i, values in enumerate(zip(*(batch.column(k).to_pylist() for k in keys), strict=True)):
-                for number, seq in cut(*values, chunk, overlap):
-                    one = batch.slice(i, 1)
-                    yield pa.record_batch([one.column("contig_id"), pa.array([number]), one.column("size"), pa.array([seq]), one.column("name"), one.column("n_initial"), one.column("n_final"), one.column("size")], ["contig_id", "chunk", "length", "seq", "name", "n_initial", "n_final", "size"])
-
-    work = work.repartition(tasks, "file", "at")
+            keys, held, rows = ("file", "at", "base", "bases", "n_initial", "size"), 0, []
+
+            def made():
+                one = batch.take(pa.array([r[0] for r in rows], pa.int64()))
+                numbers, seqs = pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.string())
+                return pa.record_batch([one.column("contig_id"), numbers, one.column("size"), seqs, one.column("name"), one.column("n_initial"), one.column("n_final"), one.column("size")], ["contig_id", "chunk", "length", "seq", "name", "n_initial", "n_final", "size"])
+
+            for i, (path, *values) in enumerate(zip(*(batch.column(k).to_pylist() for k in keys), strict=True)):
+                if path != now:
+                    if stream is not None:
+                        stream.close()
+                    system, name = _opened(path)
+                    stream, now = system.open_input_file(name), path
+                for number, seq in cut(stream, *values, chunk, overlap):
+                    rows.append((i, number, seq))
+                    held += len(seq)
+                    if held >= HELD or len(rows) >= ROWS:
+                        yield made()
+                        held, rows = 0, []
+            if rows:
+                yield made()
+        if stream is not None:
+            stream.close()
+
+    work = work.repartition(tasks, "file", "at").sortWithinPartitions("file", "at")
     return work.mapInArrow(emit, "contig_id long, chunk long, length long, seq string, name string, n_initial long, n_final long, size long")

@@ -43,6 +43,24 @@ def test_chunks_equal_a_plain_reading(spark, tmp_path, width, chunk, overlap):
     assert len({(r.contig_id, r.chunk) for r in got}) == len(got)
 
 
+def test_short_contigs_read_no_whole_blocks():
+    """3,000 contigs of 100 bases: the bytes read follow the bases."""
+    import io
+
+    class Counted(io.BytesIO):
+        got = 0
+
+        def read(self, n=-1):
+            out = super().read(n)
+            Counted.got += len(out)
+            return out
+
+    file = Counted((b">c\n" + b"ACGTA" * 20 + b"\n") * 3000)
+    found = [list(fasta.cut(file, 104 * i + 3, 0, 100, 0, 100, 60, 20)) for i in range(3000)]
+    assert all(f == [(0, "ACGTA" * 16), (1, "ACGTA" * 8)] for f in found)
+    assert Counted.got <= 3000 * 1100
+
+
 def test_malformed_files_stop(spark, tmp_path):
     (tmp_path / "a.fa").write_text("\nACGT\n>x\nACGT\n")
     (tmp_path / "b.fa").write_text(">" + "x" * (fasta.HEADER + 9) + "\nACGT\n")
