@@ -38,6 +38,11 @@ def insert_sizes(every: DataFrame, longest: float = 1000) -> tuple[float, float]
     return (model["mean"], max(model["dev"], 1.0)) if model and model["n"] >= SAMPLES else (longest / 2, longest / 8)
 
 
+def of_known_size(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Pairs whose places are as far apart as is known of them (sizes: pair_id, insert_size)."""
+    return pairs.join(sizes, ["pair_id", "insert_size"], "left_semi")
+
+
 def close_pairs(hits: DataFrame, mean: float, dev: float, sigmas: float = 4) -> DataFrame:
     return mates(hits).where(F.abs(F.col("insert_size") - mean) <= sigmas * dev)
 
