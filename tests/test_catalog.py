@@ -62,6 +62,19 @@ def test_clusters_from_previous_sort_rows_once(spark, capsys):
     assert {r.more: tuple(r) for r in got.collect()} == {r[5]: r for r in rows if r[5] in "bdefg"}
 
 
+def test_clusters_from_previous_with_nulls_and_alike_rows(spark, tmp_path):
+    """Nulls come last in the SQL's orders, and it rounds; rows alike are one hit, where the SQL may count them in either order."""
+    lines = [(1, 100, 3, 1, 5.0), (1, 104, 3, 1, None), (1, 300, 3, 2, None), (1, 305, 3, 1, None), (1, None, 3, 1, 2.0), (2, 7, None, 1, None), (2, 9, None, 3, 6.0), (3, 50, 3, 1, None), (3, 52, 3, 2, 7.0), (4, 60, 3, 1, 2.5), (4, 61, 3, 2, 1.7), (4, 90, 3, 1, 3.5)]
+    columns = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double"
+    spark.createDataFrame(lines, columns).coalesce(1).write.parquet(str(tmp_path / "a" / "lineitem.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/a/lineitem.parquet/*.parquet'")
+    want = con.sql(catalog.ORACLES["clusters_from_previous"]).df()
+    assert rows(catalog.clusters_from_previous(spark, str(tmp_path / "a")).toPandas()) == rows(want)
+    spark.createDataFrame(lines * 3, columns).coalesce(1).where("l_partkey IS NOT NULL").write.parquet(str(tmp_path / "b" / "lineitem.parquet"))
+    assert rows(catalog.clusters_from_previous(spark, str(tmp_path / "b")).toPandas()) == rows(want[want.pos.notna()])
+
+
 def test_clusters_from_first_against_a_plain_fold(spark):
     hits = catalog.hits(spark, SF).toPandas()
     want = set()
